@@ -135,7 +135,7 @@ e2 AS (SELECT *, lead(day) OVER (PARTITION BY key, verdict ORDER BY day) AS upto
 iv AS (SELECT key, verdict, TIMESTAMP '2024-01-01' + to_days(day) AS f, TIMESTAMP '2024-01-01' + to_days(upto) AS t FROM e2 WHERE action = 'add'),
 c AS (SELECT DISTINCT page_id, url, TIMESTAMP '2024-01-01' + to_hours(CAST((page_id * 7919) % 17520 AS INT)) AS seen, regexp_extract(url, '^[a-z]+://([^/:?#]+)', 1) AS host,
  lower(regexp_extract(url, '^[a-z]+://[^/:?#]+(?::[0-9]*)?([^#]*)', 1)) AS rest FROM pages),
-p AS (SELECT *, list_filter(string_split(regexp_extract(rest, '^[^?]*'), '/'), x -> x <> '') AS steps, string_split(host, '.') AS labels FROM c),
+p AS (SELECT *, list_filter(string_split(regexp_extract(rest, '^[^?]*'), '/'), lambda x: x <> '') AS steps, string_split(host, '.') AS labels FROM c),
 cand AS (SELECT page_id, url, seen, 'host:' || host AS key FROM p UNION SELECT page_id, url, seen, 'url:' || host || rest FROM p
  UNION SELECT page_id, url, seen, 'domain:' || array_to_string(labels[i:], '.') FROM (SELECT *, unnest(range(1, len(labels))) AS i FROM p)
  UNION SELECT page_id, url, seen, 'prefix:' || host || '/' || coalesce(array_to_string(steps[1:i], '/'), '') FROM (SELECT *, unnest(range(0, len(steps) + 1)) AS i FROM p)),
