@@ -6,12 +6,14 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontaminate, token_count, token_store, url_filter
+from . import decontaminate, mixing, token_count, token_store, topk, url_filter
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_url_filters": url_filter.op1_url_filters,
+    "op5_exact_top_k": topk.op5_exact_top_k,
     "op6_token_counts": token_count.op6_token_counts,
     "op8_benchmark_decontamination": decontaminate.op8_benchmark_decontamination,
+    "op9_source_mixing": mixing.op9_source_mixing,
     "op10_token_store": token_store.op10_token_store,
 }
-ORACLE_SQL: dict[str, str] = {"op1_url_filters": url_filter.OP1_SQL, "op8_benchmark_decontamination": decontaminate.OP8_SQL}
+ORACLE_SQL: dict[str, str] = {"op1_url_filters": url_filter.OP1_SQL, "op8_benchmark_decontamination": decontaminate.OP8_SQL, "op5_exact_top_k": topk.OP5_SQL, "op9_source_mixing": mixing.OP9_SQL}
