@@ -6,12 +6,13 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontaminate, mixing, token_count, token_store, topk, url_filter
+from . import decontaminate, jaccard_join, mixing, token_count, token_store, topk, url_filter
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_url_filters": url_filter.op1_url_filters,
     "op5_exact_top_k": topk.op5_exact_top_k,
     "op6_token_counts": token_count.op6_token_counts,
+    "op7_ngram_jaccard_join": jaccard_join.op7_ngram_jaccard_join,
     "op8_benchmark_decontamination": decontaminate.op8_benchmark_decontamination,
     "op9_source_mixing": mixing.op9_source_mixing,
     "op10_token_store": token_store.op10_token_store,
