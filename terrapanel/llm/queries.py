@@ -6,10 +6,11 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontaminate, jaccard_join, mixing, token_count, token_store, topk, url_filter
+from . import decontaminate, jaccard_join, mixing, token_count, token_store, topk, toxicity, url_filter
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_url_filters": url_filter.op1_url_filters,
+    "op4_toxicity": toxicity.op4_toxicity,
     "op5_exact_top_k": topk.op5_exact_top_k,
     "op6_token_counts": token_count.op6_token_counts,
     "op7_ngram_jaccard_join": jaccard_join.op7_ngram_jaccard_join,
