@@ -1,7 +1,8 @@
 """Toxicity by nearest labelled examples: exact TF-IDF cosine over block-max inverted lists.
 
 Terms are words (lower-cased A-Z) and their beginnings of ``PREFIXES`` bytes, as 64-bit hashes: labels mark
-inflected words too, whose beginnings repeat while the words do not.  The terms kept are those that mark a class: at
+inflected words too, whose beginnings repeat while the words do not.  A term that occurs at least 2, 3 or 5 times in a
+text also counts as a term of that level, since a cosine alone forgets how often.  The terms kept are those that mark a class: at
 least ``MIN_DF`` toxic examples hold them and their smoothed odds between the classes are at least e^``MIN_ODDS``;
 the ``MAX_TERMS`` with the largest chi-square stay.
 
@@ -35,11 +36,25 @@ from .bytetext import Words, mix64, powers, slices, utf8
 from .tables import saved, table
 
 PREFIXES = (4, 5, 6, 7, 8)
+LEVELS = (1, 2, 3, 5)
 MAX_EXAMPLES, MAX_TERMS, MIN_DF, MIN_ODDS = 20_000, 4096, 5, 2.0
 BLOCK, NEIGHBOURS, PRIOR, CUT = 64, 15, 0.5, 0.7
 SCORED = "doc_id long, score double, neighbours array<long>, cosine double"
 
 
+class Vocabulary:
+    """Kept terms: sorted names, and for each name and level the term's number or -1."""
+
+    def __init__(self, names: np.ndarray, levels: np.ndarray):
+        self.names, back = np.unique(names, return_inverse=True)
+        self.numbers = np.full((len(self.names), len(LEVELS)), -1, np.int64)
+        self.numbers[back, levels] = np.arange(len(names))
+        self.size = len(names)
+
+    def __len__(self) -> int:
+        return self.size
+
+
 class Terms(Words):
     """Words of a slice with the hashes of their beginnings."""
 
@@ -59,22 +74,42 @@ class Terms(Words):
             at.append(own)
         self.term, self.word = np.concatenate(hashes), np.concatenate(at)
 
-    def found(self, vocabulary: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    def counted(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(term, document, count), by term and document."""
+        doc = np.searchsorted(self.doc, self.word, "right") - 1
+        order = np.lexsort((doc, self.term))
+        term, doc = self.term[order], doc[order]
+        first = np.ones(len(term), bool)
+        first[1:] = (term[1:] != term[:-1]) | (doc[1:] != doc[:-1])
+        at = np.flatnonzero(first)
+        return term[at], doc[at], np.diff(np.append(at, len(term)))
+
+    def found(self, vocabulary: Vocabulary) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """(document, term number, count) of the vocabulary's terms, sorted."""
-        if not len(vocabulary) or not len(self.term):
+        if not len(vocabulary.names) or not len(self.term):
             return (np.zeros(0, np.int64),) * 3
-        p = np.searchsorted(vocabulary, self.term)
-        p[p == len(vocabulary)] = 0
-        hit = np.flatnonzero(vocabulary[p] == self.term)
+        p = np.searchsorted(vocabulary.names, self.term)
+        p[p == len(vocabulary.names)] = 0
+        hit = np.flatnonzero(vocabulary.names[p] == self.term)
         doc = np.searchsorted(self.doc, self.word[hit], "right") - 1
-        key, count = np.unique(doc * len(vocabulary) + p[hit], return_counts=True)
-        return key // len(vocabulary), key % len(vocabulary), count
+        key, count = np.unique(doc * len(vocabulary.names) + p[hit], return_counts=True)
+        doc, name = key // len(vocabulary.names), key % len(vocabulary.names)
+        docs, terms, counts = [], [], []
+        for k, level in enumerate(LEVELS):
+            number = vocabulary.numbers[name, k]
+            use = (count >= level) & (number >= 0)
+            docs.append(doc[use])
+            terms.append(number[use])
+            counts.append(count[use] // level)
+        docs, terms, counts = map(np.concatenate, (docs, terms, counts))
+        order = np.lexsort((terms, docs))
+        return docs[order], terms[order], counts[order]
 
 
 class Neighbours:
     """The labelled examples and their block-max inverted lists."""
 
-    def __init__(self, vocabulary: np.ndarray, df: np.ndarray, ids: np.ndarray, labels: np.ndarray, vectors: list[tuple[np.ndarray, np.ndarray]]):
+    def __init__(self, vocabulary: Vocabulary, df: np.ndarray, ids: np.ndarray, labels: np.ndarray, vectors: list[tuple[np.ndarray, np.ndarray]]):
         self.vocabulary, n = vocabulary, max(1, len(ids))
         self.idf = np.log1p(n / np.maximum(df, 1))
         kept = [i for i, (t, _) in enumerate(vectors) if len(t)]
@@ -184,26 +219,21 @@ def fit(docs: DataFrame, labels: DataFrame, usable=lambda c: F.lit(True), limit:
             data, offsets = utf8(batch.column(1))
             toxic = batch.column(2).to_numpy(zero_copy_only=False).astype(np.int64)
             for i, j in slices(offsets):
-                t = Terms(data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i])
-                doc = np.searchsorted(t.doc, t.word, "right") - 1
-                order = np.lexsort((doc, t.term))
-                term, doc = t.term[order], doc[order]
-                first = np.ones(len(term), bool)
-                first[1:] = (term[1:] != term[:-1]) | (doc[1:] != doc[:-1])
-                term, label = term[first], toxic[i:j][doc[first]]
-                name, back = np.unique(term, return_inverse=True)
-                in_toxic = np.bincount(back, label, len(name)).astype(np.int64)
-                yield pa.RecordBatch.from_arrays([pa.array(name.view(np.int64)), pa.array(in_toxic), pa.array(np.bincount(back, minlength=len(name)).astype(np.int64) - in_toxic)], ["term", "in_toxic", "in_other"])
+                term, doc, count = Terms(data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i]).counted()
+                for k, level in enumerate(LEVELS):
+                    own = count >= level
+                    name, back = np.unique(term[own], return_inverse=True)
+                    in_toxic = np.bincount(back, toxic[i:j][doc[own]], len(name)).astype(np.int64)
+                    yield pa.RecordBatch.from_arrays([pa.array(name.view(np.int64)), pa.array(np.full(len(name), k, np.int32)), pa.array(in_toxic), pa.array(np.bincount(back, minlength=len(name)).astype(np.int64) - in_toxic)], ["term", "level", "in_toxic", "in_other"])
 
     n1, n0 = totals.get(1, 0), totals.get(0, 0)
-    df = chosen.select("doc_id", "text", "toxic").mapInArrow(frequencies, "term long, in_toxic long, in_other long").groupBy("term").agg(F.sum("in_toxic").alias("a"), F.sum("in_other").alias("b"))
+    df = chosen.select("doc_id", "text", "toxic").mapInArrow(frequencies, "term long, level int, in_toxic long, in_other long").groupBy("term", "level").agg(F.sum("in_toxic").alias("a"), F.sum("in_other").alias("b"))
     odds = F.log(((F.col("a") + 0.5) / (n1 + 1)) / ((F.col("b") + 0.5) / (n0 + 1)))
     n, a, b = F.lit(float(max(1, n1 + n0))), F.col("a"), F.col("b")
     chi = n * F.pow(a * (n0 - b) - b * (n1 - a), 2) / F.greatest((a + b) * (n - a - b) * n1 * n0, F.lit(1e-9))
-    kept = df.where((a >= MIN_DF) & (odds >= MIN_ODDS)).withColumn("chi", chi).orderBy(F.desc("chi"), "term").limit(MAX_TERMS).collect()  # at most MAX_TERMS rows
-    vocabulary = np.array([r["term"] for r in kept], np.int64).view(np.uint64)
-    order = np.argsort(vocabulary)
-    vocabulary, frequency = vocabulary[order], np.array([r["a"] + r["b"] for r in kept], np.float64)[order]
+    kept = df.where((a >= MIN_DF) & (odds >= MIN_ODDS)).withColumn("chi", chi).orderBy(F.desc("chi"), "term", "level").limit(MAX_TERMS).collect()  # at most MAX_TERMS rows
+    vocabulary = Vocabulary(np.array([r["term"] for r in kept], np.int64).view(np.uint64), np.array([r["level"] for r in kept], np.int64))
+    frequency = np.array([r["a"] + r["b"] for r in kept], np.float64)
 
     def vectors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
