@@ -6,10 +6,11 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontaminate, jaccard_join, mixing, token_count, token_store, topk, toxicity, url_filter
+from . import decontaminate, jaccard_join, mixing, secret_scan, token_count, token_store, topk, toxicity, url_filter
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_url_filters": url_filter.op1_url_filters,
+    "op2_secret_scan": secret_scan.op2_secret_scan,
     "op4_toxicity": toxicity.op4_toxicity,
     "op5_exact_top_k": topk.op5_exact_top_k,
     "op6_token_counts": token_count.op6_token_counts,
@@ -18,4 +19,10 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_source_mixing": mixing.op9_source_mixing,
     "op10_token_store": token_store.op10_token_store,
 }
-ORACLE_SQL: dict[str, str] = {"op1_url_filters": url_filter.OP1_SQL, "op8_benchmark_decontamination": decontaminate.OP8_SQL, "op5_exact_top_k": topk.OP5_SQL, "op9_source_mixing": mixing.OP9_SQL}
+ORACLE_SQL: dict[str, str] = {
+    "op1_url_filters": url_filter.OP1_SQL,
+    "op2_secret_scan": secret_scan.OP2_SQL,
+    "op5_exact_top_k": topk.OP5_SQL,
+    "op8_benchmark_decontamination": decontaminate.OP8_SQL,
+    "op9_source_mixing": mixing.OP9_SQL,
+}
