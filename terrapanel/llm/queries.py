@@ -6,11 +6,12 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontaminate, jaccard_join, mixing, secret_scan, token_count, token_store, topk, toxicity, url_filter
+from . import decontaminate, jaccard_join, mixing, secret_scan, suffix_dedup, token_count, token_store, topk, toxicity, url_filter
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_url_filters": url_filter.op1_url_filters,
     "op2_secret_scan": secret_scan.op2_secret_scan,
+    "op3_suffix_array_dedup": suffix_dedup.op3_suffix_array_dedup,
     "op4_toxicity": toxicity.op4_toxicity,
     "op5_exact_top_k": topk.op5_exact_top_k,
     "op6_token_counts": token_count.op6_token_counts,
