@@ -10,7 +10,8 @@ A byte goes if a string of ``LENGTH`` bytes covers it that also starts in a docu
    shard named by the anchor: all places of a string meet there, and a passage counts once a text shard however
    often it stands in it.
 4. A content shard sorts the suffixes of its snippets by external induced sorting (see ``induced``).  Suffixes that share
-   ``LENGTH`` bytes are neighbours; the least id among them is what a place must be compared with.
+   ``LENGTH`` bytes are neighbours; the least id among them is what a place must be compared with.  Equal snippets
+   are one before that, and one that is alone with its anchor needs no sorting: its strings are nowhere else.
 5. Text shards get the least ids for their snippets and cut the covered bytes.
 
 No step puts all places of a string in one row set: hashes and snippets are made distinct before they are
@@ -38,6 +39,7 @@ from .tables import table
 
 LENGTH, GRAM = 50, 20
 SHARD_BYTES = 6 << 20
+SLICE = 1 << 17
 PACKED = "shard int, payload binary"
 HASHES = "bucket int, shard int, payload binary"
 RESULT = "doc_id long, n_bytes long, removed_from array<long>, removed_to array<long>, kept binary"
@@ -75,7 +77,7 @@ class Shard:
         self.ids, self.size = [ids[i] for i in order], size[order]
         held = (at[1:] - at[:-1])[order]
         self.offsets = np.concatenate([[0], np.cumsum(held)])
-        self.data = data[spread(at[:-1][order], held)]
+        self.data = np.frombuffer(b"".join([raw[at[i] : at[i + 1]] for i in order]), np.uint8)
         self.copied = parts.column("copied").to_numpy(zero_copy_only=False)[order]
         self.searched = np.array([i is not None for i in self.ids], bool) & ~self.copied & (held >= LENGTH)
         self.number = np.array([i if i is not None else 0 for i in self.ids], np.int64)
@@ -85,7 +87,7 @@ class Shard:
         """Runs of string starts with one anchor: first and last start, anchor hash, snippet hash."""
         first, last, anchor, name = [], [], [], []
         width = LENGTH - GRAM + 1
-        for i, j in slices(self.offsets):
+        for i, j in slices(self.offsets, SLICE):
             base = int(self.offsets[i])
             data, n = self.data[base : self.offsets[j]], int(self.offsets[j]) - base
             if n < LENGTH:
@@ -122,7 +124,7 @@ class Shard:
 
     def distinct(self) -> tuple[np.ndarray, np.ndarray]:
         """For each run the first run with the same snippet (by both hashes), and which runs are first."""
-        order = np.lexsort((np.arange(len(self.name)), self.anchor, self.name))
+        order = np.argsort(self.name, kind="stable")
         new = np.ones(len(order), bool)
         new[1:] = (self.name[order][1:] != self.name[order][:-1]) | (self.anchor[order][1:] != self.anchor[order][:-1])
         head = np.empty(len(order), np.int64)
@@ -160,8 +162,11 @@ def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def send_hashes(buckets: int):
     def run(frames: pa.Table) -> pa.Table:
         shard, number = Shard(frames), frames.column("shard")[0].as_py()
-        anchors = np.unique(shard.anchor)
-        return rows_of([{"bucket": b, "shard": number, "payload": packed(h=np.unique(short(anchors[own])))} for b, own in groups(bucket_of(anchors, buckets))], HASHES)
+        keys = np.sort((bucket_of(shard.anchor, buckets).astype(np.uint64) << np.uint64(32)) | short(shard.anchor))
+        keys = keys[np.concatenate([[True], keys[1:] != keys[:-1]])] if len(keys) else keys
+        bucket, h = keys >> np.uint64(32), keys.astype(np.uint32)
+        first = np.flatnonzero(np.concatenate([[True], bucket[1:] != bucket[:-1]])) if len(keys) else []
+        return rows_of([{"bucket": int(bucket[a]), "shard": number, "payload": packed(h=h[a:b])} for a, b in zip(first, [*first[1:], len(keys)], strict=True)], HASHES)
 
     return run
 
@@ -235,25 +240,29 @@ def compare(rows: pa.Table) -> pa.Table:
     first = order[begin]
     size = at[first + 1] - at[first]
     del tables
-    # every snippet, a separator after it, and the end
-    start = np.concatenate([[0], np.cumsum(size + 1)])
+    # snippets that meet no other under their anchor hold the least id throughout
+    by_anchor = np.argsort(anchor[first], kind="stable")
+    sorted_anchor = anchor[first][by_anchor]
+    same = np.zeros(len(first), bool)
+    same[1:] = sorted_anchor[1:] == sorted_anchor[:-1]
+    same[:-1] |= same[1:]
+    many = np.sort(by_anchor[same])
+    # the others' texts, a separator after each, and the end
+    start = np.concatenate([[0], np.cumsum(size[many] + 1)])
     text = np.ones(start[-1] + 1, np.int16)
-    text[spread(start[:-1], size)] = data[spread(at[first], size)].astype(np.int16) + 2
+    text[spread(start[:-1], size[many])] = data[spread(at[first[many]], size[many])].astype(np.int16) + 2
     text[-1] = 0
     valid = np.zeros(len(text), bool)
-    valid[spread(start[:-1], size - LENGTH + 1)] = True
+    valid[spread(start[:-1], size[many] - LENGTH + 1)] = True
     found = np.zeros(len(text), np.int64)  # the least id of each start
-    rest_place, rest_least = np.zeros(0, np.int64), None
-
-    def close(places: np.ndarray, low: int) -> None:
-        found[places] = low
+    rest_place, rest_least, low_of = np.zeros(0, np.int64), None, lowest[many]
 
     for block in sorted_suffixes(text, LENGTH):
         own = valid[block["place"]]
         place, together = block["place"][own], block["shared"][own] >= LENGTH
         if not len(place):
             continue
-        low = lowest[np.searchsorted(start, place, "right") - 1]
+        low = low_of[np.searchsorted(start, place, "right") - 1]
         lead = np.flatnonzero(~together)
         if together[0] and rest_least is not None:  # the group goes on from the block before
             stop = int(lead[0]) if len(lead) else len(place)
@@ -261,13 +270,12 @@ def compare(rows: pa.Table) -> pa.Table:
             place, low, lead = place[stop:], low[stop:], lead - stop
         if len(place):
             if rest_least is not None:
-                close(rest_place, rest_least)
+                found[rest_place] = rest_least
             group = np.minimum.reduceat(low, lead)
-            n = np.diff(np.append(lead, len(place)))
-            found[place] = np.repeat(group, n)
+            found[place] = np.repeat(group, np.diff(np.append(lead, len(place))))
             rest_place, rest_least = place[lead[-1] :], int(group[-1])
     if rest_least is not None:
-        close(rest_place, rest_least)
+        found[rest_place] = rest_least
     # stretches of equal least ids within a snippet
     where = np.flatnonzero(valid)
     of = np.searchsorted(start, where, "right") - 1
@@ -275,8 +283,16 @@ def compare(rows: pa.Table) -> pa.Table:
     cut[1:] = (of[1:] != of[:-1]) | (found[where][1:] != found[where][:-1])
     stretch = np.flatnonzero(cut)
     end = np.append(stretch[1:], len(where))
-    s_of, s_from, s_least = of[stretch], where[stretch] - start[of[stretch]], found[where[stretch]]
-    s_to = s_from + (end - stretch)
+    s_from = where[stretch] - start[of[stretch]]
+    alone = np.ones(len(first), bool)
+    alone[many] = False
+    alone = np.flatnonzero(alone)
+    s_of = np.concatenate([many[of[stretch]], alone])
+    by_snippet = np.argsort(s_of, kind="stable")
+    s_of = s_of[by_snippet]
+    s_least = np.concatenate([found[where[stretch]], lowest[alone]])[by_snippet]
+    s_to = np.concatenate([s_from + (end - stretch), size[alone] - LENGTH + 1])[by_snippet]
+    s_from = np.concatenate([s_from, np.zeros(len(alone), np.int64)])[by_snippet]
     per = np.searchsorted(s_of, np.arange(len(first) + 1))
     out, row, run, bucket = [], 0, whole.column("run").to_numpy(), rows.column("bucket")[0].as_py()
     for shard, n in zip(rows.column("shard").to_pylist(), counts, strict=True):
