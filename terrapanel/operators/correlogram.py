@@ -11,7 +11,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 #: Bin edges in km and the level that counts as zero.
-BINS_KM = (0, 10, 20, 30, 50, 75, 100, 150, 200)
+BINS_KM = (0, 25, 50, 75, 100, 125, 150, 200)
 NEAR_ZERO = 0.05
 
 

@@ -109,11 +109,15 @@ def predicted(df: DataFrame, beta: DataFrame, targets: list[str], controls: list
 
 
 def oof_residuals(df: DataFrame, exposure: str, outcome: str, controls: list[str], split: Split | None = None, strata: list[str] | None = None, more: dict[str, str] | None = None, ridge: float = 0.0) -> DataFrame:
-    """Test rows with hats and residuals ``d`` (exposure), ``r`` (outcome) and those named in ``more`` (residual: column)."""
+    """Test rows with hats and residuals ``d`` (exposure), ``r`` (outcome) and those named in ``more`` (residual: column).
+
+    Incomplete rows are left out.  A design of more than WIDE columns must be complete already: a filter on that many
+    derived columns makes the optimizer try all combinations of their names.
+    """
     split, strata = split or Split(), strata or []
     residual = {"d": exposure, "r": outcome} | (more or {})
     targets = list(residual.values())
-    used = df.dropna(subset=list({*targets, *controls}))
+    used = df.dropna(subset=list({*targets, *controls})) if len(controls) + len(targets) < WIDE else df
     beta = coefficients(used, targets, controls, split, strata, ridge)
     return predicted(used, beta, targets, controls, split, strata).withColumns({k: F.col(c) - F.col(f"{c}_hat") for k, c in residual.items()})
 
