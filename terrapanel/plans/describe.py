@@ -18,7 +18,7 @@ GRID = Grid(STEP, STEP, 0.0, 0.0)
 
 def panel_build(spark: SparkSession, sf_dir: str) -> DataFrame:
     p = features.time_features(supplier_panel(spark, sf_dir))
-    return rounded(p.select("pixel", "x", "y", "year", "month", "sif", "o3", "t2m", "ssrd", "tp", "lccs", "n_rows", "time_index", pixel_id(GRID).alias("pixel_code"), "month_02"), 5)
+    return rounded(p.select("pixel", "x", "y", "year", "month", "sif", "o3", "t2m", "ssrd", "tp", "lccs", "n_rows", "time_index", pixel_id(GRID).alias("pixel_code"), "month_02"), 9)
 
 
 def panel_key_check(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -286,7 +286,7 @@ def _fdr_sql(group: str, factor: str) -> str:
 
 _K = [w for _, w in kernel.weights(_BW, STEP)]
 _R = len(_K) // 2
-_KW = "[" + ", ".join(map(repr, _K)) + "]"
+_KW = "[" + ", ".join(map(repr, _K)) + "]::DOUBLE[]"
 _NEAR = f"t.ix BETWEEN s.ix - {_R} AND s.ix + {_R} AND t.iy BETWEEN s.iy - {_R} AND s.iy + {_R}"
 _WT = f"(k[CAST(t.ix - s.ix + {_R + 1} AS INT)] * k[CAST(t.iy - s.iy + {_R + 1} AS INT)])"
 _TGRID = "tg AS (SELECT i AS ix, j AS iy FROM range(25) a(i), range(51) b(j))"
@@ -309,7 +309,7 @@ _SIDE = lambda x, y: f"((x2 - x1) * ({y} - y1) - (y2 - y1) * ({x} - x1))"  # noq
 _CORNERS = [_SIDE(f"(x {sx} 2500)", f"(y {sy} 2500)") for sx in "-+" for sy in "-+"]
 
 ORACLE_SQL = {
-    "panel_build": f"WITH {supplier_sql()} SELECT pixel, round(x, 5) AS x, round(y, 5) AS y, year, month, round(sif, 5) AS sif, round(o3, 5) AS o3, round(t2m, 5) AS t2m, round(ssrd, 5) AS ssrd, round(tp, 5) AS tp, lccs, n_rows, year * 12 + month AS time_index, CAST(x / 5000 * 10000000 + y / 5000 AS BIGINT) AS pixel_code, CASE WHEN month = 2 THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END AS month_02 FROM p",
+    "panel_build": f"WITH {supplier_sql()} SELECT pixel, round(x, 9) AS x, round(y, 9) AS y, year, month, round(sif, 9) AS sif, round(o3, 9) AS o3, round(t2m, 9) AS t2m, round(ssrd, 9) AS ssrd, round(tp, 9) AS tp, lccs, n_rows, year * 12 + month AS time_index, CAST(x / 5000 * 10000000 + y / 5000 AS BIGINT) AS pixel_code, CASE WHEN month = 2 THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END AS month_02 FROM p",
     "panel_key_check": f"WITH {supplier_sql()} SELECT count(*) AS n_duplicates FROM (SELECT x, y, year, month FROM p GROUP BY ALL HAVING count(*) > 1)",
     "null_normalise_complete_case": f"WITH {supplier_sql()} SELECT year, count(*) AS n, round(avg(tp), 6) AS tp_mean FROM p WHERE tp IS NOT NULL AND pixel % 7 <> 0 AND pixel % 11 <> 0 GROUP BY year",
     "month_parse": f"WITH {supplier_sql()} SELECT CASE WHEN pixel % 3 = 2 THEN NULL ELSE month END AS parsed, count(*) AS n FROM p GROUP BY 1",
