@@ -18,10 +18,10 @@ NEAR_ZERO = 0.05
 def pairs(points: DataFrame, reach: float, keys: list[str]) -> DataFrame:
     """keys, a, b, distance of every unordered pair of points (id, x, y) at most ``reach`` apart."""
     tiled = points.withColumn("tx", F.floor(F.col("x") / reach)).withColumn("ty", F.floor(F.col("y") / reach))
-    around = F.explode(F.array(*(F.struct(F.lit(i).alias("i"), F.lit(j).alias("j")) for i in (-1, 0, 1) for j in (-1, 0, 1)))).alias("k")
+    around = F.explode(F.array(*(F.struct(F.lit(i).alias("i"), F.lit(j).alias("j")) for i in (-1, 0, 1) for j in (-1, 0, 1)))).alias("_around")
     left = tiled.select(*keys, F.col("id").alias("a"), F.col("x").alias("ax"), F.col("y").alias("ay"), "tx", "ty")
     right = tiled.select(*keys, F.col("id").alias("b"), F.col("x").alias("bx"), F.col("y").alias("by"), "tx", "ty", around)
-    right = right.withColumn("tx", F.col("tx") + F.col("k.i")).withColumn("ty", F.col("ty") + F.col("k.j")).drop("k")
+    right = right.withColumn("tx", F.col("tx") + F.col("_around.i")).withColumn("ty", F.col("ty") + F.col("_around.j")).drop("_around")
     distance = F.sqrt((F.col("ax") - F.col("bx")) ** 2 + (F.col("ay") - F.col("by")) ** 2)
     return left.join(right, [*keys, "tx", "ty"]).where("a < b").withColumn("distance", distance).where(F.col("distance") <= reach)
 
