@@ -130,7 +130,8 @@ def find_secrets(docs: DataFrame, weights: list[int], doc_id: str = "doc_id", te
     """doc_id and spans (start, kind, end), sorted, of every row; kind counts in KINDS."""
     d = docs.select(F.col(f"`{doc_id}`").cast("long").alias("doc_id"), F.coalesce(F.col(f"`{text}`").cast("string"), F.lit("")).alias("text"))
     t = F.col("text")
-    kinds = [as_spans(F.filter(matches(t, p, g), lambda m, n=n: F.length(m["value"]) >= n), k) for k, (p, g, n) in BASE.items()]
+    long = lambda n: lambda m: F.length(m["value"]) >= n
+    kinds = [as_spans(F.filter(matches(t, p, g), long(n)), k) for k, (p, g, n) in BASE.items()]
     markov = as_spans(F.filter(matches(t, CANDIDATE), lambda m: ratio(m["value"], weights) >= MARGIN), "markov")
     return d.select("doc_id", F.array_sort(F.concat(*kinds, markov)).cast(SPANS).alias("spans"))
 
