@@ -165,8 +165,8 @@ def send_hashes(buckets: int):
         keys = np.sort((bucket_of(shard.anchor, buckets).astype(np.uint64) << np.uint64(32)) | short(shard.anchor))
         keys = keys[np.concatenate([[True], keys[1:] != keys[:-1]])] if len(keys) else keys
         bucket, h = keys >> np.uint64(32), keys.astype(np.uint32)
-        first = np.flatnonzero(np.concatenate([[True], bucket[1:] != bucket[:-1]])) if len(keys) else []
-        return rows_of([{"bucket": int(bucket[a]), "shard": number, "payload": packed(h=h[a:b])} for a, b in zip(first, [*first[1:], len(keys)], strict=True)], HASHES)
+        first = np.flatnonzero(np.concatenate([[True], bucket[1:] != bucket[:-1]])) if len(keys) else np.zeros(0, np.int64)
+        return rows_of([{"bucket": int(bucket[a]), "shard": number, "payload": packed(h=h[a:b])} for a, b in zip(first, np.append(first[1:], len(keys)), strict=False)], HASHES)
 
     return run
 
