@@ -8,7 +8,6 @@ documents of about ``SLICE_BYTES``; a longer document forms a slice of its own (
 from __future__ import annotations
 
 from collections.abc import Iterator
-from functools import cache
 
 import numpy as np
 import pyarrow as pa
@@ -38,19 +37,23 @@ def mix64(x: np.ndarray) -> np.ndarray:
     return x
 
 
-@cache
 def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     up, down = np.full(n, _BASE, np.uint64), np.full(n, _BASE_INV, np.uint64)
     up[0] = down[0] = 1
     return np.cumprod(up), np.cumprod(down)
 
 
+MAX_HELD = 1 << 21
+_held: list[tuple[np.ndarray, np.ndarray]] = []
+
+
 def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
-    size = 1 << max(20, int(n).bit_length())
-    if size > 1 << 23:
-        return _powers.__wrapped__(size)
-    up, down = _powers(size)
-    return up, down
+    """At least n powers of the base and of its inverse; a worker holds one table of at most MAX_HELD."""
+    if n > MAX_HELD:
+        return _powers(n)
+    if not _held or len(_held[0][0]) < n:
+        _held[:] = [_powers(min(MAX_HELD, 1 << max(18, int(n).bit_length())))]
+    return _held[0]
 
 
 def utf8(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:

@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .bytetext import Words, slices, utf8
-from .tables import table
+from .tables import bounded_batches, table, text_rows
 
 WINDOW = 13
 MAX_WINDOWS = 2_000_000
@@ -112,7 +112,7 @@ def scan(docs: DataFrame, windows, doc_id: str, text: str) -> DataFrame:
                 ["doc_id", "n_words", "hit_from", "hit_to", "items"],
             )
 
-    return docs.select(F.col(f"`{doc_id}`").cast("long").alias("doc_id"), F.col(f"`{text}`").cast("string").alias("text")).mapInArrow(run, SPANS)
+    return text_rows(docs, doc_id, text).mapInArrow(run, SPANS)
 
 
 def hit_spans(docs: DataFrame, benchmark: DataFrame, n: int = WINDOW, max_windows: int = MAX_WINDOWS, doc_id: str = "doc_id", text: str = "text", item_id: str = "item_id", item_text: str = "text") -> DataFrame:
@@ -210,6 +210,7 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, mode: str = "documents"
                 batch = batch.set_column(where, batch.schema.field(where), pa.array(column, batch.schema.field(where).type))
             yield batch.filter(pa.array(keep))
 
+    bounded_batches(spark)
     return docs.mapInArrow(run, docs.schema)
 
 

@@ -31,7 +31,7 @@ from pyspark.sql import functions as F
 
 from .bytetext import Words, mix64, slices, utf8
 from .components import components
-from .tables import saved, table
+from .tables import saved, table, text_rows
 
 N, THRESHOLD = 5, 0.8
 BANDS, ROWS = 24, 6
@@ -98,7 +98,7 @@ def sketches(docs: DataFrame, n: int, doc_id: str, text: str) -> DataFrame:
                 [batch.column(0), pa.array(k1, pa.int64()), pa.array(k2, pa.int64()), pa.array(size, pa.int64()), pa.array(bands, pa.list_(pa.int64()))], ["doc_id", "k1", "k2", "n", "bands"]
             )
 
-    return docs.select(F.col(f"`{doc_id}`").cast("long").alias("doc_id"), F.col(f"`{text}`").cast("string").alias("text")).mapInArrow(run, SKETCH)
+    return text_rows(docs, doc_id, text).mapInArrow(run, SKETCH)
 
 
 def linked(x: list[np.ndarray], y: list[np.ndarray] | None, threshold: float, block: int = 512) -> Iterator[tuple[np.ndarray, np.ndarray]]:

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import uuid
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
@@ -38,6 +38,14 @@ def saved(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def doc_columns(df: DataFrame, *names: str) -> list[Column]:
-    """The named columns only, so that extra columns of any name cannot clash with working columns."""
-    return [F.col(f"`{n}`") for n in names]
+def bounded_batches(spark: SparkSession, rows: int = 1000) -> None:
+    """Rows with texts go to Python in Arrow batches of at most ``rows``, so a batch's memory stays small."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(spark.conf.get(name)) <= rows:
+        spark.conf.set(name, str(rows))
+
+
+def text_rows(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+    """doc_id and text only, so that extra columns of any name cannot clash with working columns; in bounded batches."""
+    bounded_batches(docs.sparkSession)
+    return docs.select(F.col(f"`{doc_id}`").cast("long").alias("doc_id"), F.col(f"`{text}`").cast("string").alias("text"))

@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .tables import table
+from .tables import table, text_rows
 
 MARK = "▁"
 UNKNOWN = -25.0
@@ -120,7 +120,7 @@ def count_tokens(docs: DataFrame, path: str | None = None, doc_id: str = "doc_id
                 rows.append((len(words), n, u))
             yield pa.RecordBatch.from_arrays([batch.column(0).cast(pa.int64()), *(pa.array([r[k] for r in rows], pa.int64()) for k in range(3))], ["doc_id", "n_words", "n_tokens", "n_unknown"])
 
-    return docs.select(F.col(f"`{doc_id}`").cast("long").alias("doc_id"), F.col(f"`{text}`").cast("string").alias("text")).mapInArrow(run, SCHEMA)
+    return text_rows(docs, doc_id, text).mapInArrow(run, SCHEMA)
 
 
 #: The tries of this worker, by vocabulary.

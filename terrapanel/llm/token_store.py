@@ -39,11 +39,11 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from .bytetext import _BASE, mix64, powers, slices, spread, utf8
-from .tables import scratch, table
+from .tables import scratch, table, text_rows
 
 END_ID = 2
 ROLL, LEAST, MEAN, MOST = 8, 64, 1024, 8192
-ENCODE_SLICE = 1 << 21
+ENCODE_SLICE = 1 << 20
 ROW = "key string, kind string, n long, payload binary, doc_id long, n_chunks int, names binary"
 
 
@@ -299,7 +299,7 @@ def encoded(docs: DataFrame, path: str, doc_id: str = "doc_id", text: str = "tex
                     rows.append((hashlib.sha256(joined).hexdigest(), "recipe", int(at[d + 1] - at[d]), None, own[i + d], len(names), joined))
                 yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], t) for k, t in enumerate(TYPES)], NAMES)
 
-    return docs.select(F.col(f"`{doc_id}`").cast("long").alias("doc_id"), F.col(f"`{text}`").cast("string").alias("text")).mapInArrow(run, ROW)
+    return text_rows(docs, doc_id, text).mapInArrow(run, ROW)
 
 
 NAMES = ["key", "kind", "n", "payload", "doc_id", "n_chunks", "names"]

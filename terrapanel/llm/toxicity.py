@@ -24,7 +24,6 @@ are neither read nor returned (``reject`` keeps them).
 from __future__ import annotations
 
 from collections.abc import Iterator
-from functools import lru_cache
 
 import numpy as np
 import pandas as pd
@@ -33,12 +32,13 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .bytetext import Words, mix64, powers, slices, utf8
-from .tables import saved, table
+from .tables import bounded_batches, saved, table, text_rows
 
 PREFIXES = (4, 5, 6, 7, 8)
 LEVELS = (1, 2, 3, 5)
 MAX_EXAMPLES, MAX_TERMS, MIN_DF, MIN_ODDS = 20_000, 4096, 5, 2.0
 BLOCK, NEIGHBOURS, PRIOR, CUT = 64, 15, 0.5, 0.7
+HELD_QUERIES = 4096  # answers a worker keeps for equal texts
 SCORED = "doc_id long, score double, neighbours array<long>, cosine double"
 
 
@@ -134,17 +134,23 @@ class Neighbours:
         self.most = np.zeros((len(vocabulary), max(1, self.n_blocks)))
         np.maximum.at(self.most.reshape(-1), cell, self.weight)
         self.curve: tuple[np.ndarray, np.ndarray] | None = None
-        self.nearest = lru_cache(200_000)(self._nearest)
+        self.answers: dict[tuple, tuple[np.ndarray, np.ndarray]] = {}
         votes = np.array([self.vote(*vectors[i], own=r)[0] for r, i in enumerate(kept)])
         if len(kept):
             self.curve = monotone(votes, self.labels)
 
-    def __getstate__(self):
-        return {k: v for k, v in self.__dict__.items() if k != "nearest"}
+    def nearest(self, terms: tuple, counts: tuple, own: int) -> tuple[np.ndarray, np.ndarray]:
+        """As _nearest; a worker keeps the answers for equal texts, HELD_QUERIES at most."""
+        key = (terms, counts, own)
+        found = self.answers.get(key)
+        if found is None:
+            if len(self.answers) >= HELD_QUERIES:
+                self.answers.clear()
+            found = self.answers[key] = self._nearest(*key)
+        return found
 
-    def __setstate__(self, state):
-        self.__dict__.update(state)
-        self.nearest = lru_cache(200_000)(self._nearest)
+    def __getstate__(self):
+        return self.__dict__ | {"answers": {}}
 
     def weigh(self, terms: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         w = (1 + np.log(counts)) * self.idf[terms]
@@ -203,7 +209,7 @@ def examples(docs: DataFrame, labels: DataFrame, usable, limit: int, doc_id: str
     named = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("toxic").cast("double").alias("toxic")).where("doc_id is not null and toxic is not null")
     named = named.where(usable(F.col("doc_id"))).groupBy("doc_id").agg(F.avg("toxic").alias("toxic"))
     chosen = F.broadcast(named.orderBy(F.xxhash64("doc_id"), "doc_id").limit(limit))  # at most ``limit`` pairs of numbers
-    own = docs.select(F.col(f"`{doc_id}`").cast("long").alias("doc_id"), F.col(f"`{text}`").cast("string").alias("text")).where("text is not null")
+    own = text_rows(docs, doc_id, text).where("text is not null")
     met = own.join(chosen, "doc_id")
     once = met.groupBy(F.sha2("text", 256).alias("name")).agg(F.min("doc_id").alias("doc_id"), F.avg("toxic").alias("toxic"), F.first("text").alias("text"))
     return saved(once.select("doc_id", "text", (F.col("toxic") >= 0.5).cast("int").alias("toxic")), "examples")
@@ -269,7 +275,7 @@ def score(docs: DataFrame, model: Neighbours, doc_id: str = "doc_id", text: str
             rows = list(_scores(held.value, batch.column(1)))
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([r[0] for r in rows], pa.float64()), pa.array([r[1].tolist() for r in rows], pa.list_(pa.int64())), pa.array([r[2] for r in rows], pa.float64())], ["doc_id", "score", "neighbours", "cosine"])
 
-    return docs.select(F.col(f"`{doc_id}`").cast("long").alias("doc_id"), F.col(f"`{text}`").cast("string").alias("text")).mapInArrow(run, SCORED)
+    return text_rows(docs, doc_id, text).mapInArrow(run, SCORED)
 
 
 def reject(docs: DataFrame, model: Neighbours, cut: float = CUT, text: str = "text") -> DataFrame:
@@ -280,6 +286,7 @@ def reject(docs: DataFrame, model: Neighbours, cut: float = CUT, text: str = "te
         for batch in batches:
             yield batch.filter(pa.array([r[0] < cut for r in _scores(held.value, batch.column(where))], pa.bool_()))
 
+    bounded_batches(docs.sparkSession)
     return docs.mapInArrow(run, docs.schema)
 
 
