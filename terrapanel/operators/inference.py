@@ -7,8 +7,6 @@ that is not positive the larger one-way variance stands in (``fallback``).
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators import bootstrap, climate, crossfit, diagnostics, features, inference, tuning
-from ..operators.components import components, merged, score_cells
+from ..operators.components import components, score_cells
 from ..operators.folds import Split
 from . import panels
 from .panels import components_sql, oof_sql, rounded, supplier_rows, supplier_sql, two_way_sql
