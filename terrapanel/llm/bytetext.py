@@ -57,7 +57,11 @@ def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
 
 
 def utf8(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-    """(bytes, offsets) of a string or binary column; null counts as empty."""
+    """(bytes, offsets) of a string or binary column; null counts as empty.
+
+    Called once a batch: what Arrow still holds of earlier batches is given back first.
+    """
+    pa.default_memory_pool().release_unused()
     if isinstance(column, pa.ChunkedArray):
         column = column.combine_chunks()
     a = column.cast(pa.large_binary())

@@ -109,7 +109,7 @@ def pretoken_starts(cp: np.ndarray, offsets: np.ndarray) -> np.ndarray:
 class Encoder:
     """Ids of many texts with the tokenizers library, each distinct pre-token once."""
 
-    MAX_KNOWN = 1_500_000
+    MAX_KNOWN = 600_000
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
