@@ -13,7 +13,6 @@ clean documents; columns other than the named ones are neither read nor returned
 
 from __future__ import annotations
 
-import hashlib
 from collections.abc import Iterator
 
 import numpy as np

@@ -25,8 +25,6 @@ together; null ids share one hash; an empty table gives an empty result; ``apply
 
 from __future__ import annotations
 
-import math
-
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F

@@ -33,7 +33,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .bytetext import _BASE, BYTE_KEYS, edges, mix64, powers, slices, spread, utf8
+from .bytetext import BYTE_KEYS, edges, mix64, powers, slices, spread, utf8
 from .induced import sorted_suffixes
 from .tables import table
 

@@ -24,7 +24,6 @@ from functools import cache
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 from .tables import table, text_rows
 

@@ -44,6 +44,7 @@ from .tables import scratch, table, text_rows
 END_ID = 2
 ROLL, LEAST, MEAN, MOST = 8, 64, 1024, 8192
 ENCODE_SLICE = 1 << 20
+SEGMENT_DOCS = 100_000
 ROW = "key string, kind string, n long, payload binary, doc_id long, n_chunks int, names binary"
 
 
@@ -325,7 +326,8 @@ def write_store(docs: DataFrame, store: str, path: str | None = None, doc_id: st
     dealt.sortWithinPartitions("kind", "key").mapInArrow(_once, ROW).write.option("compression", "none").partitionBy("kind").parquet(f"{store}/data")
     made = spark.read.schema(ROW).parquet(f"{store}/data").where("kind = 'recipe'").select("doc_id", "n", "n_chunks", "names", F.col("key").alias("root"))
     order = [F.col("doc_id").asc_nulls_last(), F.col("root")]
-    made.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("segment", F.spark_partition_id()).write.option("compression", "zstd").parquet(f"{store}/segments")
+    parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-made.count() // SEGMENT_DOCS))  # a segment's roots meet in one group
+    made.repartitionByRange(parts, *order).sortWithinPartitions(*order).withColumn("segment", F.spark_partition_id()).write.option("compression", "zstd").parquet(f"{store}/segments")
     segments = spark.read.parquet(f"{store}/segments")
     listed = F.array_sort(F.collect_list(F.struct(F.coalesce("doc_id", F.lit((1 << 63) - 1)).alias("id"), "root")))
     manifest = segments.groupBy("segment").agg(F.count("*").alias("documents"), F.sum("n").alias("ids"), F.sha2(F.array_join(F.transform(listed, lambda x: x["root"]), ""), 256).alias("root"))
