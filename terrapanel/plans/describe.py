@@ -289,7 +289,7 @@ _R = len(_K) // 2
 _KW = "[" + ", ".join(map(repr, _K)) + "]::DOUBLE[]"
 _NEAR = f"t.ix BETWEEN s.ix - {_R} AND s.ix + {_R} AND t.iy BETWEEN s.iy - {_R} AND s.iy + {_R}"
 _WT = f"(k[CAST(t.ix - s.ix + {_R + 1} AS INT)] * k[CAST(t.iy - s.iy + {_R + 1} AS INT)])"
-_TGRID = "tg AS (SELECT i AS ix, j AS iy FROM range(25) a(i), range(51) b(j))"
+_TGRID = "tg AS (SELECT CAST(i AS INT) AS ix, CAST(j AS INT) AS iy FROM range(25) a(i), range(51) b(j))"
 _KMAP = f"""{grid_sql()}, {oof_sql('o', 'f', ['year'])}, {components_sql('c', 'o', ['ix', 'iy', 'year', 'month'])}, kw AS (SELECT {_KW} AS k),
 bc AS (SELECT month, ix, iy, sum(num) AS num, sum(den) AS den, sum(n) AS rows, count(DISTINCT year) AS years FROM c GROUP BY ALL),
 lo AS (SELECT t.month, t.ix, t.iy, sum({_WT} * s.num) AS num, sum({_WT} * s.den) AS den, sum({_WT}) AS w, sum({_WT} * {_WT}) AS w2, sum({_WT} * s.years) AS wy, sum({_WT} * s.rows) AS wr FROM bc t JOIN bc s ON t.month = s.month AND {_NEAR}, kw GROUP BY t.month, t.ix, t.iy),
