@@ -125,7 +125,9 @@ def copies(docs: DataFrame, plan: DataFrame, doc_id: str = "doc_id", source: str
 def apply_mix(docs: DataFrame, target: str = "repeats", limit: float = LIMIT, budget: int | None = None, seed: int = SEED) -> DataFrame:
     """The documents repeated by the mix; the given columns only."""
     plan = mix_plan(saved(light(docs), "mix-light"), target, limit, budget, seed)
-    return copies(docs, saved(plan, "mix-plan"), seed=seed).select(*(F.col(f"`{c}`") for c in docs.columns))
+    # rows travel as one struct, so that their columns cannot clash with the mix's
+    held = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row"), F.col("doc_id"), F.col("source"))
+    return copies(held, saved(plan, "mix-plan"), seed=seed).select("row.*")
 
 
 def op9_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -150,6 +150,8 @@ def test_mixing_cases(spark, edge):
     kept = mixing.apply_mix(edge)
     assert kept.columns == edge.columns and kept.count() == out.count()
     assert mixing.apply_mix(edge.limit(0)).count() == 0
+    clash = edge.withColumns({c: F.lit(1) for c in ("epochs", "cut", "mix_rate", "weight", "draw", "row")})
+    assert mixing.apply_mix(clash).columns == clash.columns and mixing.apply_mix(clash).count() == out.count()
 
 
 def test_mixing_meets_targets(spark):
