@@ -91,7 +91,10 @@ def samples(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> Data
     rule = F.repeat(F.element_at(F.split(F.lit("+/_=-xa"), ""), (F.col("id") % 7 + 1).cast("int")), 40)
     numbers = spark.range(NUMBER_SAMPLES).select(F.explode(F.array(date, rule)).alias("token"), F.lit(0).alias("label"))
     own = docs.select(F.col(f"`{doc_id}`").cast("string").alias("id"), F.col(f"`{text}`").cast("string").alias("text")).where("id is not null and text is not null")
-    own = own.orderBy(F.md5("id"), "text").limit(SAMPLE_DOCS).select(F.regexp_extract_all("text", F.lit("[A-Za-z]+"), F.lit(0)).alias("w"))
+    # hashes choose first, so no task gathers texts; then at most SAMPLE_DOCS pairs of hashes are broadcast
+    named = own.select(F.md5("id").alias("i"), F.md5("text").alias("t"))
+    chosen = F.broadcast(named.orderBy("i", "t").limit(SAMPLE_DOCS).distinct())
+    own = own.join(chosen, (F.md5("id") == F.col("i")) & (F.md5("text") == F.col("t")), "left_semi").select(F.regexp_extract_all("text", F.lit("[A-Za-z]+"), F.lit(0)).alias("w"))
 
     def joined(w: Column, i: Column) -> Column:
         after = F.coalesce(F.get("w", i + 1), F.lit("x"))
