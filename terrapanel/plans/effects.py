@@ -133,7 +133,7 @@ _FULL = f"{supplier_sql()}, {oof_sql('o', 'f', [], kind='both')}"
 
 def within_pixel_year_panel(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = features.within_pixel_year(supplier_rows(spark, sf_dir), ["sif", "o3", "t2m"])
-    return rounded(out.select("pixel", "year", "month", "group_size", "sif_w", "o3_w", "t2m_w"))
+    return rounded(out.select("pixel", "year", "month", "group_size", "sif_w", "o3_w", "t2m_w"), 8)
 
 
 def effect_strict_fe(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -358,7 +358,7 @@ ORACLE_SQL = {
     "oof_residuals_year": f"WITH {_YEARLY} SELECT pixel, year, month, fold, round(d, 6) AS d, round(r, 6) AS r FROM o",
     "oof_metrics_by_year": f"WITH {_YEARLY}, s AS (SELECT year, 'exposure' AS stage, o3 AS y, o3_hat AS p FROM o UNION ALL SELECT year, 'outcome', sif, sif_hat FROM o) SELECT year, stage, count(*) AS n, round(1 - sum((y - p) ** 2) / (var_pop(y) * count(*)), 6) AS r2, round(sqrt(avg((y - p) ** 2)), 6) AS rmse, round(avg(abs(y - p)), 6) AS mae, round(avg(y - p), 6) AS bias, round(avg(y), 6) AS target_mean, round(avg(p), 6) AS prediction_mean FROM s GROUP BY year, stage",
     "components_block_year": f"WITH {_YEARLY}, {components_sql('c', 'o', ['block', 'year'])} SELECT block, year, round(num, 4) AS num, round(den, 4) AS den, n FROM c",
-    "within_pixel_year_panel": f"WITH {supplier_sql()}, {_WITHIN_Y} SELECT pixel, year, month, group_size, round(sif_w, 6) AS sif_w, round(o3_w, 6) AS o3_w, round(t2m_w, 6) AS t2m_w FROM w",
+    "within_pixel_year_panel": f"WITH {supplier_sql()}, {_WITHIN_Y} SELECT pixel, year, month, group_size, round(sif_w, 8) AS sif_w, round(o3_w, 8) AS o3_w, round(t2m_w, 8) AS t2m_w FROM w",
     "within_audit": f"WITH {supplier_sql()}, {_WITHIN_M}, g AS (SELECT pixel, month, abs(avg(sif_w)) AS a, abs(avg(o3_w)) AS b FROM w GROUP BY pixel, month) SELECT 'sif' AS variable, round(max(a), 9) AS max_abs_mean, round(avg(a), 9) AS mean_abs_mean, count(*) AS n_groups FROM g UNION ALL SELECT 'o3', round(max(b), 9), round(avg(b), 9), count(*) FROM g",
     "paired_contrast": f"""WITH {supplier_sql()}, {_WITHIN_M}, {oof_sql('a', 'w', [])}, w2 AS (SELECT * EXCLUDE (d, r, o3_hat, sif_hat), d AS d1, r AS r1 FROM a), {oof_sql('o', 'w2', [], 't2m_w', _W)},
  t AS (SELECT sum(d1 * r1) / sum(d1 * d1) AS t1, sum(d1 * d1) AS v1, sum(d * r) / sum(d * d) AS t2, sum(d * d) AS v2 FROM o),
