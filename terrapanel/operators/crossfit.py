@@ -15,9 +15,12 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..sources.sinks import scratch
 from .folds import Split, condition
 
 WIDE = 10
+#: Boosted trees unless a caller names others (the least the reference searches: 300-1200 trees, depth 3-10).
+GBT = {"maxIter": 300, "maxDepth": 3}
 
 
 def _columns(controls: list[str], targets: list[str]) -> list[str]:
@@ -122,24 +125,54 @@ def oof_residuals(df: DataFrame, exposure: str, outcome: str, controls: list[str
     return predicted(used, beta, targets, controls, split, strata).withColumns({k: F.col(c) - F.col(f"{c}_hat") for k, c in residual.items()})
 
 
-def gbt_residuals(df: DataFrame, exposure: str, outcome: str, controls: list[str], split: Split | None = None, seed: int = 42, **params) -> DataFrame:
-    """As oof_residuals, with gradient-boosted trees; one model a target and test cell."""
+def gbt_residuals(
+    df: DataFrame, exposure: str, outcome: str, controls: list[str], split: Split | None = None, seed: int = 42, strata: list[str] | None = None, more: dict[str, str] | None = None, parallel: int = 8, **params,
+) -> DataFrame:
+    """As oof_residuals, with gradient-boosted trees: one model a stratum, target and test cell, ``parallel`` cells at a time.
+
+    ``params`` replace those of GBT.  Every complete row must lie in a test cell of ``split``; cells without training rows are
+    left out.  Rows are written by stratum to the shared folder, and so are their predictions.
+    """
+    from multiprocessing.pool import ThreadPool
+
+    from pyspark import inheritable_thread_target
     from pyspark.ml.feature import VectorAssembler
     from pyspark.ml.regression import GBTRegressor
 
-    split = split or Split()
-    used = VectorAssembler(inputCols=controls, outputCol="features").transform(df.dropna(subset=[exposure, outcome, *controls]))
-    parts = None
-    cells = [(s, t) for s in range(split.k) for t in range(split.k_time if split.kind == "both" else 1)]
-    for n, (s, t) in enumerate(cells):
-        train = used.where(condition(split, s, t))
-        test = used.where((F.col("fold") == s) & (F.col("tfold") == t) if split.kind == "both" else F.col("fold") == s if split.kind == "spatial" else (F.col("fold") == s) | (F.col("tfold") == s))
-        if train.isEmpty() or test.isEmpty():
-            continue
-        for name in (exposure, outcome):
-            model = GBTRegressor(featuresCol="features", labelCol=name, predictionCol=f"{name}_hat", seed=seed + n, **params).fit(train)
-            test = model.transform(test)
-        parts = test if parts is None else parts.unionByName(test)
-    if parts is None:
+    split, strata, spark = split or Split(), strata or [], df.sparkSession
+    residual = {"d": exposure, "r": outcome} | (more or {})
+    targets, at = list(residual.values()), scratch(spark, "gbt")
+    if spark.sparkContext.getCheckpointDir() is None:  # cuts the lineage of many trees
+        spark.sparkContext.setCheckpointDir(f"{at}/checkpoints")
+    used = df.dropna(subset=list({*targets, *controls, *strata}))
+    sink = used.hint("rebalance", *strata).write.partitionBy(*strata) if strata else used.write
+    sink.parquet(f"{at}/rows")
+    rows = VectorAssembler(inputCols=controls, outputCol="features").transform(spark.read.schema(used.schema).parquet(f"{at}/rows"))
+    sizes: dict[tuple, dict[tuple, int]] = {}
+    for r in rows.groupBy(*strata, *split.cells).count().collect():  # strata x folds
+        fold = tuple(r[c] for c in split.cells)
+        if any(f is None or not 0 <= f < k for f, k in zip(fold, (split.k, split.k_time if split.kind == "both" else split.k), strict=False)):
+            raise ValueError(f"rows in {dict(zip(split.cells, fold, strict=True))} are in no test cell of {split}")
+        sizes.setdefault(tuple(r[c] for c in strata), {})[fold] = r["count"]
+    tests = [(s, t) for s in range(split.k) for t in range(split.k_time if split.kind == "both" else 1)]
+    trains = lambda fold, s, t: fold[0] != s and (split.kind == "spatial" or fold[1] != (t if split.kind == "both" else s))
+    held = lambda fold, s, t: fold == (s, t) if split.kind == "both" else s in fold
+    cells = [(key, n, s, t) for key, folds in sorted(sizes.items()) for n, (s, t) in enumerate(tests) if any(trains(f, s, t) for f in folds) and any(held(f, s, t) for f in folds)]
+    if not cells:
         raise ValueError("no test cell has both training and test rows")
-    return parts.drop("features").withColumn("d", F.col(exposure) - F.col(f"{exposure}_hat")).withColumn("r", F.col(outcome) - F.col(f"{outcome}_hat"))
+
+    def fit(number: int) -> None:
+        key, n, s, t = cells[number]
+        own = rows
+        for c, v in zip(strata, key, strict=True):
+            own = own.where(F.col(c) == F.lit(v))
+        train = own.where(condition(split, s, t))
+        test = own.where((F.col("fold") == s) & (F.col("tfold") == t) if split.kind == "both" else F.col("fold") == s if split.kind == "spatial" else (F.col("fold") == s) | (F.col("tfold") == s))
+        for name in targets:
+            test = GBTRegressor(featuresCol="features", labelCol=name, predictionCol=f"{name}_hat", seed=seed + n, **(GBT | params)).fit(train).transform(test)
+        test.drop("features").write.parquet(f"{at}/hats/_cell{number}")
+
+    with ThreadPool(min(parallel, len(cells))) as pool:
+        pool.map(inheritable_thread_target(spark)(fit), range(len(cells)), 1)
+    out = spark.read.parquet(*(f"{at}/hats/_cell{n}" for n in range(len(cells))))
+    return out.withColumns({k: F.col(c) - F.col(f"{c}_hat") for k, c in residual.items()})

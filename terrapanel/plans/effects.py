@@ -284,8 +284,8 @@ def climate_modifier(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def gbt_residuals(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Boosted trees by Spark ML: metrics of both stages over the full period."""
-    rows = crossfit.gbt_residuals(supplier_rows(spark, sf_dir), "o3", "sif", ["t2m", "ssrd", "x", "y"], Split("spatial", 2), maxIter=2, maxDepth=3)
+    """Boosted trees by Spark ML (crossfit.GBT): metrics of both stages over the full period, a row a fold."""
+    rows = crossfit.gbt_residuals(supplier_rows(spark, sf_dir), "o3", "sif", ["t2m", "ssrd", "x", "y"], Split("spatial", panels.FOLDS))
     return diagnostics.staged_metrics(rows, {"exposure": "o3", "outcome": "sif"}, ["fold"])
 
 

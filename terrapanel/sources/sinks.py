@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import hashlib
 import json
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -57,3 +58,14 @@ def checkpointed(df: DataFrame, path: str, config: dict) -> DataFrame:
     write_table(df, f"{path}/rows")
     write_metadata(df.sparkSession, f"{path}/_settings", config)  # last: marks the rows as whole
     return df.sparkSession.read.parquet(f"{path}/rows")
+
+
+def scratch(spark: SparkSession, name: str) -> str:
+    """A new path below the session's spark.checkpoint.dir, which driver and executors share (a new local folder if unset)."""
+    found = spark.conf.get("spark.checkpoint.dir", "") or spark.sparkContext.getConf().get("spark.checkpoint.dir", "")
+    if not found:
+        import tempfile
+
+        found = "file://" + tempfile.mkdtemp(prefix="spark-")
+        spark.conf.set("spark.checkpoint.dir", found)
+    return f"{found.rstrip('/')}/{name}-{uuid.uuid4().hex}"

@@ -244,3 +244,16 @@ def test_sinks(spark, tmp_path):
         made = checkpointed(df.agg(F.sum("v").alias("v") if want == 3.0 else F.lit(7.0).alias("v")), str(tmp_path / "k"), config)
         assert made.first().v == want
     assert signature({"a": 1, "b": 2}) == signature({"b": 2, "a": 1})
+
+
+def test_boosted_residuals_cover_all_rows(spark, sf01, monkeypatch):
+    from terrapanel.plans import effects, panels
+
+    monkeypatch.setattr(crossfit, "GBT", {"maxIter": 1, "maxDepth": 2}, raising=False)
+    rows = panels.supplier_rows(spark, sf01).cache()
+    want = {r["fold"]: r["count"] for r in rows.dropna(subset=["o3", "sif", "t2m", "ssrd"]).groupBy("fold").count().collect()}
+    got = effects.gbt_residuals(spark, sf01).collect()
+    assert {(r.fold, r.stage): r.n for r in got} == {(f, s): n for f, n in want.items() for s in ("exposure", "outcome")}
+    assert len(want) == panels.FOLDS
+    with pytest.raises(ValueError, match="no test cell"):
+        crossfit.gbt_residuals(rows, "o3", "sif", ["t2m"], Split("spatial", 2), maxIter=1, maxDepth=1)
