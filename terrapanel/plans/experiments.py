@@ -55,14 +55,14 @@ def prepare(panel: DataFrame, design: Design, grid: Grid | None = None) -> DataF
     return assigned(rows, F.broadcast(chunk_folds(rows, "year", design.folds)), "year")
 
 
-def residuals(rows: DataFrame, design: Design, strata: list[str] | None = None, split: Split | None = None, controls: tuple[str, ...] | None = None, suffix: str = "") -> DataFrame:
-    """Out-of-fold residuals of the design's learner; ``suffix`` picks transformed columns."""
+def residuals(rows: DataFrame, design: Design, strata: list[str] | None = None, split: Split | None = None, controls: tuple[str, ...] | None = None, suffix: str = "", more: dict[str, str] | None = None) -> DataFrame:
+    """Out-of-fold residuals of the design's learner, a model a stratum; ``suffix`` picks transformed columns."""
     names = [f"{c}{suffix}" for c in (controls or design.controls)]
     exposure, outcome = f"{design.exposure}{suffix}", f"{design.outcome}{suffix}"
     split = split or Split("spatial", design.folds, design.folds)
     if design.learner == "gbt":
-        return crossfit.gbt_residuals(rows, exposure, outcome, [*names, *(strata or [])], split, design.seed, **dict(design.learner_params))
-    return crossfit.oof_residuals(rows, exposure, outcome, names, split, strata)
+        return crossfit.gbt_residuals(rows, exposure, outcome, names, split, design.seed, strata, more, **dict(design.learner_params))
+    return crossfit.oof_residuals(rows, exposure, outcome, names, split, strata, more)
 
 
 def pooled(rows: DataFrame, small: bool = True) -> DataFrame:
@@ -103,7 +103,7 @@ def interannual(rows: DataFrame, design: Design) -> Tables:
 def placebo(rows: DataFrame, design: Design) -> Tables:
     """Current and next year's exposure together."""
     ahead = features.future_exposure(rows, design.exposure)
-    out = crossfit.oof_residuals(ahead, design.exposure, design.outcome, list(design.controls), Split("spatial", design.folds), ["year"], {"e": f"{design.exposure}_next"})
+    out = residuals(ahead, design, ["year"], more={"e": f"{design.exposure}_next"})
     return {"joint": inference.with_t(inference.joint_effects(out, ["d", "e"], "r", "block", "year")), "collinearity": diagnostics.collinearity(out, "d", "e")}
 
 

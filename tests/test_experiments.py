@@ -1,5 +1,7 @@
 """Experiments on a panel of one's own, resumed runs, and the streamed components."""
 
+from dataclasses import replace
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -37,3 +39,21 @@ def test_streamed_components(spark, panel, tmp_path):
     got = {(r.year, r.month, r.block): r.n for r in streamed.accumulated(spark, str(tmp_path / "out")).collect()}
     want = {(r.year, r.month, r.block): r.n for r in components(rows.where("year in (1995, 1996)"), streamed.KEYS).collect()}
     assert got == want and want
+
+
+def test_boosted_strata_are_models_of_their_own(spark):
+    """Relations that change sign between years: with 2000 a year alone, rows of another year must not matter."""
+    rows = [(float(i % 7) * (1 if y == 2000 else -1) + (i % 3), float(i % 7), float(i % 7), y, i % 2, 0) for y in (2000, 2001, 2002, 2003) for i in range(84)]
+    df = spark.createDataFrame(rows, "sif double, o3 double, t2m double, year int, fold int, tfold int")
+    design = experiments.Design(controls=("t2m",), folds=2, learner="gbt", learner_params=(("maxIter", 2), ("maxDepth", 1)))
+    fitted = lambda x: sorted((r.sif, r.t2m, r.fold, round(r.d, 9), round(r.r, 9)) for r in experiments.residuals(x, design, ["year"]).where("year = 2000").collect())
+    got = fitted(df)
+    assert len(got) == 84 and got == fitted(df.where("year = 2000"))
+
+
+def test_placebo_takes_the_learner(panel, monkeypatch):
+    design = replace(DESIGN, folds=2, learner="gbt", learner_params=(("maxIter", 1), ("maxDepth", 1)))
+    rows, seen = experiments.prepare(panel.where("year < 1998"), design), []
+    fit = experiments.crossfit.gbt_residuals
+    monkeypatch.setattr(experiments.crossfit, "gbt_residuals", lambda *a, **k: seen.append(1) or fit(*a, **k))
+    assert experiments.placebo(rows, design)["joint"].count() and seen
