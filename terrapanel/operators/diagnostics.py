@@ -104,3 +104,26 @@ def summary(df: DataFrame, keys: list[str], values: list[str], distinct: list[st
     for v in values:
         aggs += [F.avg(v).alias(f"{v}_mean"), F.stddev_samp(v).alias(f"{v}_sd"), F.min(v).alias(f"{v}_min"), F.max(v).alias(f"{v}_max"), F.percentile(v, F.lit(0.5)).alias(f"{v}_median")]
     return df.groupBy(*keys).agg(*aggs, *(F.count_distinct(c).alias(f"{c}_distinct") for c in distinct or []))
+
+
+def specification(rows: DataFrame, effect: DataFrame, design: str) -> DataFrame:
+    """One row: a pooled effect with its row counts (all, and by year) and the variation that identifies it."""
+    years = rows.groupBy("year").agg(F.count("*").alias("m")).agg(F.array_sort(F.collect_list(F.struct("year", "m"))).alias("rows_by_year"))
+    spread = rows.agg(F.stddev_samp("d").alias("residual_sd"), (F.sum(F.col("d") * F.col("d")) / F.count("*")).alias("den_per_row"))
+    return effect.select(F.lit(design).alias("design"), "n", "theta", "se", "p_t").crossJoin(F.broadcast(years)).crossJoin(F.broadcast(spread))  # a row each
+
+
+def specification_deltas(table: DataFrame, contrasts: dict[str, tuple[str, str]]) -> DataFrame:
+    """contrast, a, b, same_rows and theta of b minus theta of a; NULL unless rows agree in all and by year."""
+    names = table.sparkSession.createDataFrame([(c, a, b) for c, (a, b) in contrasts.items()], "contrast string, a string, b string")
+    side = lambda x: table.select(F.col("design").alias(x), F.col("theta").alias(f"theta_{x}"), F.col("n").alias(f"n_{x}"), F.col("rows_by_year").alias(f"years_{x}"))
+    met = names.join(side("a"), "a").join(side("b"), "b").withColumn("same_rows", (F.col("n_a") == F.col("n_b")) & (F.col("years_a") == F.col("years_b")))
+    return met.select("contrast", "a", "b", "same_rows", F.when(F.col("same_rows"), F.col("theta_b") - F.col("theta_a")).alias("delta"))
+
+
+def variation_ratios(table: DataFrame, against: list[str]) -> DataFrame:
+    """The table's rows with the ratios of residual_sd and den_per_row to those of the named designs."""
+    for name in against:
+        base = table.where(F.col("design") == name).select(F.col("residual_sd").alias("_sd"), F.col("den_per_row").alias("_info"))
+        table = table.crossJoin(F.broadcast(base)).withColumns({f"sd_to_{name}": F.col("residual_sd") / F.col("_sd"), f"information_to_{name}": F.col("den_per_row") / F.col("_info")}).drop("_sd", "_info")
+    return table

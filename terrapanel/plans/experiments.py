@@ -20,6 +20,7 @@ from ..operators.multiplicity import fdr
 from ..sources.sinks import checkpointed
 
 Tables = dict[str, DataFrame]
+PENALTIES = [0.0, 0.01, 0.1, 1.0]
 POLICIES = {"balanced": balanced_folds, "shuffled": shuffled_folds, "sorted": lambda df, key, k, seed: dense_folds(df, key, k)}
 
 
@@ -36,6 +37,8 @@ class Design:
     seed: int = 42
     learner: str = "ols"
     learner_params: tuple[tuple[str, float], ...] = ()
+    candidates: int = 30
+    inner_folds: int = 4
     class_column: str = "lccs"
     thresholds: tuple[int, ...] = (5_000, 10_000, 20_000)
     least_months: int = 6
@@ -191,13 +194,40 @@ def trends(rows: DataFrame, design: Design) -> Tables:
 
 
 def tuned(rows: DataFrame, design: Design) -> Tables:
-    scores = tuning.ridge_search(rows, design.outcome, list(design.controls), [0.0, 0.01, 0.1, 1.0], design.folds)
-    return {"scores": scores, "best": tuning.best(scores)}
+    """Nested search of the learner's settings for exposure and outcome, and the one-level ridge grid of the outcome."""
+    scores = tuning.ridge_search(rows, design.outcome, list(design.controls), PENALTIES, design.folds)
+    settings = (lambda seed: tuning.candidates(design.candidates, seed)) if design.learner == "gbt" else (lambda seed: [{"penalty": p} for p in PENALTIES])
+    nested = tuning.nested_search(rows, {"exposure": design.exposure, "outcome": design.outcome}, list(design.controls), settings, design.folds, design.inner_folds, design.seed)
+    return {"scores": scores, "best": tuning.best(scores), **nested}
+
+
+def specifications(rows: DataFrame, design: Design) -> Tables:
+    """Designs side by side on the same rows: deltas of their effects, and the variation that identifies each."""
+    rows, both, parts = rows.dropna(subset=list(design.controls)), Split("both", design.folds, design.folds), []
+    shuffled = assigned(rows.drop("fold"), F.broadcast(POLICIES["shuffled"](rows, "block", design.folds, design.seed)), "block")
+    balanced = assigned(rows.drop("fold"), F.broadcast(POLICIES["balanced"](rows, "block", design.folds, design.seed)), "block")
+    for name, own, strata, split, small in (
+        ("spatial_shuffled", shuffled, None, None, False), ("both_shuffled", shuffled, None, both, False), ("spatial_balanced", balanced, None, None, False),
+        ("full_period", rows, None, both, False), ("primary", rows, ["year"], None, True),
+    ):
+        out = residuals(own, design, strata, split)
+        parts.append(diagnostics.specification(out, pooled(out, small), name))
+    columns = [design.outcome, design.exposure, *design.controls]
+    within = features.within_pixel_month(rows, columns, least=design.least_years)
+    for name, suffix in (("paired_raw", ""), ("paired_interannual", "_w")):
+        out = residuals(within, design, suffix=suffix)
+        parts.append(diagnostics.specification(out, pooled(out), name))
+    table = parts[0]
+    for p in parts[1:]:
+        table = table.unionByName(p)
+    contrasts = {"temporal_holdout": ("spatial_shuffled", "both_shuffled"), "fold_policy": ("both_shuffled", "full_period"), "architecture": ("spatial_balanced", "primary")}
+    return {"deltas": diagnostics.specification_deltas(table, contrasts), "variation": diagnostics.variation_ratios(table, ["primary", "paired_raw"])}
 
 
 EXPERIMENTS: dict[str, Callable[[DataFrame, Design], Tables]] = {
     "full_period": full_period, "primary": primary, "strict_within": strict_within, "interannual": interannual, "placebo": placebo, "block_scale": block_scale, "control_sets": control_sets, "resampling": resampling,
     "time_trend": time_trend, "refits": refits, "by_month": by_month, "by_class": by_class, "kernel_maps": kernel_maps, "climate_state": climate_state, "trends": trends, "tuned": tuned,
+    "specifications": specifications,
 }
 
 

@@ -57,3 +57,35 @@ def test_placebo_takes_the_learner(panel, monkeypatch):
     fit = experiments.crossfit.gbt_residuals
     monkeypatch.setattr(experiments.crossfit, "gbt_residuals", lambda *a, **k: seen.append(1) or fit(*a, **k))
     assert experiments.placebo(rows, design)["joint"].count() and seen
+
+
+def test_nested_search_keeps_the_outer_fold_out(spark):
+    from terrapanel.operators import tuning
+
+    rows = [(2.0 * (i % 11) + (i * 7 % 5), 3.0 * (i % 11) + (i * 3 % 4), float(i % 11), float(i // 3 % 2), i % 4, i // 7 % 4) for i in range(400)]
+    df = spark.createDataFrame(rows, "sif double, o3 double, t2m double, ssrd double, fold int, tfold int")
+    stages, search = {"exposure": "o3", "outcome": "sif"}, lambda x, s: tuning.nested_search(x, stages, ["t2m", "ssrd"], s, 4, 3)
+    ridge = lambda seed: [{"penalty": 0.0}, {"penalty": 100.0}]
+    got = search(df, ridge)
+    assert {(r.outer, r.stage, r.candidate): r.n_folds for r in got["search"].collect()} == {(o, s, c): 3 for o in (0, 1, 2, 3, None) for s in stages for c in (0, 1)}
+    assert [r.setting for r in got["final"].collect()] == ['{"penalty": 0.0}'] * 2 and got["summary"].count() == 2
+    held = df.where("fold = 0 or tfold = 0").count()
+    assert {(r.outer, r.stage) for r in got["outer"].collect()} == {(o, s) for o in range(4) for s in stages} and held in {r.n_test for r in got["outer"].collect()}
+    # other targets in the outer test rows change that fold's outer score, never its inner ones
+    spoilt = search(df.withColumn("sif", F.when(F.expr("fold = 0 or tfold = 0"), F.col("sif") + 1000 * F.col("ssrd")).otherwise(F.col("sif"))), ridge)
+    inner = lambda t: sorted((r.stage, r.candidate, round(r.rmse_mean, 9)) for r in t["search"].where("outer = 0").collect())
+    assert inner(got) == inner(spoilt)
+    at = lambda t: t["outer"].where("outer = 0 and stage = 'outcome'").first().rmse
+    assert at(spoilt) > 2 * at(got)
+    trees = search(df.where("fold < 3 and tfold < 3"), lambda seed: [{**c, "maxIter": 1, "maxDepth": 2} for c in tuning.candidates(1, seed)])
+    assert trees["final"].count() == 2 and "featureSubsetStrategy" in trees["final"].first().setting
+
+
+def test_specification_deltas_need_equal_rows(spark):
+    from terrapanel.operators import diagnostics
+
+    rows = [("a", 2, 1.0, 2.0, 4.0, [(2000, 2)]), ("b", 2, 1.5, 1.0, 1.0, [(2000, 2)]), ("c", 2, 3.0, 1.0, 1.0, [(2000, 1), (2001, 1)])]
+    t = spark.createDataFrame(rows, "design string, n long, theta double, residual_sd double, den_per_row double, rows_by_year array<struct<year:int,m:long>>")
+    got = {r.contrast: (r.same_rows, r.delta) for r in diagnostics.specification_deltas(t, {"x": ("a", "b"), "y": ("a", "c")}).collect()}
+    assert got == {"x": (True, 0.5), "y": (False, None)}
+    assert {r.design: (r.sd_to_a, r.information_to_a) for r in diagnostics.variation_ratios(t, ["a"]).collect()} == {"a": (1, 1), "b": (0.5, 0.25), "c": (0.5, 0.25)}
