@@ -251,15 +251,15 @@ def threshold_stability(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def wild_month(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return bootstrap.wild_month(yearly_components(spark, sf_dir, "year", "block", "month"), ["year"], reps=999)
+    return bootstrap.wild_month(yearly_components(spark, sf_dir, "year", "block", "month"), ["year"])
 
 
 def wild_year(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return bootstrap.wild_year(yearly_components(spark, sf_dir), reps=999)
+    return bootstrap.wild_year(yearly_components(spark, sf_dir))
 
 
 def wild_year_by_class(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return bootstrap.wild_year(class_components(spark, sf_dir), ["class"], reps=999)
+    return bootstrap.wild_year(class_components(spark, sf_dir), ["class"])
 
 
 def climate_components(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -280,7 +280,7 @@ def climate_weighted_moments(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def climate_modifier(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spark.createDataFrame(climate.modifier(climate_components(spark, sf_dir), reps=999))
+    return spark.createDataFrame(climate.modifier(climate_components(spark, sf_dir)))
 
 
 def gbt_residuals(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -1,5 +1,6 @@
 """Edge cases on small fixtures, and NumPy forms of what SQL cannot say."""
 
+import inspect
 import math
 
 import numpy as np
@@ -257,3 +258,18 @@ def test_boosted_residuals_cover_all_rows(spark, sf01, monkeypatch):
     assert len(want) == panels.FOLDS
     with pytest.raises(ValueError, match="no test cell"):
         crossfit.gbt_residuals(rows, "o3", "sif", ["t2m"], Split("spatial", 2), maxIter=1, maxDepth=1)
+
+
+def test_registered_resampling_takes_production_counts(spark, monkeypatch):
+    from terrapanel.operators import climate
+    from terrapanel.plans import effects
+
+    asked = []
+    for name in ("yearly_components", "class_components", "climate_components"):
+        monkeypatch.setattr(effects, name, lambda *a: None)
+    for module, name in ((bootstrap, "wild_month"), (bootstrap, "wild_year"), (climate, "modifier")):
+        default = inspect.signature(getattr(module, name)).parameters["reps"].default
+        monkeypatch.setattr(module, name, lambda *a, reps=default, **k: asked.append(reps) or [(1,)])
+    for query in (effects.wild_month, effects.wild_year, effects.wild_year_by_class, effects.climate_modifier):
+        query(spark, "")
+    assert asked == [9999, 9999, 9999, 4999]
