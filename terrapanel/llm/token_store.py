@@ -8,11 +8,12 @@ SHA-256 over them.  Recipes are range-partitioned by (doc_id, root), so the stor
 order; a segment root covers the document roots of a partition and the store root the segment roots.
 
 Layout below the store's path: ``data/kind=chunk`` (name, n, payload), ``data/kind=recipe`` (as written),
-``recipes`` (in order, with segment and start), ``manifest`` (a row a segment).  Payload: the low bytes of all
+``recipes`` (in order, with segment and start), ``manifest`` (a row a segment), ``root``.  Payload: the low bytes of all
 ids, then the next bytes (2 or 4 planes), zstd-compressed.
 
 Reading: every stored chunk is opened, its name is checked against its ids, and its CRC-32 is taken; recipes meet the
-chunks by name; the CRC of a document follows from those of its chunks (CRC combination); roots are recomputed.
+chunks by name; the CRC of a document follows from those of its chunks (CRC combination); document, segment and store roots, counts
+and starts are recomputed and compared with the manifest and ``root``.
 
 The pre-tokens of the byte-level vocabulary are found with array operations on code points, and each distinct
 pre-token of a slice goes once to the tokenizers library's model (a byte-level BPE never merges across
@@ -39,7 +40,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from .bytetext import _BASE, mix64, powers, slices, spread, utf8
-from .tables import scratch, table, text_rows
+from .tables import saved, scratch, table, text_rows
 
 END_ID = 2
 ROLL, LEAST, MEAN, MOST = 8, 64, 1024, 8192
@@ -329,18 +330,42 @@ def write_store(docs: DataFrame, store: str, path: str | None = None, doc_id: st
     parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-made.count() // SEGMENT_DOCS))  # a segment's roots meet in one group
     made.repartitionByRange(parts, *order).sortWithinPartitions(*order).withColumn("segment", F.spark_partition_id()).write.option("compression", "zstd").parquet(f"{store}/segments")
     segments = spark.read.parquet(f"{store}/segments")
-    listed = F.array_sort(F.collect_list(F.struct(F.coalesce("doc_id", F.lit((1 << 63) - 1)).alias("id"), "root")))
-    manifest = segments.groupBy("segment").agg(F.count("*").alias("documents"), F.sum("n").alias("ids"), F.sha2(F.array_join(F.transform(listed, lambda x: x["root"]), ""), 256).alias("root"))
+    manifest = summed(segments)
     before = W.orderBy("segment").rowsBetween(W.unboundedPreceding, -1)  # a row a partition
     manifest.withColumn("start", F.coalesce(F.sum("ids").over(before), F.lit(0).cast("long"))).coalesce(1).write.parquet(f"{store}/manifest")
+    spark.createDataFrame([(store_root(spark, store),)], "root string").coalesce(1).write.parquet(f"{store}/root")
+
+
+def summed(segments: DataFrame) -> DataFrame:
+    """segment, documents, ids and root of the recipes as they lie in the store."""
+    listed = F.array_sort(F.collect_list(F.struct(F.coalesce("doc_id", F.lit((1 << 63) - 1)).alias("id"), "root")))
+    return segments.groupBy("segment").agg(F.count("*").alias("documents"), F.sum("n").alias("ids"), F.sha2(F.array_join(F.transform(listed, lambda x: x["root"]), ""), 256).alias("root"))
+
+
+def checked_segments(spark: SparkSession, store: str) -> DataFrame:
+    """segment, lost (documents that the manifest lists but the recipes lack) and sound: recipes give the manifest's row again.
+
+    Starts must follow from the ids of earlier segments, and the segment roots must give the written store root; else no segment is sound.
+    """
+    manifest = spark.read.parquet(f"{store}/manifest")
+    kept = spark.read.parquet(f"{store}/root").first()
+    rooted = kept is not None and kept["root"] == store_root(spark, store)
+    found = summed(spark.read.parquet(f"{store}/segments")).select("segment", *(F.col(c).alias(f"own_{c}") for c in ("documents", "ids", "root")))
+    before = W.orderBy("segment").rowsBetween(W.unboundedPreceding, -1)  # a row a partition
+    placed = manifest.withColumn("own_start", F.coalesce(F.sum("ids").over(before), F.lit(0).cast("long")))
+    same = F.lit(rooted)
+    for c in ("documents", "ids", "root", "start"):
+        same = same & F.col(c).eqNullSafe(F.col(f"own_{c}"))
+    lost = F.greatest(F.coalesce("documents", F.lit(0)) - F.coalesce("own_documents", F.lit(0)), F.lit(0))
+    return placed.join(found, "segment", "full").select("segment", lost.alias("lost"), same.alias("sound"))
 
 
 def recipes(spark: SparkSession, store: str) -> DataFrame:
-    """doc_id, start, n, n_chunks, names, root in the store's order."""
+    """doc_id, start, n, n_chunks, names, root, segment in the store's order (start is NULL for a segment that the manifest lacks)."""
     segments, manifest = spark.read.parquet(f"{store}/segments"), spark.read.parquet(f"{store}/manifest")
     w = W.partitionBy("segment").orderBy(F.col("doc_id").asc_nulls_last(), "root").rowsBetween(W.unboundedPreceding, -1)
     first = F.broadcast(manifest.select("segment", F.col("start").alias("first")))  # a row a partition
-    return segments.withColumn("within", F.coalesce(F.sum("n").over(w), F.lit(0).cast("long"))).join(first, "segment").select("doc_id", (F.col("first") + F.col("within")).alias("start"), "n", "n_chunks", "names", "root")
+    return segments.withColumn("within", F.coalesce(F.sum("n").over(w), F.lit(0).cast("long"))).join(first, "segment", "left").select("doc_id", (F.col("first") + F.col("within")).alias("start"), "n", "n_chunks", "names", "root", "segment")
 
 
 def store_root(spark: SparkSession, store: str) -> str:
@@ -414,14 +439,21 @@ def chunk_sums(spark: SparkSession, store: str) -> DataFrame:
 
 
 def verify_store(spark: SparkSession, store: str) -> DataFrame:
-    """doc_id, start, n_tokens, ids_crc32, n_chunks, intact of each document, from the files."""
-    listed = recipes(spark, store)
-    refs = listed.select("doc_id", "start", F.col("n").alias("n_tokens"), "n_chunks", "root", F.posexplode(F.split(F.regexp_replace(F.lower(F.hex("names")), "(.{64})(?=.)", "$1,"), ",")).alias("seq", "key"))
+    """doc_id, start, n_tokens, ids_crc32, n_chunks, intact of each document, from the files.
+
+    A document is intact if its chunks, its root, its segment and the store root are.  A segment's documents that the manifest
+    counts but no recipe holds give one row with NULL ids and intact false for each.
+    """
+    checked = saved(checked_segments(spark, store), "checked-segments")
+    lost = checked.where("lost > 0").select(F.explode(F.sequence(F.lit(1).cast("long"), "lost")))
+    sound = F.broadcast(checked.where("sound").select("segment", "sound"))  # a row a partition
+    listed = recipes(spark, store).join(sound, "segment", "left").withColumn("sound", F.coalesce("sound", F.lit(False)))
+    refs = listed.select("doc_id", "start", F.col("n").alias("n_tokens"), "n_chunks", "root", "sound", F.posexplode(F.split(F.regexp_replace(F.lower(F.hex("names")), "(.{64})(?=.)", "$1,"), ",")).alias("seq", "key"))
     met = refs.join(chunk_sums(spark, store), "key", "left")
     parts = F.array_sort(F.collect_list(F.struct("seq", F.coalesce("n", F.lit(0)).alias("n"), F.coalesce("crc", F.lit(-1)).alias("crc"), "key")))
-    per = met.groupBy("doc_id", "start", "n_tokens", "n_chunks", "root").agg(parts.alias("parts"))
+    per = met.groupBy("doc_id", "start", "n_tokens", "n_chunks", "root", "sound").agg(parts.alias("parts"))
     root = F.sha2(F.unhex(F.array_join(F.col("parts.key"), "")), 256)
-    per = per.select("doc_id", "start", "n_tokens", "n_chunks", (root == F.col("root")).alias("rooted"), F.col("parts.n").alias("n"), F.col("parts.crc").alias("crc"))
+    per = per.select("doc_id", "start", "n_tokens", "n_chunks", ((root == F.col("root")) & F.col("sound")).alias("rooted"), F.col("parts.n").alias("n"), F.col("parts.crc").alias("crc"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -435,7 +467,9 @@ def verify_store(spark: SparkSession, store: str) -> DataFrame:
             out = combined_crc(np.maximum(sums, 0), sizes * 4, owner).astype(np.int64)
             yield pa.RecordBatch.from_arrays([*(batch.column(k) for k in range(3)), pa.array(out), batch.column(3), pa.array(intact)], ["doc_id", "start", "n_tokens", "ids_crc32", "n_chunks", "intact"])
 
-    return per.mapInArrow(run, "doc_id long, start long, n_tokens long, ids_crc32 long, n_chunks int, intact boolean")
+    kinds = {"doc_id": "long", "start": "long", "n_tokens": "long", "ids_crc32": "long", "n_chunks": "int"}
+    absent = lost.select(*(F.lit(None).cast(t).alias(c) for c, t in kinds.items()), F.lit(False).alias("intact"))
+    return per.mapInArrow(run, "doc_id long, start long, n_tokens long, ids_crc32 long, n_chunks int, intact boolean").unionByName(absent)
 
 
 def store_and_verify(docs: DataFrame, path: str | None = None, **names) -> DataFrame:

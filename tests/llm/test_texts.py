@@ -3,6 +3,7 @@
 import hashlib
 import math
 import random
+import shutil
 import zlib
 
 import numpy as np
@@ -278,6 +279,31 @@ def test_token_store_files(spark, tmp_path):
     assert len(root) == 64 and token_store.store_root(spark, other) != root
 
 
+def test_token_store_notices_changed_recipes(spark, tmp_path):
+    docs = spark.createDataFrame([(i, f"passage {i} " * 40) for i in range(9)], "doc_id long, text string")
+    store = str(tmp_path / "store")
+    token_store.write_store(docs, store)
+    good = spark.read.parquet(f"{store}/segments").toPandas()
+    schema = spark.read.parquet(f"{store}/segments").schema
+    swapped = good.copy()
+    names = ["names", "root", "n", "n_chunks"]
+    swapped.loc[swapped.doc_id == 3, names] = good.loc[good.doc_id == 4, names].to_numpy()  # whole in itself
+    changed = {"lost": good[good.doc_id != 3], "repeated": good.loc[[*good.index, good.index[good.doc_id == 3][0]]], "swapped": swapped}
+    for name, rows in changed.items():
+        other = str(tmp_path / name)
+        shutil.copytree(store, other)
+        shutil.rmtree(f"{other}/segments")
+        spark.createDataFrame(rows, schema).write.parquet(f"{other}/segments")
+        got = token_store.verify_store(spark, other).collect()
+        own = {r.doc_id: r.segment for r in rows.itertuples()}
+        bad = good.loc[good.doc_id == 3, "segment"].iloc[0]
+        assert len(got) == len(rows) + (name == "lost"), name
+        assert all(not r.intact for r in got if r.doc_id is None or own[r.doc_id] == bad) and any(not r.intact for r in got), name
+    assert all(r.intact for r in token_store.verify_store(spark, store).collect())
+    spark.createDataFrame([("0" * 64,)], "root string").write.mode("overwrite").parquet(f"{store}/root")
+    assert not any(r.intact for r in token_store.verify_store(spark, store).collect())
+
+
 def test_token_store_empty(spark, edge):
     assert token_store.store_and_verify(edge.limit(0)).count() == 0
 
