@@ -6,8 +6,9 @@ measured size is under ``max_windows``; a larger set is cut into chunks of that
 its own pass, and the hits of all passes are united per document, so any size gives whole results.
 A document position whose window hash is in the set is verified word by word before it counts.
 
-Defined cases: null or empty text has no words, no hits and is not contaminated; null ids are carried through;
-repeated document rows are judged one by one; repeated item ids count once; empty tables give empty results or
+Defined cases: null or empty text has no words, no hits and is not contaminated; null document ids are carried
+through; windows of items with a null id count as any others, such items together are one of ``n_items`` and have
+no name in ``items_sha256``; repeated document rows are judged one by one; repeated item ids count once; empty tables give empty results or
 clean documents; columns other than the named ones are neither read nor returned.
 """
 
@@ -28,12 +29,16 @@ MAX_WINDOWS = 2_000_000
 SPANS = "doc_id long, n_words long, hit_from array<int>, hit_to array<int>, items array<long>"
 
 
+def _nulls_last(item: int | None) -> tuple[bool, int]:
+    return item is None, item or 0
+
+
 class WindowSet:
     """Windows of benchmark items: per length a sorted hash array, with the words for verification."""
 
-    def __init__(self, items: list[tuple[int, str]], n: int):
+    def __init__(self, items: list[tuple[int | None, str]], n: int):
         self.n = n
-        found: dict[int, dict[bytes, set[int]]] = {}
+        found: dict[int, dict[bytes, set[int | None]]] = {}
         for item, text in items:
             data = np.frombuffer((text or "").encode("utf-8", "surrogatepass"), np.uint8)
             w = Words(data, np.array([0, len(data)], np.int64))
@@ -49,7 +54,7 @@ class WindowSet:
             w = Words(data, np.array([0, len(data)], np.int64))
             hashes = w.windows(k)[::k]
             order = np.argsort(hashes, kind="stable")
-            self.by_length.append((k, hashes[order], [joined[i] for i in order], [sorted(windows[joined[i]]) for i in order]))
+            self.by_length.append((k, hashes[order], [joined[i] for i in order], [sorted(windows[joined[i]], key=_nulls_last) for i in order]))
 
     def hits(self, w: Words) -> Iterator[tuple[int, int, list[int]]]:
         """Verified (first word, length, items) in word order for each length."""
@@ -105,7 +110,7 @@ def scan(docs: DataFrame, windows, doc_id: str, text: str) -> DataFrame:
                     joined = merged(spans)
                     hit_from.append([a for a, _ in joined])
                     hit_to.append([b for _, b in joined])
-                    items.append(sorted(got))
+                    items.append(sorted(got, key=_nulls_last))
             yield pa.RecordBatch.from_arrays(
                 [ids.cast(pa.int64()), pa.array(np.concatenate(n_words) if n_words else [], pa.int64()), pa.array(hit_from, pa.list_(pa.int32())), pa.array(hit_to, pa.list_(pa.int32())), pa.array(items, pa.list_(pa.int64()))],
                 ["doc_id", "n_words", "hit_from", "hit_to", "items"],
@@ -117,7 +122,7 @@ def scan(docs: DataFrame, windows, doc_id: str, text: str) -> DataFrame:
 def hit_spans(docs: DataFrame, benchmark: DataFrame, n: int = WINDOW, max_windows: int = MAX_WINDOWS, doc_id: str = "doc_id", text: str = "text", item_id: str = "item_id", item_text: str = "text") -> DataFrame:
     """doc_id, n_words, hit_from[], hit_to[] (word ranges, merged) and items[] for each document row."""
     spark = docs.sparkSession
-    items = benchmark.select(F.col(f"`{item_id}`").cast("long").alias("item_id"), F.col(f"`{item_text}`").cast("string").alias("text")).where("item_id is not null")
+    items = benchmark.select(F.col(f"`{item_id}`").cast("long").alias("item_id"), F.col(f"`{item_text}`").cast("string").alias("text"))
     # an item has at most as many windows as words, and at most one word for two characters
     bounded = items.agg(F.sum(F.length("text") / 2 + 1).alias("n")).first()["n"] or 0
     if bounded <= max_windows:
@@ -125,7 +130,7 @@ def hit_spans(docs: DataFrame, benchmark: DataFrame, n: int = WINDOW, max_window
     else:
         size = max(1, int(max_windows // max(1.0, items.agg(F.max(F.length("text") / 2 + 1)).first()[0])))
         parts = -(-items.count() // size)
-        chunks = ([tuple(r) for r in items.where(F.pmod(F.xxhash64("item_id"), F.lit(parts)) == p).collect()] for p in range(parts))
+        chunks = ([tuple(r) for r in items.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(parts)) == p).collect()] for p in range(parts))
     passes = [scan(docs, spark.sparkContext.broadcast(WindowSet(c, n)), doc_id, text) for c in chunks]
     if len(passes) == 1:
         return passes[0]
@@ -175,13 +180,13 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, mode: str = "documents"
     place, so no join back to the texts is needed while the window set is within its broadcast bound.
     """
     spark, text, item_id, item_text = docs.sparkSession, names.get("text", "text"), names.get("item_id", "item_id"), names.get("item_text", "text")
-    items = benchmark.select(F.col(f"`{item_id}`").cast("long"), F.col(f"`{item_text}`").cast("string")).where(F.col(item_id).isNotNull())
+    items = benchmark.select(F.col(f"`{item_id}`").cast("long"), F.col(f"`{item_text}`").cast("string"))
     chunk = MAX_WINDOWS
     bounded = items.agg(F.sum(F.length(item_text) / 2 + 1)).first()[0] or 0
     parts = max(1, int(-(-bounded // chunk)))
     known = []
     for p in range(parts):
-        own = items if parts == 1 else items.where(F.pmod(F.xxhash64(item_id), F.lit(parts)) == p)
+        own = items if parts == 1 else items.where(F.pmod(F.xxhash64(F.col(f"`{item_id}`"), F.col(f"`{item_text}`")), F.lit(parts)) == p)
         known.append(spark.sparkContext.broadcast(WindowSet([tuple(r) for r in own.collect()], n)))
     where = docs.columns.index(text)
 

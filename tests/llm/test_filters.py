@@ -5,6 +5,7 @@ import random
 import re
 from datetime import datetime, timedelta
 
+import duckdb
 import pytest
 from pyspark.sql import functions as F
 
@@ -139,6 +140,18 @@ def test_decontamination_cases(spark, edge):
     assert decontaminate.judged(decontaminate.hit_spans(edge, bench.limit(0))).where("contaminated").count() == 0
 
 
+def test_items_without_an_id_count(spark):
+    bench = spark.createDataFrame([(None, "x y z"), (None, "p q"), (1, "x y z"), (2, "m n o")], "item_id long, text string")
+    docs = spark.createDataFrame([(1, "X y, z"), (2, "p q"), (3, "m n o p q"), (4, "clean words")], "doc_id long, text string")
+    con = duckdb.connect()
+    con.register("documents", docs.toPandas())
+    con.register("benchmark", bench.toPandas().astype({"item_id": "Int64"}))
+    want = canonical(con.execute(decontaminate.OP8_SQL).fetchdf())
+    for bound in (1000, 3):
+        assert canonical(decontaminate.judged(decontaminate.hit_spans(docs, bench, max_windows=bound)).toPandas()) == want
+    assert [r.doc_id for r in decontaminate.decontaminate(docs, bench).collect()] == [4]
+
+
 # ---------------------------------------------------------------- mixing
 
 
