@@ -15,8 +15,8 @@ copy_id (its copy class), n_copies (documents in the copy class), n_links (other
 threshold).
 
 Defined cases: null or empty text has no n-gram, links to nothing and is its own class; a null id cannot be linked:
-its row has null class_id and copy_id, and no links; repeated rows (equal id and set) give one row; an empty
-table gives an empty result; other columns are neither read nor returned.
+its row has null class_id and copy_id, and no links; repeated rows (equal id and set) give one row; an id
+with several sets gives a row for each, judged as documents of their own; an empty table gives an empty result; other columns are neither read nor returned.
 """
 
 from __future__ import annotations
@@ -28,10 +28,11 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType, StructField, StructType
 
 from .bytetext import Words, mix64, slices, utf8
 from .components import components
-from .tables import saved, table, text_rows
+from .tables import bounded_batches, saved, table, text_rows
 
 N, THRESHOLD = 5, 0.8
 BANDS, ROWS = 24, 6
@@ -67,6 +68,11 @@ def text_set(text: str | bytes | None, n: int = N) -> np.ndarray:
         return np.unique(ngram_lists(w, n)[0])
 
 
+def set_key(u: np.ndarray) -> tuple[int, int]:
+    """128 bits that name a set of distinct n-grams."""
+    return int(mix64(u).sum(dtype=np.uint64)) - (1 << 63), int(mix64(u ^ np.uint64(0xA5A5A5A5A5A5A5A5)).sum(dtype=np.uint64)) - (1 << 63)
+
+
 def sketches(docs: DataFrame, n: int, doc_id: str, text: str) -> DataFrame:
     """The set's 128-bit key, its size and its band hashes, of every row."""
 
@@ -79,8 +85,9 @@ def sketches(docs: DataFrame, n: int, doc_id: str, text: str) -> DataFrame:
                 lists = ngram_lists(Words(data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i]), n)
                 for h in lists:
                     u = np.unique(h)
-                    k1.append(int(mix64(u).sum(dtype=np.uint64)) - (1 << 63))
-                    k2.append(int(mix64(u ^ np.uint64(0xA5A5A5A5A5A5A5A5)).sum(dtype=np.uint64)) - (1 << 63))
+                    a, b = set_key(u)
+                    k1.append(a)
+                    k2.append(b)
                     size.append(len(u))
                 counts = np.array([len(h) for h in lists])
                 full = np.flatnonzero(counts)
@@ -101,6 +108,23 @@ def sketches(docs: DataFrame, n: int, doc_id: str, text: str) -> DataFrame:
     return text_rows(docs, doc_id, text).mapInArrow(run, SKETCH)
 
 
+def keyed(docs: DataFrame, n: int, text: str) -> DataFrame:
+    """The rows with the key of their text's set (__k1, __k2)."""
+    where = docs.columns.index(text)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        np.seterr(over="ignore")
+        for batch in batches:
+            data, offsets = utf8(batch.column(where))
+            keys = []
+            for i, j in slices(offsets):
+                keys.extend(set_key(np.unique(h)) for h in ngram_lists(Words(data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i]), n))
+            yield batch.append_column("__k1", pa.array([k for k, _ in keys], pa.int64())).append_column("__k2", pa.array([k for _, k in keys], pa.int64()))
+
+    bounded_batches(docs.sparkSession)
+    return docs.mapInArrow(run, StructType([*docs.schema.fields, StructField("__k1", LongType()), StructField("__k2", LongType())]))
+
+
 def linked(x: list[np.ndarray], y: list[np.ndarray] | None, threshold: float, block: int = 512) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     """Index pairs (i in x, j in y) at or over the threshold; with y None, pairs i < j in x."""
     both = x if y is None else x + y
@@ -158,60 +182,68 @@ def _roots(n: int, i: np.ndarray, j: np.ndarray) -> np.ndarray:
         label = new
 
 
-def near_links(docs: DataFrame, n: int = N, threshold: float = THRESHOLD, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """doc_id, class_id, copy_id, n_copies, n_links of every document."""
+def _links(docs: DataFrame, n: int, threshold: float, doc_id: str, text: str) -> DataFrame:
+    """doc_id, k1, k2, class_id, copy_id, n_copies, n_links and ``first`` (stands for its class) of every (doc_id, set)."""
     sketch = saved(sketches(docs, n, doc_id, text), "sketches")
     named = sketch.where("doc_id is not null and n > 0")
-    reps = saved(named.groupBy("k1", "k2").agg(F.min("doc_id").alias("copy_id"), F.count_distinct("doc_id").alias("n_copies"), F.first("bands").alias("bands")), "copy-classes")
+    # a copy class is named by its least id and its key: an id with several texts is in several classes
+    reps = named.groupBy("k1", "k2").agg(F.min("doc_id").alias("copy_id"), F.count_distinct("doc_id").alias("n_copies"), F.first("bands").alias("bands"))
+    reps = saved(reps.withColumn("node", F.struct(F.col("copy_id").alias("id"), "k1", "k2")), "copy-classes")
     # stars of the buckets
-    held = reps.select("copy_id", F.explode("bands").alias("bucket"))
-    heads = held.groupBy("bucket").agg(F.min("copy_id").alias("head"), F.count("*").alias("m")).where("m > 1").select("bucket", "head")
-    stars = held.join(heads, "bucket").where("copy_id <> head").select(F.col("copy_id").alias("u"), F.col("head").alias("v"))
+    held = reps.select("node", F.explode("bands").alias("bucket"))
+    heads = held.groupBy("bucket").agg(F.min("node").alias("head"), F.count("*").alias("m")).where("m > 1").select("bucket", "head")
+    stars = held.join(heads, "bucket").where("node <> head").select(F.col("node").alias("u"), F.col("head").alias("v"))
     whole = components(stars)
     # every component in tiles, every pair of tiles a group
     size = whole.groupBy("component").agg(F.ceil(F.count("*") / F.lit(TILE)).cast("int").alias("tiles"))
     members = whole.join(size, "component").withColumn("tile", F.pmod(F.xxhash64("node"), F.col("tiles")).cast("int"))
     members = saved(members.select("component", "node", "tile", "tiles"), "members")
-    texts = docs.select(F.col(f"`{doc_id}`").cast("long").alias("node"), F.col(f"`{text}`").cast("string").alias("text"))
+    texts = keyed(text_rows(docs, doc_id, text).where("doc_id is not null"), n, "text").select(F.struct(F.col("doc_id").alias("id"), F.col("__k1").alias("k1"), F.col("__k2").alias("k2")).alias("node"), "text")
     met = texts.join(members, "node").withColumn("other", F.explode(F.sequence(F.lit(0), F.col("tiles") - 1)))
-    met = met.select("component", "node", "tile", "text", F.least("tile", "other").alias("p"), F.greatest("tile", "other").alias("q"))
+    met = met.select("component", "node.*", "tile", "text", F.least("tile", "other").alias("p"), F.greatest("tile", "other").alias("q"))
 
     def group(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
         np.seterr(over="ignore")
-        rows = rows.drop_duplicates("node")
+        rows = rows.drop_duplicates(["id", "k1", "k2"]).sort_values(["id", "k1", "k2"], ignore_index=True)  # so a root is the least node
         p, q = key[1], key[2]
         first = (rows["tile"] == p).to_numpy()
-        ids = rows["node"].to_numpy(np.int64)
+        size = len(rows)
         sets = [text_set(t, n) for t in rows["text"]]
         left = np.flatnonzero(first)
         right = None if p == q else np.flatnonzero(~first)
-        counts, roots = np.zeros(len(ids), np.int64), np.arange(len(ids))
-        order = np.argsort(ids)  # labels are ranks of ids, so a root is the least id
-        rank = np.empty(len(ids), np.int64)
-        rank[order] = np.arange(len(ids))
+        counts, roots = np.zeros(size, np.int64), np.arange(size)
         for i, j in linked([sets[k] for k in left], None if right is None else [sets[k] for k in right], threshold):
             i, j = left[i], left[j] if right is None else right[j]
-            counts += np.bincount(i, minlength=len(ids)) + np.bincount(j, minlength=len(ids))
-            roots = _roots(len(ids), np.concatenate([roots, rank[i]]), np.concatenate([np.arange(len(ids)), rank[j]]))
-        keep = counts > 0
-        return pd.DataFrame({"node": ids[keep], "links": counts[keep], "root": ids[order][roots[rank]][keep]})
-
-    found = saved(met.groupBy("component", "p", "q").applyInPandas(group, "node long, links long, root long"), "links")
+            counts += np.bincount(i, minlength=size) + np.bincount(j, minlength=size)
+            roots = _roots(size, np.concatenate([roots, i]), np.concatenate([np.arange(size), j]))
+        keep = np.flatnonzero(counts > 0)
+        names = rows[["id", "k1", "k2"]]
+        return pd.concat([names.iloc[keep].reset_index(drop=True), names.iloc[roots[keep]].add_prefix("r_").reset_index(drop=True)], axis=1).assign(links=counts[keep])
+
+    found = met.groupBy("component", "p", "q").applyInPandas(group, "id long, k1 long, k2 long, r_id long, r_k1 long, r_k2 long, links long")
+    found = saved(found.select(F.struct("id", "k1", "k2").alias("node"), F.struct(F.col("r_id").alias("id"), F.col("r_k1").alias("k1"), F.col("r_k2").alias("k2")).alias("root"), "links"), "links")
     classes = components(found.select(F.col("node").alias("u"), F.col("root").alias("v")))
     links = found.groupBy("node").agg(F.sum("links").alias("n_links"))
-    known = reps.select("k1", "k2", "copy_id", "n_copies").join(links, F.col("copy_id") == F.col("node"), "left").drop("node").join(classes, F.col("copy_id") == F.col("node"), "left")
-    known = known.select(F.col("k1").alias("c1"), F.col("k2").alias("c2"), "copy_id", "n_copies", F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), F.coalesce("component", "copy_id").alias("class_id"))
-    linkable = named.select("doc_id", "k1", "k2").distinct().join(known, (F.col("k1") == F.col("c1")) & (F.col("k2") == F.col("c2"))).select("doc_id", "class_id", "copy_id", "n_copies", "n_links")
+    known = reps.select("node", "copy_id", "n_copies").join(links, "node", "left").join(classes, "node", "left")
+    known = known.select(F.col("node.k1").alias("c1"), F.col("node.k2").alias("c2"), "copy_id", "n_copies", F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), F.coalesce(F.col("component.id"), F.col("copy_id")).alias("class_id"), F.coalesce(F.col("component") == F.col("node"), F.lit(True)).alias("first"))
+    columns = ["doc_id", "k1", "k2", "class_id", "copy_id", "n_copies", "n_links"]
+    linkable = named.select("doc_id", "k1", "k2").distinct().join(known, (F.col("k1") == F.col("c1")) & (F.col("k2") == F.col("c2"))).select(*columns, (F.col("first") & (F.col("doc_id") == F.col("copy_id"))).alias("first"))
     alone = sketch.where("doc_id is null or n = 0").select("doc_id").distinct()
-    one = F.lit(1).cast("long")
-    return linkable.unionByName(alone.select("doc_id", F.col("doc_id").alias("class_id"), F.col("doc_id").alias("copy_id"), one.alias("n_copies"), F.lit(0).cast("long").alias("n_links")))
+    none, one = F.lit(None).cast("long"), F.lit(1).cast("long")
+    return linkable.unionByName(alone.select("doc_id", none.alias("k1"), none.alias("k2"), F.col("doc_id").alias("class_id"), F.col("doc_id").alias("copy_id"), one.alias("n_copies"), F.lit(0).cast("long").alias("n_links"), F.lit(True).alias("first")))
+
+
+def near_links(docs: DataFrame, n: int = N, threshold: float = THRESHOLD, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+    """doc_id, class_id, copy_id, n_copies, n_links of every document."""
+    return _links(docs, n, threshold, doc_id, text).select("doc_id", "class_id", "copy_id", "n_copies", "n_links")
 
 
 def without_near_copies(docs: DataFrame, n: int = N, threshold: float = THRESHOLD, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """The documents whose id is their class's least; rows without an id are kept; repeated rows are kept once."""
-    links = near_links(docs, n, threshold, doc_id, text)
-    drop = links.where("doc_id is not null").groupBy("doc_id").agg(F.min("class_id").alias("least")).where("doc_id <> least").select(F.col("doc_id").alias("__dropped"))
-    kept = docs.join(drop, F.col(f"`{doc_id}`").cast("long") == F.col("__dropped"), "left_anti")
+    """One document of each class, of its least id (and least key, if that id has several texts of the class); rows without an
+    id are kept; repeated rows are kept once."""
+    drop = _links(docs, n, threshold, doc_id, text).where(~F.col("first")).select("doc_id", F.col("k1").alias("__d1"), F.col("k2").alias("__d2")).withColumnRenamed("doc_id", "__dropped")
+    own = (F.col(f"`{doc_id}`").cast("long") == F.col("__dropped")) & (F.col("__k1") == F.col("__d1")) & (F.col("__k2") == F.col("__d2"))
+    kept = keyed(docs, n, text).join(drop, own, "left_anti").drop("__k1", "__k2")
     return kept.dropDuplicates([doc_id, text]) if docs.columns else kept
 
 

@@ -230,6 +230,18 @@ def test_jaccard_join_cases(spark, edge):
     assert jaccard_join.near_links(df.limit(0)).count() == 0 and jaccard_join.without_near_copies(df.limit(0)).count() == 0
 
 
+def test_one_id_with_several_texts(spark):
+    rng = random.Random(5)
+    a, b = ([f"{c}{rng.randint(0, 999)}" for _ in range(120)] for c in "ab")
+    near = lambda w: " ".join([*w[:60], "changed", *w[61:]])
+    rows = [(3, " ".join(a)), (5, " ".join(a)), (5, " ".join(b)), (7, near(b)), (2, " ".join(f"c{i}" for i in range(90))), (2, near([f"c{i}" for i in range(90)]))]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    got = sorted((r.doc_id, r.class_id, r.copy_id, r.n_copies, r.n_links) for r in jaccard_join.near_links(df).collect())
+    assert got == [(2, 2, 2, 1, 1), (2, 2, 2, 1, 1), (3, 3, 3, 2, 0), (5, 3, 3, 2, 0), (5, 5, 5, 1, 1), (7, 5, 7, 1, 1)]
+    kept = [(r.doc_id, r.text) for r in jaccard_join.without_near_copies(df).collect()]
+    assert sorted(i for i, _ in kept) == [2, 3, 5] and rows[0] in kept and rows[2] in kept
+
+
 def test_large_component_in_tiles(spark, monkeypatch):
     monkeypatch.setattr(jaccard_join, "TILE", 16)
     rng = random.Random(8)
