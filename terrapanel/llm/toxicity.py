@@ -1,24 +1,28 @@
 """Toxicity by nearest labelled examples: exact TF-IDF cosine over block-max inverted lists.
 
-Terms are words (lower-cased A-Z) and their beginnings of ``PREFIXES`` bytes, as 64-bit hashes: labels mark
-inflected words too, whose beginnings repeat while the words do not.  A term that occurs at least 2, 3 or 5 times in a
-text also counts as a term of that level, since a cosine alone forgets how often.  The terms kept are those that mark a class: at
-least ``MIN_DF`` toxic examples hold them and their smoothed odds between the classes are at least e^``MIN_ODDS``;
-the ``MAX_TERMS`` with the largest chi-square stay.
-
-Fitting uses at most ``MAX_EXAMPLES`` labelled documents (the least hashes of their ids; rows that are held out are
-never used), so the index has a proven bound and is broadcast.  Equal texts count as one example.
-
-Search: an example's weights are (1 + ln tf) * ln(1 + n / df), length 1.  Inverted lists are cut into blocks of
-``BLOCK`` examples that know each term's largest weight.  A query visits blocks in descending order of their
-bound and stops when the bound is under its k-th best cosine: the k nearest are exact.  The vote is the
-cosine-weighted share of toxic neighbours, drawn to the base rate of term-free examples by ``PRIOR``; a monotone
-fit of leave-one-out votes on the examples makes it a calibrated score.
-
-Defined cases: null or empty text, or one without any kept term, gets the base rate; null ids are carried through and
-never used for fitting; label rows with a null are ignored, several rows of one id vote (a tie is toxic); with no
-labelled examples every score is 0; repeated rows are scored each; an empty table gives an empty result; other columns
-are neither read nor returned (``reject`` keeps them).
+Terms are all words of the labelled examples (lower-cased A-Z, as 64-bit hashes); none is left out.  A term weighs
+(1 + ln tf) * ln(1 + n / df) * rf, where rf = log2(2 + a / max(1, b)) is the relevance frequency: a toxic and b other
+examples hold the term, so words that mark toxic texts weigh more and no word weighs nothing.  A word no example
+holds counts in a text's length only (df 1, rf 1).  Weights are scaled to length 1 per text.
+
+Fitting uses at most ``MAX_EXAMPLES`` labelled documents with ``MAX_POSTINGS`` distinct words in all (in the order of their
+ids' hashes; rows that are held out are never used), so the index has a proven bound and is broadcast.  Equal texts
+count as one example.
+
+Search, many texts at once: examples lie in blocks of ``BLOCK`` that are alike.  The lists of all but the ``LONG`` most
+frequent terms are short and read whole.  The long lists are stored by block, and a block's largest weight of each
+bounds what they can add; a text opens only blocks whose bound (short lists as read, long ones at most) reaches
+its k-th best cosine so far, best bounds first.  So the ``NEIGHBOURS`` nearest are exact; ties (at six decimals)
+go to the smaller id.
+
+The vote is the cosine-weighted share of toxic neighbours, drawn to the base rate by ``PRIOR``.  A logistic curve fitted
+to the leave-one-out votes of the examples makes it the score; the neighbours and their cosines are the evidence.
+
+Defined cases: null or empty text, or one that shares no word with an example, gets the base rate and no neighbours, and
+``reject`` keeps texts without words; null ids are carried through and never used for fitting; label rows with a null
+are ignored, several rows of one id vote (a tie is toxic); with no labelled examples every score is 0; repeated rows
+are scored each; a very long text is one row of a batch like any other; an empty table gives an empty result; other
+columns are neither read nor returned (``reject`` keeps them, whatever their names).
 """
 
 from __future__ import annotations
@@ -28,262 +32,254 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .bytetext import Words, mix64, powers, slices, utf8
+from .bytetext import Words, slices, spread, utf8
 from .tables import bounded_batches, saved, table, text_rows
 
-PREFIXES = (4, 5, 6, 7, 8)
-LEVELS = (1, 2, 3, 5)
-MAX_EXAMPLES, MAX_TERMS, MIN_DF, MIN_ODDS = 20_000, 4096, 5, 2.0
-BLOCK, NEIGHBOURS, PRIOR, CUT = 64, 15, 0.5, 0.7
-HELD_QUERIES = 4096  # answers a worker keeps for equal texts
-SCORED = "doc_id long, score double, neighbours array<long>, cosine double"
-
-
-class Vocabulary:
-    """Kept terms: sorted names, and for each name and level the term's number or -1."""
-
-    def __init__(self, names: np.ndarray, levels: np.ndarray):
-        self.names, back = np.unique(names, return_inverse=True)
-        self.numbers = np.full((len(self.names), len(LEVELS)), -1, np.int64)
-        self.numbers[back, levels] = np.arange(len(names))
-        self.size = len(names)
-
-    def __len__(self) -> int:
-        return self.size
-
-
-class Terms(Words):
-    """Words of a slice with the hashes of their beginnings."""
-
-    def __init__(self, data: np.ndarray, offsets: np.ndarray):
-        super().__init__(data, offsets)
-        up, down = powers(len(data) + 1)
-        from .bytetext import BYTE_KEYS
-
-        total = np.zeros(len(data) + 1, np.uint64)
-        np.cumsum(BYTE_KEYS[self.low] * up[: len(data)], out=total[1:])
-        size = self.end - self.start
-        hashes, at = [self.hash], [np.arange(len(self))]
-        for k in PREFIXES:
-            own = np.flatnonzero(size >= k)
-            s = self.start[own]
-            hashes.append(mix64((total[s + k] - total[s]) * down[s] + np.uint64(1000 + k)))
-            at.append(own)
-        self.term, self.word = np.concatenate(hashes), np.concatenate(at)
-
-    def counted(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """(term, document, count), by term and document."""
-        doc = np.searchsorted(self.doc, self.word, "right") - 1
-        order = np.lexsort((doc, self.term))
-        term, doc = self.term[order], doc[order]
-        first = np.ones(len(term), bool)
-        first[1:] = (term[1:] != term[:-1]) | (doc[1:] != doc[:-1])
-        at = np.flatnonzero(first)
-        return term[at], doc[at], np.diff(np.append(at, len(term)))
-
-    def found(self, vocabulary: Vocabulary) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """(document, term number, count) of the vocabulary's terms, sorted."""
-        if not len(vocabulary.names) or not len(self.term):
-            return (np.zeros(0, np.int64),) * 3
-        p = np.searchsorted(vocabulary.names, self.term)
-        p[p == len(vocabulary.names)] = 0
-        hit = np.flatnonzero(vocabulary.names[p] == self.term)
-        doc = np.searchsorted(self.doc, self.word[hit], "right") - 1
-        key, count = np.unique(doc * len(vocabulary.names) + p[hit], return_counts=True)
-        doc, name = key // len(vocabulary.names), key % len(vocabulary.names)
-        docs, terms, counts = [], [], []
-        for k, level in enumerate(LEVELS):
-            number = vocabulary.numbers[name, k]
-            use = (count >= level) & (number >= 0)
-            docs.append(doc[use])
-            terms.append(number[use])
-            counts.append(count[use] // level)
-        docs, terms, counts = map(np.concatenate, (docs, terms, counts))
-        order = np.lexsort((terms, docs))
-        return docs[order], terms[order], counts[order]
-
-
-class Neighbours:
-    """The labelled examples and their block-max inverted lists."""
-
-    def __init__(self, vocabulary: Vocabulary, df: np.ndarray, ids: np.ndarray, labels: np.ndarray, vectors: list[tuple[np.ndarray, np.ndarray]]):
-        self.vocabulary, n = vocabulary, max(1, len(ids))
-        self.idf = np.log1p(n / np.maximum(df, 1))
-        kept = [i for i, (t, _) in enumerate(vectors) if len(t)]
-        bare = labels[[i for i in range(len(ids)) if not len(vectors[i][0])]] if len(ids) else labels
-        self.base = float((bare.sum() + 0.5) / (len(bare) + 1)) if len(bare) else float(labels.mean()) if len(labels) else 0.0
-        # like examples side by side, so blocks differ in their largest weights
-        kept.sort(key=lambda i: (int(vectors[i][0][np.argmax(self.idf[vectors[i][0]])]), int(ids[i])))
-        self.ids, self.labels = ids[kept], labels[kept].astype(float)
-        rows, terms, weights = [], [], []
-        for r, i in enumerate(kept):
-            t, w = self.weigh(*vectors[i])
-            rows.append(np.full(len(t), r))
-            terms.append(t)
-            weights.append(w)
-        empty = np.zeros(0, np.int64)
-        r, t, w = (np.concatenate(x) if x else e for x, e in ((rows, empty), (terms, empty), (weights, np.zeros(0))))
-        order = np.lexsort((r, t))
-        self.row, self.weight = r[order], w[order]
-        self.n_blocks = -(-len(kept) // BLOCK)
-        cell = t[order] * max(1, self.n_blocks) + self.row // BLOCK
-        self.start = np.searchsorted(cell, np.arange(len(vocabulary) * max(1, self.n_blocks) + 1))
-        self.most = np.zeros((len(vocabulary), max(1, self.n_blocks)))
-        np.maximum.at(self.most.reshape(-1), cell, self.weight)
-        self.curve: tuple[np.ndarray, np.ndarray] | None = None
-        self.answers: dict[tuple, tuple[np.ndarray, np.ndarray]] = {}
-        votes = np.array([self.vote(*vectors[i], own=r)[0] for r, i in enumerate(kept)])
-        if len(kept):
-            self.curve = monotone(votes, self.labels)
-
-    def nearest(self, terms: tuple, counts: tuple, own: int) -> tuple[np.ndarray, np.ndarray]:
-        """As _nearest; a worker keeps the answers for equal texts, HELD_QUERIES at most."""
-        key = (terms, counts, own)
-        found = self.answers.get(key)
-        if found is None:
-            if len(self.answers) >= HELD_QUERIES:
-                self.answers.clear()
-            found = self.answers[key] = self._nearest(*key)
-        return found
-
-    def __getstate__(self):
-        return self.__dict__ | {"answers": {}}
-
-    def weigh(self, terms: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        w = (1 + np.log(counts)) * self.idf[terms]
-        return terms, w / np.sqrt((w * w).sum())
-
-    def _nearest(self, terms: tuple, counts: tuple, own: int) -> tuple[np.ndarray, np.ndarray]:
-        """(rows, cosines) of the nearest examples, best first; ties to the earlier row."""
-        t, w = self.weigh(np.array(terms, np.int64), np.array(counts, np.float64))
-        bound = w @ self.most[t]
-        best_row, best = np.zeros(0, np.int64), np.zeros(0)
-        for b in np.argsort(-bound, kind="stable").tolist():
-            if bound[b] <= 0 or (len(best) == NEIGHBOURS and bound[b] < best[-1] - 1e-12):
+MAX_EXAMPLES, MAX_POSTINGS = 20_000, 8_000_000
+LONG, BLOCK, TEXTS = 512, 64, 64
+NEIGHBOURS, PRIOR, CUT = 50, 0.5, 0.7
+SLACK = 1e-5  # of single-precision sums
+SCORED = "doc_id long, score double, neighbours array<long>, cosines array<float>"
+
+
+def counted(w: Words) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(document, word hash, count) of a slice, sorted."""
+    doc = np.searchsorted(w.doc, np.arange(len(w)), "right") - 1
+    order = np.lexsort((w.hash, doc))
+    term, doc = w.hash[order], doc[order]
+    first = np.ones(len(term), bool)
+    first[1:] = (term[1:] != term[:-1]) | (doc[1:] != doc[:-1])
+    at = np.flatnonzero(first)
+    return doc[at], term[at], np.diff(np.append(at, len(term)))
+
+
+def alike(x: np.ndarray, size: int) -> np.ndarray:
+    """An order of the rows in which blocks of ``size`` rows are alike: halves along the direction of most spread."""
+    parts, done = [np.arange(len(x))], []
+    while parts:
+        own = parts.pop()
+        if len(own) <= size:
+            done.append(own)
+            continue
+        centred = x[own] - x[own].mean(0)
+        axis = centred[np.argmax((centred * centred).sum(1))]
+        for _ in range(4):
+            axis = centred.T @ (centred @ axis)
+            axis = axis / max(1e-12, float(np.linalg.norm(axis)))
+        half = max(1, round(len(own) / 2 / size)) * size
+        order = own[np.argsort(centred @ axis, kind="stable")]
+        parts += [order[half:], order[:half]]
+    return np.concatenate(done) if done else np.zeros(0, np.int64)
+
+
+class Index:
+    """The labelled examples: short lists by term, long lists by block, and each block's largest weights."""
+
+    def __init__(self, ids: np.ndarray, labels: np.ndarray, lengths: np.ndarray, terms: np.ndarray, counts: np.ndarray):
+        n = len(ids)
+        self.base = float(labels.mean()) if n else 0.0
+        owner = np.repeat(np.arange(n, dtype=np.int32), lengths)
+        self.names, term = np.unique(terms, return_inverse=True)
+        term = term.astype(np.int32)
+        df = np.bincount(term, minlength=len(self.names))
+        toxic = np.bincount(term, labels[owner], len(self.names))
+        rf = np.log2(2 + toxic / np.maximum(1, df - toxic))
+        self.novel = float(np.log1p(n))  # of a word without a list
+        self.gain = np.log1p(n / np.maximum(df, 1)) * rf
+        weight = (1 + np.log(counts)) * self.gain[term]
+        size = np.sqrt(np.bincount(owner, weight * weight, n))
+        weight = (weight / np.maximum(size, 1e-12)[owner]).astype(np.float32)
+        frequent = np.sort(np.argsort(-df, kind="stable")[:LONG])
+        self.long = np.full(len(self.names), -1, np.int32)
+        self.long[frequent] = np.arange(len(frequent))
+        dense = np.zeros((n, len(frequent)), np.float32)
+        of_long = self.long[term] >= 0
+        dense[owner[of_long], self.long[term[of_long]]] = weight[of_long]
+        order = alike(dense, BLOCK)
+        self.ids, self.labels, self.dense = ids[order], labels[order].astype(np.float64), dense[order]
+        self.edges = np.arange(0, n, BLOCK)
+        self.most = np.maximum.reduceat(self.dense, self.edges, axis=0).T.copy() if n else np.zeros((0, 0), np.float32)
+        place = np.empty(n, np.int32)
+        place[order] = np.arange(n)
+        short = np.flatnonzero(~of_long)
+        short = short[np.lexsort((place[owner[short]], term[short]))]
+        self.row, self.weight = place[owner[short]], weight[short]
+        self.start = np.searchsorted(term[short], np.arange(len(self.names) + 1))
+        self.curve = (0.0, 0.0)
+
+    def nearest(self, doc: np.ndarray, term: np.ndarray, count: np.ndarray, size: int, k: int) -> tuple[list[np.ndarray], list[np.ndarray]]:
+        """For each of ``size`` texts the places and cosines of its k nearest examples, best first."""
+        n = len(self.ids)
+        if not n or not len(term):
+            return [np.zeros(0, np.int64)] * size, [np.zeros(0)] * size
+        at = np.searchsorted(self.names, term)
+        at[at == len(self.names)] = 0
+        known = self.names[at] == term
+        weight = (1 + np.log(count)) * np.where(known, self.gain[at], self.novel)
+        weight = weight / np.sqrt(np.bincount(doc, weight * weight, size))[doc]
+        doc, at, weight = doc[known], at[known], weight[known]
+        far = self.long[at] >= 0
+        asked = np.zeros((size, self.dense.shape[1]), np.float32)
+        asked[doc[far], self.long[at[far]]] = weight[far]
+        doc, at, weight = doc[~far], at[~far], weight[~far]
+        many = self.start[at + 1] - self.start[at]
+        place = spread(self.start[at], many)
+        sums = np.bincount(np.repeat(doc * n, many) + self.row[place], np.repeat(weight, many) * self.weight[place], size * n).reshape(size, n)
+        bound = np.maximum.reduceat(sums, self.edges, axis=1) + asked @ self.most
+        open_, visited = bound > SLACK, np.zeros(bound.shape, bool)
+        best, least = np.zeros((size, k)), np.zeros(size)
+        order = np.argsort(-bound, axis=1, kind="stable")
+        upto, step = 0, max(2, -(-k // BLOCK))
+        while upto < order.shape[1]:
+            turn = np.zeros(bound.shape, bool)
+            np.put_along_axis(turn, order[:, upto : upto + step], True, axis=1)
+            turn &= open_ & (bound >= least[:, None] - SLACK)
+            if not turn.any():
                 break
-            cosine = np.zeros(BLOCK)
-            for term, weight in zip(t.tolist(), w.tolist(), strict=True):
-                a, z = self.start[term * self.n_blocks + b], self.start[term * self.n_blocks + b + 1]
-                cosine[self.row[a:z] - b * BLOCK] += weight * self.weight[a:z]
-            rows = np.flatnonzero(cosine > 0)
-            cosine, rows = cosine[rows], rows + b * BLOCK
-            cosine, rows = cosine[rows != own], rows[rows != own]
-            best, best_row = np.concatenate([best, cosine]), np.concatenate([best_row, rows])
-            order = np.lexsort((best_row, -np.round(best, 12)))[:NEIGHBOURS]
-            best, best_row = best[order], best_row[order]
-        return best_row, best
-
-    def vote(self, terms: np.ndarray, counts: np.ndarray, own: int = -1) -> tuple[float, np.ndarray, float]:
-        """(vote, nearest example ids, largest cosine)."""
-        if not len(terms) or not self.n_blocks:
-            return self.base, np.zeros(0, np.int64), 0.0
-        rows, cosine = self.nearest(tuple(terms.tolist()), tuple(counts.tolist()), own)
-        vote = float((cosine @ self.labels[rows] + PRIOR * self.base) / (cosine.sum() + PRIOR))
-        return vote, self.ids[rows[:5]], float(cosine[0]) if len(cosine) else 0.0
-
-    def score(self, terms: np.ndarray, counts: np.ndarray) -> tuple[float, np.ndarray, float]:
-        vote, ids, cosine = self.vote(terms, counts)
-        if not len(ids) or self.curve is None:
-            return min(1.0, max(0.0, self.base)), ids, cosine
-        fitted = float(np.interp(vote, *self.curve))
-        return min(1.0, max(0.0, 0.95 * fitted + 0.05 * vote)), ids, cosine
-
-
-def monotone(x: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Points of the rising step fit of y on x (pool adjacent violators, each pool drawn to a half by one row)."""
-    order = np.argsort(x, kind="stable")
-    pools: list[list[float]] = []
-    for a, b in zip(x[order].tolist(), y[order].tolist(), strict=True):
-        pools.append([a, b, 1.0])
-        while len(pools) > 1 and pools[-2][1] / pools[-2][2] >= pools[-1][1] / pools[-1][2]:
-            c = pools.pop()
-            pools[-1] = [pools[-1][0] + c[0], pools[-1][1] + c[1], pools[-1][2] + c[2]]
-    return np.array([p[0] / p[2] for p in pools]), np.maximum.accumulate(np.array([(p[1] + 0.5) / (p[2] + 1) for p in pools]))
-
-
-def examples(docs: DataFrame, labels: DataFrame, usable, limit: int, doc_id: str, text: str) -> DataFrame:
-    """doc_id, text, toxic of at most ``limit`` labelled documents, equal texts once, in the shared folder."""
+            got = np.zeros((size, step * BLOCK))
+            filled = np.zeros(size, np.int64)
+            for b in np.flatnonzero(turn.any(0)).tolist():
+                own, a, z = np.flatnonzero(turn[:, b]), b * BLOCK, min(n, (b + 1) * BLOCK)
+                sums[own, a:z] += asked[own] @ self.dense[a:z].T
+                got[own[:, None], filled[own, None] + np.arange(z - a)] = sums[own, a:z]
+                filled[own] += BLOCK
+            visited |= turn
+            best = -np.partition(-np.concatenate([best, got], axis=1), k - 1, axis=1)[:, :k]
+            least = best.min(axis=1)
+            upto, step = upto + step, min(2 * step, 16)
+        places, cosines = [], []
+        for q in range(size):
+            inside = np.repeat(visited[q], BLOCK)[:n]
+            own = np.flatnonzero(inside & (sums[q] >= max(least[q] - 1e-6, 1e-9)))
+            cosine = np.round(sums[q, own], 6)
+            first = np.lexsort((self.ids[own], -cosine))[:k]
+            places.append(own[first])
+            cosines.append(cosine[first])
+        return places, cosines
+
+    def vote(self, place: np.ndarray, cosine: np.ndarray) -> float:
+        return float((cosine @ self.labels[place] + PRIOR * self.base) / (cosine.sum() + PRIOR))
+
+    def calibrated(self, vote: float) -> float:
+        a, b = self.curve
+        return float(1 / (1 + np.exp(-np.clip(a + b * vote, -40, 40))))
+
+
+def logistic(x: np.ndarray, y: np.ndarray) -> tuple[float, float]:
+    """Intercept and slope of y on x by Newton's method, with labels drawn to (n1 + 1) / (n1 + 2) and 1 / (n0 + 2)."""
+    if not len(x):
+        return 0.0, 0.0
+    n1 = y.sum()
+    y = np.where(y > 0, (n1 + 1) / (n1 + 2), 1 / (len(y) - n1 + 2))
+    design, beta = np.stack([np.ones(len(x)), x], axis=1), np.zeros(2)
+    for _ in range(50):
+        p = 1 / (1 + np.exp(-np.clip(design @ beta, -40, 40)))
+        slope = design.T @ (y - p) - 1e-3 * beta
+        step = np.linalg.solve((design * (p * (1 - p))[:, None]).T @ design + 1e-3 * np.eye(2), slope)
+        beta = beta + np.clip(step, -5, 5)
+        if np.abs(step).max() < 1e-9:
+            break
+    return float(beta[0]), float(beta[1])
+
+
+def examples(docs: DataFrame, labels: DataFrame, usable, limit: int, postings: int, doc_id: str, text: str) -> DataFrame:
+    """doc_id, toxic, terms, counts of at most ``limit`` labelled documents, equal texts once, ``postings`` terms in all; in the shared folder."""
     named = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("toxic").cast("double").alias("toxic")).where("doc_id is not null and toxic is not null")
     named = named.where(usable(F.col("doc_id"))).groupBy("doc_id").agg(F.avg("toxic").alias("toxic"))
     chosen = F.broadcast(named.orderBy(F.xxhash64("doc_id"), "doc_id").limit(limit))  # at most ``limit`` pairs of numbers
-    own = text_rows(docs, doc_id, text).where("text is not null")
-    met = own.join(chosen, "doc_id")
-    once = met.groupBy(F.sha2("text", 256).alias("name")).agg(F.min("doc_id").alias("doc_id"), F.avg("toxic").alias("toxic"), F.first("text").alias("text"))
-    return saved(once.select("doc_id", "text", (F.col("toxic") >= 0.5).cast("int").alias("toxic")), "examples")
+    met = text_rows(docs, doc_id, text).where("text is not null").join(chosen, "doc_id")
 
-
-def fit(docs: DataFrame, labels: DataFrame, usable=lambda c: F.lit(True), limit: int = MAX_EXAMPLES, doc_id: str = "doc_id", text: str = "text") -> Neighbours:
-    """The index of the labelled documents; ``usable`` is a condition on their ids."""
-    chosen = examples(docs, labels, usable, limit, doc_id, text)
-    totals = {r["toxic"]: r["n"] for r in chosen.groupBy("toxic").agg(F.count("*").alias("n")).collect()}
-
-    def frequencies(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            data, offsets = utf8(batch.column(1))
-            toxic = batch.column(2).to_numpy(zero_copy_only=False).astype(np.int64)
-            for i, j in slices(offsets):
-                term, doc, count = Terms(data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i]).counted()
-                for k, level in enumerate(LEVELS):
-                    own = count >= level
-                    name, back = np.unique(term[own], return_inverse=True)
-                    in_toxic = np.bincount(back, toxic[i:j][doc[own]], len(name)).astype(np.int64)
-                    yield pa.RecordBatch.from_arrays([pa.array(name.view(np.int64)), pa.array(np.full(len(name), k, np.int32)), pa.array(in_toxic), pa.array(np.bincount(back, minlength=len(name)).astype(np.int64) - in_toxic)], ["term", "level", "in_toxic", "in_other"])
-
-    n1, n0 = totals.get(1, 0), totals.get(0, 0)
-    df = chosen.select("doc_id", "text", "toxic").mapInArrow(frequencies, "term long, level int, in_toxic long, in_other long").groupBy("term", "level").agg(F.sum("in_toxic").alias("a"), F.sum("in_other").alias("b"))
-    odds = F.log(((F.col("a") + 0.5) / (n1 + 1)) / ((F.col("b") + 0.5) / (n0 + 1)))
-    n, a, b = F.lit(float(max(1, n1 + n0))), F.col("a"), F.col("b")
-    chi = n * F.pow(a * (n0 - b) - b * (n1 - a), 2) / F.greatest((a + b) * (n - a - b) * n1 * n0, F.lit(1e-9))
-    kept = df.where((a >= MIN_DF) & (odds >= MIN_ODDS)).withColumn("chi", chi).orderBy(F.desc("chi"), "term", "level").limit(MAX_TERMS).collect()  # at most MAX_TERMS rows
-    vocabulary = Vocabulary(np.array([r["term"] for r in kept], np.int64).view(np.uint64), np.array([r["level"] for r in kept], np.int64))
-    frequency = np.array([r["a"] + r["b"] for r in kept], np.float64)
-
-    def vectors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            data, offsets = utf8(batch.column(1))
+            data, offsets = utf8(batch.column(2))
             terms, counts = [], []
             for i, j in slices(offsets):
-                d, t, c = Terms(data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i]).found(vocabulary)
-                edge = np.searchsorted(d, np.arange(j - i + 1))
-                terms.extend(t[a:z].tolist() for a, z in zip(edge[:-1], edge[1:], strict=True))
-                counts.extend(c[a:z].tolist() for a, z in zip(edge[:-1], edge[1:], strict=True))
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array(terms, pa.list_(pa.int64())), pa.array(counts, pa.list_(pa.int64()))], ["doc_id", "toxic", "terms", "counts"])
-
-    held = chosen.select("doc_id", "text", "toxic").mapInArrow(vectors, "doc_id long, toxic int, terms array<long>, counts array<long>").orderBy("doc_id").toPandas()  # at most ``limit`` short vectors
-    sparse = [(np.array(t, np.int64), np.array(c, np.int64)) for t, c in zip(held["terms"], held["counts"], strict=True)]
-    return Neighbours(vocabulary, frequency, held["doc_id"].to_numpy(np.int64), held["toxic"].to_numpy(np.int64), sparse)
-
+                doc, term, count = counted(Words(data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i]))
+                edge = np.searchsorted(doc, np.arange(j - i + 1))
+                terms.extend(term[a:z].view(np.int64) for a, z in zip(edge[:-1], edge[1:], strict=True))
+                counts.extend(count[a:z].astype(np.int32) for a, z in zip(edge[:-1], edge[1:], strict=True))
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(terms, pa.list_(pa.int64())), pa.array(counts, pa.list_(pa.int32()))], ["name", "toxic", "terms", "counts"])
+
+    name = F.struct("doc_id", F.sha2("text", 256).alias("h")).alias("name")
+    found = met.select(name, "toxic", "text").mapInArrow(run, "name struct<doc_id:long,h:string>, toxic double, terms array<long>, counts array<int>")
+    once = found.groupBy("name.h").agg(F.min("name.doc_id").alias("doc_id"), F.avg("toxic").alias("toxic"), F.first("terms").alias("terms"), F.first("counts").alias("counts"))
+    once = saved(once.where(F.size("terms") > 0).select("doc_id", "h", (F.col("toxic") >= 0.5).cast("int").alias("toxic"), "terms", "counts"), "examples")
+    upto = F.sum(F.size("terms").cast("long")).over(W.orderBy(F.xxhash64("doc_id"), "doc_id", "h"))  # of at most ``limit`` rows of numbers
+    within = F.broadcast(once.select("doc_id", "h", upto.alias("upto")).where(F.col("upto") <= postings).select("doc_id", "h"))
+    return once.join(within, ["doc_id", "h"], "left_semi").orderBy("doc_id", "h")
+
+
+def fit(docs: DataFrame, labels: DataFrame, usable=lambda c: F.lit(True), limit: int = MAX_EXAMPLES, postings: int = MAX_POSTINGS, doc_id: str = "doc_id", text: str = "text") -> Index:
+    """The index of the labelled documents; ``usable`` is a condition on their ids."""
+    spark = docs.sparkSession
+    chosen = examples(docs, labels, usable, limit, postings, doc_id, text)
+    held = pa.Table.from_batches(chosen.select("doc_id", "toxic", "terms", "counts").toArrow().to_batches())  # at most ``limit`` rows, ``postings`` numbers
+    lists = held.column("terms").combine_chunks()
+    terms, counts = lists.flatten().to_numpy().view(np.uint64), held.column("counts").combine_chunks().flatten().to_numpy()
+    model = Index(held.column("doc_id").to_numpy(), held.column("toxic").to_numpy(), lists.value_lengths().to_numpy(zero_copy_only=False), terms, counts)
+    if not len(model.ids):
+        return model
+    shared = spark.sparkContext.broadcast(model)
 
-def _scores(model: Neighbours, column: pa.Array) -> Iterator[tuple[float, np.ndarray, float]]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        own = shared.value
+        where = {int(i): p for p, i in enumerate(own.ids)}
+        for batch in batches:
+            lists, ids, votes = batch.column(1), batch.column(0).to_pylist(), []
+            for a in range(0, batch.num_rows, TEXTS):
+                z = min(batch.num_rows, a + TEXTS)
+                part = lists.slice(a, z - a)
+                doc = np.repeat(np.arange(z - a), part.value_lengths().to_numpy(zero_copy_only=False))
+                places, cosines = own.nearest(doc, part.flatten().to_numpy().view(np.uint64), batch.column(2).slice(a, z - a).flatten().to_numpy(), z - a, NEIGHBOURS + 1)
+                for i, p, c in zip(ids[a:z], places, cosines, strict=True):
+                    use = np.flatnonzero(p != where[i])[:NEIGHBOURS]
+                    votes.append(own.vote(p[use], c[use]))
+            yield pa.RecordBatch.from_arrays([pa.array(votes, pa.float64()), batch.column(3)], ["vote", "toxic"])
+
+    bounded_batches(spark)
+    parts = max(1, min(4 * spark.sparkContext.defaultParallelism, len(model.ids) // 256))
+    votes = chosen.select("doc_id", "terms", "counts", "toxic").repartition(parts, "doc_id").mapInArrow(run, "vote double, toxic int").toPandas().sort_values(["vote", "toxic"])
+    model.curve = logistic(votes["vote"].to_numpy(), votes["toxic"].to_numpy(np.float64))
+    shared.unpersist()
+    return model
+
+
+def _scores(model: Index, column: pa.Array) -> Iterator[tuple[float, np.ndarray, np.ndarray, bool]]:
+    """(score, nearest ids, cosines, has words) of each text."""
     data, offsets = utf8(column)
     for i, j in slices(offsets):
-        d, t, c = Terms(data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i]).found(model.vocabulary)
-        edge = np.searchsorted(d, np.arange(j - i + 1))
-        for a, z in zip(edge[:-1].tolist(), edge[1:].tolist(), strict=True):
-            yield model.score(t[a:z], c[a:z])
-
-
-def score(docs: DataFrame, model: Neighbours, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """doc_id, score, neighbours (ids of the nearest examples) and the largest cosine, of each row."""
+        doc, term, count = counted(Words(data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i]))
+        edge = np.searchsorted(doc, np.arange(j - i + 1))
+        for a in range(0, j - i, TEXTS):
+            z = min(j - i, a + TEXTS)
+            lo, hi = edge[a], edge[z]
+            places, cosines = model.nearest(doc[lo:hi] - a, term[lo:hi], count[lo:hi], z - a, NEIGHBOURS)
+            for d, p, c in zip(range(a, z), places, cosines, strict=True):
+                yield model.calibrated(model.vote(p, c)) if len(p) else model.base, model.ids[p], c, edge[d + 1] > edge[d]
+
+
+def score(docs: DataFrame, model: Index, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+    """doc_id, score, and the ids and cosines of the nearest examples, of each row."""
     held = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             rows = list(_scores(held.value, batch.column(1)))
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([r[0] for r in rows], pa.float64()), pa.array([r[1].tolist() for r in rows], pa.list_(pa.int64())), pa.array([r[2] for r in rows], pa.float64())], ["doc_id", "score", "neighbours", "cosine"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([r[0] for r in rows], pa.float64()), pa.array([r[1] for r in rows], pa.list_(pa.int64())), pa.array([r[2] for r in rows], pa.list_(pa.float32()))], ["doc_id", "score", "neighbours", "cosines"])
 
     return text_rows(docs, doc_id, text).mapInArrow(run, SCORED)
 
 
-def reject(docs: DataFrame, model: Neighbours, cut: float = CUT, text: str = "text") -> DataFrame:
-    """The rows of ``docs`` whose score is under the cut, with all columns."""
+def reject(docs: DataFrame, model: Index, cut: float = CUT, text: str = "text") -> DataFrame:
+    """The rows of ``docs`` whose score is under the cut or whose text has no words, with all columns."""
     held, where = docs.sparkSession.sparkContext.broadcast(model), docs.columns.index(text)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            yield batch.filter(pa.array([r[0] < cut for r in _scores(held.value, batch.column(where))], pa.bool_()))
+            yield batch.filter(pa.array([r[0] < cut or not r[3] for r in _scores(held.value, batch.column(where))], pa.bool_()))
 
     bounded_batches(docs.sparkSession)
     return docs.mapInArrow(run, docs.schema)
@@ -298,4 +294,4 @@ def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     model = fit(docs, table(spark, sf_dir, "labels"), unheld)
     out = score(docs, model)
-    return out.select("doc_id", F.coalesce(~unheld(F.col("doc_id")), F.lit(False)).alias("held_out"), "score", (F.col("score") >= CUT).cast("int").alias("predicted"), "neighbours", "cosine")
+    return out.select("doc_id", F.coalesce(~unheld(F.col("doc_id")), F.lit(False)).alias("held_out"), "score", (F.col("score") >= CUT).cast("int").alias("predicted"), "neighbours", "cosines")
