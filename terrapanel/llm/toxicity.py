@@ -27,10 +27,13 @@ columns are neither read nor returned (``reject`` keeps them, whatever their nam
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -38,8 +41,8 @@ from pyspark.sql import functions as F
 from .bytetext import Words, slices, spread, utf8
 from .tables import bounded_batches, saved, table, text_rows
 
-MAX_EXAMPLES, MAX_POSTINGS = 20_000, 8_000_000
-LONG, BLOCK, TEXTS = 512, 64, 64
+MAX_EXAMPLES, MAX_POSTINGS = 12_000, 5_000_000
+LONG, BLOCK, TEXTS = 512, 64, 128
 NEIGHBOURS, PRIOR, CUT = 50, 0.5, 0.7
 SLACK = 1e-5  # of single-precision sums
 SCORED = "doc_id long, score double, neighbours array<long>, cosines array<float>"
@@ -81,34 +84,48 @@ class Index:
     def __init__(self, ids: np.ndarray, labels: np.ndarray, lengths: np.ndarray, terms: np.ndarray, counts: np.ndarray):
         n = len(ids)
         self.base = float(labels.mean()) if n else 0.0
-        owner = np.repeat(np.arange(n, dtype=np.int32), lengths)
         self.names, term = np.unique(terms, return_inverse=True)
-        term = term.astype(np.int32)
+        term, owner = term.astype(np.int32), np.repeat(np.arange(n, dtype=np.int32), lengths)
         df = np.bincount(term, minlength=len(self.names))
         toxic = np.bincount(term, labels[owner], len(self.names))
-        rf = np.log2(2 + toxic / np.maximum(1, df - toxic))
         self.novel = float(np.log1p(n))  # of a word without a list
-        self.gain = np.log1p(n / np.maximum(df, 1)) * rf
-        weight = (1 + np.log(counts)) * self.gain[term]
+        self.gain = np.log1p(n / np.maximum(df, 1)) * np.log2(2 + toxic / np.maximum(1, df - toxic))
+        weight = ((1 + np.log(counts)) * self.gain[term]).astype(np.float32)
         size = np.sqrt(np.bincount(owner, weight * weight, n))
-        weight = (weight / np.maximum(size, 1e-12)[owner]).astype(np.float32)
+        weight /= np.maximum(size, 1e-12)[owner].astype(np.float32)
         frequent = np.sort(np.argsort(-df, kind="stable")[:LONG])
         self.long = np.full(len(self.names), -1, np.int32)
-        self.long[frequent] = np.arange(len(frequent))
-        dense = np.zeros((n, len(frequent)), np.float32)
-        of_long = self.long[term] >= 0
-        dense[owner[of_long], self.long[term[of_long]]] = weight[of_long]
-        order = alike(dense, BLOCK)
-        self.ids, self.labels, self.dense = ids[order], labels[order].astype(np.float64), dense[order]
-        self.edges = np.arange(0, n, BLOCK)
-        self.most = np.maximum.reduceat(self.dense, self.edges, axis=0).T.copy() if n else np.zeros((0, 0), np.float32)
+        self.long[frequent] = np.arange(len(frequent), dtype=np.int32)
+        far = self.long[term] >= 0
+        self.far = (owner[far], self.long[term[far]].astype(np.int16), weight[far])
+        order = alike(self.spelt(n, len(frequent)), BLOCK)
         place = np.empty(n, np.int32)
-        place[order] = np.arange(n)
-        short = np.flatnonzero(~of_long)
-        short = short[np.lexsort((place[owner[short]], term[short]))]
-        self.row, self.weight = place[owner[short]], weight[short]
-        self.start = np.searchsorted(term[short], np.arange(len(self.names) + 1))
-        self.curve = (0.0, 0.0)
+        place[order] = np.arange(n, dtype=np.int32)
+        self.far = (place[self.far[0]], *self.far[1:])
+        self.ids, self.labels, self.n_long = ids[order], labels[order].astype(np.float64), len(frequent)
+        near = np.flatnonzero(~far)
+        near = near[np.argsort(term[near].astype(np.int64) * max(1, n) + place[owner[near]], kind="stable")]
+        self.row, self.weight = place[owner[near]], weight[near]
+        self.start = np.searchsorted(term[near], np.arange(len(self.names) + 1)).astype(np.int32)
+        self.open()
+
+    def spelt(self, n: int, n_long: int) -> np.ndarray:
+        out = np.zeros((n, n_long), np.float32)
+        out[self.far[0], self.far[1]] = self.far[2]
+        return out
+
+    def open(self) -> None:
+        """The long lists by block; they travel as lists."""
+        n = len(self.ids)
+        self.dense, self.edges = self.spelt(n, self.n_long), np.arange(0, n, BLOCK)
+        self.most = np.maximum.reduceat(self.dense, self.edges, axis=0).T.copy() if n else np.zeros((0, 0), np.float32)
+
+    def __getstate__(self) -> dict:
+        return {k: v for k, v in self.__dict__.items() if k not in ("dense", "most")}
+
+    def __setstate__(self, state: dict) -> None:
+        self.__dict__.update(state)
+        self.open()
 
     def nearest(self, doc: np.ndarray, term: np.ndarray, count: np.ndarray, size: int, k: int) -> tuple[list[np.ndarray], list[np.ndarray]]:
         """For each of ``size`` texts the places and cosines of its k nearest examples, best first."""
@@ -129,27 +146,24 @@ class Index:
         place = spread(self.start[at], many)
         sums = np.bincount(np.repeat(doc * n, many) + self.row[place], np.repeat(weight, many) * self.weight[place], size * n).reshape(size, n)
         bound = np.maximum.reduceat(sums, self.edges, axis=1) + asked @ self.most
-        open_, visited = bound > SLACK, np.zeros(bound.shape, bool)
-        best, least = np.zeros((size, k)), np.zeros(size)
-        order = np.argsort(-bound, axis=1, kind="stable")
-        upto, step = 0, max(2, -(-k // BLOCK))
-        while upto < order.shape[1]:
-            turn = np.zeros(bound.shape, bool)
-            np.put_along_axis(turn, order[:, upto : upto + step], True, axis=1)
-            turn &= open_ & (bound >= least[:, None] - SLACK)
-            if not turn.any():
-                break
-            got = np.zeros((size, step * BLOCK))
-            filled = np.zeros(size, np.int64)
+        least, visited = np.zeros(size), np.zeros(bound.shape, bool)
+        # first each text's most promising blocks, which give its k-th best so far; then every block that can reach that
+        first = np.argpartition(-bound, min(bound.shape[1], 2 * -(-k // BLOCK)) - 1, axis=1)[:, : 2 * -(-k // BLOCK)]
+        turn = np.zeros(bound.shape, bool)
+        np.put_along_axis(turn, first, True, axis=1)
+        for _ in range(2):
+            turn &= (bound >= least[:, None] - SLACK) & (bound > SLACK)
             for b in np.flatnonzero(turn.any(0)).tolist():
                 own, a, z = np.flatnonzero(turn[:, b]), b * BLOCK, min(n, (b + 1) * BLOCK)
-                sums[own, a:z] += asked[own] @ self.dense[a:z].T
-                got[own[:, None], filled[own, None] + np.arange(z - a)] = sums[own, a:z]
-                filled[own] += BLOCK
+                if len(own) == size:
+                    sums[:, a:z] += asked @ self.dense[a:z].T
+                else:
+                    sums[own, a:z] += asked[own] @ self.dense[a:z].T
             visited |= turn
-            best = -np.partition(-np.concatenate([best, got], axis=1), k - 1, axis=1)[:, :k]
-            least = best.min(axis=1)
-            upto, step = upto + step, min(2 * step, 16)
+            for q in range(size):
+                done = sums[q, np.repeat(visited[q], BLOCK)[:n]]
+                least[q] = np.partition(done, len(done) - k)[len(done) - k] if len(done) > k else 0.0
+            turn = ~visited
         places, cosines = [], []
         for q in range(size):
             inside = np.repeat(visited[q], BLOCK)[:n]
@@ -163,9 +177,12 @@ class Index:
     def vote(self, place: np.ndarray, cosine: np.ndarray) -> float:
         return float((cosine @ self.labels[place] + PRIOR * self.base) / (cosine.sum() + PRIOR))
 
-    def calibrated(self, vote: float) -> float:
-        a, b = self.curve
-        return float(1 / (1 + np.exp(-np.clip(a + b * vote, -40, 40))))
+
+class Model(NamedTuple):
+    """The broadcast index (at most MAX_EXAMPLES rows, MAX_POSTINGS numbers) and the calibration's intercept and slope."""
+
+    index: Broadcast
+    curve: tuple[float, float]
 
 
 def logistic(x: np.ndarray, y: np.ndarray) -> tuple[float, float]:
@@ -212,17 +229,13 @@ def examples(docs: DataFrame, labels: DataFrame, usable, limit: int, postings: i
     return once.join(within, ["doc_id", "h"], "left_semi").orderBy("doc_id", "h")
 
 
-def fit(docs: DataFrame, labels: DataFrame, usable=lambda c: F.lit(True), limit: int = MAX_EXAMPLES, postings: int = MAX_POSTINGS, doc_id: str = "doc_id", text: str = "text") -> Index:
+def fit(docs: DataFrame, labels: DataFrame, usable=lambda c: F.lit(True), limit: int = MAX_EXAMPLES, postings: int = MAX_POSTINGS, doc_id: str = "doc_id", text: str = "text") -> Model:
     """The index of the labelled documents; ``usable`` is a condition on their ids."""
     spark = docs.sparkSession
     chosen = examples(docs, labels, usable, limit, postings, doc_id, text)
-    held = pa.Table.from_batches(chosen.select("doc_id", "toxic", "terms", "counts").toArrow().to_batches())  # at most ``limit`` rows, ``postings`` numbers
-    lists = held.column("terms").combine_chunks()
-    terms, counts = lists.flatten().to_numpy().view(np.uint64), held.column("counts").combine_chunks().flatten().to_numpy()
-    model = Index(held.column("doc_id").to_numpy(), held.column("toxic").to_numpy(), lists.value_lengths().to_numpy(zero_copy_only=False), terms, counts)
-    if not len(model.ids):
-        return model
-    shared = spark.sparkContext.broadcast(model)
+    shared = spark.sparkContext.broadcast(_index(chosen))
+    if not (n := len(shared.value.ids)):
+        return Model(shared, (0.0, 0.0))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = shared.value
@@ -240,14 +253,19 @@ def fit(docs: DataFrame, labels: DataFrame, usable=lambda c: F.lit(True), limit:
             yield pa.RecordBatch.from_arrays([pa.array(votes, pa.float64()), batch.column(3)], ["vote", "toxic"])
 
     bounded_batches(spark)
-    parts = max(1, min(4 * spark.sparkContext.defaultParallelism, len(model.ids) // 256))
+    parts = max(1, min(4 * spark.sparkContext.defaultParallelism, n // 256))
     votes = chosen.select("doc_id", "terms", "counts", "toxic").repartition(parts, "doc_id").mapInArrow(run, "vote double, toxic int").toPandas().sort_values(["vote", "toxic"])
-    model.curve = logistic(votes["vote"].to_numpy(), votes["toxic"].to_numpy(np.float64))
-    shared.unpersist()
-    return model
+    return Model(shared, logistic(votes["vote"].to_numpy(), votes["toxic"].to_numpy(np.float64)))
+
+
+def _index(chosen: DataFrame) -> Index:
+    held = chosen.select("doc_id", "toxic", "terms", "counts").toArrow()  # at most MAX_EXAMPLES rows, MAX_POSTINGS numbers
+    lists = held.column("terms").combine_chunks()
+    terms, counts = lists.flatten().to_numpy().view(np.uint64), held.column("counts").combine_chunks().flatten().to_numpy()
+    return Index(held.column("doc_id").to_numpy(), held.column("toxic").to_numpy(), lists.value_lengths().to_numpy(zero_copy_only=False), terms, counts)
 
 
-def _scores(model: Index, column: pa.Array) -> Iterator[tuple[float, np.ndarray, np.ndarray, bool]]:
+def _scores(model: Index, curve: tuple[float, float], column: pa.Array) -> Iterator[tuple[float, np.ndarray, np.ndarray, bool]]:
     """(score, nearest ids, cosines, has words) of each text."""
     data, offsets = utf8(column)
     for i, j in slices(offsets):
@@ -258,28 +276,28 @@ def _scores(model: Index, column: pa.Array) -> Iterator[tuple[float, np.ndarray,
             lo, hi = edge[a], edge[z]
             places, cosines = model.nearest(doc[lo:hi] - a, term[lo:hi], count[lo:hi], z - a, NEIGHBOURS)
             for d, p, c in zip(range(a, z), places, cosines, strict=True):
-                yield model.calibrated(model.vote(p, c)) if len(p) else model.base, model.ids[p], c, edge[d + 1] > edge[d]
+                chance = 1 / (1 + math.exp(-min(40.0, max(-40.0, curve[0] + curve[1] * model.vote(p, c))))) if len(p) else model.base
+                yield chance, model.ids[p], c, bool(edge[d + 1] > edge[d])
 
 
-def score(docs: DataFrame, model: Index, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+def score(docs: DataFrame, model: Model, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """doc_id, score, and the ids and cosines of the nearest examples, of each row."""
-    held = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            rows = list(_scores(held.value, batch.column(1)))
+            rows = list(_scores(model.index.value, model.curve, batch.column(1)))
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([r[0] for r in rows], pa.float64()), pa.array([r[1] for r in rows], pa.list_(pa.int64())), pa.array([r[2] for r in rows], pa.list_(pa.float32()))], ["doc_id", "score", "neighbours", "cosines"])
 
     return text_rows(docs, doc_id, text).mapInArrow(run, SCORED)
 
 
-def reject(docs: DataFrame, model: Index, cut: float = CUT, text: str = "text") -> DataFrame:
+def reject(docs: DataFrame, model: Model, cut: float = CUT, text: str = "text") -> DataFrame:
     """The rows of ``docs`` whose score is under the cut or whose text has no words, with all columns."""
-    held, where = docs.sparkSession.sparkContext.broadcast(model), docs.columns.index(text)
+    where = docs.columns.index(text)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            yield batch.filter(pa.array([r[0] < cut or not r[3] for r in _scores(held.value, batch.column(where))], pa.bool_()))
+            yield batch.filter(pa.array([r[0] < cut or not r[3] for r in _scores(model.index.value, model.curve, batch.column(where))], pa.bool_()))
 
     bounded_batches(docs.sparkSession)
     return docs.mapInArrow(run, docs.schema)
