@@ -81,8 +81,8 @@ def alike(x: np.ndarray, size: int) -> np.ndarray:
 class Index:
     """The labelled examples: short lists by term, long lists by block, and each block's largest weights."""
 
-    def __init__(self, ids: np.ndarray, labels: np.ndarray, lengths: np.ndarray, terms: np.ndarray, counts: np.ndarray):
-        n = len(ids)
+    def __init__(self, ids: np.ndarray, labels: np.ndarray, lengths: np.ndarray, terms: np.ndarray, counts: np.ndarray, k: int = NEIGHBOURS, long: int = LONG, block: int = BLOCK):
+        n, self.k, self.block = len(ids), k, block
         self.base = float(labels.mean()) if n else 0.0
         self.names, term = np.unique(terms, return_inverse=True)
         term, owner = term.astype(np.int32), np.repeat(np.arange(n, dtype=np.int32), lengths)
@@ -93,12 +93,12 @@ class Index:
         weight = ((1 + np.log(counts)) * self.gain[term]).astype(np.float32)
         size = np.sqrt(np.bincount(owner, weight * weight, n))
         weight /= np.maximum(size, 1e-12)[owner].astype(np.float32)
-        frequent = np.sort(np.argsort(-df, kind="stable")[:LONG])
+        frequent = np.sort(np.argsort(-df, kind="stable")[:long])
         self.long = np.full(len(self.names), -1, np.int32)
         self.long[frequent] = np.arange(len(frequent), dtype=np.int32)
         far = self.long[term] >= 0
         self.far = (owner[far], self.long[term[far]].astype(np.int16), weight[far])
-        order = alike(self.spelt(n, len(frequent)), BLOCK)
+        order = alike(self.spelt(n, len(frequent)), self.block)
         place = np.empty(n, np.int32)
         place[order] = np.arange(n, dtype=np.int32)
         self.far = (place[self.far[0]], *self.far[1:])
@@ -117,7 +117,7 @@ class Index:
     def open(self) -> None:
         """The long lists by block; they travel as lists."""
         n = len(self.ids)
-        self.dense, self.edges = self.spelt(n, self.n_long), np.arange(0, n, BLOCK)
+        self.dense, self.edges = self.spelt(n, self.n_long), np.arange(0, n, self.block)
         self.most = np.maximum.reduceat(self.dense, self.edges, axis=0).T.copy() if n else np.zeros((0, 0), np.float32)
 
     def __getstate__(self) -> dict:
@@ -127,9 +127,9 @@ class Index:
         self.__dict__.update(state)
         self.open()
 
-    def nearest(self, doc: np.ndarray, term: np.ndarray, count: np.ndarray, size: int, k: int) -> tuple[list[np.ndarray], list[np.ndarray]]:
-        """For each of ``size`` texts the places and cosines of its k nearest examples, best first."""
-        n = len(self.ids)
+    def nearest(self, doc: np.ndarray, term: np.ndarray, count: np.ndarray, size: int, extra: int = 0) -> tuple[list[np.ndarray], list[np.ndarray]]:
+        """For each of ``size`` texts the places and cosines of its k (and ``extra``) nearest examples, best first."""
+        n, k = len(self.ids), self.k + extra
         if not n or not len(term):
             return [np.zeros(0, np.int64)] * size, [np.zeros(0)] * size
         at = np.searchsorted(self.names, term)
@@ -144,29 +144,29 @@ class Index:
         doc, at, weight = doc[~far], at[~far], weight[~far]
         many = self.start[at + 1] - self.start[at]
         place = spread(self.start[at], many)
-        sums = np.bincount(np.repeat(doc * n, many) + self.row[place], np.repeat(weight, many) * self.weight[place], size * n).reshape(size, n)
+        sums = np.bincount(np.repeat(doc * n, many) + self.row[place], np.repeat(weight, many) * self.weight[place], size * n).reshape(size, n).astype(np.float64, copy=False)
         bound = np.maximum.reduceat(sums, self.edges, axis=1) + asked @ self.most
         least, visited = np.zeros(size), np.zeros(bound.shape, bool)
         # first each text's most promising blocks, which give its k-th best so far; then every block that can reach that
-        first = np.argpartition(-bound, min(bound.shape[1], 2 * -(-k // BLOCK)) - 1, axis=1)[:, : 2 * -(-k // BLOCK)]
+        first = np.argpartition(-bound, min(bound.shape[1], 2 * -(-k // self.block)) - 1, axis=1)[:, : 2 * -(-k // self.block)]
         turn = np.zeros(bound.shape, bool)
         np.put_along_axis(turn, first, True, axis=1)
         for _ in range(2):
             turn &= (bound >= least[:, None] - SLACK) & (bound > SLACK)
             for b in np.flatnonzero(turn.any(0)).tolist():
-                own, a, z = np.flatnonzero(turn[:, b]), b * BLOCK, min(n, (b + 1) * BLOCK)
+                own, a, z = np.flatnonzero(turn[:, b]), b * self.block, min(n, (b + 1) * self.block)
                 if len(own) == size:
                     sums[:, a:z] += asked @ self.dense[a:z].T
                 else:
                     sums[own, a:z] += asked[own] @ self.dense[a:z].T
             visited |= turn
             for q in range(size):
-                done = sums[q, np.repeat(visited[q], BLOCK)[:n]]
+                done = sums[q, np.repeat(visited[q], self.block)[:n]]
                 least[q] = np.partition(done, len(done) - k)[len(done) - k] if len(done) > k else 0.0
             turn = ~visited
         places, cosines = [], []
         for q in range(size):
-            inside = np.repeat(visited[q], BLOCK)[:n]
+            inside = np.repeat(visited[q], self.block)[:n]
             own = np.flatnonzero(inside & (sums[q] >= max(least[q] - 1e-6, 1e-9)))
             cosine = np.round(sums[q, own], 6)
             first = np.lexsort((self.ids[own], -cosine))[:k]
@@ -229,11 +229,11 @@ def examples(docs: DataFrame, labels: DataFrame, usable, limit: int, postings: i
     return once.join(within, ["doc_id", "h"], "left_semi").orderBy("doc_id", "h")
 
 
-def fit(docs: DataFrame, labels: DataFrame, usable=lambda c: F.lit(True), limit: int = MAX_EXAMPLES, postings: int = MAX_POSTINGS, doc_id: str = "doc_id", text: str = "text") -> Model:
-    """The index of the labelled documents; ``usable`` is a condition on their ids."""
+def fit(docs: DataFrame, labels: DataFrame, usable=lambda c: F.lit(True), limit: int = MAX_EXAMPLES, postings: int = MAX_POSTINGS, doc_id: str = "doc_id", text: str = "text", **shape: int) -> Model:
+    """The index of the labelled documents; ``usable`` is a condition on their ids; ``shape``: k, long, block of the index."""
     spark = docs.sparkSession
     chosen = examples(docs, labels, usable, limit, postings, doc_id, text)
-    shared = spark.sparkContext.broadcast(_index(chosen))
+    shared = spark.sparkContext.broadcast(_index(chosen, shape))
     if not (n := len(shared.value.ids)):
         return Model(shared, (0.0, 0.0))
 
@@ -246,9 +246,9 @@ def fit(docs: DataFrame, labels: DataFrame, usable=lambda c: F.lit(True), limit:
                 z = min(batch.num_rows, a + TEXTS)
                 part = lists.slice(a, z - a)
                 doc = np.repeat(np.arange(z - a), part.value_lengths().to_numpy(zero_copy_only=False))
-                places, cosines = own.nearest(doc, part.flatten().to_numpy().view(np.uint64), batch.column(2).slice(a, z - a).flatten().to_numpy(), z - a, NEIGHBOURS + 1)
+                places, cosines = own.nearest(doc, part.flatten().to_numpy().view(np.uint64), batch.column(2).slice(a, z - a).flatten().to_numpy(), z - a, 1)
                 for i, p, c in zip(ids[a:z], places, cosines, strict=True):
-                    use = np.flatnonzero(p != where[i])[:NEIGHBOURS]
+                    use = np.flatnonzero(p != where[i])[: own.k]
                     votes.append(own.vote(p[use], c[use]))
             yield pa.RecordBatch.from_arrays([pa.array(votes, pa.float64()), batch.column(3)], ["vote", "toxic"])
 
@@ -258,11 +258,11 @@ def fit(docs: DataFrame, labels: DataFrame, usable=lambda c: F.lit(True), limit:
     return Model(shared, logistic(votes["vote"].to_numpy(), votes["toxic"].to_numpy(np.float64)))
 
 
-def _index(chosen: DataFrame) -> Index:
+def _index(chosen: DataFrame, shape: dict[str, int]) -> Index:
     held = chosen.select("doc_id", "toxic", "terms", "counts").toArrow()  # at most MAX_EXAMPLES rows, MAX_POSTINGS numbers
     lists = held.column("terms").combine_chunks()
     terms, counts = lists.flatten().to_numpy().view(np.uint64), held.column("counts").combine_chunks().flatten().to_numpy()
-    return Index(held.column("doc_id").to_numpy(), held.column("toxic").to_numpy(), lists.value_lengths().to_numpy(zero_copy_only=False), terms, counts)
+    return Index(held.column("doc_id").to_numpy(), held.column("toxic").to_numpy(), lists.value_lengths().to_numpy(zero_copy_only=False), terms, counts, **shape)
 
 
 def _scores(model: Index, curve: tuple[float, float], column: pa.Array) -> Iterator[tuple[float, np.ndarray, np.ndarray, bool]]:
@@ -274,7 +274,7 @@ def _scores(model: Index, curve: tuple[float, float], column: pa.Array) -> Itera
         for a in range(0, j - i, TEXTS):
             z = min(j - i, a + TEXTS)
             lo, hi = edge[a], edge[z]
-            places, cosines = model.nearest(doc[lo:hi] - a, term[lo:hi], count[lo:hi], z - a, NEIGHBOURS)
+            places, cosines = model.nearest(doc[lo:hi] - a, term[lo:hi], count[lo:hi], z - a)
             for d, p, c in zip(range(a, z), places, cosines, strict=True):
                 chance = 1 / (1 + math.exp(-min(40.0, max(-40.0, curve[0] + curve[1] * model.vote(p, c))))) if len(p) else model.base
                 yield chance, model.ids[p], c, bool(edge[d + 1] > edge[d])

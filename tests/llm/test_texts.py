@@ -3,8 +3,10 @@
 import hashlib
 import math
 import random
+import re
 import shutil
 import zlib
+from collections import Counter
 
 import numpy as np
 
@@ -102,23 +104,68 @@ def test_toxicity_holds_out(spark, sf01):
     assert hit.toxic.mean() > 0.9 and (out[out.toxic == 1].predicted == 1).mean() > 0.6
 
 
-def test_toxicity_neighbours_are_exact(spark, sf01):
-    docs = spark.read.parquet(f"{sf01}/documents.parquet")
-    model = toxicity.fit(docs, spark.read.parquet(f"{sf01}/labels.parquet"), toxicity.unheld)
-    dense = np.zeros((len(model.ids), len(model.vocabulary)))
-    for t in range(len(model.vocabulary)):
-        for b in range(model.n_blocks):
-            a, z = model.start[t * model.n_blocks + b], model.start[t * model.n_blocks + b + 1]
-            dense[model.row[a:z], t] = model.weight[a:z]
-    rng = np.random.default_rng(0)
-    for _ in range(60):
-        terms = np.sort(rng.choice(len(model.vocabulary), min(5, len(model.vocabulary)), replace=False))
-        counts = rng.integers(1, 6, len(terms))
-        rows, cosine = model._nearest(tuple(terms.tolist()), tuple(counts.tolist()), -1)
-        w = model.weigh(terms, counts.astype(float))[1]
-        want = np.sort(dense[:, terms] @ w)[::-1]
-        want = want[want > 0][: toxicity.NEIGHBOURS]
-        assert np.allclose(cosine, want[: len(cosine)]) and len(cosine) == len(want)
+def brute_toxicity(rows, labels, k):
+    """Scores, neighbours and cosines of (doc_id, text) rows from raw texts, with the labels {doc_id: toxic}."""
+    words = lambda t: Counter(re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", re.sub("[A-Z]", lambda m: m[0].lower(), t or "")))
+    texts = {}
+    for i, t in rows:
+        if i in labels and words(t):
+            texts.setdefault(t, []).append(i)
+    held = sorted((min(ids), words(t), sum(labels[i] for i in ids) / len(ids) >= 0.5) for t, ids in texts.items())
+    n, df, toxic = len(held), Counter(), Counter()
+    for _, w, y in held:
+        df.update(w.keys())
+        toxic.update(w.keys() if y else ())
+
+    def vector(w):
+        v = {t: (1 + math.log(c)) * math.log1p(n / max(1, df[t])) * math.log2(2 + toxic[t] / max(1, df[t] - toxic[t])) for t, c in w.items()}
+        size = math.sqrt(sum(x * x for x in v.values()))
+        return {t: x / size for t, x in v.items()}
+
+    known, base = [(i, vector(w), y) for i, w, y in held], sum(y for *_, y in held) / max(1, n)
+
+    def near(w, own=None):
+        v = vector(w) if w else {}
+        found = [(round(sum(x * e[t] for t, x in v.items() if t in e), 6), i, y) for i, e, y in known if i != own]
+        found = sorted(((c, i, y) for c, i, y in found if c > 0), key=lambda f: (-f[0], f[1]))[:k]
+        vote = (sum(c for c, _, y in found if y) + toxicity.PRIOR * base) / (sum(c for c, *_ in found) + toxicity.PRIOR)
+        return vote, found
+
+    a, b = toxicity.logistic(np.array([near(w, i)[0] for i, w, _ in held]), np.array([float(y) for *_, y in held]))
+    out = []
+    for i, t in rows:
+        vote, found = near(words(t))
+        out.append((i, 1 / (1 + math.exp(-a - b * vote)) if found else base, [f[1] for f in found], [f[0] for f in found]))
+    return out
+
+
+@pytest.mark.parametrize(("long", "block"), [(512, 64), (5, 4), (0, 3)])
+def test_toxicity_against_brute_force(spark, sf001, long, block):
+    """Terms, weights, cosines, votes and scores from raw texts, whatever lists are stored by block."""
+    docs, labels = spark.read.parquet(f"{sf001}/documents.parquet"), spark.read.parquet(f"{sf001}/labels.parquet")
+    rows = [(r.doc_id, r.text) for r in docs.select("doc_id", "text").orderBy("doc_id").collect()] + [(900, "unheardofword"), (901, None), (902, "the of und"), (903, "idiot " * 40_000)]
+    more = spark.createDataFrame(rows, "doc_id long, text string")
+    usable = {r.doc_id: r.toxic for r in labels.collect() if zlib.crc32(str(r.doc_id).encode()) % 3 != 1}
+    model = toxicity.fit(docs, labels, toxicity.unheld, k=7, long=long, block=block)
+    got = {r.doc_id: r for r in toxicity.score(more, model).collect()}
+    for i, score, ids, cosines in brute_toxicity(rows, usable, 7):
+        assert got[i].score == pytest.approx(score, abs=2e-3), i
+        assert len(got[i].cosines) == len(cosines) and np.allclose(got[i].cosines, cosines, atol=2e-5)
+        # neighbours may change places only where their cosines are equal in single precision
+        assert all(x == y or abs(c - d) < 2e-5 for x, y, c, d in zip(got[i].neighbours, ids, got[i].cosines, cosines, strict=True))
+
+
+def test_toxicity_sample_is_bounded(spark):
+    docs = spark.createDataFrame([(i, " ".join(f"w{i}x{k}" for k in range(10))) for i in range(40)], "doc_id long, text string")
+    labels = spark.createDataFrame([(i, i % 2) for i in range(40)], "doc_id long, toxic int")
+    assert [len(toxicity.fit(docs, labels, limit=limit, postings=postings).index.value.ids) for limit, postings in ((15, 1000), (40, 95), (40, 1000))] == [15, 9, 40]
+
+
+def test_toxicity_ties_and_repeats(spark):
+    docs = spark.createDataFrame([(i, f"common word{i}") for i in range(1, 9)] + [(3, "common word3"), (9, "common word1")], "doc_id long, text string")
+    labels = spark.createDataFrame([(i, 1) for i in range(1, 10)], "doc_id long, toxic int")
+    got = toxicity.score(docs.select("doc_id", F.lit("common").alias("text")), toxicity.fit(docs, labels)).collect()
+    assert len(got) == 10 and all(list(r.neighbours) == list(range(1, 9)) for r in got)
 
 
 def test_toxicity_cases(spark, edge):
