@@ -1,8 +1,8 @@
 """Connected components of an edge table by alternating large-star and small-star rounds.
 
-Each round halves the depth of the trees, so rounds grow with the logarithm of a component's size.  Edges stay in the
-shared folder between rounds; only their number and a checksum come to the driver.  Neighbour minima are aggregates
-joined back to the edges, so a hub's edges may be split over tasks.
+Each round halves the depth of the trees, so rounds grow with the logarithm of a component's size; rounds go on until
+nothing changes.  Edges stay in the shared folder between rounds; only their number and a checksum come to the driver.
+Neighbour minima are aggregates joined back to the edges, and a hub's edges are salted, so no task gets them all.
 """
 
 from __future__ import annotations
@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .tables import saved
+from .tables import salted_join, saved
 
 
 def _state(edges: DataFrame) -> tuple:
@@ -18,28 +18,27 @@ def _state(edges: DataFrame) -> tuple:
     return (r["n"], r["h"], r["g"])
 
 
-def _large(edges: DataFrame) -> DataFrame:
+def _large(edges: DataFrame, n: int) -> DataFrame:
     both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-    least = both.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m"))
-    return both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
+    least = both.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m"), F.count("*").alias("n_edges"))
+    return salted_join(both, least, "u", "n_edges", 2 * n, ["v"]).where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
 
 
-def _small(edges: DataFrame) -> DataFrame:
+def _small(edges: DataFrame, n: int) -> DataFrame:
     # edges point from the larger u to the smaller v
-    least = edges.groupBy("u").agg(F.min("v").alias("m"))
-    moved = edges.join(least, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
+    least = edges.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("n_edges"))
+    moved = salted_join(edges, least, "u", "n_edges", n, ["v"]).where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
     return moved.unionByName(least.select("u", F.col("m").alias("v"))).distinct()
 
 
-def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
+def components(edges: DataFrame) -> DataFrame:
     """node, component (its least node) of every node of the edges (u, v); nodes without edges are not listed."""
     e = edges.where("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct()
     e = saved(e, "edges")
     state = _state(e)
-    for _ in range(rounds):
-        if not state[0]:
-            break
-        e = saved(_small(_large(e)), "edges")
+    while state[0]:
+        # the large stars are read twice by the small ones, so they are saved as well
+        e = saved(_small(saved(_large(e, state[0]), "edges"), state[0]), "edges")
         now = _state(e)
         if now == state:
             break

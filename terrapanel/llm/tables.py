@@ -15,10 +15,12 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share: spark.checkpoint.dir of the session.
 
-    Only where it is unset (single-process tests) a new local folder is made and set.
+    Where it is unset, a local session (tests) gets a new local folder; on a cluster that is an error.
     """
     found = spark.conf.get("spark.checkpoint.dir", "") or spark.sparkContext.getConf().get("spark.checkpoint.dir", "")
     if not found:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that driver and executors share")
         import tempfile
 
         found = "file://" + tempfile.mkdtemp(prefix="spark-")
@@ -49,3 +51,16 @@ def text_rows(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> Da
     """doc_id and text only, so that extra columns of any name cannot clash with working columns; in bounded batches."""
     bounded_batches(docs.sparkSession)
     return docs.select(F.col(f"`{doc_id}`").cast("long").alias("doc_id"), F.col(f"`{text}`").cast("string").alias("text"))
+
+
+def salted_join(big: DataFrame, few: DataFrame, key: str, weight: str, total: int, spread: list[str], how: str = "inner", salts: int = 32) -> DataFrame:
+    """``big`` joined on ``key`` to ``few``, which has a row a key and says in ``weight`` how many rows of ``big`` hold it.
+
+    Keys with over a thousandth of the ``total`` rows (so at most a thousand keys, which are broadcast) are dealt over
+    ``salts`` parts by the columns ``spread``; their rows of ``few`` are repeated.
+    """
+    limit = max(1000, total // 1000)
+    hot = F.broadcast(few.where(F.col(weight) > limit).select(key, F.lit(True).alias("__hot")))
+    left = big.join(hot, key, "left").withColumn("__salt", F.when(F.col("__hot"), F.pmod(F.xxhash64(*spread), F.lit(salts)).cast("int")).otherwise(0))
+    right = few.withColumn("__salt", F.explode(F.sequence(F.lit(0), F.when(F.col(weight) > limit, salts - 1).otherwise(0))))
+    return left.join(right, [key, "__salt"], how).drop("__hot", "__salt")
