@@ -1,10 +1,13 @@
 """Benchmark decontamination: word windows of benchmark items looked up in training documents.
 
 Items are lower-cased (A-Z) and cut into words; every window of ``n`` consecutive words of an item is kept (an
-item of fewer words, but not none, is one window).  The windows form a hash set that is broadcast when its
-measured size is under ``max_windows``; a larger set is cut into chunks of that size, each chunk is broadcast in
-its own pass, and the hits of all passes are united per document, so any size gives whole results.
-A document position whose window hash is in the set is verified word by word before it counts.
+item of fewer words, but not none, is one window).  Where the items have at most ``max_windows`` windows (a bound taken
+from their lengths before anything is collected), the windows form a hash set that is broadcast, and a document
+position whose window hash is in the set is verified word by word.
+
+A larger benchmark is never collected: its windows stay a table, and only a bitmap of ``BITS`` hash prefixes is
+broadcast, whose size does not depend on the benchmark.  Positions that pass it are written once and meet the windows
+by an equi-join on hash, length and words; keys that many positions share are salted.  Both ways give the same rows.
 
 Defined cases: null or empty text has no words, no hits and is not contaminated; null document ids are carried
 through; windows of items with a null id count as any others, such items together are one of ``n_items`` and have
@@ -22,10 +25,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .bytetext import Words, slices, utf8
-from .tables import bounded_batches, table, text_rows
+from .tables import bounded_batches, salted_join, saved, table, text_rows
 
 WINDOW = 13
 MAX_WINDOWS = 2_000_000
+BITS = 27  # of the bitmap of window hashes: 16 MB
+SPAN_NAMES = ["doc_id", "n_words", "hit_from", "hit_to", "items"]
 SPANS = "doc_id long, n_words long, hit_from array<int>, hit_to array<int>, items array<long>"
 
 
@@ -113,7 +118,7 @@ def scan(docs: DataFrame, windows, doc_id: str, text: str) -> DataFrame:
                     items.append(sorted(got, key=_nulls_last))
             yield pa.RecordBatch.from_arrays(
                 [ids.cast(pa.int64()), pa.array(np.concatenate(n_words) if n_words else [], pa.int64()), pa.array(hit_from, pa.list_(pa.int32())), pa.array(hit_to, pa.list_(pa.int32())), pa.array(items, pa.list_(pa.int64()))],
-                ["doc_id", "n_words", "hit_from", "hit_to", "items"],
+                SPAN_NAMES,
             )
 
     return text_rows(docs, doc_id, text).mapInArrow(run, SPANS)
@@ -121,32 +126,92 @@ def scan(docs: DataFrame, windows, doc_id: str, text: str) -> DataFrame:
 
 def hit_spans(docs: DataFrame, benchmark: DataFrame, n: int = WINDOW, max_windows: int = MAX_WINDOWS, doc_id: str = "doc_id", text: str = "text", item_id: str = "item_id", item_text: str = "text") -> DataFrame:
     """doc_id, n_words, hit_from[], hit_to[] (word ranges, merged) and items[] for each document row."""
-    spark = docs.sparkSession
-    items = benchmark.select(F.col(f"`{item_id}`").cast("long").alias("item_id"), F.col(f"`{item_text}`").cast("string").alias("text"))
-    # an item has at most as many windows as words, and at most one word for two characters
-    bounded = items.agg(F.sum(F.length("text") / 2 + 1).alias("n")).first()["n"] or 0
-    if bounded <= max_windows:
-        chunks = [[tuple(r) for r in items.collect()]]
-    else:
-        size = max(1, int(max_windows // max(1.0, items.agg(F.max(F.length("text") / 2 + 1)).first()[0])))
-        parts = -(-items.count() // size)
-        chunks = ([tuple(r) for r in items.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(parts)) == p).collect()] for p in range(parts))
-    passes = [scan(docs, spark.sparkContext.broadcast(WindowSet(c, n)), doc_id, text) for c in chunks]
-    if len(passes) == 1:
-        return passes[0]
-    # several passes: rows of the same scan share (doc_id, occurrence), so repeated ids stay apart
-    tagged = [p.withColumn("row", F.monotonically_increasing_id()) for p in passes]
-    out = tagged[0]
-    for p in tagged[1:]:
-        out = out.unionByName(p)
-    ranges = F.flatten(F.collect_list(F.arrays_zip("hit_from", "hit_to")))
-    out = out.groupBy("row", "doc_id", "n_words").agg(F.array_sort(ranges).alias("r"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("items")))).alias("items"))
-    one = F.aggregate(
-        "r",
-        F.expr("cast(array() as array<struct<a:int,b:int>>)"),
-        lambda acc, x: F.when((F.size(acc) > 0) & (F.element_at(acc, -1)["b"] >= x["hit_from"]), F.concat(F.slice(acc, 1, F.greatest(F.size(acc) - 1, F.lit(0))), F.array(F.struct(F.element_at(acc, -1)["a"].alias("a"), F.greatest(F.element_at(acc, -1)["b"], x["hit_to"]).alias("b"))))).otherwise(F.concat(acc, F.array(F.struct(x["hit_from"].alias("a"), x["hit_to"].alias("b"))))),
-    )
-    return out.withColumn("r", one).select("doc_id", "n_words", F.col("r.a").alias("hit_from"), F.col("r.b").alias("hit_to"), "items")
+    items = _items(benchmark, item_id, item_text)
+    if _bound(items) <= max_windows:
+        return scan(docs, docs.sparkSession.sparkContext.broadcast(WindowSet([tuple(r) for r in items.collect()], n)), doc_id, text)
+    return _met(text_rows(docs, doc_id, text), items, n).drop("row")
+
+
+def _items(benchmark: DataFrame, item_id: str, item_text: str) -> DataFrame:
+    return benchmark.select(F.col(f"`{item_id}`").cast("long").alias("item_id"), F.col(f"`{item_text}`").cast("string").alias("text"))
+
+
+def _bound(items: DataFrame) -> float:
+    """At least the number of windows: an item has at most as many as words, and at most one word for two characters."""
+    return items.agg(F.sum(F.length("text") / 2 + 1).alias("n")).first()["n"] or 0
+
+
+def _windows(items: DataFrame, n: int) -> DataFrame:
+    """hash, k, words, item of every distinct window."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            data, offsets = utf8(batch.column(1))
+            for i, j in slices(offsets):
+                w = Words(data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i])
+                size = np.diff(w.doc)
+                for k in np.unique(np.minimum(size[size > 0], n)).tolist():
+                    at, own = w.windows(k), w.whole(k)[: max(0, len(w) - k + 1)]
+                    d = np.searchsorted(w.doc, np.arange(len(at)), "right") - 1
+                    at_ = np.flatnonzero(own & (np.minimum(size[d], n) == k))
+                    yield _rows(w, at_, k, at).add_column(3, pa.field("item", pa.int64()), batch.column(0).take(pa.array(i + d[at_])).cast(pa.int64()))
+
+    return items.mapInArrow(run, "hash long, k int, words string, item long").distinct()
+
+
+def _rows(w: Words, at: np.ndarray, k: int, hashes: np.ndarray) -> pa.RecordBatch:
+    words = [b" ".join(w.low[w.start[j] : w.end[j]].tobytes() for j in range(i, i + k)) for i in at.tolist()]
+    return pa.RecordBatch.from_arrays([pa.array(hashes[at].view(np.int64)), pa.array(np.full(len(at), k, np.int32)), pa.array(words, pa.binary()).cast(pa.string())], ["hash", "k", "words"])
+
+
+def _met(rows: DataFrame, items: DataFrame, n: int) -> DataFrame:
+    """As hit_spans for rows of (doc_id, text), with ``row`` (their ``row``, if they have one)."""
+    spark = rows.sparkSession
+    windows = saved(_windows(items, n), "windows")
+    lengths = sorted(r["k"] for r in windows.select("k").distinct().collect())  # at most n numbers
+    word = F.shiftrightunsigned("hash", 64 - BITS)
+    bits = windows.groupBy(F.shiftright(word, 6).alias("at")).agg(F.bit_or(F.expr(f"shiftleft(1L, cast(shiftrightunsigned(hash, {64 - BITS}) & 63 as int))")).alias("bits")).toArrow()  # at most 2^(BITS - 6) pairs of numbers
+    table_ = np.zeros(1 << (BITS - 6), np.uint64)
+    table_[bits.column("at").to_numpy()] = bits.column("bits").to_numpy().view(np.uint64)
+    known = spark.sparkContext.broadcast(table_)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        bitmap = known.value
+        for batch in batches:
+            data, offsets = utf8(batch.column(1))
+            n_words, found = [], [[] for _ in range(batch.num_rows)]
+            for i, j in slices(offsets):
+                w = Words(data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i])
+                n_words.append(np.diff(w.doc))
+                for k in lengths:
+                    h = w.windows(k)
+                    p = h >> np.uint64(64 - BITS)
+                    at = np.flatnonzero(((bitmap[p >> np.uint64(6)] >> (p & np.uint64(63))) & np.uint64(1)).astype(bool) & w.whole(k)[: len(h)])
+                    for place, row in zip(at.tolist(), _rows(w, at, k, h).to_pylist(), strict=True):
+                        d = int(np.searchsorted(w.doc, place, "right")) - 1
+                        found[i + d].append(row | {"at": place - int(w.doc[d])})
+            kind = pa.list_(pa.struct([("hash", pa.int64()), ("k", pa.int32()), ("words", pa.string()), ("at", pa.int32())]))
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(np.concatenate(n_words) if n_words else [], pa.int64()), pa.array(found, kind), batch.column(2)], ["doc_id", "n_words", "found", "row"])
+
+    if "row" not in rows.columns:
+        rows = rows.withColumn("row", F.lit(None).cast("long"))
+    scanned = rows.select("doc_id", "text", "row").mapInArrow(run, "doc_id long, n_words long, found array<struct<hash:long,k:int,words:string,at:int>>, row long")
+    scanned = saved(scanned.withColumn("row", F.coalesce("row", F.monotonically_increasing_id())), "positions")  # numbers are fixed once written
+    places = scanned.select("row", F.inline("found"))
+    weights = places.groupBy("hash").agg(F.count("*").alias("m"))
+    hits = saved(salted_join(places, windows.withColumnRenamed("k", "wk").withColumnRenamed("words", "wt").join(weights, "hash"), "hash", "m", places.count(), ["row", "at"]).where("k = wk and words = wt").select("row", "at", "k", "item"), "hits")
+    spans = hits.select("row", "at", "k").distinct().groupBy("row").agg(F.array_sort(F.collect_list(F.struct(F.col("at").alias("a"), (F.col("at") + F.col("k")).alias("b")))).alias("spans"))
+    named = hits.groupBy("row").agg(F.collect_set("item").alias("items"), F.max(F.col("item").isNull()).alias("unnamed"))
+    out = scanned.drop("found").join(spans.join(named, "row"), "row", "left")
+    items_ = F.concat(F.array_sort(F.coalesce("items", F.array().cast("array<long>"))), F.when(F.col("unnamed"), F.array(F.lit(None).cast("long"))).otherwise(F.array().cast("array<long>")))
+    out = out.select("doc_id", "n_words", "spans", items_.alias("items"), "row")
+
+    def unite(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            joined = [merged([(s["a"], s["b"]) for s in own or ()]) for own in batch.column(2).to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *(pa.array([[r[e] for r in own] for own in joined], pa.list_(pa.int32())) for e in (0, 1)), batch.column(3), batch.column(4)], [*SPAN_NAMES, "row"])
+
+    return out.mapInArrow(unite, SPANS + ", row long")
 
 
 def judged(spans: DataFrame) -> DataFrame:
@@ -173,21 +238,34 @@ def remove_spans(text: str | None, hit_from: list[int], hit_to: list[int]) -> st
     return b"".join([*out, raw[at:]]).decode("utf-8", "surrogatepass")
 
 
-def decontaminate(docs: DataFrame, benchmark: DataFrame, mode: str = "documents", n: int = WINDOW, **names) -> DataFrame:
+def decontaminate(docs: DataFrame, benchmark: DataFrame, mode: str = "documents", n: int = WINDOW, max_windows: int = MAX_WINDOWS, text: str = "text", item_id: str = "item_id", item_text: str = "text") -> DataFrame:
     """The documents without contaminated ones (mode "documents") or with hit spans cut out (mode "spans").
 
-    Returns the columns of ``docs``.  In one scan each batch is judged and its rows are kept or rewritten in
-    place, so no join back to the texts is needed while the window set is within its broadcast bound.
+    Returns the columns of ``docs``.  Within the broadcast bound each batch is judged and its rows are kept or rewritten in
+    place, so nothing is shuffled.  Beyond it the rows are numbered and written, and their spans joined back by number.
     """
-    spark, text, item_id, item_text = docs.sparkSession, names.get("text", "text"), names.get("item_id", "item_id"), names.get("item_text", "text")
-    items = benchmark.select(F.col(f"`{item_id}`").cast("long"), F.col(f"`{item_text}`").cast("string"))
-    chunk = MAX_WINDOWS
-    bounded = items.agg(F.sum(F.length(item_text) / 2 + 1)).first()[0] or 0
-    parts = max(1, int(-(-bounded // chunk)))
-    known = []
-    for p in range(parts):
-        own = items if parts == 1 else items.where(F.pmod(F.xxhash64(F.col(f"`{item_id}`"), F.col(f"`{item_text}`")), F.lit(parts)) == p)
-        known.append(spark.sparkContext.broadcast(WindowSet([tuple(r) for r in own.collect()], n)))
+    items = _items(benchmark, item_id, item_text)
+    if _bound(items) > max_windows:
+        row = F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("doc")
+        held = saved(docs.select(row, F.monotonically_increasing_id().alias("row")), "numbered")
+        own = F.col("doc").getField(text).cast("string")
+        found = _met(held.select(F.lit(None).cast("long").alias("doc_id"), own.alias("text"), "row"), items, n)
+        met = held.join(found.select("row", "n_words", "hit_from", "hit_to"), "row")
+        if mode == "documents":
+            n_hit = F.aggregate(F.arrays_zip("hit_from", "hit_to"), F.lit(0).cast("long"), lambda acc, x: acc + (x["hit_to"] - x["hit_from"]))
+            return met.where((n_hit == 0) | (n_hit * 20 < F.col("n_words"))).select("doc.*")
+        kept = met.select("doc.*", F.col("hit_from").alias("__from"), F.col("hit_to").alias("__to"))
+
+        def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                a, b = batch.column(batch.num_columns - 2).to_pylist(), batch.column(batch.num_columns - 1).to_pylist()
+                where = batch.schema.names.index(text)
+                texts = [remove_spans(t, x, y) for t, x, y in zip(batch.column(where).to_pylist(), a, b, strict=True)]
+                batch = batch.set_column(where, batch.schema.field(where), pa.array(texts, batch.schema.field(where).type))
+                yield batch.select(list(range(batch.num_columns - 2)))
+
+        return kept.mapInArrow(cut, docs.schema)
+    known = docs.sparkSession.sparkContext.broadcast(WindowSet([tuple(r) for r in items.collect()], n))
     where = docs.columns.index(text)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -197,10 +275,9 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, mode: str = "documents"
             for i, j in slices(offsets):
                 w = Words(data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i])
                 per: dict[int, list] = {}
-                for windows in known:
-                    for first, k, _ in windows.value.hits(w):
-                        d = int(np.searchsorted(w.doc, first, "right")) - 1
-                        per.setdefault(d, []).append((first - int(w.doc[d]), first - int(w.doc[d]) + k))
+                for first, k, _ in known.value.hits(w):
+                    d = int(np.searchsorted(w.doc, first, "right")) - 1
+                    per.setdefault(d, []).append((first - int(w.doc[d]), first - int(w.doc[d]) + k))
                 for d, spans in per.items():
                     joined = merged(spans)
                     if mode == "spans":
@@ -214,7 +291,7 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, mode: str = "documents"
                 batch = batch.set_column(where, batch.schema.field(where), pa.array(column, batch.schema.field(where).type))
             yield batch.filter(pa.array(keep))
 
-    bounded_batches(spark)
+    bounded_batches(docs.sparkSession)
     return docs.mapInArrow(run, docs.schema)
 
 
