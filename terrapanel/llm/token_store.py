@@ -15,10 +15,10 @@ Reading: every stored chunk is opened, its name is checked against its ids, and
 chunks by name; the CRC of a document follows from those of its chunks (CRC combination); document, segment and store roots, counts
 and starts are recomputed and compared with the manifest and ``root``.
 
-The pre-tokens of the byte-level vocabulary are found with array operations on code points, and each distinct
-pre-token of a slice goes once to the tokenizers library's model (a byte-level BPE never merges across
-pre-tokens).  A text with characters outside the long-settled scripts, or with a special token's string, is encoded whole
-by the library.  Both ways give the library's ids; tests compare them.
+A space before a character that is no white space always begins a pre-token of the byte-level vocabulary, and a
+byte-level BPE never merges across pre-tokens, so texts are cut there and each distinct piece of a slice is encoded once
+by the tokenizers library (its own pre-tokeniser, merges and special tokens); a worker remembers short pieces.  Where
+the next byte could begin white space there is no cut, which only makes a piece longer.
 
 Defined cases: null or empty text is the end id alone; null ids come last; rows with one doc_id are ordered
 by their Merkle root and each has its own start; an empty table gives an empty store; other columns are neither
@@ -28,25 +28,26 @@ read nor returned.
 from __future__ import annotations
 
 import hashlib
+import os
 import zlib
 from collections.abc import Iterator
-from functools import cache
 
 import numpy as np
 import pyarrow as pa
 import zstandard
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .bytetext import _BASE, mix64, powers, slices, spread, utf8
-from .tables import saved, scratch, table, text_rows
+from .bytetext import _BASE, BYTE_KEYS, mix64, powers, slices, spread, utf8
+from .tables import salted_join, saved, scratch, table, text_rows
 
 END_ID = 2
 ROLL, LEAST, MEAN, MOST = 8, 64, 1024, 8192
 ENCODE_SLICE = 1 << 20
 SEGMENT_DOCS = 100_000
-ROW = "key string, kind string, n long, payload binary, doc_id long, n_chunks int, names binary"
+ROW = "key string, kind string, n long, payload binary, doc_id long, n_chunks int, names binary, row long"
 
 
 def vocabulary_path() -> str:
@@ -55,77 +56,29 @@ def vocabulary_path() -> str:
     return public_tokenizers.path("byte_bpe_50k.json")
 
 
-# ---------------------------------------------------------------- pre-tokens
-
-
-@cache
-def classes() -> tuple[np.ndarray, np.ndarray]:
-    """By code point: 0 other, 1 letter, 2 number, 3 white space; and whether its class is settled."""
-    import unicodedata
-
-    kind = np.zeros(0x110000, np.uint8)
-    for c in range(0x110000):
-        k = unicodedata.category(chr(c))[0]
-        kind[c] = 1 if k == "L" else 2 if k == "N" else 0
-    space = [*range(9, 14), 32, 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000]
-    kind[space] = 3
-    settled = np.zeros(0x110000, bool)
-    for a, b in ((0, 0x250), (0x370, 0x378), (0x388, 0x38B), (0x38E, 0x3A2), (0x3A3, 0x526), (0x2010, 0x2028), (0x2030, 0x205F), (0x3041, 0x3097), (0x30A1, 0x30FB), (0x4E00, 0x9FA6), (0xAC00, 0xD7A4)):
-        settled[a:b] = True
-    return kind, settled
-
-
-def pretoken_starts(cp: np.ndarray, offsets: np.ndarray) -> np.ndarray:
-    """Start of each pre-token in concatenated documents of code points (byte-level vocabulary's rule)."""
-    n = len(cp)
-    if not n:
-        return np.zeros(0, np.int64)
-    kind = classes()[0][cp]
-    edge = np.zeros(n + 1, bool)
-    edge[offsets] = True
-    start = edge[:n].copy()
-    start[1:] |= kind[1:] != kind[:-1]
-    # a run after white space takes a single space with it; other white space before it stands alone
-    run = np.flatnonzero(start & (kind != 3) & ~edge[:n])
-    run = run[kind[run - 1] == 3]
-    start[run - 1] = True
-    start[run[cp[run - 1] == 32]] = False
-    # contractions: an apostrophe that begins a pre-token, alone, before s t m d re ve ll
-    at = np.flatnonzero((cp == 39) & start)
-    at = at[at + 1 < n]
-    at = at[~edge[at + 1]]
-    if len(at):
-        one = cp[at + 1]
-        two = np.where((at + 2 < n) & ~edge[np.minimum(at + 2, n)], cp[np.minimum(at + 2, n - 1)], 0)
-        size = np.where(np.isin(one, [115, 116, 109, 100]), 1, 0)
-        size[((one == 114) & (two == 101)) | ((one == 118) & (two == 101)) | ((one == 108) & (two == 108))] = 2
-        at, size = at[size > 0], size[size > 0]
-        start[at + 1] = False
-        after = at + 1 + size
-        inside = after[(after < n)]
-        inside = inside[~edge[inside] & (kind[inside] == 1)]
-        start[inside] = True
-    return np.flatnonzero(start)
+# ---------------------------------------------------------------- encoding
+
+#: Bytes that surely begin no white space: printable ASCII and all lead bytes but those of U+0085, U+00A0, U+1680, U+2000-U+205F and U+3000.
+SOLID = np.zeros(256, bool)
+SOLID[0x21:0x7F] = True
+SOLID[0xC3:0xF5] = True
+SOLID[[0xE1, 0xE2, 0xE3]] = False
 
 
 class Encoder:
-    """Ids of many texts with the tokenizers library, each distinct pre-token once."""
+    """Ids of many texts with the tokenizers library, each distinct piece once."""
 
-    MAX_KNOWN = 600_000
+    MAX_KNOWN, MAX_IDS, SHORT = 600_000, 1 << 23, 64
 
     def __init__(self, path: str):
+        os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # a task has one core
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.model = self.tokenizer.model
-        self.special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
-        printable = [*range(33, 127), *range(161, 173), *range(174, 256)]
-        other = [b for b in range(256) if b not in set(printable)]
-        self.spelt = {b: chr(b) for b in printable} | {b: chr(256 + i) for i, b in enumerate(other)}
         self.clear()
 
     def clear(self) -> None:
-        self.levels = [self._level(np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int32))] * 2
+        self.levels = [self._level(np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int64))] * 2
         self.flat = np.zeros(1 << 16, np.uint32)
         self.used = 0
 
@@ -135,7 +88,7 @@ class Encoder:
         return h[order], at[order], size[order]
 
     def _find(self, h: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        at, size, found = np.zeros(len(h), np.int64), np.zeros(len(h), np.int32), np.zeros(len(h), bool)
+        at, size, found = np.zeros(len(h), np.int64), np.zeros(len(h), np.int64), np.zeros(len(h), bool)
         for keys, a, s in self.levels:
             if len(keys):
                 p = np.searchsorted(keys, h)
@@ -144,18 +97,13 @@ class Encoder:
                 at[hit], size[hit], found[hit] = a[p[hit]], s[p[hit]], True
         return at, size, found
 
-    def _learn(self, h: np.ndarray, words: list[str]) -> None:
-        ids, sizes = [], []
-        for w in words:
-            t = self.model.tokenize(w.encode().decode("latin1").translate(self.spelt))
-            sizes.append(len(t))
-            ids.extend([x.id for x in t])
-        new = np.array(ids, np.uint32)
+    def _learn(self, h: np.ndarray, lists: list[list[int]]) -> None:
+        size = np.array([len(t) for t in lists], np.int64)
+        new = np.fromiter((x for t in lists for x in t), np.uint32, int(size.sum()))
         while self.used + len(new) > len(self.flat):
             self.flat = np.concatenate([self.flat, np.zeros(len(self.flat), np.uint32)])
         self.flat[self.used : self.used + len(new)] = new
-        size = np.array(sizes, np.int32)
-        at = self.used + np.cumsum(size, dtype=np.int64) - size
+        at = self.used + np.cumsum(size) - size
         self.used += len(new)
         small = self._level(*(np.concatenate([a, b]) for a, b in zip(self.levels[1], (h, at, size), strict=True)))
         if len(small[0]) > 20_000 + len(self.levels[0][0]) // 3:
@@ -166,61 +114,45 @@ class Encoder:
 
     def encode(self, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(ids of all documents, each closed by END_ID; offsets of the documents in them)."""
-        raw = data.tobytes()
-        whole: dict[int, list[int]] = {}
-        text = raw.decode("utf-8", "surrogatepass")
-        cp = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32)
-        lead = np.concatenate([[0], np.cumsum((data & 0xC0) != 0x80)])
-        at = lead[offsets]  # document edges in code points
-        odd = np.concatenate([[0], np.cumsum(~classes()[1][cp])])[at]
-        slow = set(np.flatnonzero(odd[1:] != odd[:-1]).tolist())
-        for s in self.special:
-            p = text.find(s)
-            while p >= 0:
-                slow.add(int(np.searchsorted(at, p, "right")) - 1)
-                p = text.find(s, p + 1)
-        for d in slow:
-            whole[d] = self.tokenizer.encode(text[at[d] : at[d + 1]], add_special_tokens=False).ids
-        start = pretoken_starts(cp, at)
-        if slow:
-            drop = np.zeros(len(at) - 1, bool)
-            drop[list(slow)] = True
-            doc_of = np.searchsorted(at, start, "right") - 1
-            end = np.append(start[1:], len(cp))
-            start, end = start[~drop[doc_of]], end[~drop[doc_of]]
-        else:
-            end = np.append(start[1:], len(cp))
-        up, down = powers(len(cp) + 1)
-        total = np.zeros(len(cp) + 1, np.uint64)
-        np.cumsum((cp.astype(np.uint64) + np.uint64(1)) * np.uint64(0xD6E8FEB86659FD93) * up[: len(cp)], out=total[1:])
-        h = mix64((total[end] - total[start]) * down[start] + (end - start).astype(np.uint64))
+        n = len(data)
+        cut = np.zeros(n + 1, bool)
+        cut[: n - 1] = (data[:-1] == 0x20) & SOLID[data[1:]]
+        cut[offsets] = True
+        start = np.flatnonzero(cut[:n])
+        end = np.append(start[1:], n)
+        up, down = powers(n + 1)
+        total = np.zeros(n + 1, np.uint64)
+        np.cumsum(BYTE_KEYS[data] * up[:n], out=total[1:])
+        h = mix64((total[end] - total[start]) * down[start] + (end - start).astype(np.uint64)) if n else np.zeros(0, np.uint64)
         keys, first, back = np.unique(h, return_index=True, return_inverse=True)
+        if len(self.levels[0][0]) + len(self.levels[1][0]) > self.MAX_KNOWN or self.used > self.MAX_IDS:
+            self.clear()
         where, size, found = self._find(keys)
+        held = self.flat
         if not found.all():
-            if len(self.levels[0][0]) + len(self.levels[1][0]) > self.MAX_KNOWN:
-                self.clear()
-                found[:] = False
-            miss = np.flatnonzero(~found)
-            self._learn(keys[miss], [text[start[i] : end[i]] for i in first[miss].tolist()])
+            raw = data.tobytes()
+            length = end[first] - start[first]
+            miss = np.flatnonzero(~found & (length <= self.SHORT))
+            long = np.flatnonzero(~found & (length > self.SHORT))
+            texts = [raw[start[i] : end[i]].decode("utf-8", "surrogatepass") for i in first[np.concatenate([miss, long])].tolist()]
+            lists = [e.ids for e in self.tokenizer.encode_batch(texts, add_special_tokens=False)]
+            self._learn(keys[miss], lists[: len(miss)])
             where, size, found = self._find(keys)
-        sizes = size[back].astype(np.int64)
-        ids = self.flat[spread(where[back], sizes)]
+            held = self.flat
+            if len(long):  # of this slice only
+                size[long] = [len(t) for t in lists[len(miss) :]]
+                where[long] = self.used + np.cumsum(size[long]) - size[long]
+                held = np.concatenate([self.flat[: self.used], np.fromiter((x for t in lists[len(miss) :] for x in t), np.uint32)])
+        sizes = size[back]
+        ids = held[spread(where[back], sizes)]
         # ids of each document, then the end id
-        upto = np.concatenate([[0], np.cumsum(sizes)])
-        edge = upto[np.searchsorted(start, at)]
-        n = np.diff(edge)
-        for d, own in whole.items():
-            n[d] = len(own)
-        out_at = np.concatenate([[0], np.cumsum(n + 1)])
-        out = np.full(out_at[-1], END_ID, np.uint32)
-        if whole:
-            for d in range(len(n)):
-                out[out_at[d] : out_at[d + 1] - 1] = whole[d] if d in whole else ids[edge[d] : edge[d + 1]]
-        else:
-            body = np.ones(len(out), bool)
-            body[out_at[1:] - 1] = False
-            out[body] = ids
-        return out, out_at
+        edge = np.concatenate([[0], np.cumsum(sizes)])[np.searchsorted(start, offsets)]
+        at = edge + np.arange(len(edge))
+        out = np.full(at[-1], END_ID, np.uint32)
+        body = np.ones(len(out), bool)
+        body[at[1:] - 1] = False
+        out[body] = ids
+        return out, at
 
 
 _encoders: dict[str, Encoder] = {}
@@ -282,6 +214,7 @@ def encoded(docs: DataFrame, path: str, doc_id: str = "doc_id", text: str = "tex
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc, press, seen = encoder(path), zstandard.ZstdCompressor(level=1), set()
+        row = (TaskContext.get().partitionId() + 1) << 33
         for batch in batches:
             data, offsets = utf8(batch.column(1))
             own = batch.column(0).to_pylist()
@@ -296,16 +229,17 @@ def encoded(docs: DataFrame, path: str, doc_id: str = "doc_id", text: str = "tex
                         names.append(name)
                         if name not in seen:
                             seen.add(name)
-                            rows.append((name.hex(), "chunk", b - a, pack(chunk, press), None, None, None))
+                            rows.append((name.hex(), "chunk", b - a, pack(chunk, press), None, None, None, None))
                     joined = b"".join(names)
-                    rows.append((hashlib.sha256(joined).hexdigest(), "recipe", int(at[d + 1] - at[d]), None, own[i + d], len(names), joined))
+                    rows.append((hashlib.sha256(joined).hexdigest(), "recipe", int(at[d + 1] - at[d]), None, own[i + d], len(names), joined, row))
+                    row += 1
                 yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], t) for k, t in enumerate(TYPES)], NAMES)
 
     return text_rows(docs, doc_id, text).mapInArrow(run, ROW)
 
 
-NAMES = ["key", "kind", "n", "payload", "doc_id", "n_chunks", "names"]
-TYPES = [pa.string(), pa.string(), pa.int64(), pa.binary(), pa.int64(), pa.int32(), pa.binary()]
+NAMES = ["key", "kind", "n", "payload", "doc_id", "n_chunks", "names", "row"]
+TYPES = [pa.string(), pa.string(), pa.int64(), pa.binary(), pa.int64(), pa.int32(), pa.binary(), pa.int64()]
 
 
 def _once(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -322,11 +256,11 @@ def _once(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def write_store(docs: DataFrame, store: str, path: str | None = None, doc_id: str = "doc_id", text: str = "text") -> None:
     """Encode the texts and write the store below ``store``."""
     spark, rows = docs.sparkSession, encoded(docs, path or vocabulary_path(), doc_id, text)
-    # recipes of equal documents share a root: they are dealt by id as well
-    dealt = rows.repartition(F.when(F.col("kind") == "chunk", F.col("key")).otherwise(F.concat_ws(":", "key", "doc_id")))
+    # recipes of repeated rows are alike: they are dealt by row number
+    dealt = rows.repartition(F.when(F.col("kind") == "chunk", F.col("key")).otherwise(F.col("row").cast("string")))
     dealt.sortWithinPartitions("kind", "key").mapInArrow(_once, ROW).write.option("compression", "none").partitionBy("kind").parquet(f"{store}/data")
-    made = spark.read.schema(ROW).parquet(f"{store}/data").where("kind = 'recipe'").select("doc_id", "n", "n_chunks", "names", F.col("key").alias("root"))
-    order = [F.col("doc_id").asc_nulls_last(), F.col("root")]
+    made = spark.read.schema(ROW).parquet(f"{store}/data").where("kind = 'recipe'").select("doc_id", "n", "n_chunks", "names", F.col("key").alias("root"), "row")
+    order = [F.col("doc_id").asc_nulls_last(), F.col("root"), F.col("row")]  # repeated rows may fill many segments
     parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-made.count() // SEGMENT_DOCS))  # a segment's roots meet in one group
     made.repartitionByRange(parts, *order).sortWithinPartitions(*order).withColumn("segment", F.spark_partition_id()).write.option("compression", "zstd").parquet(f"{store}/segments")
     segments = spark.read.parquet(f"{store}/segments")
@@ -363,7 +297,7 @@ def checked_segments(spark: SparkSession, store: str) -> DataFrame:
 def recipes(spark: SparkSession, store: str) -> DataFrame:
     """doc_id, start, n, n_chunks, names, root, segment in the store's order (start is NULL for a segment that the manifest lacks)."""
     segments, manifest = spark.read.parquet(f"{store}/segments"), spark.read.parquet(f"{store}/manifest")
-    w = W.partitionBy("segment").orderBy(F.col("doc_id").asc_nulls_last(), "root").rowsBetween(W.unboundedPreceding, -1)
+    w = W.partitionBy("segment").orderBy(F.col("doc_id").asc_nulls_last(), "root", "row").rowsBetween(W.unboundedPreceding, -1)
     first = F.broadcast(manifest.select("segment", F.col("start").alias("first")))  # a row a partition
     return segments.withColumn("within", F.coalesce(F.sum("n").over(w), F.lit(0).cast("long"))).join(first, "segment", "left").select("doc_id", (F.col("first") + F.col("within")).alias("start"), "n", "n_chunks", "names", "root", "segment")
 
@@ -373,9 +307,16 @@ def store_root(spark: SparkSession, store: str) -> str:
     return hashlib.sha256("".join(roots).encode()).hexdigest()
 
 
+def with_chunks(listed: DataFrame, chunks: DataFrame) -> DataFrame:
+    """A row for each chunk (seq, key) of the recipes' names, with the chunk's columns; chunks of very many documents are salted."""
+    refs = listed.withColumn("names", F.split(F.regexp_replace(F.lower(F.hex("names")), "(.{64})(?=.)", "$1,"), ","))
+    refs = refs.select(*(c for c in refs.columns if c != "names"), F.posexplode("names").alias("seq", "key"))
+    often = refs.groupBy("key").agg(F.count("*").alias("n_refs"))
+    return salted_join(refs, chunks.join(often, "key"), "key", "n_refs", listed.agg(F.sum("n_chunks")).first()[0] or 0, ["start", "seq"], "left")
+
+
 def read_documents(spark: SparkSession, store: str) -> DataFrame:
     """doc_id, start, ids of every document, put together from the chunks."""
-    refs = recipes(spark, store).select("doc_id", "start", "root", F.posexplode(F.split(F.regexp_replace(F.lower(F.hex("names")), "(.{64})(?=.)", "$1,"), ",")).alias("seq", "key"))
     chunks = spark.read.schema(ROW).parquet(f"{store}/data").where("kind = 'chunk'").select("key", "payload")
 
     def run(key, pdf):
@@ -383,7 +324,8 @@ def read_documents(spark: SparkSession, store: str) -> DataFrame:
         ids = np.concatenate([unpack(bytes(p), press) for p in pdf.sort_values("seq")["payload"]])
         return pdf.iloc[:1][["doc_id", "start"]].assign(ids=[ids.astype(np.int64)])
 
-    return refs.join(chunks, "key").groupBy("doc_id", "start").applyInPandas(run, "doc_id long, start long, ids array<long>")
+    met = with_chunks(recipes(spark, store).select("doc_id", "start", "n_chunks", "names"), chunks)
+    return met.select("doc_id", "start", "seq", "payload").groupBy("doc_id", "start").applyInPandas(run, "doc_id long, start long, ids array<long>")
 
 
 # ---------------------------------------------------------------- reading back
@@ -448,8 +390,7 @@ def verify_store(spark: SparkSession, store: str) -> DataFrame:
     lost = checked.where("lost > 0").select(F.explode(F.sequence(F.lit(1).cast("long"), "lost")))
     sound = F.broadcast(checked.where("sound").select("segment", "sound"))  # a row a partition
     listed = recipes(spark, store).join(sound, "segment", "left").withColumn("sound", F.coalesce("sound", F.lit(False)))
-    refs = listed.select("doc_id", "start", F.col("n").alias("n_tokens"), "n_chunks", "root", "sound", F.posexplode(F.split(F.regexp_replace(F.lower(F.hex("names")), "(.{64})(?=.)", "$1,"), ",")).alias("seq", "key"))
-    met = refs.join(chunk_sums(spark, store), "key", "left")
+    met = with_chunks(listed.select("doc_id", "start", F.col("n").alias("n_tokens"), "n_chunks", "root", "sound", "names"), chunk_sums(spark, store))
     parts = F.array_sort(F.collect_list(F.struct("seq", F.coalesce("n", F.lit(0)).alias("n"), F.coalesce("crc", F.lit(-1)).alias("crc"), "key")))
     per = met.groupBy("doc_id", "start", "n_tokens", "n_chunks", "root", "sound").agg(parts.alias("parts"))
     root = F.sha2(F.unhex(F.array_join(F.col("parts.key"), "")), 256)
