@@ -41,7 +41,7 @@ from pyspark.sql import functions as F
 from .bytetext import Words, slices, spread, utf8
 from .tables import bounded_batches, saved, table, text_rows
 
-MAX_EXAMPLES, MAX_POSTINGS = 12_000, 5_000_000
+MAX_EXAMPLES, MAX_POSTINGS = 8_000, 3_000_000
 LONG, BLOCK, TEXTS = 512, 64, 128
 NEIGHBOURS, PRIOR, CUT = 50, 0.5, 0.7
 SLACK = 1e-5  # of single-precision sums

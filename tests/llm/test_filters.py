@@ -136,7 +136,13 @@ def test_decontamination_cases(spark, edge):
     assert kept.columns == df.columns and sorted(r.doc_id for r in kept.collect()) == [3, 4, 5, 6, 7]
     cut = {(r.doc_id, r.text) for r in decontaminate.decontaminate(df, bench, mode="spans").collect()}
     assert (1, "a b  c") in cut and (2, "") in cut and (None, "") in cut
-    assert decontaminate.hit_spans(df.limit(0), bench).count() == 0
+    # a benchmark over the broadcast bound, and rows that were shuffled before
+    shuffled = df.repartition(5, "text")
+    assert sorted(map(str, decontaminate.judged(decontaminate.hit_spans(shuffled, bench, max_windows=5)).collect())) == sorted(map(str, one))
+    for mode in ("documents", "spans"):
+        few = decontaminate.decontaminate(shuffled, bench, mode=mode, max_windows=5)
+        assert few.columns == df.columns and sorted(map(str, few.collect())) == sorted(map(str, decontaminate.decontaminate(df, bench, mode=mode).collect()))
+    assert decontaminate.hit_spans(df.limit(0), bench).count() == 0 and decontaminate.hit_spans(df.limit(0), bench, max_windows=5).count() == 0
     assert decontaminate.judged(decontaminate.hit_spans(edge, bench.limit(0))).where("contaminated").count() == 0
 
 

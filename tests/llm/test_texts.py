@@ -201,25 +201,63 @@ def test_top_k_against_brute_force(spark):
 # ---------------------------------------------------------------- token counts
 
 
-def test_token_counts_against_brute_force(spark, edge, sf001):
-    pieces = token_count.load_pieces(token_count.vocabulary_path())
+def brute_pieces(texts):
+    """Piece scores from the library's segmentation of every word."""
+    sp = token_count.processor(token_count.vocabulary_path())
+    ordinary = [i for i in range(sp.get_piece_size()) if not (sp.is_control(i) or sp.is_unknown(i) or sp.is_byte(i) or sp.is_unused(i))]
+    m, counts = token_count.MAX_WORD, Counter()
+    for t in texts:
+        for w in (t or "").split():
+            for a in range(0, len(w), m):
+                counts.update(sp.encode(w[a : a + m]))
+    total = sum(counts[i] + 1 for i in ordinary)
+    return {sp.id_to_piece(i): math.log((counts[i] + 1) / total) for i in ordinary}
+
+
+def brute_tokens(word, pieces):
+    """(tokens, unknown characters) of a word without a trie."""
+    word = token_count.MARK + word
+    best = [(0.0, 0, 0)]
+    for i in range(1, len(word) + 1):
+        s, n, u = best[i - 1]
+        options = [(s + token_count.UNKNOWN, -(n + len(word[i - 1].encode())), -(u + 1))]
+        for j in range(max(0, i - 40), i):
+            if word[j:i] in pieces:
+                options.append((pieces[word[j:i]] + best[j][0], -(best[j][1] + 1), -best[j][2]))
+        top = max(options, key=lambda o: (o[0], o[1]))
+        best.append((top[0], -top[1], -top[2]))
+    return best[-1][1], best[-1][2]
+
+
+@pytest.mark.parametrize("shared", [1, 100, 400_000])
+def test_token_counts_against_brute_force(spark, edge, sf001, shared):
     docs = edge.select("doc_id", "text", "tokens").unionByName(spark.read.parquet(f"{sf001}/documents.parquet").limit(20).select("doc_id", "text", F.lit("t").alias("tokens")))
-    known: dict = {}
+    docs = docs.unionByName(spark.createDataFrame([(77, "longword" * 400 + " x", "t"), (78, "漢字" * 300, "t"), (79, "a" * 257, "t")], "doc_id long, text string, tokens string"))
+    pieces, known = brute_pieces([r.text for r in docs.collect()]), {}
 
     def count(text):
         words = (text or "").split()
         for w in set(words) - set(known):
-            known[w] = token_count.brute_force_tokens(w, pieces)
+            known[w] = brute_tokens(w, pieces)
         return len(words), sum(known[w][0] for w in words), sum(known[w][1] for w in words)
 
     key = lambda r: (r[0] is None, r[0] or 0, *r[1:])
-    assert sorted(map(tuple, token_count.count_tokens(docs).collect()), key=key) == sorted(((r.doc_id, *count(r.text)) for r in docs.collect()), key=key)
-    assert token_count.count_tokens(docs.limit(0)).count() == 0
+    model = token_count.fit(docs, shared=shared)
+    assert model.value.pieces == pytest.approx(pieces) and len(model.value.terminal) <= shared
+    assert sorted(map(tuple, token_count.count_tokens(docs, model).collect()), key=key) == sorted(((r.doc_id, *count(r.text)) for r in docs.collect()), key=key)
+    assert token_count.count_tokens(docs.limit(0), token_count.fit(docs.limit(0))).count() == 0
 
 
 def test_full_trie_is_emptied():
     trie = token_count.ForwardTrie({"▁ab": -1.0, "c": -2.0}, max_nodes=3)
-    assert [trie.tokens(w) for w in ("abc", "abc", "zz", "abcc")] == [(2, 0), (2, 0), token_count.brute_force_tokens("zz", trie.pieces), (3, 0)]
+    assert [trie.tokens(w) for w in ("abc", "abc", "zz", "abcc")] == [(2, 0), (2, 0), brute_tokens("zz", trie.pieces), (3, 0)]
+
+
+def test_long_word_takes_no_nodes():
+    trie = token_count.ForwardTrie({"▁a": -1.0, "ab": -1.5, "bab": -2.0, "b": -1.7})
+    word = "ab" * 1_000_000
+    assert trie.tokens(word)[1] == 0 and len(trie.score) == 1 and not trie.terminal
+    assert trie.tokens(word[:3000]) == brute_tokens(word[:3000], trie.pieces)
 
 
 # ---------------------------------------------------------------- Jaccard join
@@ -301,6 +339,50 @@ def test_large_component_in_tiles(spark, monkeypatch):
     assert sum(g[3] for g in got.values()) >= 0.99 * sum(w[3] for w in want.values())
 
 
+def test_banding_meets_its_recall():
+    for threshold in (0.3, 0.5, 0.6, 0.7, 0.8, 0.9, 0.95, 1.0):
+        for recall in (0.9, 0.99, 0.999):
+            bands, rows = jaccard_join.banding(threshold, recall)
+            assert 1 - (1 - threshold**rows) ** bands >= recall - 1e-9
+    assert jaccard_join.banding(0.8) == (23, 6)
+    with pytest.raises(ValueError):
+        jaccard_join.banding(0.001, 0.999)
+
+
+@pytest.mark.parametrize("threshold", [0.5, 0.7, 0.8])
+def test_recall_at_thresholds(spark, threshold):
+    """Pairs a little over each threshold are found, against all pairs."""
+    rng = random.Random(11)
+    rows = []
+    for i in range(120):
+        base = [f"g{i}w{rng.randint(0, 10**6)}" for _ in range(150)]
+        other, goal = list(base), threshold + 0.02
+        k = rng.randint(0, 20)  # a changed word every so often breaks five n-grams
+        while len({tuple(base[j : j + 5]) for j in range(146)} & {tuple(other[j : j + 5]) for j in range(146)}) / (292 - len({tuple(base[j : j + 5]) for j in range(146)} & {tuple(other[j : j + 5]) for j in range(146)})) > goal + 0.05:
+            other[k % 150] = f"x{rng.randint(0, 10**6)}"
+            k += rng.randint(5, 17)
+        rows += [(2 * i, " ".join(base)), (2 * i + 1, " ".join(other))]
+    want = brute_classes(rows, threshold)
+    got = {r.doc_id: r.n_links for r in jaccard_join.near_links(spark.createDataFrame(rows, "doc_id long, text string"), threshold=threshold).collect()}
+    assert sum(w[3] for w in want.values()) > 100
+    assert sum(min(got[i], w[3]) for i, w in want.items()) >= 0.98 * sum(w[3] for w in want.values()) and all(got[i] <= w[3] for i, w in want.items())
+
+
+def test_chained_buckets_are_compared_bucket_by_bucket(spark, monkeypatch):
+    """A sliding text ties many documents into one component whose far ends are unlike."""
+    words = [f"s{i}" for i in range(900)]
+    rows = [(i, " ".join(words[5 * i : 5 * i + 120])) for i in range(150)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    want = brute_classes(rows)
+    got = {r.doc_id: (r.class_id, r.copy_id, r.n_copies, r.n_links) for r in jaccard_join.near_links(df).collect()}
+    assert got == want
+    groups = []
+    monkeypatch.setattr(jaccard_join, "_groups", lambda reps, own=jaccard_join._groups: groups.append(own(reps)) or groups[0])
+    jaccard_join.near_links(df)
+    assert max(r.n for r in groups[0].select(F.size("at").alias("n")).collect()) > 1  # buckets, not the component
+    assert max(r["count"] for r in groups[0].select(F.explode("at")).groupBy("col.gid").count().collect()) < 20
+
+
 # ---------------------------------------------------------------- token store
 
 
