@@ -3,25 +3,29 @@
 A byte goes if a string of ``LENGTH`` bytes covers it that also starts in a document with a smaller id.
 
 1. Exact copies of a text are found by SHA-256; only the copy with the least id is searched, the others go whole.
-2. Every ``LENGTH``-byte string has an anchor: its ``GRAM``-byte part with the least hash (the last of equals).  Equal
-   strings have equal anchors in the same place, and strings that start side by side mostly share one.  Documents are
-   dealt over text shards; each sends a set of its anchors' hashes, and gets back those that other shards have too.
-3. Around anchors with company the distinct snippets of a text shard go, with their least and largest id, to a content
-   shard named by the anchor: all places of a string meet there, and a passage counts once a text shard however
-   often it stands in it.
-4. A content shard sorts the suffixes of its snippets by external induced sorting (see ``induced``).  Suffixes that share
+2. Documents are dealt over text shards, which are written once as a bucketed table: later stages read a shard's texts
+   where they lie and shuffle only messages.
+3. Every ``LENGTH``-byte string has an anchor: its ``GRAM``-byte part with the least hash (the last of equals).  Equal
+   strings have equal anchors in the same place, and strings that start side by side mostly share one.  Text shards
+   send the set of their anchors' hashes, and get back those that other shards have too.
+4. Around anchors with company the distinct snippets of a text shard go, with their least and largest id, as rows to a
+   content shard named by the anchor: all places of a string meet there, and a passage counts once a text shard however
+   often it stands in it.  An anchor with over ``HOT`` snippets (a menu line in ever other surroundings) is split:
+   each of its strings is named by itself, so that its strings are dealt over all content shards.
+5. A content shard sorts the suffixes of its snippets by external induced sorting (see ``induced``).  Suffixes that share
    ``LENGTH`` bytes are neighbours; the least id among them is what a place must be compared with.  Equal snippets
    are one before that, and one that is alone with its anchor needs no sorting: its strings are nowhere else.
-5. Text shards get the least ids for their snippets and cut the covered bytes.
+6. Text shards get the least ids for their snippets and cut the covered bytes.
 
-No step puts all places of a string in one row set: hashes and snippets are made distinct before they are
-shuffled, and answers go to shards, not to documents.  Shards are sized by the bytes of the whole input.
+No step puts all places of a string in one row set: hashes and snippets are made distinct in their text shard before
+they are shuffled, so the rows of one passage are at most one a text shard.  Shards are sized by the bytes of the input.
 
 Result: a row a document: doc_id, n_bytes, removed_from[], removed_to[] (maximal byte ranges) and kept (the other bytes).
 
 Defined cases: a null text is empty; nothing is removed from a row with a null id, and it removes nothing; texts
-shorter than ``LENGTH`` stay; rows with one id never remove from each other; repeated rows are judged each; an empty
-table gives an empty result; other columns are neither read nor returned.
+shorter than ``LENGTH`` stay; rows with one id never remove from each other; repeated rows are judged each and dealt over
+the shards by row; a very long text is held whole by one task, in a shard with a few others; an empty table gives an
+empty result; other columns are neither read nor returned.
 """
 
 from __future__ import annotations
@@ -35,13 +39,16 @@ from pyspark.sql import functions as F
 
 from .bytetext import BYTE_KEYS, edges, mix64, powers, slices, spread, utf8
 from .induced import sorted_suffixes
-from .tables import table
+from .tables import bucketed, salted_join, table
 
 LENGTH, GRAM = 50, 20
-SHARD_BYTES = 6 << 20
+SHARD_BYTES, CONTENT_BYTES, HASH_BYTES = 6 << 20, 48 << 20, 256 << 20  # input a shard of texts, of snippets, of hashes stands for
+HOT = 20_000
 SLICE = 1 << 17
 PACKED = "shard int, payload binary"
-HASHES = "bucket int, shard int, payload binary"
+HASHES = "bucket int, shard int, h binary, n binary"
+SNIPPETS = "bucket int, shard int, run int, skip int, name long, anchor long, least long, most long, text binary"
+ANSWERS = "shard int, run int, start int, stop int, least long"
 RESULT = "doc_id long, n_bytes long, removed_from array<long>, removed_to array<long>, kept binary"
 _OPTIONS = pa.ipc.IpcWriteOptions(compression="zstd")
 
@@ -122,6 +129,14 @@ class Shard:
         self.first, self.last, self.anchor, self.name = join(first, np.int64), join(last, np.int64), join(anchor, np.uint64), join(name, np.uint64)
         self.doc = np.searchsorted(self.offsets, self.first, "right") - 1
 
+    def strings(self, start: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Two hashes of the string of LENGTH bytes at each place."""
+        one, two = np.zeros(len(start), np.uint64), np.zeros(len(start), np.uint64)
+        for k in range(LENGTH):
+            key = BYTE_KEYS[self.data[start + k]]
+            one, two = mix64(one + key), mix64(two * np.uint64(0xC2B2AE3D27D4EB4F) + key + np.uint64(k))
+        return one, two
+
     def distinct(self) -> tuple[np.ndarray, np.ndarray]:
         """For each run the first run with the same snippet (by both hashes), and which runs are first."""
         order = np.argsort(self.name, kind="stable")
@@ -160,74 +175,89 @@ def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def send_hashes(buckets: int):
+    """Of a text shard each anchor's short hash and number of distinct snippets, by bucket."""
+
     def run(frames: pa.Table) -> pa.Table:
         shard, number = Shard(frames), frames.column("shard")[0].as_py()
-        keys = np.sort((bucket_of(shard.anchor, buckets).astype(np.uint64) << np.uint64(32)) | short(shard.anchor))
-        keys = keys[np.concatenate([[True], keys[1:] != keys[:-1]])] if len(keys) else keys
-        bucket, h = keys >> np.uint64(32), keys.astype(np.uint32)
+        _, firsts = shard.distinct()
+        anchor = shard.anchor[firsts]
+        keys, count = np.unique((bucket_of(anchor, buckets).astype(np.uint64) << np.uint64(32)) | short(anchor), return_counts=True)
+        bucket, h, n = keys >> np.uint64(32), keys.astype(np.uint32), np.minimum(count, 65535).astype(np.uint16)
         first = np.flatnonzero(np.concatenate([[True], bucket[1:] != bucket[:-1]])) if len(keys) else np.zeros(0, np.int64)
-        return rows_of([{"bucket": int(bucket[a]), "shard": number, "payload": packed(h=h[a:b])} for a, b in zip(first, np.append(first[1:], len(keys)), strict=False)], HASHES)
+        return rows_of([{"bucket": int(bucket[a]), "shard": number, "h": h[a:b].tobytes(), "n": n[a:b].tobytes()} for a, b in zip(first, np.append(first[1:], len(keys)), strict=False)], HASHES)
 
     return run
 
 
-def find_shared(rows: pa.Table) -> pa.Table:
-    """Of a bucket's hashes those of two or more text shards, for each of these."""
-    parts = [unpacked(p.as_buffer()).column("h").to_numpy() for p in rows.column("payload")]
-    owner = np.repeat(np.arange(len(parts)), [len(p) for p in parts])
-    h = np.concatenate(parts)
-    order = np.argsort(h, kind="stable")
-    h, owner = h[order], owner[order]
-    same = np.zeros(len(h), bool)
-    same[1:] = h[1:] == h[:-1]
-    same[:-1] |= same[1:]
-    h, owner = h[same], owner[same]
-    shards = rows.column("shard").to_pylist()
-    bucket = rows.column("bucket")[0].as_py()
-    return rows_of([{"bucket": bucket, "shard": shards[k], "payload": packed(h=h[own])} for k, own in groups(owner)], HASHES)
+def find_shared(hot: int):
+    """Of a bucket's hashes those of two or more text shards or with over ``hot`` snippets, for each shard; n: 1 for the latter."""
+
+    def run(rows: pa.Table) -> pa.Table:
+        parts = [np.frombuffer(p.as_buffer(), np.uint32) for p in rows.column("h")]
+        owner = np.repeat(np.arange(len(parts), dtype=np.int32), [len(p) for p in parts])
+        h, n = np.concatenate(parts), np.concatenate([np.frombuffer(p.as_buffer(), np.uint16) for p in rows.column("n")])
+        order = np.argsort(h, kind="stable")
+        h, owner, n = h[order], owner[order], n[order]
+        begin = np.flatnonzero(np.concatenate([[True], h[1:] != h[:-1]]))
+        size = np.diff(np.append(begin, len(h)))
+        many = np.add.reduceat(n.astype(np.int64), begin) > hot
+        use, many = np.repeat((size > 1) | many, size), np.repeat(many, size)
+        h, owner, many = h[use], owner[use], many[use].astype(np.uint8)
+        shards = rows.column("shard").to_pylist()
+        return rows_of([{"bucket": 0, "shard": shards[k], "h": h[own].tobytes(), "n": many[own].tobytes()} for k, own in groups(owner)], HASHES)
+
+    return run
+
+
+def isin(values: np.ndarray, known: np.ndarray) -> np.ndarray:
+    """Which values the sorted array holds."""
+    if not len(known):
+        return np.zeros(len(values), bool)
+    at = np.searchsorted(known, values)
+    at[at == len(known)] = 0
+    return known[at] == values
 
 
 def send_snippets(buckets: int):
     def run(frames: pa.Table, shared: pa.Table) -> pa.Table:
         if not frames.num_rows:
-            return rows_of([], HASHES)
+            return rows_of([], SNIPPETS)
         shard, number = Shard(frames), frames.column("shard")[0].as_py()
-        bucket, h = bucket_of(shard.anchor, buckets), short(shard.anchor)
-        known = {b: unpacked(p.as_buffer()).column("h").to_numpy() for b, p in zip(shared.column("bucket").to_pylist(), shared.column("payload"), strict=True)}
-        use = np.zeros(len(h), bool)
-        for b, own in groups(bucket):
-            if b in known:
-                use[own] = np.isin(h[own], known[b])
+        h = np.concatenate([np.frombuffer(p.as_buffer(), np.uint32) for p in shared.column("h")] or [np.zeros(0, np.uint32)])
+        many = np.concatenate([np.frombuffer(p.as_buffer(), np.uint8) for p in shared.column("n")] or [np.zeros(0, np.uint8)]).astype(bool)
+        use, hot = isin(short(shard.anchor), np.unique(h)), isin(short(shard.anchor), np.unique(h[many]))
         # anchors of two documents of this shard
         order = np.lexsort((shard.doc, shard.anchor))
         a, d = shard.anchor[order], shard.number[shard.doc[order]]
-        new = np.concatenate([[True], a[1:] != a[:-1]]) if len(a) else np.zeros(0, bool)
         if len(a):
-            begin = np.flatnonzero(new)
-            many = np.minimum.reduceat(d, begin) < np.maximum.reduceat(d, begin)
-            use[order] |= np.repeat(many, np.diff(np.append(begin, len(a))))
+            begin = np.flatnonzero(np.concatenate([[True], a[1:] != a[:-1]]))
+            pair = np.minimum.reduceat(d, begin) < np.maximum.reduceat(d, begin)
+            use[order] |= np.repeat(pair, np.diff(np.append(begin, len(a))))
         head, firsts = shard.distinct()
-        least, most = np.full(len(h), np.iinfo(np.int64).max), np.full(len(h), np.iinfo(np.int64).min)
+        least, most = np.full(len(head), np.iinfo(np.int64).max), np.full(len(head), np.iinfo(np.int64).min)
         np.minimum.at(least, head, shard.number[shard.doc])
         np.maximum.at(most, head, shard.number[shard.doc])
-        firsts = firsts[use[firsts]]
-        out = []
-        for b, own in groups(bucket[firsts]):
-            run = firsts[own]
-            size = shard.last[run] - shard.first[run] + LENGTH
-            data = shard.data[spread(shard.first[run], size)]
-            text = pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(run), [None, pa.py_buffer(np.concatenate([[0], np.cumsum(size)])), pa.py_buffer(data)])
-            out.append({"bucket": b, "shard": number, "payload": packed(run=run, least=least[run], most=most[run], name=shard.name[run], anchor=shard.anchor[run], text=text)})
-        return rows_of(out, HASHES)
+        run, apart = firsts[use[firsts] & ~hot[firsts]], firsts[hot[firsts]]
+        whole = _snippets(shard, number, run, np.zeros(len(run), np.int64), shard.last[run] - shard.first[run] + LENGTH, shard.anchor[run], shard.name[run], least, most, buckets)
+        count = shard.last[apart] - shard.first[apart] + 1
+        apart, skip = np.repeat(apart, count), spread(np.zeros(len(apart), np.int64), count)
+        anchor, name = shard.strings(shard.first[apart] + skip)
+        single = _snippets(shard, number, apart, skip, np.full(len(apart), LENGTH), anchor, name, least, most, buckets)
+        return pa.concat_tables([whole, single])
 
     return run
 
 
-def compare(rows: pa.Table) -> pa.Table:
-    """Least ids for the string starts of a content shard's snippets, for each text shard: (run, from, to, least)."""
-    tables = [unpacked(p.as_buffer()) for p in rows.column("payload")]
-    counts = [t.num_rows for t in tables]
-    whole = pa.concat_tables(tables).combine_chunks()
+def _snippets(shard: Shard, number: int, run: np.ndarray, skip: np.ndarray, size: np.ndarray, anchor: np.ndarray, name: np.ndarray, least: np.ndarray, most: np.ndarray, buckets: int) -> pa.Table:
+    data = shard.data[spread(shard.first[run] + skip, size)]
+    text = pa.BinaryArray.from_buffers(pa.binary(), len(run), [None, pa.py_buffer(np.concatenate([[0], np.cumsum(size)]).astype(np.int32)), pa.py_buffer(data)])
+    columns = [bucket_of(anchor, buckets).astype(np.int32), np.full(len(run), number, np.int32), run.astype(np.int32), skip.astype(np.int32), name.view(np.int64), anchor.view(np.int64), least[run], most[run]]
+    return pa.table([*map(pa.array, columns), text], names=[c.split()[0] for c in SNIPPETS.split(", ")])
+
+
+def compare(whole: pa.Table) -> pa.Table:
+    """Least ids for the string starts of a content shard's snippets: (shard, run, start, stop, least)."""
+    whole = whole.combine_chunks()
     name, anchor, least, most = (whole.column(c).to_numpy() for c in ("name", "anchor", "least", "most"))
     order = np.lexsort((anchor, name))
     new = np.ones(len(order), bool)
@@ -239,7 +269,6 @@ def compare(rows: pa.Table) -> pa.Table:
     data, at = utf8(whole.column("text"))
     first = order[begin]
     size = at[first + 1] - at[first]
-    del tables
     # snippets that meet no other under their anchor hold the least id throughout
     by_anchor = np.argsort(anchor[first], kind="stable")
     sorted_anchor = anchor[first][by_anchor]
@@ -294,17 +323,12 @@ def compare(rows: pa.Table) -> pa.Table:
     s_to = np.concatenate([s_from + (end - stretch), size[alone] - LENGTH + 1])[by_snippet]
     s_from = np.concatenate([s_from, np.zeros(len(alone), np.int64)])[by_snippet]
     per = np.searchsorted(s_of, np.arange(len(first) + 1))
-    out, row, run, bucket = [], 0, whole.column("run").to_numpy(), rows.column("bucket")[0].as_py()
-    for shard, n in zip(rows.column("shard").to_pylist(), counts, strict=True):
-        own = snippet[row : row + n]
-        k = spread(per[own], per[own + 1] - per[own])
-        who = np.repeat(np.arange(row, row + n), per[own + 1] - per[own])
-        useful = s_least[k] < most[who]
-        k, who = k[useful], who[useful]
-        if len(k):
-            out.append({"bucket": bucket, "shard": shard, "payload": packed(run=run[who], start=s_from[k], stop=s_to[k], least=s_least[k])})
-        row += n
-    return rows_of(out, HASHES)
+    many_of = per[snippet + 1] - per[snippet]
+    k, who = spread(per[snippet], many_of), np.repeat(np.arange(len(snippet)), many_of)
+    useful = s_least[k] < most[who]
+    k, who = k[useful], who[useful]
+    shard, run, skip = (whole.column(c).to_numpy()[who] for c in ("shard", "run", "skip"))
+    return pa.table([pa.array(x.astype(t)) for x, t in ((shard, np.int32), (run, np.int32), (s_from[k] + skip, np.int32), (s_to[k] + skip, np.int32), (s_least[k], np.int64))], names=[c.split()[0] for c in ANSWERS.split(", ")])
 
 
 def cut(frames: pa.Table, answers: pa.Table) -> pa.Table:
@@ -315,8 +339,7 @@ def cut(frames: pa.Table, answers: pa.Table) -> pa.Table:
     n = len(shard.data)
     cover = np.zeros(n + 1, np.int64)
     if answers.num_rows:
-        found = pa.concat_tables([unpacked(p.as_buffer()) for p in answers.column("payload")]).combine_chunks()
-        run, start, stop, least = (found.column(c).to_numpy() for c in ("run", "start", "stop", "least"))
+        run, start, stop, least = (answers.column(c).to_numpy() for c in ("run", "start", "stop", "least"))
         order = np.argsort(run, kind="stable")
         run, start, stop, least = run[order], start[order], stop[order], least[order]
         head, _ = shard.distinct()
@@ -346,23 +369,24 @@ def cut(frames: pa.Table, answers: pa.Table) -> pa.Table:
     return out
 
 
-def remove_repeats(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", shard_bytes: int = SHARD_BYTES) -> DataFrame:
+def remove_repeats(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", shard_bytes: int = SHARD_BYTES, content_bytes: int = CONTENT_BYTES, hot: int = HOT) -> DataFrame:
     """doc_id, n_bytes, removed_from[], removed_to[] and kept of every row."""
     spark = docs.sparkSession
     data = F.coalesce(F.col(f"`{text}`").cast("string").cast("binary"), F.lit(b""))
     base = docs.select(F.col(f"`{doc_id}`").cast("long").alias("doc_id"), data.alias("data"))
-    whole = base.agg(F.sum(F.length("data"))).first()[0] or 0
-    shards = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-whole // shard_bytes))
+    size = base.agg(F.sum(F.length("data")).alias("bytes"), F.count("*").alias("rows")).first()
+    whole, parts = size["bytes"] or 0, int(spark.conf.get("spark.sql.shuffle.partitions"))
+    shards, contents, hash_buckets = (max(parts, -(-whole // b)) for b in (shard_bytes, content_bytes, HASH_BYTES))
     base = base.withColumn("name", F.unhex(F.sha2("data", 256)))
-    firsts = base.where((F.length("data") >= LENGTH) & F.col("doc_id").isNotNull()).groupBy("name").agg(F.min("doc_id").alias("least"), F.max("doc_id").alias("most")).where("least < most").select("name", "least")
-    met = base.join(firsts, "name", "left")
+    firsts = base.where((F.length("data") >= LENGTH) & F.col("doc_id").isNotNull()).groupBy("name").agg(F.min("doc_id").alias("least"), F.max("doc_id").alias("most"), F.count("*").alias("n_rows")).where("least < most").select("name", "least", "n_rows")
+    met = salted_join(base, firsts, "name", "n_rows", size["rows"], ["doc_id"], "left")
     copied = F.coalesce(F.col("least") < F.col("doc_id"), F.lit(False))
-    shard = F.pmod(F.xxhash64("doc_id", "name"), F.lit(shards)).cast("int")
+    shard = F.pmod(F.xxhash64("doc_id", "name", F.monotonically_increasing_id() % 1024), F.lit(shards)).cast("int")  # repeated rows are spread
     frames = met.select(shard.alias("shard"), "doc_id", F.length("data").cast("long").alias("n_bytes"), copied.alias("copied"), F.when(copied, F.lit(b"")).otherwise(F.col("data")).alias("data")).mapInArrow(pack, PACKED)
-    by_shard = frames.groupBy("shard")
-    shared = by_shard.applyInArrow(send_hashes(shards), HASHES).groupBy("bucket").applyInArrow(find_shared, HASHES)
-    snippets = by_shard.cogroup(shared.groupBy("shard")).applyInArrow(send_snippets(shards), HASHES)
-    answers = snippets.groupBy("bucket").applyInArrow(compare, HASHES)
+    by_shard = bucketed(frames, "shard", max(parts, -(-shards // 4)), "text-shards").groupBy("shard")
+    shared = by_shard.applyInArrow(send_hashes(hash_buckets), HASHES).groupBy("bucket").applyInArrow(find_shared(hot), HASHES)
+    snippets = by_shard.cogroup(shared.groupBy("shard")).applyInArrow(send_snippets(contents), SNIPPETS)
+    answers = snippets.groupBy("bucket").applyInArrow(compare, ANSWERS)
     return by_shard.cogroup(answers.groupBy("shard")).applyInArrow(cut, RESULT)
 
 

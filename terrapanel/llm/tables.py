@@ -40,6 +40,14 @@ def saved(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def bucketed(df: DataFrame, key: str, buckets: int, name: str) -> DataFrame:
+    """The rows in the shared folder as a table of buckets of ``key``: grouping it by the key needs no shuffle."""
+    spark, path = df.sparkSession, scratch(df.sparkSession, name)
+    named = "held_" + uuid.uuid4().hex
+    df.repartition(buckets, key).write.bucketBy(buckets, key).option("path", path).saveAsTable(named)
+    return spark.table(named)
+
+
 def bounded_batches(spark: SparkSession, rows: int = 1000) -> None:
     """Rows with texts go to Python in Arrow batches of at most ``rows``, so a batch's memory stays small."""
     name = "spark.sql.execution.arrow.maxRecordsPerBatch"

@@ -2,6 +2,7 @@
 
 import hashlib
 import math
+import os
 import random
 import re
 import shutil
@@ -77,14 +78,42 @@ def test_repeats_against_brute_force(spark, edge, monkeypatch):
         rows.append((i // 2 if i % 9 == 0 else i, parts[0] + rng.choice(passages) + parts[1] + rng.choice(passages)[: rng.randint(0, 120)] + parts[2]))
     rows += [(200, rows[3][1]), (201, rows[3][1]), (3, rows[3][1]), (None, rows[3][1]), (202, "a" * 300), (203, "b" + "a" * 120), (204, "ab" * 90), (205, "ba" * 70), (206, ""), (207, None), (208, "short")]
     df = spark.createDataFrame([(i, t, 5, "x", "y") for i, t in rows], "doc_id long, text string, shard int, payload string, bucket string")
-    for size in (2000, 10**6):
-        got = sorted(((r.doc_id, r.n_bytes, list(r.removed_from), list(r.removed_to), bytes(r.kept)) for r in suffix_dedup.remove_repeats(df, shard_bytes=size).collect()), key=str)
+    for size, hot in ((2000, 20_000), (10**6, 20_000), (2000, 0), (10**6, 2)):
+        got = sorted(((r.doc_id, r.n_bytes, list(r.removed_from), list(r.removed_to), bytes(r.kept)) for r in suffix_dedup.remove_repeats(df, shard_bytes=size, content_bytes=size, hot=hot).collect()), key=str)
         assert got == brute_repeats(rows)
     got = sorted(((r.doc_id, r.n_bytes, list(r.removed_from), list(r.removed_to), bytes(r.kept)) for r in suffix_dedup.remove_repeats(edge).collect()), key=str)
     assert [g[0] for g in got] == [g[0] for g in brute_repeats([(r[0], r[1]) for r in edge_rows() if len(r[1] or "") < 1000] + [(4, "x")])] and len(got) == len(edge_rows())
     assert suffix_dedup.remove_repeats(df.limit(0)).count() == 0
 
 
+def test_one_anchor_in_half_of_all_documents(spark):
+    """A menu line in ever other surroundings is split over the content shards, and the result is the same."""
+    rng = random.Random(4)
+    noise = lambda n: "".join(rng.choice("abcdefgh ") for _ in range(n))
+    line, tail = "Home | About | Contact | Imprint", " | a footer of sixty bytes that stands below many of the pages"
+    rows = [(i, noise(60) + (line + rng.choice(["", tail[: rng.randint(10, 62)]]) if i % 2 else "") + noise(40)) for i in range(400)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    want = brute_repeats(rows)
+    for hot in (5, 20_000):
+        got = sorted(((r.doc_id, r.n_bytes, list(r.removed_from), list(r.removed_to), bytes(r.kept)) for r in suffix_dedup.remove_repeats(df, shard_bytes=10**4, content_bytes=10**4, hot=hot).collect()), key=str)
+        assert got == want and any(r[2] for r in got)
+
+
+def test_shard_larger_than_memory():
+    """Recursion with all of its state on disk, on a text of many times ``memory`` rows."""
+    rng = np.random.default_rng(3)
+    base = rng.integers(1, 6, 20_000)
+    text = np.concatenate([base, rng.integers(1, 6, 5000), base[:15_000], [0]])
+    blocks = list(induced.sorted_suffixes(text, 50, memory=500, internal=10))
+    place = np.concatenate([b["place"] for b in blocks])
+    raw = text.astype(np.uint8).tobytes()
+    assert sorted(place.tolist()) == list(range(len(text) - 1))
+    keys = [raw[p : p + 50] for p in place.tolist()]
+    assert all(a <= b for a, b in zip(keys[:-1], keys[1:], strict=True))
+    shared = np.concatenate([b["shared"] for b in blocks])
+    assert all(os.path.commonprefix([a, b]).__len__() == s for a, b, s in zip(keys[:-1], keys[1:], shared[1:].tolist(), strict=True) if s)
+
+
 def test_repeats_query(spark, sf001):
     rows = [(r.doc_id, r.text) for r in spark.read.parquet(f"{sf001}/documents.parquet").collect()]
     got = {r.doc_id: r for r in QUERIES["op3_suffix_array_dedup"](spark, sf001).collect()}
