@@ -11,7 +11,8 @@ A byte goes if a string of ``LENGTH`` bytes covers it that also starts in a docu
 4. Around anchors with company the distinct snippets of a text shard go, with their least and largest id, as rows to a
    content shard named by the anchor: all places of a string meet there, and a passage counts once a text shard however
    often it stands in it.  An anchor with over ``HOT`` snippets (a menu line in ever other surroundings) is split:
-   each of its strings is named by itself, so that its strings are dealt over all content shards.
+   its strings are named by themselves, those with company are found by a second exchange of hashes, and only these
+   go, dealt over all content shards.
 5. A content shard sorts the suffixes of its snippets by external induced sorting (see ``induced``).  Suffixes that share
    ``LENGTH`` bytes are neighbours; the least id among them is what a place must be compared with.  Equal snippets
    are one before that, and one that is alone with its anchor needs no sorting: its strings are nowhere else.
@@ -34,12 +35,13 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .bytetext import BYTE_KEYS, edges, mix64, powers, slices, spread, utf8
 from .induced import sorted_suffixes
-from .tables import bucketed, salted_join, table
+from .tables import bucketed, salted_join, saved, table
 
 LENGTH, GRAM = 50, 20
 SHARD_BYTES, CONTENT_BYTES, HASH_BYTES = 6 << 20, 48 << 20, 256 << 20  # input a shard of texts, of snippets, of hashes stands for
@@ -137,6 +139,13 @@ class Shard:
             one, two = mix64(one + key), mix64(two * np.uint64(0xC2B2AE3D27D4EB4F) + key + np.uint64(k))
         return one, two
 
+    def singled(self, firsts: np.ndarray, hot: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """run, place in it and two hashes of each string of the distinct runs around hot anchors."""
+        apart = firsts[isin(short(self.anchor[firsts]), hot)]
+        count = self.last[apart] - self.first[apart] + 1
+        apart, skip = np.repeat(apart, count), spread(np.zeros(len(apart), np.int64), count)
+        return apart, skip, *self.strings(self.first[apart] + skip)
+
     def distinct(self) -> tuple[np.ndarray, np.ndarray]:
         """For each run the first run with the same snippet (by both hashes), and which runs are first."""
         order = np.argsort(self.name, kind="stable")
@@ -174,23 +183,46 @@ def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield from rows_of(out, PACKED).to_batches()
 
 
+def listed(anchor: np.ndarray, number: int, buckets: int) -> pa.Table:
+    """Distinct short hashes of anchors with how often each is listed, by bucket."""
+    keys, count = np.unique((bucket_of(anchor, buckets).astype(np.uint64) << np.uint64(32)) | short(anchor), return_counts=True)
+    bucket, h, n = keys >> np.uint64(32), keys.astype(np.uint32), np.minimum(count, 65535).astype(np.uint16)
+    first = np.flatnonzero(np.concatenate([[True], bucket[1:] != bucket[:-1]])) if len(keys) else np.zeros(0, np.int64)
+    return rows_of([{"bucket": int(bucket[a]), "shard": number, "h": h[a:b].tobytes(), "n": n[a:b].tobytes()} for a, b in zip(first, np.append(first[1:], len(keys)), strict=False)], HASHES)
+
+
 def send_hashes(buckets: int):
     """Of a text shard each anchor's short hash and number of distinct snippets, by bucket."""
 
     def run(frames: pa.Table) -> pa.Table:
-        shard, number = Shard(frames), frames.column("shard")[0].as_py()
-        _, firsts = shard.distinct()
-        anchor = shard.anchor[firsts]
-        keys, count = np.unique((bucket_of(anchor, buckets).astype(np.uint64) << np.uint64(32)) | short(anchor), return_counts=True)
-        bucket, h, n = keys >> np.uint64(32), keys.astype(np.uint32), np.minimum(count, 65535).astype(np.uint16)
-        first = np.flatnonzero(np.concatenate([[True], bucket[1:] != bucket[:-1]])) if len(keys) else np.zeros(0, np.int64)
-        return rows_of([{"bucket": int(bucket[a]), "shard": number, "h": h[a:b].tobytes(), "n": n[a:b].tobytes()} for a, b in zip(first, np.append(first[1:], len(keys)), strict=False)], HASHES)
+        shard = Shard(frames)
+        return listed(shard.anchor[shard.distinct()[1]], frames.column("shard")[0].as_py(), buckets)
+
+    return run
+
+
+def send_strings(buckets: int):
+    """The same of the single strings around hot anchors."""
+
+    def run(frames: pa.Table, shared: pa.Table) -> pa.Table:
+        if not frames.num_rows or not pc.sum(shared.column("bucket")).as_py():
+            return rows_of([], HASHES)
+        shard = Shard(frames)
+        _, hot = received(shared)
+        return listed(shard.singled(shard.distinct()[1], hot)[2], frames.column("shard")[0].as_py(), buckets)
 
     return run
 
 
+def received(shared: pa.Table) -> tuple[np.ndarray, np.ndarray]:
+    """The sorted hashes with company, and those that are hot."""
+    h = np.concatenate([np.frombuffer(p.as_buffer(), np.uint32) for p in shared.column("h")] or [np.zeros(0, np.uint32)])
+    hot = np.concatenate([np.frombuffer(p.as_buffer(), np.uint8) for p in shared.column("n")] or [np.zeros(0, np.uint8)]).astype(bool)
+    return np.unique(h), np.unique(h[hot])
+
+
 def find_shared(hot: int):
-    """Of a bucket's hashes those of two or more text shards or with over ``hot`` snippets, for each shard; n: 1 for the latter."""
+    """Of a bucket's hashes those of two or more text shards or with over ``hot`` snippets, for each shard; n: 1 for the latter, ``bucket`` their number."""
 
     def run(rows: pa.Table) -> pa.Table:
         parts = [np.frombuffer(p.as_buffer(), np.uint32) for p in rows.column("h")]
@@ -204,7 +236,7 @@ def find_shared(hot: int):
         use, many = np.repeat((size > 1) | many, size), np.repeat(many, size)
         h, owner, many = h[use], owner[use], many[use].astype(np.uint8)
         shards = rows.column("shard").to_pylist()
-        return rows_of([{"bucket": 0, "shard": shards[k], "h": h[own].tobytes(), "n": many[own].tobytes()} for k, own in groups(owner)], HASHES)
+        return rows_of([{"bucket": int(many[own].sum()), "shard": shards[k], "h": h[own].tobytes(), "n": many[own].tobytes()} for k, own in groups(owner)], HASHES)
 
     return run
 
@@ -223,9 +255,9 @@ def send_snippets(buckets: int):
         if not frames.num_rows:
             return rows_of([], SNIPPETS)
         shard, number = Shard(frames), frames.column("shard")[0].as_py()
-        h = np.concatenate([np.frombuffer(p.as_buffer(), np.uint32) for p in shared.column("h")] or [np.zeros(0, np.uint32)])
-        many = np.concatenate([np.frombuffer(p.as_buffer(), np.uint8) for p in shared.column("n")] or [np.zeros(0, np.uint8)]).astype(bool)
-        use, hot = isin(short(shard.anchor), np.unique(h)), isin(short(shard.anchor), np.unique(h[many]))
+        kind = shared.column("kind").to_numpy()
+        known, many = received(shared.filter(pa.array(kind == 0)))
+        use, hot = isin(short(shard.anchor), known), isin(short(shard.anchor), many)
         # anchors of two documents of this shard
         order = np.lexsort((shard.doc, shard.anchor))
         a, d = shard.anchor[order], shard.number[shard.doc[order]]
@@ -237,12 +269,17 @@ def send_snippets(buckets: int):
         least, most = np.full(len(head), np.iinfo(np.int64).max), np.full(len(head), np.iinfo(np.int64).min)
         np.minimum.at(least, head, shard.number[shard.doc])
         np.maximum.at(most, head, shard.number[shard.doc])
-        run, apart = firsts[use[firsts] & ~hot[firsts]], firsts[hot[firsts]]
+        run = firsts[use[firsts] & ~hot[firsts]]
         whole = _snippets(shard, number, run, np.zeros(len(run), np.int64), shard.last[run] - shard.first[run] + LENGTH, shard.anchor[run], shard.name[run], least, most, buckets)
-        count = shard.last[apart] - shard.first[apart] + 1
-        apart, skip = np.repeat(apart, count), spread(np.zeros(len(apart), np.int64), count)
-        anchor, name = shard.strings(shard.first[apart] + skip)
-        single = _snippets(shard, number, apart, skip, np.full(len(apart), LENGTH), anchor, name, least, most, buckets)
+        run, skip, anchor, name = shard.singled(firsts, many)
+        own = isin(short(anchor), received(shared.filter(pa.array(kind == 1)))[0])
+        order = np.argsort(anchor, kind="stable")  # strings of two documents of this shard
+        if len(order):
+            begin = np.flatnonzero(np.concatenate([[True], anchor[order][1:] != anchor[order][:-1]]))
+            pair = np.minimum.reduceat(least[run[order]], begin) < np.maximum.reduceat(most[run[order]], begin)
+            own[order] |= np.repeat(pair, np.diff(np.append(begin, len(order))))
+        run, skip, anchor, name = run[own], skip[own], anchor[own], name[own]
+        single = _snippets(shard, number, run, skip, np.full(len(run), LENGTH), anchor, name, least, most, buckets)
         return pa.concat_tables([whole, single])
 
     return run
@@ -384,8 +421,12 @@ def remove_repeats(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     shard = F.pmod(F.xxhash64("doc_id", "name", F.monotonically_increasing_id() % 1024), F.lit(shards)).cast("int")  # repeated rows are spread
     frames = met.select(shard.alias("shard"), "doc_id", F.length("data").cast("long").alias("n_bytes"), copied.alias("copied"), F.when(copied, F.lit(b"")).otherwise(F.col("data")).alias("data")).mapInArrow(pack, PACKED)
     by_shard = bucketed(frames, "shard", max(parts, -(-shards // 4)), "text-shards").groupBy("shard")
-    shared = by_shard.applyInArrow(send_hashes(hash_buckets), HASHES).groupBy("bucket").applyInArrow(find_shared(hot), HASHES)
-    snippets = by_shard.cogroup(shared.groupBy("shard")).applyInArrow(send_snippets(contents), SNIPPETS)
+    shared = saved(by_shard.applyInArrow(send_hashes(hash_buckets), HASHES).groupBy("bucket").applyInArrow(find_shared(hot), HASHES), "shared-anchors")
+    known = shared.withColumn("kind", F.lit(0))
+    if shared.agg(F.sum("bucket")).first()[0]:  # some anchor is hot
+        strings = by_shard.cogroup(shared.groupBy("shard")).applyInArrow(send_strings(hash_buckets), HASHES)
+        known = known.unionByName(strings.groupBy("bucket").applyInArrow(find_shared(1 << 62), HASHES).withColumn("kind", F.lit(1)))
+    snippets = by_shard.cogroup(known.groupBy("shard")).applyInArrow(send_snippets(contents), SNIPPETS)
     answers = snippets.groupBy("bucket").applyInArrow(compare, ANSWERS)
     return by_shard.cogroup(answers.groupBy("shard")).applyInArrow(cut, RESULT)
 
