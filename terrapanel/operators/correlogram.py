@@ -15,20 +15,25 @@ BINS_KM = (0, 25, 50, 75, 100, 125, 150, 200)
 NEAR_ZERO = 0.05
 
 
-def pairs(points: DataFrame, reach: float, keys: list[str]) -> DataFrame:
-    """keys, a, b, distance of every unordered pair of points (id, x, y) at most ``reach`` apart."""
+def pairs(points: DataFrame, reach: float, keys: list[str], values: list[str] | None = None) -> DataFrame:
+    """keys, a, b, distance of every unordered pair of points (id, x, y) at most ``reach`` apart, with both points' values (a_v, b_v)."""
+    values = values or []
     tiled = points.withColumn("tx", F.floor(F.col("x") / reach)).withColumn("ty", F.floor(F.col("y") / reach))
     around = F.explode(F.array(*(F.struct(F.lit(i).alias("i"), F.lit(j).alias("j")) for i in (-1, 0, 1) for j in (-1, 0, 1)))).alias("_around")
-    left = tiled.select(*keys, F.col("id").alias("a"), F.col("x").alias("ax"), F.col("y").alias("ay"), "tx", "ty")
-    right = tiled.select(*keys, F.col("id").alias("b"), F.col("x").alias("bx"), F.col("y").alias("by"), "tx", "ty", around)
+    left = tiled.select(*keys, F.col("id").alias("a"), F.col("x").alias("ax"), F.col("y").alias("ay"), "tx", "ty", *(F.col(v).alias(f"a_{v}") for v in values))
+    right = tiled.select(*keys, F.col("id").alias("b"), F.col("x").alias("bx"), F.col("y").alias("by"), "tx", "ty", *(F.col(v).alias(f"b_{v}") for v in values), around)
     right = right.withColumn("tx", F.col("tx") + F.col("_around.i")).withColumn("ty", F.col("ty") + F.col("_around.j")).drop("_around")
     distance = F.sqrt((F.col("ax") - F.col("bx")) ** 2 + (F.col("ay") - F.col("by")) ** 2)
     return left.join(right, [*keys, "tx", "ty"]).where("a < b").withColumn("distance", distance).where(F.col("distance") <= reach)
 
 
 def sampled(points: DataFrame, keys: list[str], n: int, seed: int = 42) -> DataFrame:
-    w = W.partitionBy(*keys).orderBy(F.xxhash64("id", F.lit(seed)), "id")
-    return points.withColumn("_r", F.row_number().over(w)).where(F.col("_r") <= n).drop("_r")
+    """At most n points a cell, by the MD5 of seed and id; first within parts of a cell, so that no task sorts a whole one."""
+    lot = F.md5(F.concat_ws(":", F.lit(seed), "id"))
+    d = points.withColumn("_lot", lot).withColumn("_part", F.pmod(F.crc32(F.col("id").cast("string")), F.lit(32)))
+    for group in ([*keys, "_part"], keys):
+        d = d.withColumn("_r", F.row_number().over(W.partitionBy(*group).orderBy("_lot", "id"))).where(F.col("_r") <= n)
+    return d.drop("_r", "_lot", "_part")
 
 
 def bin_of(distance: Column, edges_m: list[float]) -> Column:
@@ -47,10 +52,7 @@ def correlogram(points: DataFrame, variables: list[str], bins_km: tuple[float, .
         points = sampled(points, keys, sample)
     moments = points.groupBy(*keys).agg(F.count("*").alias("n"), *(a for v in variables for a in (F.avg(v).alias(f"m_{v}"), F.stddev_samp(v).alias(f"s_{v}"))))
     z = points.join(moments.where(F.col("n") >= least), keys).select(*keys, "id", "x", "y", *(F.when(F.col(f"s_{v}") > 0, (F.col(v) - F.col(f"m_{v}")) / F.col(f"s_{v}")).alias(v) for v in variables))
-    p = pairs(z, edges_m[-1], keys).select(*keys, "a", "b", bin_of(F.col("distance"), edges_m).alias("bin")).where("bin is not null")
-    one = z.select(*keys, F.col("id").alias("a"), *(F.col(v).alias(f"a_{v}") for v in variables))
-    two = z.select(*keys, F.col("id").alias("b"), *(F.col(v).alias(f"b_{v}") for v in variables))
-    met = p.join(one, [*keys, "a"]).join(two, [*keys, "b"])
+    met = pairs(z, edges_m[-1], keys, variables).withColumn("bin", bin_of(F.col("distance"), edges_m)).where("bin is not null")
     each = F.explode(F.array(*(F.struct(F.lit(v).alias("variable"), (F.col(f"a_{v}") * F.col(f"b_{v}")).alias("product")) for v in variables))).alias("v")
     return met.select(*keys, "bin", each).where("v.product is not null").groupBy(*keys, "v.variable", "bin").agg(F.count("*").alias("n_pairs"), F.sum("v.product").alias("product_sum"))
 

@@ -1,14 +1,14 @@
 """Fold assignment of spatial blocks and years, and the train/test splits built on it.
 
-Folds belong to blocks, never to rows.  The number of blocks is bounded by the grid, so policies that walk the blocks
-one by one (least loaded first, seeded shuffles) do so on the driver over the table of blocks.
+Folds belong to blocks, never to rows.  Seeded shuffles order blocks by an MD5, so that no draw depends on a library or on
+the order of rows.  The number of blocks is bounded by the grid: ranks go over the table of blocks, and the one policy that
+walks them (least loaded first) does so on the driver.
 """
 
 from __future__ import annotations
 
 from dataclasses import dataclass
 
-import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -26,31 +26,30 @@ def chunk_folds(df: DataFrame, key: str, k: int = 5, fold: str = "tfold") -> Dat
     return df.select(key).where(F.col(key).isNotNull()).distinct().withColumn(fold, (F.ntile(k).over(W.orderBy(key)) - 1).cast("int"))
 
 
-def _blocks(df: DataFrame, key: str) -> list[tuple[int, int]]:
-    found = [(r[0], r[1]) for r in df.where(F.col(key).isNotNull()).groupBy(key).count().limit(MAX_BLOCKS + 1).collect()]
-    if len(found) > MAX_BLOCKS:
-        raise ValueError(f"more than {MAX_BLOCKS} blocks: use dense_folds")
-    return sorted(found)
+def lot(key: str | Column, seed: int) -> Column:
+    """The seeded place of a block in a shuffle: an MD5 of seed and key."""
+    return F.md5(F.concat_ws(":", F.lit(seed), F.col(key) if isinstance(key, str) else key))
 
 
 def shuffled_folds(df: DataFrame, key: str, k: int = 5, seed: int = 42, fold: str = "fold") -> DataFrame:
-    """key, fold: seeded shuffle of the sorted keys, then in turn."""
-    keys = [b for b, _ in _blocks(df, key)]
-    np.random.default_rng(seed).shuffle(keys)
-    return df.sparkSession.createDataFrame([(b, i % k) for i, b in enumerate(keys)], f"{key} {dict(df.dtypes)[key]}, {fold} int")
+    """key, fold: seeded shuffle of the keys, then in turn."""
+    return dense_folds(df.withColumn("_lot", lot(key, seed)), "_lot", k, fold).join(df.select(key, lot(key, seed).alias("_lot")).where(F.col(key).isNotNull()).distinct(), "_lot").select(key, fold)
 
 
 def balanced_folds(df: DataFrame, key: str, k: int = 5, seed: int = 42, fold: str = "fold") -> DataFrame:
-    """key, fold: largest blocks first to the fold with the fewest rows; a seeded shuffle settles equal sizes."""
-    blocks = _blocks(df, key)
-    np.random.default_rng(seed).shuffle(blocks)
-    blocks.sort(key=lambda b: -b[1])
+    """key, fold: largest blocks first to the fold with the fewest rows (the first of equals); lots settle equal sizes.
+
+    The walk is sequential, over at most MAX_BLOCKS blocks, and so on the driver.
+    """
+    counted = df.where(F.col(key).isNotNull()).groupBy(key).count().orderBy(F.desc("count"), lot(key, seed)).limit(MAX_BLOCKS + 1).collect()
+    if len(counted) > MAX_BLOCKS:
+        raise ValueError(f"more than {MAX_BLOCKS} blocks: use dense_folds")
     load, out = [0] * k, []
-    for b, n in blocks:
+    for b, n in counted:
         least = min(range(k), key=load.__getitem__)
         load[least] += n
         out.append((b, least))
-    return df.sparkSession.createDataFrame([(int(b) if not isinstance(b, str) else b, f) for b, f in out], f"{key} {dict(df.dtypes)[key]}, {fold} int")
+    return df.sparkSession.createDataFrame(out, f"{key} {dict(df.dtypes)[key]}, {fold} int")
 
 
 def assigned(df: DataFrame, folds: DataFrame, key: str) -> DataFrame:

@@ -7,10 +7,12 @@ of range buckets are summed up first, then each bucket is ranked by itself.
 from __future__ import annotations
 
 import numpy as np
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+EULER = 0.5772156649015329  # Euler's constant
+
 
 def _valid(df: DataFrame, p: str) -> DataFrame:
     return df.withColumn("_p", F.when(~F.isnan(p), F.col(p)))
@@ -27,13 +29,18 @@ def bucketed_ranks(df: DataFrame, p: str, groups: list[str], buckets: int = 1024
     return d.join(per, [*groups, "_b"], "left").withColumn("_rank", F.col("_before") + inside).drop("_before")
 
 
+def harmonic(m: Column) -> Column:
+    """1 + 1/2 + ... + 1/m: summed up to 64, then by the Euler-Maclaurin formula (exact to double precision from there on)."""
+    x = m.cast("double")
+    short = F.aggregate(F.sequence(F.lit(1), F.greatest(F.lit(1), F.least(m, F.lit(64))).cast("int")), F.lit(0.0), lambda a, i: a + 1.0 / i)
+    return F.when(m <= 64, short).otherwise(F.log(x) + EULER + 1 / (2 * x) - 1 / (12 * x * x) + 1 / (120 * x * x * x * x))
+
+
 def fdr(df: DataFrame, p: str, groups: list[str] | None = None, method: str = "bh", out: str = "q") -> DataFrame:
     """Rows with q: least p * m * c / rank over the same and larger p values, at most 1; NULL and NaN p stay NULL."""
     groups = groups or []
     ranked = bucketed_ranks(_valid(df, p), "_p", groups)
-    factor = F.col("_m").cast("double")
-    if method == "by":
-        factor = factor * F.aggregate(F.sequence(F.lit(1), F.col("_m").cast("int")), F.lit(0.0), lambda a, i: a + 1.0 / i)
+    factor = F.col("_m").cast("double") * (harmonic(F.col("_m")) if method == "by" else F.lit(1.0))
     ranked = ranked.withColumn("_raw", F.when(F.col("_p").isNotNull(), F.col("_p") * factor / F.col("_rank")))
     # the least over larger values: within the bucket, then over the least of later buckets
     later = ranked.where("_p is not null").groupBy(*groups, "_b").agg(F.min("_raw").alias("_least"))

@@ -1,19 +1,20 @@
 """Robust trends of each pixel's yearly series: Sen slope, Mann-Kendall with autocorrelation-adjusted variance.
 
-A series is one value a year, so a pixel's group is short; pixels are worked on in parallel by a grouped map.
+A series is one value a year, so a pixel's series is a short array; arrays of one length are worked on as a matrix.
 ``sen_slopes`` and ``mann_kendall`` give the same slope and statistic with built-in functions on arrays.
 """
 
 from __future__ import annotations
 
 import math
+from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.distributions import normal_quantile
+from ..functions.distributions import normal_quantile, normal_sf2
 from .multiplicity import fdr
 
 OUT = "n int, sen_slope double, sen_intercept double, mk_z double, mk_p double, lag1 double, factor double, ols_slope double, ols_r2 double"
@@ -63,60 +64,84 @@ def _tie(c: Column) -> Column:
 
 
 def _ranks(v: np.ndarray) -> np.ndarray:
-    """Ranks from 1; equal values share their mean rank."""
-    _, back, count = np.unique(v, return_inverse=True, return_counts=True)
-    return (np.cumsum(count) - (count - 1) / 2)[back]
-
-
-def adjusted_trend(x: np.ndarray, y: np.ndarray, alpha: float = 0.05) -> dict:
-    """Trend of one series; a test that is not defined is NaN."""
-    ok = np.isfinite(x) & np.isfinite(y)
-    order = np.argsort(x[ok], kind="stable")
-    x, y = x[ok][order], y[ok][order]
-    n = len(y)
-    out = dict.fromkeys(("sen_slope", "sen_intercept", "mk_z", "mk_p", "lag1", "factor", "ols_slope", "ols_r2"), math.nan) | {"n": n}
-    if n < 3 or len(np.unique(x)) < 3:
+    """Ranks from 1 within each row; equal values share their mean rank."""
+    less = (v[:, None, :] < v[:, :, None]).sum(2)
+    same = (v[:, None, :] == v[:, :, None]).sum(2)
+    return less + (same + 1) / 2
+
+
+def adjusted_trends(x: np.ndarray, y: np.ndarray, alpha: float = 0.05) -> dict[str, np.ndarray]:
+    """Trends of many series of one length: rows of ``x`` ascend; a test that is not defined is NaN.
+
+    The variance of the Mann-Kendall statistic is adjusted for autocorrelation: rank correlations at all lags of the
+    detrended series that lie outside their limit enter a factor.  Residuals are ranked to nine digits of the series' size, so
+    that points on the Sen line tie.
+    """
+    m, n = y.shape
+    out = {c: np.full(m, np.nan) for c in ("sen_slope", "sen_intercept", "mk_z", "mk_p", "lag1", "factor", "ols_slope", "ols_r2")}
+    if n < 3 or not m:
         return out
     i, j = np.triu_indices(n, 1)
-    run = x[j] - x[i]
-    slope = float(np.median((y[j] - y[i])[run > 0] / run[run > 0]))
-    xc, yc = x - x.mean(), y - y.mean()
-    out |= {"sen_slope": slope, "sen_intercept": float(np.median(y - slope * x)), "ols_slope": float(xc @ yc / (xc @ xc))}
-    out["ols_r2"] = float((xc @ yc) ** 2 / ((xc @ xc) * (yc @ yc))) if yc @ yc > 0 else 0.0
-    s = float(np.sign(y[j] - y[i]).sum())
-    count = np.unique(y, return_counts=True)[1]
-    var = (n * (n - 1) * (2 * n + 5) - (count * (count - 1) * (2 * count + 5)).sum()) / 18
-    if var <= 0:
-        return out
-    ranks, limit, total = _ranks(y - slope * x), normal_quantile(1 - alpha / 2) / math.sqrt(n), 0.0
-    for lag in range(1, n):
-        a, b = ranks[:-lag] - ranks[:-lag].mean(), ranks[lag:] - ranks[lag:].mean()
-        flat = n - lag < 3 or a @ a == 0 or b @ b == 0
-        rho = 0.0 if flat else float(a @ b / math.sqrt((a @ a) * (b @ b)))
-        if lag == 1:
-            out["lag1"] = rho
-        if abs(rho) > limit:
-            total += (n - lag) * (n - lag - 1) * (n - lag - 2) * rho
-    factor = 1 + 2 / (n * (n - 1) * (n - 2)) * total
-    out["factor"] = factor if factor > 0 else 1.0
-    out["mk_z"] = (s - math.copysign(1, s)) / math.sqrt(var * out["factor"]) if s else 0.0
-    out["mk_p"] = math.erfc(abs(out["mk_z"]) / math.sqrt(2))
+    run, rise = x[:, j] - x[:, i], y[:, j] - y[:, i]
+    with np.errstate(divide="ignore", invalid="ignore"):
+        slope = np.nanmedian(np.where(run > 0, rise / run, np.nan), axis=1)
+        xc, yc = x - x.mean(1, keepdims=True), y - y.mean(1, keepdims=True)
+        sxx, sxy, syy = (xc * xc).sum(1), (xc * yc).sum(1), (yc * yc).sum(1)
+        out["sen_slope"], out["sen_intercept"] = slope, np.median(y - slope[:, None] * x, axis=1)
+        out["ols_slope"], out["ols_r2"] = sxy / sxx, np.where(syy > 0, sxy**2 / (sxx * syy), 0.0)
+        s = np.sign(rise).sum(1)
+        ties = (y[:, None, :] == y[:, :, None]).sum(2)  # a value's tie size, once for each of its places
+        var = (n * (n - 1) * (2 * n + 5) - ((ties - 1) * (2 * ties + 5)).sum(1)) / 18
+        size = np.abs(y).max(1, keepdims=True)
+        ranks = _ranks(np.round((y - slope[:, None] * x) / np.where(size > 0, size, 1), 9))
+        limit, total = normal_quantile(1 - alpha / 2) / math.sqrt(n), np.zeros(m)
+        for lag in range(1, n):
+            a, b = ranks[:, :-lag], ranks[:, lag:]
+            a, b = a - a.mean(1, keepdims=True), b - b.mean(1, keepdims=True)
+            norm = np.sqrt((a * a).sum(1) * (b * b).sum(1))
+            rho = np.where((norm > 0) & (n - lag >= 3), (a * b).sum(1) / norm, 0.0)
+            if lag == 1:
+                out["lag1"] = rho
+            total += np.where(np.abs(rho) > limit, (n - lag) * (n - lag - 1) * (n - lag - 2) * rho, 0.0)
+        factor = 1 + 2 / (n * (n - 1) * (n - 2)) * total
+        out["factor"] = np.where(factor > 0, factor, 1.0)
+        out["mk_z"] = np.where(s == 0, 0.0, (s - np.sign(s)) / np.sqrt(var * out["factor"]))
+    out["mk_p"] = normal_sf2(out["mk_z"])
+    for c in ("lag1", "factor", "mk_z", "mk_p"):
+        out[c] = np.where(var > 0, out[c], np.nan)
     return out
 
 
-def trends(yearly: DataFrame, values: list[str], pixel: str = "pixel", least: int = 8) -> DataFrame:
-    """pixel, variable and the adjusted trend of every series of at least ``least`` years."""
-    each = F.explode(F.array(*(F.struct(F.lit(v).alias("variable"), F.col(v).cast("double").alias("y")) for v in values))).alias("v")
-    long = yearly.select(pixel, F.col("year").cast("double").alias("x"), each).select(pixel, "x", "v.*").where("y is not null")
-    kind = dict(yearly.dtypes)[pixel]
+GROUP_SERIES = 4096  # series a group on average
 
-    def run(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
-        if len(pdf) < least:
-            return pd.DataFrame(columns=[pixel, "variable", *(c.split()[0] for c in OUT.split(", "))])
-        got = adjusted_trend(pdf["x"].to_numpy(float), pdf["y"].to_numpy(float))
-        return pd.DataFrame([{pixel: key[0], "variable": key[1]} | got])
 
-    return long.groupBy(pixel, "variable").applyInPandas(run, f"{pixel} {kind}, variable string, {OUT}")
+def trends(yearly: DataFrame, values: list[str], pixel: str = "pixel", least: int = 8) -> DataFrame:
+    """pixel, variable and the adjusted trend of every series of at least ``least`` years and three different years.
+
+    Pixels are dealt over groups by hash; a group's series of one length are one matrix.
+    """
+    each = F.explode(F.array(*(F.struct(F.lit(v).alias("variable"), F.col(v).cast("double").alias("y")) for v in values))).alias("v")
+    long = yearly.select(pixel, F.col("year").cast("double").alias("x"), each).select(pixel, "x", "v.*").where("y is not null and not isnan(y)")
+    series = long.groupBy(pixel, "variable").agg(F.array_sort(F.collect_list(F.struct("x", "y"))).alias("s")).where(F.size("s") >= least)
+    series = series.select(pixel, "variable", F.transform("s", lambda p: p["x"]).alias("x"), F.transform("s", lambda p: p["y"]).alias("y"))
+    names = [c.split()[0] for c in OUT.split(", ")]
+    schema = f"{pixel} {dict(yearly.dtypes)[pixel]}, variable string, {OUT}"
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            sizes, parts = pdf["x"].map(len).to_numpy(np.int64), []
+            for n in np.unique(sizes):
+                own = np.flatnonzero(sizes == n)
+                for a in range(0, len(own), GROUP_SERIES):
+                    at = own[a : a + GROUP_SERIES]
+                    x, y = (np.stack(pdf[c].to_numpy()[at]).astype(float) for c in ("x", "y"))
+                    few = (np.diff(x, axis=1) > 0).sum(1) < 2
+                    got = adjusted_trends(x, y)
+                    parts.append(pdf.iloc[at][[pixel, "variable"]].assign(n=n, **{c: np.where(few, np.nan, v) for c, v in got.items()}))
+            if parts:
+                yield pd.concat(parts)[[pixel, "variable", *names]]
+
+    return series.mapInPandas(run, schema)
 
 
 def with_fdr(trend_rows: DataFrame, alpha: float = 0.05) -> DataFrame:

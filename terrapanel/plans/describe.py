@@ -12,6 +12,7 @@ from ..operators.folds import Split, balanced_folds, chunk_folds, dense_folds, s
 from ..sources.panel import complete_cases, duplicate_keys, month_number
 from . import panels
 from .panels import STEP, components_sql, grid_panel, grid_rows, grid_sql, oof_sql, rounded, supplier_panel, supplier_rows, supplier_sql
+from .tails import normal_p_sql, q_sql, ranked_sql
 
 GRID = Grid(STEP, STEP, 0.0, 0.0)
 
@@ -88,12 +89,12 @@ def folds_lexi_mod(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def folds_balanced(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = supplier_rows(spark, sf_dir).drop("fold")
-    return rows.join(balanced_folds(rows, "block"), "block").groupBy("fold").agg(F.count("*").alias("n"), F.count_distinct("block").alias("blocks"))
+    return balanced_folds(rows, "block")
 
 
 def folds_shuffled(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = supplier_rows(spark, sf_dir).drop("fold")
-    return rows.join(shuffled_folds(rows, "block"), "block").groupBy("fold").agg(F.count_distinct("block").alias("blocks"))
+    return shuffled_folds(rows, "block")
 
 
 def split_2d_coverage(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -170,7 +171,7 @@ def distance_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
 def distance_sampled(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The sampling operator: at most 200 points a month."""
     points = grid_panel(spark, sf_dir).select(F.col("pixel").alias("id"), "x", "y", "year", "month", "o3")
-    return correlogram.pooled_correlogram(correlogram.correlogram(points, ["o3"], bins_km=(0, 5.5, 10.5, 15), sample=200), (0, 5.5, 10.5, 15))
+    return rounded(correlogram.pooled_correlogram(correlogram.correlogram(points, ["o3"], bins_km=(0, 5.5, 10.5, 15), sample=200), (0, 5.5, 10.5, 15)), 5)
 
 
 def _yearly(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -186,15 +187,19 @@ def mann_kendall_by_pixel(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def modified_mk_by_pixel(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return rounded(trend.trends(_yearly(spark, sf_dir), ["sif", "o3"], least=5).select("pixel", "variable", "n", "sen_slope", "sen_intercept", "ols_slope", "ols_r2"))
+    return rounded(trend.trends(_yearly(spark, sf_dir), ["sif", "o3"], least=5).select("pixel", "variable", "n", "sen_slope", "sen_intercept", "mk_z", "mk_p", "lag1", "factor", "ols_slope", "ols_r2"))
 
 
-def trend_fdr(spark: SparkSession, sf_dir: str) -> DataFrame:
+def _flagged(spark: SparkSession, sf_dir: str) -> DataFrame:
     return trend.with_fdr(trend.trends(_yearly(spark, sf_dir), ["sif", "o3"], least=5))
 
 
+def trend_fdr(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rounded(_flagged(spark, sf_dir).select("pixel", "variable", "mk_p", "q_bh", "q_by", "sig_raw", "sig_bh", "sig_by"))
+
+
 def trend_fdr_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return trend.fdr_summary(trend_fdr(spark, sf_dir))
+    return trend.fdr_summary(_flagged(spark, sf_dir))
 
 
 def spatial_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -297,13 +302,28 @@ sy AS (SELECT t.month, t.ix, t.iy, s.year, sum({_WT} * s.num) AS num, sum({_WT}
 me AS (SELECT month, ix, iy, sum((sy.num - lo.num / lo.den * sy.den) ** 2) AS meat, count(*) FILTER (WHERE sy.w > 1e-10) AS g FROM sy JOIN lo USING (month, ix, iy) GROUP BY month, ix, iy),
 km AS (SELECT month, ix, iy, {_BW}::DOUBLE AS bandwidth_km, CAST(bc.rows AS BIGINT) AS target_rows, bc.years AS target_years, lo.num / lo.den AS theta, sqrt(CASE WHEN g > 1 THEN g / (g - 1.0) END * meat / (lo.den * lo.den)) AS se, lo.den AS local_den, g, w AS weight_sum, w * w / w2 AS effective_pixels, wy / w AS mean_years, wr / w AS mean_rows
  FROM bc JOIN lo USING (month, ix, iy) JOIN me USING (month, ix, iy) WHERE lo.den > 0)"""
-_CORR = f"""{grid_sql()}, z AS (SELECT pixel, x, y, year, month, (o3 - avg(o3) OVER m) / stddev_samp(o3) OVER m AS o3, (sif - avg(sif) OVER m) / stddev_samp(sif) OVER m AS sif, count(*) OVER m AS n FROM p WINDOW m AS (PARTITION BY year, month)),
+
+
+def _corr(chosen: str = "p") -> str:
+    return f"""{grid_sql()}, ps AS (SELECT * FROM p QUALIFY row_number() OVER (PARTITION BY year, month ORDER BY md5('42:' || pixel), pixel) <= 200), z AS (SELECT pixel, x, y, year, month, (o3 - avg(o3) OVER m) / stddev_samp(o3) OVER m AS o3, (sif - avg(sif) OVER m) / stddev_samp(sif) OVER m AS sif, count(*) OVER m AS n FROM {chosen} WINDOW m AS (PARTITION BY year, month)),
 zz AS (SELECT * FROM z WHERE n >= 20), pr AS (SELECT sqrt((a.x - b.x) ** 2 + (a.y - b.y) ** 2) AS d, a.o3 * b.o3 AS po, a.sif * b.sif AS ps FROM zz a JOIN zz b ON a.year = b.year AND a.month = b.month AND a.pixel < b.pixel AND b.x BETWEEN a.x - 15000 AND a.x + 15000 AND b.y BETWEEN a.y - 15000 AND a.y + 15000),
 bn AS (SELECT CASE WHEN d < 5500 THEN 0 WHEN d < 10500 THEN 1 WHEN d <= 15000 THEN 2 END AS bin, po, ps FROM pr WHERE d <= 15000),
 co AS (SELECT 'o3' AS variable, bin, [0, 5.5, 10.5][bin + 1]::DOUBLE AS low_km, [5.5, 10.5, 15][bin + 1]::DOUBLE AS high_km, count(*) AS n_pairs, avg(po) AS mean_product FROM bn GROUP BY bin UNION ALL SELECT 'sif', bin, [0, 5.5, 10.5][bin + 1]::DOUBLE, [5.5, 10.5, 15][bin + 1]::DOUBLE, count(*), avg(ps) FROM bn GROUP BY bin)"""
+
+
+_CORR = _corr()
 _YR = f"{supplier_sql()}, yr AS (SELECT pixel, year, avg(sif) AS sif, avg(o3) AS o3 FROM p GROUP BY pixel, year)"
 _SLOPES = "sl AS (SELECT a.pixel, a.variable, median((b.v - a.v) / (b.year - a.year)) AS sen_slope FROM lg a JOIN lg b ON a.pixel = b.pixel AND a.variable = b.variable AND b.year > a.year GROUP BY a.pixel, a.variable)"
 _LONG = "lg AS (SELECT pixel, year, 'sif' AS variable, sif AS v FROM yr UNION ALL SELECT pixel, year, 'o3', o3 FROM yr)"
+#: The Mann-Kendall test with the variance adjusted by the rank correlations of the detrended series.
+_MK = f"""{_YR}, {_LONG}, {_SLOPES}, b AS (SELECT *, row_number() OVER w AS i, count(*) OVER s AS n, max(abs(v)) OVER s AS size FROM lg JOIN sl USING (pixel, variable) WINDOW w AS (PARTITION BY pixel, variable ORDER BY year), s AS (PARTITION BY pixel, variable)),
+u AS (SELECT pixel, variable, i, n, v, round((v - sen_slope * year) / size, 9) AS e FROM b WHERE n >= 5), k AS (SELECT *, rank() OVER (PARTITION BY pixel, variable ORDER BY e) + (count(*) OVER (PARTITION BY pixel, variable, e) - 1) / 2.0 AS r FROM u),
+lags AS (SELECT pixel, variable, any_value(a.n) AS n, b.i - a.i AS lag, CASE WHEN count(*) >= 3 AND var_pop(a.r) > 0 AND var_pop(b.r) > 0 THEN corr(a.r, b.r) ELSE 0.0 END AS rho, sum(sign(b.v - a.v)) AS s FROM k a JOIN k b USING (pixel, variable) WHERE b.i > a.i GROUP BY pixel, variable, b.i - a.i),
+fa AS (SELECT pixel, variable, any_value(n) AS n, sum(s) AS s, max(rho) FILTER (WHERE lag = 1) AS lag1, 1 + 2.0 / (any_value(n) * (any_value(n) - 1) * (any_value(n) - 2)) * coalesce(sum((n - lag) * (n - lag - 1) * (n - lag - 2) * rho) FILTER (WHERE abs(rho) > 1.959963984540054 / sqrt(n)), 0) AS f FROM lags GROUP BY pixel, variable),
+ti AS (SELECT pixel, variable, sum(c * (c - 1) * (2 * c + 5)) AS t FROM (SELECT pixel, variable, v, count(*) AS c FROM lg GROUP BY ALL) GROUP BY pixel, variable),
+mz AS (SELECT pixel, variable, lag1, CASE WHEN f > 0 THEN f ELSE 1.0 END AS factor, CASE WHEN s = 0 THEN 0.0 ELSE (s - sign(s)) / sqrt((n * (n - 1) * (2 * n + 5) - t) / 18.0 * CASE WHEN f > 0 THEN f ELSE 1.0 END) END AS z FROM fa JOIN ti USING (pixel, variable)),
+mk AS (SELECT *, {normal_p_sql('z')} AS p FROM mz)"""
+_FDR = f"{_MK}, rk AS (SELECT *, {ranked_sql('p', 'variable')} FROM mk), qs AS (SELECT *, {q_sql('p', 'variable')} AS q_bh, {q_sql('p', 'variable', 'm * h')} AS q_by FROM rk)"
 _EDGES = ", ".join(f"({a[1]}, {a[2]}, {b[1]}, {b[2]})" for a, b in zip(RING, [*RING[1:], RING[0]], strict=True))
 _SIDE = lambda x, y: f"((x2 - x1) * ({y} - y1) - (y2 - y1) * ({x} - x1))"
 _CORNERS = [_SIDE(f"(x {sx} 2500)", f"(y {sy} 2500)") for sx in "-+" for sy in "-+"]
@@ -324,6 +344,11 @@ ORACLE_SQL = {
     "cell_eligibility": f"WITH {supplier_sql()}, e AS (SELECT year, month, count(*) AS n_rows, count(DISTINCT block) AS n_blocks, count(DISTINCT fold) AS n_folds FROM f GROUP BY year, month) SELECT *, CASE WHEN n_rows < 90 THEN 'rows' WHEN n_blocks < 5 THEN 'blocks' WHEN n_folds < 5 THEN 'folds' END AS reason, n_rows >= 90 AND n_blocks >= 5 AND n_folds >= 5 AS eligible FROM e",
     "folds_time_ntile": f"WITH {supplier_sql()} SELECT year, tfold FROM yf",
     "folds_lexi_mod": f"WITH {supplier_sql()}, k AS (SELECT DISTINCT CAST(floor(x / 10000.0) AS BIGINT) || '_' || CAST(floor(y / 10000.0) AS BIGINT) AS key FROM p) SELECT key, CAST((dense_rank() OVER (ORDER BY key) - 1) % 5 AS INT) AS fold FROM k",
+    "folds_shuffled": f"WITH {supplier_sql()}, k AS (SELECT DISTINCT block FROM f) SELECT block, CAST((row_number() OVER (ORDER BY md5('42:' || block)) - 1) % 5 AS INT) AS fold FROM k",
+    "folds_balanced": f"""WITH RECURSIVE {supplier_sql()}, k AS (SELECT block, count(*) AS n, row_number() OVER (ORDER BY count(*) DESC, md5('42:' || block)) AS i FROM f GROUP BY block),
+ walk AS (SELECT CAST(0 AS BIGINT) AS i, [0, 0, 0, 0, 0]::BIGINT[] AS load, CAST(NULL AS BIGINT) AS block, 0 AS fold UNION ALL
+ SELECT k.i, list_transform(range(1, 6), lambda j: load[j] + CASE WHEN j = list_position(load, list_min(load)) THEN n ELSE 0 END), k.block, list_position(load, list_min(load)) - 1 FROM walk JOIN k ON k.i = walk.i + 1) SELECT block, CAST(fold AS INT) AS fold FROM walk WHERE i > 0""",
+    "distance_sampled": f"WITH {_corr('ps')} SELECT variable, bin, low_km, high_km, n_pairs, round(mean_product, 5) AS mean_product FROM co WHERE variable = 'o3'",
     "split_2d_coverage": f"WITH {supplier_sql()}, t AS (SELECT CAST(a AS INT) AS test, CAST(b AS INT) AS test_time FROM range(5) x(a), range(5) y(b)) SELECT test, test_time, count(*) FILTER (WHERE fold <> test AND tfold <> test_time) AS n_train, count(*) FILTER (WHERE fold = test AND tfold = test_time) AS n_test FROM t, f GROUP BY test, test_time",
     "split_or_sizes": f"WITH {supplier_sql()}, t AS (SELECT CAST(a AS INT) AS test FROM range(5) x(a)) SELECT test, count(*) FILTER (WHERE fold <> test AND tfold <> test) AS n_train, count(*) FILTER (WHERE fold = test OR tfold = test) AS n_test FROM t, f GROUP BY test",
     "adjust_bh": _fdr_sql("", "1.0"),
@@ -338,7 +363,9 @@ ORACLE_SQL = {
     "distance_summary": f"WITH {_CORR}, l AS (SELECT *, lead(mean_product) OVER (PARTITION BY variable ORDER BY low_km) AS nx, (low_km + high_km) / 2 AS mid FROM co) SELECT variable, min(high_km) FILTER (WHERE abs(mean_product) <= 0.05 AND abs(nx) <= 0.05) AS near_zero_km, round(arg_min(mean_product, abs(mid - 10)), 5) AS at_reference, arg_min(mid, abs(mid - 10)) AS reference_mid_km FROM l GROUP BY variable",
     "sen_slope_by_pixel": f"WITH {_YR}, {_LONG}, {_SLOPES} SELECT pixel, CAST(count(*) AS INT) AS n, round(any_value(sen_slope), 6) AS sen_slope, round(median(v - sen_slope * year), 6) AS sen_intercept FROM lg LEFT JOIN sl USING (pixel, variable) WHERE variable = 'sif' GROUP BY pixel",
     "mann_kendall_by_pixel": f"WITH {_YR}, t AS (SELECT pixel, sum(c * (c - 1) * (2 * c + 5)) AS t, CAST(sum(c) AS INT) AS n FROM (SELECT pixel, sif, count(*) AS c FROM yr GROUP BY pixel, sif) GROUP BY pixel), s AS (SELECT a.pixel, sum(sign(b.sif - a.sif)) AS s FROM yr a JOIN yr b ON a.pixel = b.pixel AND b.year > a.year GROUP BY a.pixel) SELECT pixel, n, CASE WHEN n >= 3 THEN CAST(s AS DOUBLE) END AS mk_s, CASE WHEN n >= 3 THEN round((n * (n - 1) * (2 * n + 5) - t) / 18, 6) END AS mk_var FROM t LEFT JOIN s USING (pixel)",
-    "modified_mk_by_pixel": f"WITH {_YR}, {_LONG}, {_SLOPES} SELECT pixel, variable, CAST(count(*) AS INT) AS n, round(any_value(sen_slope), 6) AS sen_slope, round(median(v - sen_slope * year), 6) AS sen_intercept, round(regr_slope(v, year), 6) AS ols_slope, round(regr_r2(v, year), 6) AS ols_r2 FROM lg JOIN sl USING (pixel, variable) GROUP BY pixel, variable HAVING count(*) >= 5",
+    "modified_mk_by_pixel": f"WITH {_MK}, ba AS (SELECT pixel, variable, CAST(count(*) AS INT) AS n, any_value(sen_slope) AS sen_slope, median(v - sen_slope * year) AS sen_intercept, regr_slope(v, year) AS ols_slope, regr_r2(v, year) AS ols_r2 FROM lg JOIN sl USING (pixel, variable) GROUP BY pixel, variable HAVING count(*) >= 5) SELECT pixel, variable, n, round(sen_slope, 6) AS sen_slope, round(sen_intercept, 6) AS sen_intercept, round(z, 6) AS mk_z, round(p, 6) AS mk_p, round(lag1, 6) AS lag1, round(factor, 6) AS factor, round(ols_slope, 6) AS ols_slope, round(ols_r2, 6) AS ols_r2 FROM ba JOIN mk USING (pixel, variable)",
+    "trend_fdr": f"WITH {_FDR} SELECT pixel, variable, round(p, 6) AS mk_p, round(q_bh, 6) AS q_bh, round(q_by, 6) AS q_by, p < 0.05 AS sig_raw, q_bh < 0.05 AS sig_bh, q_by < 0.05 AS sig_by FROM qs",
+    "trend_fdr_summary": f"WITH {_FDR} SELECT variable, count(p) AS n_tested, count(*) FILTER (WHERE p < 0.05) AS n_raw, count(*) FILTER (WHERE q_bh < 0.05) AS n_bh, count(*) FILTER (WHERE q_by < 0.05) AS n_by, count(*) FILTER (WHERE p < 0.05 AND sen_slope > 0) AS n_raw_up, count(*) FILTER (WHERE q_bh < 0.05 AND sen_slope > 0) AS n_bh_up, count(*) FILTER (WHERE q_by < 0.05 AND sen_slope > 0) AS n_by_up FROM qs JOIN sl USING (pixel, variable) GROUP BY variable",
     "spatial_stats": f"WITH {grid_sql()} SELECT ix, iy, round(avg(sif), 6) AS sif_mean, round(stddev_samp(sif), 6) AS sif_sd, round(avg(o3), 6) AS o3_mean, round(stddev_samp(o3), 6) AS o3_sd FROM p GROUP BY ix, iy",
     "zonal_profile": f"WITH {grid_sql()} SELECT round_even(iy / 8, 1) AS lat, round(avg(sif), 6) AS sif_mean, count(*) AS n FROM p GROUP BY 1",
     "meridional_profile": f"WITH {grid_sql()} SELECT round_even(ix / 7 * 4, 0) / 4 AS lon, round(avg(sif), 6) AS sif_mean, count(*) AS n FROM p GROUP BY 1",

@@ -8,9 +8,12 @@ from pyspark.sql import functions as F
 from ..operators import bootstrap, climate, crossfit, diagnostics, features, inference, tuning
 from ..operators.components import components, score_cells
 from ..operators.folds import Split
+from ..operators.multiplicity import fdr
 from . import panels
 from .panels import components_sql, oof_sql, rounded, supplier_rows, supplier_sql, two_way_sql
+from .tails import critical_sql, normal_p_sql, q_sql, ranked_sql, sign_p_sql, t_p_sql
 
+TESTED = ["t_df", "effect", "effect_se", "ci_normal_low", "ci_normal_high", "ci_t_low", "ci_t_high", "p_normal", "p_t"]
 EFFECT = ["theta", "se", "fallback", "g1", "g2", "g12", "num", "den", "n"]
 _EFFECT = "round(theta, 6) AS theta, round(se, 6) AS se, fallback, g1, g2, g12, round(num, 3) AS num, round(den, 3) AS den, n"
 
@@ -49,10 +52,8 @@ def effect_by_year(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def effect_by_year_t(spark: SparkSession, sf_dir: str) -> DataFrame:
     """With t and normal intervals, p values and q values over the years."""
-    from ..operators.multiplicity import fdr
-
     out = inference.with_t(inference.two_way(yearly_components(spark, sf_dir, "year", "block", "month"), ["year"], "block", "month"))
-    return fdr(out, "p_t")
+    return rounded(fdr(out, "p_t").select("year", *TESTED, "q"))
 
 
 def effect_pooled(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -62,7 +63,12 @@ def effect_pooled(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def effect_pooled_signs(spark: SparkSession, sf_dir: str) -> DataFrame:
     comp = yearly_components(spark, sf_dir)
-    return inference.with_t(inference.two_way(comp, [], "block", "year")).crossJoin(inference.annual_signs(comp.withColumn("k", F.lit(1)), ["k"]).drop("k"))
+    out = inference.with_t(inference.two_way(comp, [], "block", "year")).crossJoin(inference.annual_signs(comp.withColumn("k", F.lit(1)), ["k"]).drop("k"))  # a row each
+    return rounded(out.select(*TESTED, "n_years", "n_negative", "median_effect", "sign_p"))
+
+
+def effect_month_signs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rounded(inference.annual_signs(monthly_components(spark, sf_dir), ["month"]))
 
 
 def monthly_components(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -213,11 +219,11 @@ def combined_moments_by_fold(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def effect_linear_trend(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return inference.linear_trend(yearly_components(spark, sf_dir))
+    return rounded(inference.linear_trend(yearly_components(spark, sf_dir)), 5)
 
 
 def linear_trend_estimate(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return rounded(effect_linear_trend(spark, sf_dir).select("test", "estimate", "se", "t_df"), 5)
+    return effect_linear_trend(spark, sf_dir).select("test", "estimate", "se", "t_df")
 
 
 def score_matrix_pivot(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -283,6 +289,12 @@ def climate_modifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.createDataFrame(climate.modifier(climate_components(spark, sf_dir)))
 
 
+def climate_modifier_estimate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What follows from sums alone: estimates, errors of each kind and t tests, without the multiplier draws."""
+    out = climate_modifier(spark, sf_dir)
+    return rounded(out.select("parameter", "estimate", "covariance", "se_year", "se_block", "t_df", "p_t"), 5)
+
+
 def gbt_residuals(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Boosted trees by Spark ML (crossfit.GBT): metrics of both stages over the full period, a row a fold."""
     rows = crossfit.gbt_residuals(supplier_rows(spark, sf_dir), "o3", "sif", ["t2m", "ssrd", "x", "y"], Split("spatial", panels.FOLDS))
@@ -298,10 +310,10 @@ def tuning_best(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {f.__name__: f for f in (
-    effect_pooled, effect_by_year, effect_by_year_t, effect_pooled_signs, effect_month_cells, effect_by_month, effect_by_class, effect_block_scale, effect_control_sets, effect_wide_controls, effect_full_period_2d,
+    effect_pooled, effect_by_year, effect_by_year_t, effect_pooled_signs, effect_month_signs, effect_month_cells, effect_by_month, effect_by_class, effect_block_scale, effect_control_sets, effect_wide_controls, effect_full_period_2d,
     effect_strict_fe, effect_interannual, oof_residuals_year, oof_metrics_by_year, components_block_year, within_pixel_year_panel, within_audit, paired_contrast, future_exposure_join, placebo_joint_effects,
     collinearity_diagnostics, residual_support_by_year, timefold_calibration, timefold_summary, combined_moments_by_fold, effect_linear_trend, linear_trend_estimate, score_matrix_pivot, pairwise_class_contrasts,
-    heterogeneity_omnibus, heterogeneity_pairs, threshold_repool, threshold_stability, wild_month, wild_year, wild_year_by_class, climatology_support, climate_gram, climate_weighted_moments, climate_modifier, gbt_residuals, tuning_search, tuning_best,
+    heterogeneity_omnibus, heterogeneity_pairs, threshold_repool, threshold_stability, wild_month, wild_year, wild_year_by_class, climatology_support, climate_gram, climate_weighted_moments, climate_modifier, climate_modifier_estimate, gbt_residuals, tuning_search, tuning_best,
 )}
 
 # ---------------------------------------------------------------- SQL
@@ -341,7 +353,40 @@ def _pair_parts() -> str:
     return " UNION ALL ".join(parts)
 
 
-_CONTROLS = " UNION ALL ".join(f"SELECT '{c}' AS control, * FROM e_{c}" for c in ("t2m", "ssrd", "tp"))
+_SLOPE = f"""WITH {_YEARLY}, {components_sql('c', 'o', ['block', 'year'])}, yc AS (SELECT avg(year) AS m FROM (SELECT DISTINCT year FROM c)), z AS (SELECT block, year, num, den, year - m AS t FROM c, yc),
+ h AS (SELECT sum(den) AS a, sum(den * t) AS b, sum(den * t * t) AS c, sum(num) AS u, sum(num * t) AS v FROM z), k AS (SELECT *, (c * u - b * v) / (a * c - b * b) AS t0, (a * v - b * u) / (a * c - b * b) AS t1, a * c - b * b AS det FROM h),
+ s AS (SELECT block, year, num - den * (t0 + t1 * t) AS s1, t * (num - den * (t0 + t1 * t)) AS s2 FROM z, k),
+ mb AS (SELECT count(*) AS g, sum(x * x) AS xx, sum(x * y) AS xy, sum(y * y) AS yy FROM (SELECT sum(s1) AS x, sum(s2) AS y FROM s GROUP BY block)), my AS (SELECT count(*) AS g, sum(x * x) AS xx, sum(x * y) AS xy, sum(y * y) AS yy FROM (SELECT sum(s1) AS x, sum(s2) AS y FROM s GROUP BY year)), mx AS (SELECT count(*) AS g, sum(s1 * s1) AS xx, sum(s1 * s2) AS xy, sum(s2 * s2) AS yy FROM s),
+ m AS (SELECT mb.g AS g1, my.g AS g2, mb.xx * mb.g / (mb.g - 1.0) + my.xx * my.g / (my.g - 1.0) - mx.xx * mx.g / (mx.g - 1.0) AS xx, mb.xy * mb.g / (mb.g - 1.0) + my.xy * my.g / (my.g - 1.0) - mx.xy * mx.g / (mx.g - 1.0) AS xy, mb.yy * mb.g / (mb.g - 1.0) + my.yy * my.g / (my.g - 1.0) - mx.yy * mx.g / (mx.g - 1.0) AS yy FROM mb, my, mx),
+ q AS (SELECT *, (c * c * xx - 2 * b * c * xy + b * b * yy) / (det * det) AS p, (b * b * xx - 2 * a * b * xy + a * a * yy) / (det * det) AS w, (-b * c * xx + (a * c + b * b) * xy - a * b * yy) / (det * det) AS zz FROM k, m),
+ l AS (SELECT *, (p + w) / 2 + sqrt(((p - w) / 2) ** 2 + zz * zz) AS l1, (p + w) / 2 - sqrt(((p - w) / 2) ** 2 + zz * zz) AS l2 FROM q)
+ SELECT 'linear_trend_per_year' AS test, t1 * 10 AS estimate, 10 * sqrt(CASE WHEN l2 >= 0 THEN w WHEN l1 <= 0 THEN 0 ELSE l1 * (w - l2) / (l1 - l2) END) AS se, CAST(greatest(1, least(g1, g2) - 1) AS INT) AS t_df FROM l"""
+_TESTS = f"""te AS (SELECT e.*, CAST(greatest(least(g1, g2) - 1, 1) AS INT) AS t_df, theta / se AS z FROM e), tp AS (SELECT te.*, c AS crit, {normal_p_sql('z')} AS p_normal, {t_p_sql('z', 't_df')} AS p_t FROM te JOIN crit ON df = t_df)"""
+_TESTED = "t_df, round(theta * 10, 6) AS effect, round(se * 10, 6) AS effect_se, round((theta - 1.96 * se) * 10, 6) AS ci_normal_low, round((theta + 1.96 * se) * 10, 6) AS ci_normal_high, round((theta - crit * se) * 10, 6) AS ci_t_low, round((theta + crit * se) * 10, 6) AS ci_t_high, round(p_normal, 6) AS p_normal, round(p_t, 6) AS p_t"
+
+
+def _signs(keys: str) -> str:
+    """CTE sg: yearly effects counted by sign."""
+    return f"ye AS (SELECT {keys}, year, sum(num) / sum(den) AS theta FROM c GROUP BY {keys}, year), sn AS (SELECT {keys}, count(*) AS n_years, count(*) FILTER (WHERE theta < 0) AS n_negative, median(theta) AS median_effect FROM ye GROUP BY {keys}), sg AS (SELECT *, {sign_p_sql('n_negative', 'n_years')} AS sign_p FROM sn)"
+
+
+_SIGNS = "n_years, n_negative, round(median_effect, 6) AS median_effect, round(sign_p, 6) AS sign_p"
+
+
+def _modifier() -> str:
+    """Month intercepts and one slope by partialling out; a parameter's influence is the same combination of the scores."""
+    parts = []
+    for keys in ("block", "year"):
+        parts.append(f"""{keys}_u AS (SELECT {keys}, month, sum(q1) AS q1, sum(q2) AS q2 FROM sc GROUP BY {keys}, month),
+{keys}_g AS (SELECT {keys}, sum(q2 - sa / s * q1) / any_value(dd) AS i FROM {keys}_u JOIN mo USING (month), de GROUP BY {keys}),
+{keys}_m AS (SELECT mo.month, sum((coalesce(q1, 0) / s - sa / s * i) ** 2) * count(*) / (count(*) - 1.0) AS v FROM mo CROSS JOIN {keys}_g LEFT JOIN {keys}_u USING ({keys}, month) GROUP BY mo.month UNION ALL SELECT 99, sum(i * i) * count(*) / (count(*) - 1.0) FROM {keys}_g)""")
+    return ", ".join(parts)
+
+
+_CMOD = f"""{_CLIM}, gr AS (SELECT block, year, month, sum(den) AS s, sum(den * a) AS sa, sum(den * a * a) AS saa, sum(num) AS u, sum(num * a) AS ua FROM cs GROUP BY block, year, month),
+mo AS (SELECT month, sum(s) AS s, sum(sa) AS sa, sum(saa) AS saa, sum(u) AS u, sum(ua) AS ua FROM gr GROUP BY month), de AS (SELECT sum(saa - sa * sa / s) AS dd, sum(ua - u * sa / s) / sum(saa - sa * sa / s) AS gamma FROM mo),
+be AS (SELECT month, (u - gamma * sa) / s AS b FROM mo, de UNION ALL SELECT 99, gamma FROM de),
+sc AS (SELECT block, year, gr.month, u - s * b - sa * gamma AS q1, ua - sa * b - saa * gamma AS q2 FROM gr JOIN be USING (month), de), {_modifier()}"""
 ORACLE_SQL = {
     "effect_pooled": f"WITH {_YEARLY}, {_BY} SELECT {_EFFECT} FROM e",
     "effect_by_year": f"WITH {_YEARLY}, {components_sql('c', 'o', ['year', 'block', 'month'])}, {two_way_sql('e', 'c', ['year'], 'block', 'month')} SELECT year, {_EFFECT} FROM e",
@@ -384,14 +429,8 @@ ORACLE_SQL = {
     "timefold_summary": f"""WITH {_FULL}, {_CAL} SELECT count(*) AS n_folds, round(sum(information_share) FILTER (WHERE time_fold > (SELECT max(time_fold) FROM cal) - 2), 5) AS late_share, round(max(abs(exposure_residual_mean)), 5) AS max_exposure_bias, round(max(exposure_bias_over_sd), 5) AS max_exposure_bias_over_sd,
  round(max(abs(outcome_residual_mean)), 5) AS max_outcome_bias, round(max(outcome_bias_over_sd), 5) AS max_outcome_bias_over_sd, round(min(exposure_r2), 5) AS min_exposure_r2, round(min(outcome_r2), 5) AS min_outcome_r2, round(min(local_effect), 5) AS effect_min, round(max(local_effect), 5) AS effect_max FROM cal""",
     "combined_moments_by_fold": f"WITH {_YEARLY} SELECT tfold, count(*) AS n, round(avg(d), 6) AS mean, round(stddev_samp(d), 6) AS sd FROM o GROUP BY tfold",
-    "linear_trend_estimate": f"""WITH {_YEARLY}, {components_sql('c', 'o', ['block', 'year'])}, yc AS (SELECT avg(year) AS m FROM (SELECT DISTINCT year FROM c)), z AS (SELECT block, year, num, den, year - m AS t FROM c, yc),
- h AS (SELECT sum(den) AS a, sum(den * t) AS b, sum(den * t * t) AS c, sum(num) AS u, sum(num * t) AS v FROM z), k AS (SELECT *, (c * u - b * v) / (a * c - b * b) AS t0, (a * v - b * u) / (a * c - b * b) AS t1, a * c - b * b AS det FROM h),
- s AS (SELECT block, year, num - den * (t0 + t1 * t) AS s1, t * (num - den * (t0 + t1 * t)) AS s2 FROM z, k),
- mb AS (SELECT count(*) AS g, sum(x * x) AS xx, sum(x * y) AS xy, sum(y * y) AS yy FROM (SELECT sum(s1) AS x, sum(s2) AS y FROM s GROUP BY block)), my AS (SELECT count(*) AS g, sum(x * x) AS xx, sum(x * y) AS xy, sum(y * y) AS yy FROM (SELECT sum(s1) AS x, sum(s2) AS y FROM s GROUP BY year)), mx AS (SELECT count(*) AS g, sum(s1 * s1) AS xx, sum(s1 * s2) AS xy, sum(s2 * s2) AS yy FROM s),
- m AS (SELECT mb.g AS g1, my.g AS g2, mb.xx * mb.g / (mb.g - 1.0) + my.xx * my.g / (my.g - 1.0) - mx.xx * mx.g / (mx.g - 1.0) AS xx, mb.xy * mb.g / (mb.g - 1.0) + my.xy * my.g / (my.g - 1.0) - mx.xy * mx.g / (mx.g - 1.0) AS xy, mb.yy * mb.g / (mb.g - 1.0) + my.yy * my.g / (my.g - 1.0) - mx.yy * mx.g / (mx.g - 1.0) AS yy FROM mb, my, mx),
- q AS (SELECT *, (c * c * xx - 2 * b * c * xy + b * b * yy) / (det * det) AS p, (b * b * xx - 2 * a * b * xy + a * a * yy) / (det * det) AS w, (-b * c * xx + (a * c + b * b) * xy - a * b * yy) / (det * det) AS zz FROM k, m),
- l AS (SELECT *, (p + w) / 2 + sqrt(((p - w) / 2) ** 2 + zz * zz) AS l1, (p + w) / 2 - sqrt(((p - w) / 2) ** 2 + zz * zz) AS l2 FROM q)
- SELECT 'linear_trend_per_year' AS test, round(t1 * 10, 5) AS estimate, round(10 * sqrt(CASE WHEN l2 >= 0 THEN w WHEN l1 <= 0 THEN 0 ELSE l1 * (w - l2) / (l1 - l2) END), 5) AS se, CAST(greatest(1, least(g1, g2) - 1) AS INT) AS t_df FROM l""",
+    "linear_trend_estimate": f"SELECT test, round(estimate, 5) AS estimate, round(se, 5) AS se, t_df FROM ({_SLOPE})",
+    "effect_linear_trend": f"WITH {critical_sql()}, a AS ({_SLOPE}), b AS (SELECT *, estimate / se AS z FROM a JOIN crit ON df = t_df) SELECT test, round(estimate, 5) AS estimate, round(se, 5) AS se, round({t_p_sql('z', 't_df')}, 5) AS p_t, round(estimate - c * se, 5) AS ci_low, round(estimate + c * se, 5) AS ci_high, t_df FROM b",
     "score_matrix_pivot": f"""WITH {_CLASSES}, h AS (SELECT class, sum(num) / sum(den) AS theta FROM c GROUP BY class), s AS (SELECT block, year, class, sum(num - theta * den) AS s FROM c JOIN h USING (class) GROUP BY ALL)
  SELECT block, year, {', '.join(f'round(coalesce(sum(s) FILTER (WHERE class = {k}), 0), 4) AS "{k}"' for k in (10, 50, 60, 70, 90, 120, 130))} FROM s GROUP BY block, year""",
     "pairwise_class_contrasts": f"""WITH {_CLASSES}, h AS (SELECT class, sum(num) / sum(den) AS theta, sum(den) AS total FROM c GROUP BY class), sv AS (SELECT class, block, year, (num - theta * den) / total AS v FROM c JOIN h USING (class)),
@@ -403,6 +442,14 @@ ORACLE_SQL = {
     "climatology_support": f"WITH {_YEARLY}, y AS (SELECT pixel, month, count(*) AS years FROM (SELECT DISTINCT pixel, month, year FROM o) GROUP BY pixel, month) SELECT month, count(*) AS n_pixels, count(*) FILTER (WHERE years >= 5) AS n_supported, round(avg(years), 6) AS mean_years FROM y GROUP BY month",
     "climate_gram": f"WITH {_CLIM} SELECT year, month, round(sum(den), 3) AS s, round(sum(den * a), 3) AS sa, round(sum(den * a * a), 3) AS saa, round(sum(num), 3) AS u, round(sum(num * a), 3) AS ua FROM cs GROUP BY year, month",
     "climate_weighted_moments": f"WITH {_CLIM}, m AS (SELECT count(*) AS n, avg(a) AS mean, stddev_samp(a) AS sd, sum(den * a) / sum(den) AS wm, sum(den * a * a) / sum(den) AS wa FROM cs) SELECT n, round(mean, 6) AS mean, round(sd, 6) AS sd, round(wm, 6) AS weighted_mean, round(sqrt(wa - wm * wm), 6) AS weighted_sd FROM m",
+    "effect_by_year_t": f"WITH {critical_sql()}, {_YEARLY}, {components_sql('c', 'o', ['year', 'block', 'month'])}, {two_way_sql('e', 'c', ['year'], 'block', 'month')}, {_TESTS}, rk AS (SELECT *, {ranked_sql('p_t')} FROM tp) SELECT year, {_TESTED}, round({q_sql('p_t')}, 6) AS q FROM rk",
+    "effect_pooled_signs": f"WITH {critical_sql()}, {_YEARLY}, {_BY}, {_TESTS}, {_signs('one').replace('FROM c', 'FROM (SELECT *, 1 AS one FROM c)')} SELECT {_TESTED}, {_SIGNS} FROM tp, sg",
+    "effect_month_signs": f"WITH {supplier_sql()}, {oof_sql('o', 'f', ['year', 'month'])}, {components_sql('c', 'o', ['month', 'year', 'block'])}, {_signs('month')} SELECT month, {_SIGNS} FROM sg",
+    "climate_modifier_estimate": f"""WITH {_CMOD}, g AS (SELECT count(DISTINCT block) AS gb, count(DISTINCT year) AS gy FROM gr), x_u AS (SELECT block, year, month, sum(q1) AS q1, sum(q2) AS q2 FROM sc GROUP BY ALL), x_g AS (SELECT block, year, sum(q2 - sa / s * q1) / any_value(dd) AS i FROM x_u JOIN mo USING (month), de GROUP BY block, year),
+ x_m AS (SELECT mo.month, sum((coalesce(q1, 0) / s - sa / s * i) ** 2) * count(*) / (count(*) - 1.0) AS v FROM mo CROSS JOIN x_g LEFT JOIN x_u USING (block, year, month) GROUP BY mo.month UNION ALL SELECT 99, sum(i * i) * count(*) / (count(*) - 1.0) FROM x_g),
+ va AS (SELECT month, b * 10 AS estimate, x.v AS vx, y.v AS vy, z.v AS vb, z.v + y.v - x.v AS v FROM be JOIN x_m x USING (month) JOIN year_m y USING (month) JOIN block_m z USING (month)), ok AS (SELECT min(v) > 0 AS valid FROM va),
+ ta AS (SELECT va.*, valid, CAST(greatest(1, CASE WHEN valid THEN least(gb, gy) ELSE gy END - 1) AS INT) AS t_df, estimate / (10 * sqrt(CASE WHEN valid THEN v ELSE vy END)) AS z FROM va, ok, g)
+ SELECT CASE WHEN month = 99 THEN 't2m_anomaly' ELSE 'month_' || lpad(CAST(month AS VARCHAR), 2, '0') END AS parameter, round(estimate, 5) AS estimate, CASE WHEN valid THEN 'two_way' ELSE 'year' END AS covariance, round(10 * sqrt(vy), 5) AS se_year, round(10 * sqrt(vb), 5) AS se_block, t_df, round({t_p_sql('z', 't_df')}, 5) AS p_t FROM ta""",
     "tuning_search": f"WITH {supplier_sql()}, {_TUNED} SELECT {_TUNED_COLS} FROM tuned",
     "tuning_best": f"WITH {supplier_sql()}, {_TUNED} SELECT {_TUNED_COLS} FROM tuned ORDER BY rmse_mean, rmse_std, penalty LIMIT 1",
 }
