@@ -6,6 +6,8 @@ in parallel by grouped maps; a group holds one stratum's cells.
 
 from __future__ import annotations
 
+import hashlib
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -18,6 +20,11 @@ WEBB = np.array([-np.sqrt(1.5), -1.0, -np.sqrt(0.5), np.sqrt(0.5), 1.0, np.sqrt(
 REPS, SEED = 9999, 20260921
 
 
+def stream(seed: int, key: tuple) -> np.random.Generator:
+    """The stratum's own draws: seeded by an MD5 of seed and key."""
+    return np.random.default_rng(int(hashlib.md5(":".join(map(str, (seed, *key))).encode()).hexdigest()[:16], 16))
+
+
 def _factor(g: int) -> float:
     return g / (g - 1) if g > 1 else 1.0
 
@@ -51,7 +58,7 @@ def wild_month(comp: DataFrame, strata: list[str], block: str = "block", month:
         num, den = np.zeros((len(su), len(mu))), np.zeros((len(su), len(mu)))
         num[si, mi], den[si, mi] = pdf["num"], pdf["den"]
         theta, se = (x[0] for x in _studentised(num, den, None))
-        rng, draws = np.random.default_rng(seed + int(key[0])), []
+        rng, draws = stream(seed, key), []
         for at in range(0, reps, batch):
             shift, error = _studentised(num, den, WEBB[rng.integers(0, 6, (min(batch, reps - at), len(mu)))])
             draws.append(np.abs(shift / error))
@@ -73,7 +80,7 @@ def wild_year(comp: DataFrame, strata: list[str] | None = None, year: str = "yea
         g, theta = len(num), num.sum() / den.sum()
         u, factor = num - theta * den, _factor(len(num))
         seen = num.sum() / np.sqrt(factor * (num @ num))
-        rng, beyond, delta = np.random.default_rng(seed), 0, []
+        rng, beyond, delta = stream(seed, key), 0, []
         for at in range(0, reps, batch):
             w = WEBB[rng.integers(0, 6, (min(batch, reps - at), g))]
             t = (w * num).sum(1) / np.sqrt(factor * ((w * num) ** 2).sum(1))

@@ -91,6 +91,28 @@ def combined_moments(yearly: DataFrame, keys: list[str], n: str, mean: str, sd:
     return out.select(*keys, "n", mu.alias("mean"), F.sqrt(F.greatest(F.lit(0.0), (F.col("_ss") - F.col("n") * mu * mu) / F.greatest(F.lit(1), F.col("n") - 1))).alias("sd"))
 
 
+def weighted_fit(metrics: DataFrame, keys: list[str], n: str = "n", r2: str = "r2") -> DataFrame:
+    """keys, n and r2 weighted by rows, of the fits of several cells (cells without an r2 carry no weight)."""
+    w = F.when(F.col(r2).isNotNull(), F.col(n))
+    return metrics.groupBy(*keys).agg(F.sum(n).alias("n"), F.try_divide(F.sum(w * F.col(r2)), F.sum(w)).alias("r2_weighted"))
+
+
+def support_table(cells: DataFrame, keys: list[str], value: str, over: str) -> DataFrame:
+    """keys, number of cells (different ``over``), and sum, mean, least, median and largest of ``value``."""
+    return cells.groupBy(*keys).agg(F.count_distinct(over).alias(f"n_{over}"), F.sum(value).alias("total"), F.avg(value).alias("mean"), F.min(value).alias("least"), F.percentile(value, F.lit(0.5)).alias("median"), F.max(value).alias("most"))
+
+
+def sanity(metrics: DataFrame, keys: list[str], value: str = "r2") -> DataFrame:
+    """keys, number of fits, mean, median, least and largest fit, and how many are negative."""
+    return metrics.groupBy(*keys).agg(F.count(value).alias("n_fits"), F.avg(value).alias("mean"), F.percentile(value, F.lit(0.5)).alias("median"), F.min(value).alias("least"), F.max(value).alias("most"), F.count_if(F.col(value) < 0).alias("n_negative"))
+
+
+def threshold_support(metrics: DataFrame, keys: list[str], n: str, value: str, thresholds: list[int]) -> DataFrame:
+    """keys, stage, threshold: cells with at least so many rows, their rows, and the 5 % point, median and least of their fit."""
+    each = metrics.withColumn("threshold", F.explode(F.array(*map(F.lit, thresholds)))).where(F.col(n) >= F.col("threshold"))
+    return each.groupBy(*keys, "stage", "threshold").agg(F.count("*").alias("n_cells"), F.sum(n).alias("n_rows"), F.percentile(value, F.lit(0.05)).alias("q05"), F.percentile(value, F.lit(0.5)).alias("median"), F.min(value).alias("least"))
+
+
 def collinearity(rows: DataFrame, a: str, b: str) -> DataFrame:
     """Correlation of two residuals, variance inflation and the condition number of their correlation matrix."""
     r = rows.agg(F.corr(a, b).alias("r"), F.count("*").alias("n"))

@@ -94,6 +94,8 @@ def paired_contrast(rows: DataFrame, pair: tuple[str, str], other: tuple[str, st
     """Difference of two effects over the same rows (residual columns d and r of each), its error and clusters."""
     (d1, r1), (d2, r2) = pair, other
     t = rows.agg(*(F.sum(F.col(a) * F.col(b)).alias(n) for a, b, n in ((d1, r1, "n1"), (d1, d1, "v1"), (d2, r2, "n2"), (d2, d2, "v2")))).first()
+    if not t["v1"] or not t["v2"]:
+        raise ValueError("a contrast needs rows with variation of both exposures")
     theta1, theta2 = t["n1"] / t["v1"], t["n2"] / t["v2"]
     infl = lambda d, r, th, v: F.col(d) * (F.col(r) - th * F.col(d)) / v
     out = contrast(rows.withColumn("_i", infl(d1, r1, theta1, t["v1"]) - infl(d2, r2, theta2, t["v2"])), "_i", c1, c2)
@@ -145,6 +147,8 @@ def joint_effects(rows: DataFrame, ds: list[str], r: str, c1: str, c2: str, stra
     def run(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
         k = len(ds)
         h = _symmetric(pdf, k).sum(0)
+        if np.linalg.matrix_rank(h) < k:  # not identified
+            return pd.DataFrame([(*key, d, np.nan, np.nan, 0, 0, 0) for d in ds], columns=[*keys, "exposure", "theta", "se", "g1", "g2", "g12"])
         beta = np.linalg.solve(h, pdf[[f"u_{i}" for i in range(k)]].to_numpy().sum(0))
         cov, g1, g2, g12 = _sandwich(pdf, beta, h, c1, c2, small)
         return pd.DataFrame([(*key, ds[i], beta[i], float(np.sqrt(max(0.0, cov[i, i]))), g1, g2, g12) for i in range(k)], columns=[*keys, "exposure", "theta", "se", "g1", "g2", "g12"])

@@ -1,7 +1,9 @@
 """The analyses a panel is usually put through, on a panel of one's own.
 
-``prepare`` adds ids and folds to a panel; each experiment takes the prepared rows and a ``Design`` and returns named
-result tables; ``run`` writes them below a folder and skips those already there under the same settings.
+``prepare`` adds ids and folds to a panel; each experiment takes the prepared rows, a ``Design`` and ``keep``, and returns
+named result tables.  ``keep`` writes what several tables need (residuals, components), so that no model is fitted twice.
+``run`` writes tables below a folder.  An experiment that is there whole under the same settings and the same panel is
+read back and not computed; of a broken one the parts that are whole are.
 """
 
 from __future__ import annotations
@@ -17,9 +19,10 @@ from ..operators import bootstrap, climate, correlogram, crossfit, diagnostics,
 from ..operators.components import components
 from ..operators.folds import Split, assigned, balanced_folds, chunk_folds, dense_folds, shuffled_folds
 from ..operators.multiplicity import fdr
-from ..sources.sinks import checkpointed
+from ..sources.sinks import checkpointed, read_metadata, write_metadata
 
 Tables = dict[str, DataFrame]
+Keep = Callable[[DataFrame, str], DataFrame]
 PENALTIES = [0.0, 0.01, 0.1, 1.0]
 POLICIES = {"balanced": balanced_folds, "shuffled": shuffled_folds, "sorted": lambda df, key, k, seed: dense_folds(df, key, k)}
 
@@ -41,6 +44,8 @@ class Design:
     inner_folds: int = 4
     class_column: str = "lccs"
     thresholds: tuple[int, ...] = (5_000, 10_000, 20_000)
+    cell_rows: int = 20_000
+    cell_blocks: int = 15
     least_months: int = 6
     least_years: int = 5
     reps: int = bootstrap.REPS
@@ -49,6 +54,10 @@ class Design:
     sample: int | None = 1500
 
 
+def as_is(df: DataFrame, name: str) -> DataFrame:
+    return df
+
+
 def prepare(panel: DataFrame, design: Design, grid: Grid | None = None) -> DataFrame:
     """Rows with pixel, block, ix, iy, time features, fold and tfold; rows without outcome or exposure are left out."""
     grid = grid or grid_of(panel)
@@ -72,16 +81,16 @@ def pooled(rows: DataFrame, small: bool = True) -> DataFrame:
     return inference.with_t(inference.two_way(components(rows, ["block", "year"]), [], "block", "year", small))
 
 
-def full_period(rows: DataFrame, design: Design) -> Tables:
-    out = residuals(rows, design, split=Split("both", design.folds, design.folds))
+def full_period(rows: DataFrame, design: Design, keep: Keep = as_is) -> Tables:
+    out = keep(residuals(rows, design, split=Split("both", design.folds, design.folds)), "residuals")
     cal = diagnostics.calibration(out, design.exposure, design.outcome)
     return {"effect": pooled(out, small=False), "calibration": cal, "calibration_summary": diagnostics.calibration_summary(cal)}
 
 
-def primary(rows: DataFrame, design: Design) -> Tables:
+def primary(rows: DataFrame, design: Design, keep: Keep = as_is) -> Tables:
     """A model a year; annual effects (block x month), pooled effect (block x year), support and fit."""
-    out = residuals(rows, design, ["year"])
-    comp = components(out, ["block", "year", "month"])
+    out = keep(residuals(rows, design, ["year"]), "residuals")
+    comp = keep(components(out, ["block", "year", "month"]), "components")
     stages = {"exposure": design.exposure, "outcome": design.outcome}
     return {
         "annual": fdr(inference.with_t(inference.two_way(comp, ["year"], "block", "month")), "p_t"), "pooled": inference.with_t(inference.two_way(comp, [], "block", "year")),
@@ -89,39 +98,39 @@ def primary(rows: DataFrame, design: Design) -> Tables:
     }
 
 
-def strict_within(rows: DataFrame, design: Design) -> Tables:
+def strict_within(rows: DataFrame, design: Design, keep: Keep = as_is) -> Tables:
     columns = [design.outcome, design.exposure, *design.controls]
     return {"pooled": pooled(residuals(features.within_pixel_year(rows, columns, least=design.least_months), design, ["year"], suffix="_w"))}
 
 
-def interannual(rows: DataFrame, design: Design) -> Tables:
+def interannual(rows: DataFrame, design: Design, keep: Keep = as_is) -> Tables:
     """Anomalies within pixel and month against the raw design on the same rows and folds."""
     columns = [design.outcome, design.exposure, *design.controls]
     w = features.within_pixel_month(rows, columns, least=design.least_years)
     raw = residuals(w, design).withColumnsRenamed({"d": "d_raw", "r": "r_raw"}).drop("test")
-    both = residuals(raw, design, suffix="_w")
+    both = keep(residuals(raw, design, suffix="_w"), "residuals")
     return {"pooled": pooled(both), "contrast": inference.paired_contrast(both, ("d_raw", "r_raw"), ("d", "r"), "block", "year"), "audit": features.within_audit(w, ["pixel", "month"], columns[:2])}
 
 
-def placebo(rows: DataFrame, design: Design) -> Tables:
+def placebo(rows: DataFrame, design: Design, keep: Keep = as_is) -> Tables:
     """Current and next year's exposure together."""
     ahead = features.future_exposure(rows, design.exposure)
-    out = residuals(ahead, design, ["year"], more={"e": f"{design.exposure}_next"})
+    out = keep(residuals(ahead, design, ["year"], more={"e": f"{design.exposure}_next"}), "residuals")
     return {"joint": inference.with_t(inference.joint_effects(out, ["d", "e"], "r", "block", "year")), "collinearity": diagnostics.collinearity(out, "d", "e")}
 
 
-def block_scale(rows: DataFrame, design: Design) -> Tables:
+def block_scale(rows: DataFrame, design: Design, keep: Keep = as_is) -> Tables:
     grid, parts = grid_of(rows), None
     for factor in design.factors:
         own = prepare(rows.drop("pixel", "block", "ix", "iy", "fold", "tfold"), replace(design, factor=factor), grid)
         one = pooled(residuals(own, design, ["year"])).withColumn("factor", F.lit(factor))
         parts = one if parts is None else parts.unionByName(one)
     out = residuals(rows, design, ["year"]).withColumn("id", F.col("pixel"))
-    by_cell = correlogram.correlogram(out, ["d", "r"], design.bins_km, sample=design.sample)
+    by_cell = keep(correlogram.correlogram(out, ["d", "r"], design.bins_km, sample=design.sample), "pairs")
     return {"pooled": parts, "correlogram": correlogram.pooled_correlogram(by_cell, design.bins_km), "dependence": correlogram.dependence_summary(correlogram.pooled_correlogram(by_cell, design.bins_km), design.factor * grid.dx / 1000)}
 
 
-def control_sets(rows: DataFrame, design: Design) -> Tables:
+def control_sets(rows: DataFrame, design: Design, keep: Keep = as_is) -> Tables:
     """Each set of covariates on the rows that are complete for all of them."""
     sets, parts = (design.controls, *design.more_controls), None
     common = rows.dropna(subset=sorted({c for s in sets for c in s}))
@@ -131,16 +140,16 @@ def control_sets(rows: DataFrame, design: Design) -> Tables:
     return {"pooled": parts}
 
 
-def resampling(rows: DataFrame, design: Design) -> Tables:
-    comp = components(residuals(rows, design, ["year"]), ["block", "year", "month"])
+def resampling(rows: DataFrame, design: Design, keep: Keep = as_is) -> Tables:
+    comp = keep(components(residuals(rows, design, ["year"]), ["block", "year", "month"]), "components")
     return {"month": fdr(bootstrap.wild_month(comp, ["year"], reps=design.reps), "p_wild"), "year": bootstrap.wild_year(comp, reps=design.reps)}
 
 
-def time_trend(rows: DataFrame, design: Design) -> Tables:
-    return {"trend": inference.linear_trend(components(residuals(rows, design, ["year"]), ["block", "year"]))}
+def time_trend(rows: DataFrame, design: Design, keep: Keep = as_is) -> Tables:
+    return {"trend": inference.linear_trend(keep(components(residuals(rows, design, ["year"]), ["block", "year"]), "components"))}
 
 
-def refits(rows: DataFrame, design: Design) -> Tables:
+def refits(rows: DataFrame, design: Design, keep: Keep = as_is) -> Tables:
     """Fold policies and splits side by side, without small-sample factors."""
     parts = None
     for name, policy, kind in (("spatial_shuffled", "shuffled", "spatial"), ("both_shuffled", "shuffled", "both"), ("spatial_balanced", "balanced", "spatial")):
@@ -156,44 +165,58 @@ def _heterogeneity(comp: DataFrame, key: str) -> Tables:
     return {"omnibus": spark.createDataFrame([tuple(map(float, test.values()))], "f double, df1 double, df2 double, p double"), "pairs": spark.createDataFrame(pairs)}
 
 
-def by_month(rows: DataFrame, design: Design) -> Tables:
-    comp = components(residuals(rows, design, ["year", "month"]), ["month", "year", "block"])
-    return {"cells": inference.with_t(inference.one_way(comp, ["year", "month"], "block"), second=None), "pooled": inference.with_t(inference.two_way(comp, ["month"], "block", "year")), "signs": inference.annual_signs(comp, ["month"]), "wild": bootstrap.wild_year(comp, ["month"], reps=design.reps), **_heterogeneity(comp, "month")}
+def gated(rows: DataFrame, design: Design, keys: list[str]) -> tuple[DataFrame, DataFrame]:
+    """Rows of the cells with enough rows, blocks and folds for a model, and every cell with the reason it is left out for."""
+    cells = features.eligibility(rows, keys, design.cell_rows, design.cell_blocks, design.folds)
+    return rows.join(cells.where("eligible").select(*keys), keys, "left_semi"), cells
+
+
+def by_month(rows: DataFrame, design: Design, keep: Keep = as_is) -> Tables:
+    own, cells = gated(rows, design, ["year", "month"])
+    comp = keep(components(residuals(own, design, ["year", "month"]), ["month", "year", "block"]), "components")
+    return {
+        "eligibility": cells, "cells": inference.with_t(inference.one_way(comp, ["year", "month"], "block"), second=None), "pooled": inference.with_t(inference.two_way(comp, ["month"], "block", "year")),
+        "signs": inference.annual_signs(comp, ["month"]), "wild": bootstrap.wild_year(comp, ["month"], reps=design.reps), **_heterogeneity(comp, "month"),
+    }
 
 
-def by_class(rows: DataFrame, design: Design) -> Tables:
+def by_class(rows: DataFrame, design: Design, keep: Keep = as_is) -> Tables:
     own = rows.withColumn("class", features.class_group(F.col(design.class_column))).where("class is not null")
-    comp = components(residuals(own, design, ["class", "year"]), ["class", "year", "block", "month"])
+    own, cells = gated(own, design, ["class", "year"])
+    out = keep(residuals(own, design, ["class", "year"]), "residuals")
+    comp = keep(components(out, ["class", "year", "block", "month"]), "components")
+    fit = diagnostics.staged_metrics(out, {"exposure": design.exposure, "outcome": design.outcome}, ["class", "year"])
     return {
-        "annual": inference.with_t(inference.two_way(comp, ["class", "year"], "block", "month")), "pooled": inference.with_t(inference.two_way(comp, ["class"], "block", "year")),
-        "signs": inference.annual_signs(comp, ["class"]), "thresholds": inference.with_t(inference.repooled(comp, "class", list(design.thresholds), ["class", "year"])), **_heterogeneity(comp, "class"),
+        "eligibility": cells, "annual": inference.with_t(inference.two_way(comp, ["class", "year"], "block", "month")), "pooled": inference.with_t(inference.two_way(comp, ["class"], "block", "year")),
+        "signs": inference.annual_signs(comp, ["class"]), "thresholds": inference.with_t(inference.repooled(comp, "class", list(design.thresholds), ["class", "year"])),
+        "threshold_support": diagnostics.threshold_support(fit, ["class"], "n", "r2", list(design.thresholds)), "sanity": diagnostics.sanity(fit, ["stage"], "r2"), **_heterogeneity(comp, "class"),
     }
 
 
-def kernel_maps(rows: DataFrame, design: Design) -> Tables:
+def kernel_maps(rows: DataFrame, design: Design, keep: Keep = as_is) -> Tables:
     grid, out = grid_of(rows), {}
-    comp = components(residuals(rows, design, ["year"]), ["ix", "iy", "year", "month"])
+    comp = keep(components(residuals(rows, design, ["year"]), ["ix", "iy", "year", "month"]), "components")
     for bw in design.bandwidths_km:
-        masked = kernel.support_mask(kernel.effect_map(comp, grid, bw))
+        masked = keep(kernel.support_mask(kernel.effect_map(comp, grid, bw)), f"masked_{bw:g}km")
         out |= {f"map_{bw:g}km": kernel.with_intervals(masked), f"summary_{bw:g}km": kernel.map_summary(masked)}
     return out
 
 
-def climate_state(rows: DataFrame, design: Design, value: str = "t2m") -> Tables:
-    comp = components(residuals(rows, design, ["year"]), ["pixel", "block", "year", "month"], **{value: F.avg(value)})
+def climate_state(rows: DataFrame, design: Design, keep: Keep = as_is, value: str = "t2m") -> Tables:
+    comp = keep(components(residuals(rows, design, ["year"]), ["pixel", "block", "year", "month"], **{value: F.avg(value)}), "components")
     held = climate.supported(comp, value, least_years=2 * design.least_years)
     return {"climatology": climate.climatology_support(comp, value), "moments": climate.weighted_moments(held, value), "modifier": rows.sparkSession.createDataFrame(climate.modifier(held, value, reps=design.reps))}
 
 
-def trends(rows: DataFrame, design: Design) -> Tables:
+def trends(rows: DataFrame, design: Design, keep: Keep = as_is) -> Tables:
     values = [design.outcome, design.exposure]
     yearly = trend.yearly_means(rows, values)
     least = trend.least_years(rows.select("year").distinct().count())
-    out = trend.with_fdr(trend.trends(yearly, values, least=least))
+    out = trend.with_fdr(keep(trend.trends(yearly, values, least=least), "trends"))
     return {"trends": out, "summary": trend.fdr_summary(out), "places": trend.spatial_stats(rows, values, ["ix", "iy"])}
 
 
-def tuned(rows: DataFrame, design: Design) -> Tables:
+def tuned(rows: DataFrame, design: Design, keep: Keep = as_is) -> Tables:
     """Nested search of the learner's settings for exposure and outcome, and the one-level ridge grid of the outcome."""
     scores = tuning.ridge_search(rows, design.outcome, list(design.controls), PENALTIES, design.folds)
     settings = (lambda seed: tuning.candidates(design.candidates, seed)) if design.learner == "gbt" else (lambda seed: [{"penalty": p} for p in PENALTIES])
@@ -201,7 +224,7 @@ def tuned(rows: DataFrame, design: Design) -> Tables:
     return {"scores": scores, "best": tuning.best(scores), **nested}
 
 
-def specifications(rows: DataFrame, design: Design) -> Tables:
+def specifications(rows: DataFrame, design: Design, keep: Keep = as_is) -> Tables:
     """Designs side by side on the same rows: deltas of their effects, and the variation that identifies each."""
     rows, both, parts = rows.dropna(subset=list(design.controls)), Split("both", design.folds, design.folds), []
     shuffled = assigned(rows.drop("fold"), F.broadcast(POLICIES["shuffled"](rows, "block", design.folds, design.seed)), "block")
@@ -224,18 +247,34 @@ def specifications(rows: DataFrame, design: Design) -> Tables:
     return {"deltas": diagnostics.specification_deltas(table, contrasts), "variation": diagnostics.variation_ratios(table, ["primary", "paired_raw"])}
 
 
-EXPERIMENTS: dict[str, Callable[[DataFrame, Design], Tables]] = {
+EXPERIMENTS: dict[str, Callable[[DataFrame, Design, Keep], Tables]] = {
     "full_period": full_period, "primary": primary, "strict_within": strict_within, "interannual": interannual, "placebo": placebo, "block_scale": block_scale, "control_sets": control_sets, "resampling": resampling,
     "time_trend": time_trend, "refits": refits, "by_month": by_month, "by_class": by_class, "kernel_maps": kernel_maps, "climate_state": climate_state, "trends": trends, "tuned": tuned,
     "specifications": specifications,
 }
 
 
+def fingerprint(panel: DataFrame) -> str:
+    """What names the panel's content: its files with size and time, or (without files) a sum over hashes of its rows."""
+    spark, files = panel.sparkSession, panel.inputFiles()
+    if files:
+        listed = spark.read.format("binaryFile").load(files).select(F.col("path").alias("p"), F.col("length").alias("l"), F.col("modificationTime").cast("string").alias("t"))
+        return listed.agg(F.sha2(F.array_join(F.array_sort(F.collect_list(F.concat_ws("|", "p", "l", "t"))), ","), 256)).first()[0]  # a row a file
+    return str(panel.agg(F.count("*"), F.sum(F.xxhash64(*panel.columns) % 1_000_003), F.bit_xor(F.xxhash64(*panel.columns))).first())
+
+
 def run(panel: DataFrame, design: Design, out: str, names: list[str] | None = None) -> dict[str, Tables]:
     """Result tables of the named experiments (all by default), written below ``out``."""
-    rows = prepare(panel, design)
-    done: dict[str, Tables] = {}
+    spark, done, rows = panel.sparkSession, {}, None
+    base = asdict(design) | {"panel": fingerprint(panel)}
     for name in names or list(EXPERIMENTS):
-        config = {"experiment": name} | asdict(design)
-        done[name] = {t: checkpointed(df, f"{out}/{name}/{t}", config | {"table": t}) for t, df in EXPERIMENTS[name](rows, design).items()}
+        config, made = {"experiment": name} | base, f"{out}/{name}/_whole"
+        held = read_metadata(spark, made, config)
+        if held is not None:
+            done[name] = {t: spark.read.parquet(f"{out}/{name}/{t}/rows") for t in held["tables"]}
+            continue
+        rows = rows if rows is not None else prepare(panel, design)
+        keep = lambda df, part: checkpointed(df, f"{out}/{name}/_work/{part}", config | {"part": part})  # noqa: E731, B023
+        done[name] = {t: checkpointed(df, f"{out}/{name}/{t}", config | {"table": t}) for t, df in EXPERIMENTS[name](rows, design, keep).items()}
+        write_metadata(spark, made, config, tables=list(done[name]))
     return done

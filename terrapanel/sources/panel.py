@@ -63,8 +63,8 @@ def month_number(c: Column) -> Column:
     return F.when(m.between(1, 12), m)
 
 
-def read_panel(spark: SparkSession, path: str, schema: PanelSchema | None = None, format: str = "parquet", years: tuple[int, int] = (2000, 2022)) -> DataFrame:
-    """A panel from Parquet or CSV files: wanted columns only, cast, years filtered, months checked."""
+def read_panel(spark: SparkSession, path: str, schema: PanelSchema | None = None, format: str = "parquet", years: tuple[int, int] = (2000, 2022), unique: bool = True) -> DataFrame:
+    """A panel from Parquet or CSV files: wanted columns only, cast, years filtered, months and (``unique``) keys checked."""
     schema = schema or PanelSchema()
     raw = spark.read.option("header", True).csv(path) if format == "csv" else spark.read.format(format).load(path)
     names = schema.present(raw.columns)
@@ -74,7 +74,8 @@ def read_panel(spark: SparkSession, path: str, schema: PanelSchema | None = None
         year.alias("year"), month_number(F.col(f"`{names['month']}`")).alias("month"),
         *(finite(F.col(f"`{src}`")).alias(c) for c, src in names.items() if c not in ("x", "y", "year", "month")),
     )
-    return df.withColumn("month", F.when(F.col("month").isNull(), F.raise_error(F.lit("month out of 1..12"))).otherwise(F.col("month")))
+    df = df.withColumn("month", F.when(F.col("month").isNull(), F.raise_error(F.lit("month out of 1..12"))).otherwise(F.col("month")))
+    return require_unique(df) if unique else df
 
 
 def duplicate_keys(df: DataFrame, *keys: str) -> DataFrame:

@@ -30,24 +30,38 @@ def signature(config: dict) -> str:
     return hashlib.sha256(json.dumps(config, sort_keys=True, default=str).encode()).hexdigest()
 
 
-def write_metadata(spark: SparkSession, path: str, config: dict) -> str:
-    """The settings and their signature as one JSON text file; returns the signature."""
+def write_metadata(spark: SparkSession, path: str, config: dict, **more) -> str:
+    """The settings, their signature and further entries as one JSON text file; returns the signature."""
     name = signature(config)
-    spark.createDataFrame([(json.dumps(config | {"signature": name}, sort_keys=True, default=str),)], "value string").coalesce(1).write.mode("overwrite").text(path)
+    spark.createDataFrame([(json.dumps(config | more | {"signature": name}, sort_keys=True, default=str),)], "value string").coalesce(1).write.mode("overwrite").text(path)
     return name
 
 
-def read_checkpoint(spark: SparkSession, path: str, config: dict) -> DataFrame | None:
-    """The table of an earlier run with the same settings, or None."""
+def read_metadata(spark: SparkSession, path: str, config: dict) -> dict | None:
+    """What write_metadata wrote there under the same settings, or None."""
     from pyspark.errors import AnalysisException
 
     try:
-        made = spark.read.text(f"{path}/_settings").first()
+        made = spark.read.text(path).first()
     except AnalysisException:
         return None
-    if made is None or json.loads(made[0]).get("signature") != signature(config):
-        return None
-    return spark.read.parquet(f"{path}/rows")
+    held = json.loads(made[0]) if made is not None else {}
+    return held if held.get("signature") == signature(config) else None
+
+
+def read_checkpoint(spark: SparkSession, path: str, config: dict) -> DataFrame | None:
+    """The table of an earlier run with the same settings, or None."""
+    return None if read_metadata(spark, f"{path}/_settings", config) is None else spark.read.parquet(f"{path}/rows")
+
+
+def write_report(spark: SparkSession, path: str, tables: dict[str, DataFrame], rows: int = 50) -> None:
+    """A text report: each table's heading and its first ``rows`` rows, in the order given."""
+    lines = []
+    for title, df in tables.items():
+        lines += [title, "-" * len(title), " | ".join(df.columns)]
+        lines += [" | ".join("" if v is None else f"{v:.6g}" if isinstance(v, float) else str(v) for v in r) for r in df.take(rows)]
+        lines.append("")
+    spark.createDataFrame([("\n".join(lines),)], "value string").coalesce(1).write.mode("overwrite").text(path)
 
 
 def checkpointed(df: DataFrame, path: str, config: dict) -> DataFrame:
@@ -61,9 +75,11 @@ def checkpointed(df: DataFrame, path: str, config: dict) -> DataFrame:
 
 
 def scratch(spark: SparkSession, name: str) -> str:
-    """A new path below the session's spark.checkpoint.dir, which driver and executors share (a new local folder if unset)."""
+    """A new path below the session's spark.checkpoint.dir, which driver and executors share (a local session may lack it)."""
     found = spark.conf.get("spark.checkpoint.dir", "") or spark.sparkContext.getConf().get("spark.checkpoint.dir", "")
     if not found:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that driver and executors share")
         import tempfile
 
         found = "file://" + tempfile.mkdtemp(prefix="spark-")

@@ -9,7 +9,7 @@ from terrapanel.operators.components import components
 from terrapanel.plans import experiments, panels
 from terrapanel.streaming import components as streamed
 
-DESIGN = experiments.Design(controls=("t2m",), more_controls=(("ssrd",), ("t2m", "tp")), factor=2, factors=(1, 2), thresholds=(20, 60), reps=99, least_years=2, bandwidths_km=(10.0,), bins_km=(0, 6, 11), sample=None)
+DESIGN = experiments.Design(controls=("t2m",), more_controls=(("ssrd",), ("t2m", "tp")), factor=2, factors=(1, 2), thresholds=(20, 60), reps=99, least_years=2, bandwidths_km=(10.0,), bins_km=(0, 6, 11), sample=None, cell_rows=20, cell_blocks=2)
 
 
 @pytest.fixture(scope="module")
@@ -25,9 +25,31 @@ def test_experiment(panel, name):
     assert tables and all(len(t.take(1)) == 1 or (name, k) == ("trends", "trends") for k, t in tables.items() if not k.startswith("summary"))
 
 
-def test_run_is_resumed(spark, panel, tmp_path):
-    a, b = (experiments.run(panel, DESIGN, str(tmp_path), ["full_period"])["full_period"]["effect"].first() for _ in range(2))
-    assert a == b
+def test_run_is_resumed(spark, panel, tmp_path, monkeypatch):
+    """A second run computes nothing; another panel under the same settings is computed anew."""
+    first = experiments.run(panel, DESIGN, str(tmp_path), ["primary"])["primary"]
+    monkeypatch.setitem(experiments.EXPERIMENTS, "primary", lambda *a: pytest.fail("computed again"))
+    again = experiments.run(panel, DESIGN, str(tmp_path), ["primary"])["primary"]
+    assert set(again) == set(first) and again["pooled"].first() == first["pooled"].first()
+    monkeypatch.undo()
+    fewer = experiments.run(panel.where("x > 0"), DESIGN, str(tmp_path / "other"), ["primary"])["primary"]["pooled"].first()
+    assert fewer.n < first["pooled"].first().n
+    changed = str(tmp_path / "changed")
+    panel.where("x > 0").write.parquet(changed)
+    assert experiments.fingerprint(spark.read.parquet(changed)) != experiments.fingerprint(panel)
+    assert experiments.run(spark.read.parquet(changed), DESIGN, str(tmp_path), ["primary"])["primary"]["pooled"].first().n == fewer.n
+
+
+def test_fingerprint_without_files(spark):
+    a, b = spark.range(5), spark.range(6)
+    assert experiments.fingerprint(a) == experiments.fingerprint(spark.range(5)) != experiments.fingerprint(b)
+
+
+def test_cells_without_support_are_left_out(panel):
+    rows = experiments.prepare(panel, DESIGN)
+    kept, cells = experiments.gated(rows, replace(DESIGN, cell_rows=95), ["year", "month"])
+    reasons = {r.reason for r in cells.select("reason").distinct().collect()}
+    assert reasons >= {None, "rows"} and kept.count() == cells.where("eligible").agg(F.sum("n_rows")).first()[0] < rows.count()
 
 
 def test_streamed_components(spark, panel, tmp_path):
