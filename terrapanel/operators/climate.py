@@ -6,6 +6,8 @@ x years short rows come to the driver for the small solve.
 
 from __future__ import annotations
 
+from typing import NamedTuple
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -44,8 +46,19 @@ def weighted_moments(rows: DataFrame, value: str = "t2m") -> DataFrame:
     return m.select("n", "mean", "sd", mean.alias("weighted_mean"), F.sqrt(F.greatest(F.lit(0.0), F.col("waa") / F.col("w") - mean * mean)).alias("weighted_sd"))
 
 
-def modifier(rows: DataFrame, value: str = "t2m", block: str = "block", months: tuple[int, ...] = MONTHS, reps: int = 4999, seed: int = 42) -> pd.DataFrame:
-    """A row a parameter: estimate per 10, errors by two-way, year and block clusters, and the multiplier p of gamma."""
+class Fit(NamedTuple):
+    """Month intercepts and the slope (last), their covariances by kind of clusters, degrees of freedom, and the kind that is used."""
+
+    months: list[int]
+    beta: np.ndarray
+    cov: dict[str, np.ndarray]
+    df: dict[str, int]
+    chosen: str
+    year_scores: np.ndarray
+    inverse: np.ndarray
+
+
+def fitted(rows: DataFrame, value: str = "t2m", block: str = "block", months: tuple[int, ...] = MONTHS) -> Fit:
     g = gram(rows, [block, "year"], value).toPandas()
     present = [m for m in months if (g["month"] == m).any()]
     p, at = len(present) + 1, {m: i for i, m in enumerate(present)}
@@ -67,8 +80,13 @@ def modifier(rows: DataFrame, value: str = "t2m", block: str = "block", months:
     cov = {"two_way": inv @ (meat["block"] + meat["year"] - meat["both"]) @ inv, "year": inv @ meat["year"] @ inv, "block": inv @ meat["block"] @ inv}
     valid = (np.diag(cov["two_way"]) > 0).all()
     df = {"two_way": max(1, min(len(by["block"]), len(by["year"])) - 1), "year": max(1, len(by["year"]) - 1), "block": max(1, len(by["block"]) - 1)}
-    chosen = "two_way" if valid else "year"
-    p_flip, low, high = multiplier_year(by["year"], inv, float(beta[-1]), reps, seed)
+    return Fit(present, beta, cov, df, "two_way" if valid else "year", by["year"], inv)
+
+
+def modifier(rows: DataFrame, value: str = "t2m", block: str = "block", months: tuple[int, ...] = MONTHS, reps: int = 4999, seed: int = 42) -> pd.DataFrame:
+    """A row a parameter: estimate per 10, errors by two-way, year and block clusters, and the multiplier p of gamma."""
+    present, beta, cov, df, chosen, scores, inv = fitted(rows, value, block, months)
+    p, (p_flip, low, high) = len(beta), multiplier_year(scores, inv, float(beta[-1]), reps, seed)
     out = []
     for j, name in enumerate([*(f"month_{m:02d}" for m in present), f"{value}_anomaly"]):
         row = {"parameter": name, "estimate": beta[j] * 10, "covariance": chosen}
@@ -80,3 +98,26 @@ def modifier(rows: DataFrame, value: str = "t2m", block: str = "block", months:
         row |= {"p_multiplier": p_flip, "multiplier_low": low * 10, "multiplier_high": high * 10} if j == p - 1 else {"p_multiplier": np.nan, "multiplier_low": np.nan, "multiplier_high": np.nan}
         out.append(row)
     return pd.DataFrame(out)
+
+
+def response_curves(rows: DataFrame, fit: Fit, value: str = "t2m", points: int = 121, span: tuple[float, float] = (0.05, 0.95)) -> DataFrame:
+    """curve (``mean`` of the months, or a month), point, anomaly, effect per 10 and its t interval, between two quantiles of the anomaly."""
+    low, high = rows.agg(F.percentile(f"{value}_anomaly", F.array(*map(F.lit, span))).alias("q")).first()["q"]
+    k, crit = len(fit.months), float(t_quantile(0.975, np.array([fit.df[fit.chosen]]))[0])
+    weights = {"mean": np.full(k, 1.0 / k)} | {f"{m:02d}": np.eye(k)[i] for i, m in enumerate(fit.months)}
+    out = []
+    for name, w in weights.items():
+        for i, a in enumerate(np.linspace(low, high, points)):
+            c = np.append(w, a)
+            effect, se = float(c @ fit.beta) * 10, float(np.sqrt(max(0.0, c @ fit.cov[fit.chosen] @ c))) * 10
+            out.append((name, i, float(a), effect, effect - crit * se, effect + crit * se))
+    return rows.sparkSession.createDataFrame(out, "curve string, point int, anomaly double, effect double, ci_low double, ci_high double")
+
+
+def direction(parameters: pd.DataFrame, fit: Fit, alpha: float = 0.05) -> str:
+    """negative or positive where the intervals of the slope by both kinds of clusters lie on one side and the multiplier test agrees; else unclear."""
+    row, gamma = parameters.iloc[-1], float(fit.beta[-1])
+    reach = max(float(t_quantile(1 - alpha / 2, np.array([fit.df[k]]))[0]) * float(np.sqrt(max(0.0, fit.cov[k][-1, -1]))) for k in (fit.chosen, "year"))
+    if row["p_multiplier"] >= alpha or abs(gamma) <= reach:
+        return "unclear"
+    return "negative" if gamma < 0 else "positive"

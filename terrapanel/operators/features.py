@@ -83,3 +83,30 @@ def eligibility(df: DataFrame, keys: list[str], rows: int = 20_000, blocks: int
     cell = df.groupBy(*keys).agg(F.count("*").alias("n_rows"), F.count_distinct("block").alias("n_blocks"), F.count_distinct("fold").alias("n_folds"))
     reason = F.when(F.col("n_rows") < rows, "rows").when(F.col("n_blocks") < blocks, "blocks").when(F.col("n_folds") < folds, "folds")
     return cell.withColumn("reason", reason).withColumn("eligible", reason.isNull())
+
+
+def latest(df: DataFrame, keys: list[str], order: Column) -> DataFrame:
+    """One row a key: the last in an order that must be given (ties are the caller's to break)."""
+    w = W.partitionBy(*keys).orderBy(order.desc())
+    return df.withColumn("_r", F.row_number().over(w)).where("_r = 1").drop("_r")
+
+
+def in_order(df: DataFrame, key: str, names: list) -> DataFrame:
+    """Rows with ``position``, the place of their key in a given list (keys that it lacks come last), in that order."""
+    place = F.array_position(F.array(*map(F.lit, names)), F.col(key))
+    return df.withColumn("position", F.when(place > 0, place).otherwise(len(names) + 1).cast("int")).orderBy("position", key)
+
+
+def looked_up(df: DataFrame, key: str, mapping: dict, out: str) -> DataFrame:
+    """Rows with the value of a short dictionary; a key that it lacks is an error."""
+    pairs = F.create_map(*(F.lit(x) for kv in mapping.items() for x in kv))
+    found = F.try_element_at(pairs, F.col(key))
+    return df.withColumn(out, F.when(found.isNull() & F.col(key).isNotNull(), F.raise_error(F.concat(F.lit(f"{key} without an entry: "), F.col(key).cast("string")))).otherwise(found))
+
+
+def joined_once(left: DataFrame, right: DataFrame, keys: list[str]) -> DataFrame:
+    """Left join to rows that must be there at most once a key; a second one is an error."""
+    n = F.count("*").over(W.partitionBy(*keys))
+    checked = right.withColumn("_n", n).withColumn("_n", F.when(F.col("_n") > 1, F.raise_error(F.lit("more than one row of a key"))).otherwise(F.col("_n")))
+    out = left.join(checked, keys, "left")
+    return out.where(F.col("_n").isNull() | (F.col("_n") >= 1)).drop("_n")

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.grid import Grid, cell_index, inside
+from ..functions.grid import Albers, Grid, cell_index, inside
 
 
 def masked(df: DataFrame, value: str = "value") -> DataFrame:
@@ -101,3 +101,19 @@ def merged_layers(parts: list[DataFrame], keys: list[str], value: str = "value")
         own = p.select(*keys, value, F.lit(i).alias("_i"))
         tagged = own if tagged is None else tagged.unionByName(own)
     return tagged.where(F.col(value).isNotNull()).groupBy(*keys).agg(F.min_by(value, "_i").alias(value))
+
+
+WGS84 = "EPSG:4326"
+
+
+def located(layer: DataFrame, crs: str | None = None) -> DataFrame:
+    """The layer with a ``crs`` column; without any it counts as longitude and latitude."""
+    return layer if "crs" in layer.columns else layer.withColumn("crs", F.lit(crs or WGS84))
+
+
+def reprojected(layer: DataFrame, albers: Albers, name: str = "albers") -> DataFrame:
+    """x and y of rows in longitude and latitude turned into the projection's metres; rows that are in it stay."""
+    rows = located(layer)
+    there, (px, py) = F.col("crs") == name, albers.forward(F.col("x"), F.col("y"))
+    known = F.when(there | (F.col("crs") == WGS84), F.lit(name)).otherwise(F.raise_error(F.concat(F.lit("no projection from "), F.col("crs"))))
+    return rows.withColumns({"x": F.when(there, F.col("x")).otherwise(px), "y": F.when(there, F.col("y")).otherwise(py), "crs": known})

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import describe, effects
+from . import describe, effects, tables
 
-QUERIES = {**effects.QUERIES, **describe.QUERIES}
-ORACLE_SQL = {**effects.ORACLE_SQL, **describe.ORACLE_SQL}
+QUERIES = {**effects.QUERIES, **describe.QUERIES, **tables.QUERIES}
+ORACLE_SQL = {**effects.ORACLE_SQL, **describe.ORACLE_SQL, **tables.ORACLE_SQL}
