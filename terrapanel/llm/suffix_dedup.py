@@ -2,9 +2,10 @@
 
 A byte goes if a string of ``LENGTH`` bytes covers it that also starts in a document with a smaller id.
 
-1. Exact copies of a text are found by SHA-256; only the copy with the least id is searched, the others go whole.
-2. Documents are dealt over text shards, which are written once as a bucketed table: later stages read a shard's texts
+1. Documents are dealt over text shards, which are written once as a bucketed table: later stages read a shard's texts
    where they lie and shuffle only messages.
+2. Exact copies of a text are found by SHA-256 (ids and names only); only the copy with the least id is searched, the others
+   go whole.
 3. Every ``LENGTH``-byte string has an anchor: its ``GRAM``-byte part with the least hash (the last of equals).  Equal
    strings have equal anchors in the same place, and strings that start side by side mostly share one.  Text shards
    send the set of their anchors' hashes, and get back those that other shards have too.
@@ -47,8 +48,9 @@ LENGTH, GRAM = 50, 20
 SHARD_BYTES, CONTENT_BYTES, HASH_BYTES = 6 << 20, 48 << 20, 256 << 20  # input a shard of texts, of snippets, of hashes stands for
 HOT = 20_000
 SLICE = 1 << 17
-PACKED = "shard int, payload binary"
-HASHES = "bucket int, shard int, h binary, n binary"
+ANCHOR, STRING, COPY, ANSWER = range(4)  # kinds of messages to a text shard
+PACKED = "shard int, payload binary, ids array<long>, names array<binary>"
+HASHES = "bucket long, shard int, h binary, n binary"
 SNIPPETS = "bucket int, shard int, run int, skip int, name long, anchor long, least long, most long, text binary"
 ANSWERS = "shard int, run int, start int, stop int, least long"
 RESULT = "doc_id long, n_bytes long, removed_from array<long>, removed_to array<long>, kept binary"
@@ -69,7 +71,7 @@ def unpacked(payload) -> pa.Table:
 
 
 def rows_of(found: list[dict], schema: str) -> pa.Table:
-    kinds = {"int": pa.int32(), "long": pa.int64(), "binary": pa.binary(), "array<long>": pa.list_(pa.int64())}
+    kinds = {"int": pa.int32(), "long": pa.int64(), "binary": pa.binary(), "array<long>": pa.list_(pa.int64()), "array<binary>": pa.list_(pa.binary())}
     names = [c.split() for c in schema.split(", ")]
     return pa.table({n: pa.array([r[n] for r in found], kinds[k]) for n, k in names})
 
@@ -77,18 +79,20 @@ def rows_of(found: list[dict], schema: str) -> pa.Table:
 class Shard:
     """The documents of a text shard in a fixed order, and the anchors of those that are searched."""
 
-    def __init__(self, frames: pa.Table):
+    def __init__(self, frames: pa.Table, messages: pa.Table):
+        copies = messages.filter(pc.equal(messages.column("kind"), COPY))
+        first = dict(zip(copies.column("h").to_pylist(), copies.column("bucket").to_pylist(), strict=True))
         parts = pa.concat_tables([unpacked(p.as_buffer()) for p in frames.column("payload")]).combine_chunks()
-        ids, size = parts.column("doc_id").to_pylist(), parts.column("n_bytes").to_numpy()
+        ids, size, names = parts.column("doc_id").to_pylist(), parts.column("n_bytes").to_numpy(), parts.column("name").to_pylist()
         data, at = utf8(parts.column("data"))
         raw = data.tobytes()
         order = sorted(range(len(ids)), key=lambda i: (ids[i] is None, ids[i] or 0, size[i], raw[at[i] : at[i + 1]]))
         self.ids, self.size = [ids[i] for i in order], size[order]
-        held = (at[1:] - at[:-1])[order]
+        self.copied = np.array([ids[i] is not None and names[i] in first and first[names[i]] < ids[i] for i in order], bool)
+        held = np.where(self.copied, 0, (at[1:] - at[:-1])[order])  # a copy goes whole and is not searched
         self.offsets = np.concatenate([[0], np.cumsum(held)])
-        self.data = np.frombuffer(b"".join([raw[at[i] : at[i + 1]] for i in order]), np.uint8)
-        self.copied = parts.column("copied").to_numpy(zero_copy_only=False)[order]
-        self.searched = np.array([i is not None for i in self.ids], bool) & ~self.copied & (held >= LENGTH)
+        self.data = np.frombuffer(b"".join([raw[at[i] : at[i] + n] for i, n in zip(order, held.tolist(), strict=True)]), np.uint8)
+        self.searched = np.array([i is not None for i in self.ids], bool) & (held >= LENGTH)
         self.number = np.array([i if i is not None else 0 for i in self.ids], np.int64)
         self._find_anchors()
 
@@ -173,13 +177,15 @@ def groups(keys: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
 
 
 def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Documents as compressed frames, one for each shard of a batch."""
+    """Documents (shard, doc_id, name, data) as compressed frames, one for each shard of a batch; beside them id and name of those that may be copies."""
     for batch in batches:
-        copied = batch.column(3).to_numpy(zero_copy_only=False)
+        long = pc.greater_equal(pc.binary_length(batch.column(3)), LENGTH)
+        may = pc.and_(long, pc.is_valid(batch.column(1)))
         out = []
         for shard, own in groups(batch.column(0).to_numpy()):
-            own = pa.array(own)
-            out.append({"shard": shard, "payload": packed(doc_id=batch.column(1).take(own), n_bytes=batch.column(2).take(own), copied=pa.array(copied[own.to_numpy()]), data=batch.column(4).take(own))})
+            part = batch.take(pa.array(own))
+            named = part.filter(may.take(pa.array(own)))
+            out.append({"shard": shard, "payload": packed(doc_id=part.column(1), n_bytes=pc.binary_length(part.column(3)).cast(pa.int64()), name=part.column(2), data=part.column(3)), "ids": named.column(1).to_pylist(), "names": named.column(2).to_pylist()})
         yield from rows_of(out, PACKED).to_batches()
 
 
@@ -194,8 +200,10 @@ def listed(anchor: np.ndarray, number: int, buckets: int) -> pa.Table:
 def send_hashes(buckets: int):
     """Of a text shard each anchor's short hash and number of distinct snippets, by bucket."""
 
-    def run(frames: pa.Table) -> pa.Table:
-        shard = Shard(frames)
+    def run(frames: pa.Table, messages: pa.Table) -> pa.Table:
+        if not frames.num_rows:
+            return rows_of([], HASHES)
+        shard = Shard(frames, messages)
         return listed(shard.anchor[shard.distinct()[1]], frames.column("shard")[0].as_py(), buckets)
 
     return run
@@ -204,18 +212,19 @@ def send_hashes(buckets: int):
 def send_strings(buckets: int):
     """The same of the single strings around hot anchors."""
 
-    def run(frames: pa.Table, shared: pa.Table) -> pa.Table:
-        if not frames.num_rows or not pc.sum(shared.column("bucket")).as_py():
+    def run(frames: pa.Table, messages: pa.Table) -> pa.Table:
+        _, hot = received(messages, ANCHOR)
+        if not frames.num_rows or not len(hot):
             return rows_of([], HASHES)
-        shard = Shard(frames)
-        _, hot = received(shared)
+        shard = Shard(frames, messages)
         return listed(shard.singled(shard.distinct()[1], hot)[2], frames.column("shard")[0].as_py(), buckets)
 
     return run
 
 
-def received(shared: pa.Table) -> tuple[np.ndarray, np.ndarray]:
-    """The sorted hashes with company, and those that are hot."""
+def received(messages: pa.Table, kind: int) -> tuple[np.ndarray, np.ndarray]:
+    """The sorted hashes with company of a kind, and those that are hot."""
+    shared = messages.filter(pc.equal(messages.column("kind"), kind))
     h = np.concatenate([np.frombuffer(p.as_buffer(), np.uint32) for p in shared.column("h")] or [np.zeros(0, np.uint32)])
     hot = np.concatenate([np.frombuffer(p.as_buffer(), np.uint8) for p in shared.column("n")] or [np.zeros(0, np.uint8)]).astype(bool)
     return np.unique(h), np.unique(h[hot])
@@ -251,12 +260,11 @@ def isin(values: np.ndarray, known: np.ndarray) -> np.ndarray:
 
 
 def send_snippets(buckets: int):
-    def run(frames: pa.Table, shared: pa.Table) -> pa.Table:
+    def run(frames: pa.Table, messages: pa.Table) -> pa.Table:
         if not frames.num_rows:
             return rows_of([], SNIPPETS)
-        shard, number = Shard(frames), frames.column("shard")[0].as_py()
-        kind = shared.column("kind").to_numpy()
-        known, many = received(shared.filter(pa.array(kind == 0)))
+        shard, number = Shard(frames, messages), frames.column("shard")[0].as_py()
+        known, many = received(messages, ANCHOR)
         use, hot = isin(short(shard.anchor), known), isin(short(shard.anchor), many)
         # anchors of two documents of this shard
         order = np.lexsort((shard.doc, shard.anchor))
@@ -272,7 +280,7 @@ def send_snippets(buckets: int):
         run = firsts[use[firsts] & ~hot[firsts]]
         whole = _snippets(shard, number, run, np.zeros(len(run), np.int64), shard.last[run] - shard.first[run] + LENGTH, shard.anchor[run], shard.name[run], least, most, buckets)
         run, skip, anchor, name = shard.singled(firsts, many)
-        own = isin(short(anchor), received(shared.filter(pa.array(kind == 1)))[0])
+        own = isin(short(anchor), received(messages, STRING)[0])
         order = np.argsort(anchor, kind="stable")  # strings of two documents of this shard
         if len(order):
             begin = np.flatnonzero(np.concatenate([[True], anchor[order][1:] != anchor[order][:-1]]))
@@ -369,10 +377,11 @@ def compare(whole: pa.Table) -> pa.Table:
 
 
 def cut(frames: pa.Table, answers: pa.Table) -> pa.Table:
-    """The result rows of a text shard."""
+    """The result rows of a text shard; ``answers`` also holds its copies (kind, h, bucket)."""
     if not frames.num_rows:
         return rows_of([], RESULT)
-    shard = Shard(frames)
+    shard = Shard(frames, answers)
+    answers = answers.filter(pc.equal(answers.column("kind"), ANSWER))
     n = len(shard.data)
     cover = np.zeros(n + 1, np.int64)
     if answers.num_rows:
@@ -414,21 +423,23 @@ def remove_repeats(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     size = base.agg(F.sum(F.length("data")).alias("bytes"), F.count("*").alias("rows")).first()
     whole, parts = size["bytes"] or 0, int(spark.conf.get("spark.sql.shuffle.partitions"))
     shards, contents, hash_buckets = (max(parts, -(-whole // b)) for b in (shard_bytes, content_bytes, HASH_BYTES))
-    base = base.withColumn("name", F.unhex(F.sha2("data", 256)))
-    firsts = base.where((F.length("data") >= LENGTH) & F.col("doc_id").isNotNull()).groupBy("name").agg(F.min("doc_id").alias("least"), F.max("doc_id").alias("most"), F.count("*").alias("n_rows")).where("least < most").select("name", "least", "n_rows")
-    met = salted_join(base, firsts, "name", "n_rows", size["rows"], ["doc_id"], "left")
-    copied = F.coalesce(F.col("least") < F.col("doc_id"), F.lit(False))
     shard = F.pmod(F.xxhash64("doc_id", "name", F.monotonically_increasing_id() % 1024), F.lit(shards)).cast("int")  # repeated rows are spread
-    frames = met.select(shard.alias("shard"), "doc_id", F.length("data").cast("long").alias("n_bytes"), copied.alias("copied"), F.when(copied, F.lit(b"")).otherwise(F.col("data")).alias("data")).mapInArrow(pack, PACKED)
-    by_shard = bucketed(frames, "shard", max(parts, -(-shards // 4)), "text-shards").groupBy("shard")
-    shared = saved(by_shard.applyInArrow(send_hashes(hash_buckets), HASHES).groupBy("bucket").applyInArrow(find_shared(hot), HASHES), "shared-anchors")
-    known = shared.withColumn("kind", F.lit(0))
-    if shared.agg(F.sum("bucket")).first()[0]:  # some anchor is hot
-        strings = by_shard.cogroup(shared.groupBy("shard")).applyInArrow(send_strings(hash_buckets), HASHES)
-        known = known.unionByName(strings.groupBy("bucket").applyInArrow(find_shared(1 << 62), HASHES).withColumn("kind", F.lit(1)))
+    frames = base.withColumn("name", F.unhex(F.sha2("data", 256))).select(shard.alias("shard"), "doc_id", "name", "data").mapInArrow(pack, PACKED)
+    texts = bucketed(frames, "shard", max(parts, -(-shards // 4)), "text-shards")
+    by_shard = texts.groupBy("shard")
+    # exact copies: the least id of every name that several ids have, for each shard that holds it
+    light = texts.select("shard", F.inline(F.arrays_zip(F.col("ids").alias("id"), F.col("names").alias("name"))))
+    first = light.groupBy("name").agg(F.min("id").alias("least"), F.max("id").alias("most"), F.count("*").alias("n_rows")).where("least < most").select("name", "least", "n_rows")
+    copies = salted_join(light.select("shard", "name").distinct(), first, "name", "n_rows", size["rows"], ["shard"])
+    copies = saved(copies.select(F.col("least").alias("bucket"), "shard", F.col("name").alias("h"), F.lit(b"").alias("n"), F.lit(COPY).alias("kind")), "copies")
+    hashes = by_shard.cogroup(copies.groupBy("shard")).applyInArrow(send_hashes(hash_buckets), HASHES)
+    known = saved(hashes.groupBy("bucket").applyInArrow(find_shared(hot), HASHES).withColumn("kind", F.lit(ANCHOR)).unionByName(copies), "shared-anchors")
+    if known.where(F.col("kind") == ANCHOR).agg(F.sum("bucket")).first()[0]:  # some anchor is hot
+        strings = by_shard.cogroup(known.groupBy("shard")).applyInArrow(send_strings(hash_buckets), HASHES)
+        known = known.unionByName(strings.groupBy("bucket").applyInArrow(find_shared(1 << 62), HASHES).withColumn("kind", F.lit(STRING)))
     snippets = by_shard.cogroup(known.groupBy("shard")).applyInArrow(send_snippets(contents), SNIPPETS)
-    answers = snippets.groupBy("bucket").applyInArrow(compare, ANSWERS)
-    return by_shard.cogroup(answers.groupBy("shard")).applyInArrow(cut, RESULT)
+    answers = snippets.groupBy("bucket").applyInArrow(compare, ANSWERS).withColumn("kind", F.lit(ANSWER))
+    return by_shard.cogroup(answers.unionByName(copies, allowMissingColumns=True).groupBy("shard")).applyInArrow(cut, RESULT)
 
 
 def op3_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
