@@ -4,8 +4,11 @@ Every stage takes (spark, docs, sf_dir) and works on all rows its predecessor ke
 Parquet in the shared folder and reads them back for the next.  All stages but the last return the columns of
 ``docs``.
 
-Defined cases: rows with a null text are never toxic, near copies or contaminated and pass on; rows with a null id are
-kept by the near-duplicate stage; an empty table gives an empty result.
+Defined cases, stage by stage as in the operators' own texts: rows with a null text, or one without words, are never
+toxic, near copies or contaminated and pass on; rows with a null id are kept by the near-duplicate stage, and of repeated rows
+(equal id and set of n-grams) it keeps one; of equal ids in a class the least id stays, ties go to the least set key; the
+other stages judge repeated rows one by one; very long texts are rows like any other; further columns of any name travel
+along (the token store returns its own); an empty table gives an empty result.
 """
 
 from __future__ import annotations

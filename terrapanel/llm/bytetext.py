@@ -134,12 +134,6 @@ class Words:
         return ok
 
 
-def word_hashes(text: str) -> np.ndarray:
-    """The word hashes of one text, as in Words."""
-    data = np.frombuffer((text or "").encode("utf-8", "surrogatepass"), np.uint8)
-    return Words(data, np.array([0, len(data)], np.int64)).hash
-
-
 def spread(starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
     """The concatenated ranges [start, start + length)."""
     lengths = np.asarray(lengths, np.int64)

@@ -16,7 +16,7 @@ order as long as their tokens fit.  The cut is found from sums over hash blocks,
 budget ends, so no source's rows ever meet in one task.  Copies are dealt over ``blocks`` blocks of the mixed stream by
 their place in the source's own stream, so each block holds the target proportions.
 
-Tokens are white-space separated words.
+Tokens are white-space separated words, or a column of counts (``tokens``, for instance of the token counts operator).
 
 Defined cases: a null source is a source of its own; null or empty text has 0 tokens, and in a whole epoch takes a
 copy like any document; sources without tokens get one epoch; repeated rows (equal ids) share a hash and are taken
@@ -41,8 +41,9 @@ def draw(epoch: Column, doc_id: Column, seed: int = SEED) -> Column:
     return F.conv(F.substring(F.md5(key), 1, 12), 16, 10).cast("long")
 
 
-def light(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", source: str = "source") -> DataFrame:
-    return docs.select(F.col(f"`{doc_id}`").cast("long").alias("doc_id"), F.col(f"`{source}`").cast("string").alias("source"), F.coalesce(F.regexp_count(F.col(f"`{text}`"), F.lit(r"\S+")), F.lit(0)).cast("long").alias("tokens"))
+def light(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", source: str = "source", tokens: str | None = None) -> DataFrame:
+    n = F.col(f"`{tokens}`") if tokens else F.regexp_count(F.col(f"`{text}`"), F.lit(r"\S+"))
+    return docs.select(F.col(f"`{doc_id}`").cast("long").alias("doc_id"), F.col(f"`{source}`").cast("string").alias("source"), F.coalesce(n, F.lit(0)).cast("long").alias("tokens"))
 
 
 def measures(totals: DataFrame, exponents: list[float], target: str) -> dict[float, float]:
@@ -123,11 +124,13 @@ def copies(docs: DataFrame, plan: DataFrame, doc_id: str = "doc_id", source: str
 
 
 def apply_mix(docs: DataFrame, target: str = "repeats", limit: float = LIMIT, budget: int | None = None, seed: int = SEED) -> DataFrame:
-    """The documents repeated by the mix; the given columns only."""
+    """The documents repeated by the mix, in the order of its blocks and their draws; the given columns only."""
     plan = mix_plan(saved(light(docs), "mix-light"), target, limit, budget, seed)
     # rows travel as one struct, so that their columns cannot clash with the mix's
     held = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row"), F.col("doc_id"), F.col("source"))
-    return copies(held, saved(plan, "mix-plan"), seed=seed).select("row.*")
+    mixed = copies(held, saved(plan, "mix-plan"), seed=seed)
+    parts = max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), BLOCKS)
+    return mixed.repartitionByRange(parts, "mix_block", "mix_draw").sortWithinPartitions("mix_block", "mix_draw").select("row.*")
 
 
 def op9_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:

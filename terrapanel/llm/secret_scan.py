@@ -12,7 +12,7 @@ lengths of the matches and of the pieces between them; running sums go by blocks
 matches stays cheap.  Only the counts of character pairs come to the driver (at most 2 x 128 x 128 rows).
 
 Defined cases: null or empty text has no spans; null ids are carried through and give no sample; repeated rows are
-scanned each; an empty table gives an empty result, and models without ordinary words; columns other than the named
+scanned each and sampled once; an empty table gives an empty result, and models without ordinary words; columns other than the named
 ones are neither read nor returned.
 """
 
@@ -92,9 +92,11 @@ def samples(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> Data
     numbers = spark.range(NUMBER_SAMPLES).select(F.explode(F.array(date, rule)).alias("token"), F.lit(0).alias("label"))
     own = docs.select(F.col(f"`{doc_id}`").cast("string").alias("id"), F.col(f"`{text}`").cast("string").alias("text")).where("id is not null and text is not null")
     # hashes choose first, so no task gathers texts; then at most SAMPLE_DOCS pairs of hashes are broadcast
-    named = own.select(F.md5("id").alias("i"), F.md5("text").alias("t"))
-    chosen = F.broadcast(named.orderBy("i", "t").limit(SAMPLE_DOCS).distinct())
-    own = own.join(chosen, (F.md5("id") == F.col("i")) & (F.md5("text") == F.col("t")), "left_semi").select(F.regexp_extract_all("text", F.lit("[A-Za-z]+"), F.lit(0)).alias("w"))
+    named = own.select(F.md5("id").alias("i"), F.md5("text").alias("t")).distinct()
+    chosen = F.broadcast(named.orderBy("i", "t").limit(SAMPLE_DOCS))
+    own = own.withColumn("i", F.md5("id")).withColumn("t", F.md5("text"))
+    own = own.join(chosen.select(F.col("i").alias("ci"), F.col("t").alias("ct")), (F.col("i") == F.col("ci")) & (F.col("t") == F.col("ct")), "left_semi").groupBy("i", "t").agg(F.first("text").alias("text"))  # repeated rows once
+    own = own.select(F.regexp_extract_all("text", F.lit("[A-Za-z]+"), F.lit(0)).alias("w"))
 
     def joined(w: Column, i: Column) -> Column:
         after = F.coalesce(F.get("w", i + 1), F.lit("x"))
@@ -161,7 +163,7 @@ OP2_SQL = rf"""
 WITH d AS (SELECT row_number() OVER () AS rn, doc_id, coalesce(text, '') AS t FROM documents),
 r AS (SELECT i, sha256('random:' || i) AS h, to_base64(unhex(sha256('random:' || i))) AS b FROM range({RANDOM_SAMPLES}) x(i)),
 q AS (SELECT i FROM range({NUMBER_SAMPLES}) x(i)),
-w AS (SELECT regexp_extract_all(text, '[A-Za-z]+') AS w FROM (SELECT text FROM documents WHERE doc_id IS NOT NULL AND text IS NOT NULL ORDER BY md5(CAST(doc_id AS VARCHAR)), text LIMIT {SAMPLE_DOCS})),
+w AS (SELECT regexp_extract_all(text, '[A-Za-z]+') AS w FROM (SELECT text FROM (SELECT DISTINCT doc_id, text FROM documents WHERE doc_id IS NOT NULL AND text IS NOT NULL) ORDER BY md5(CAST(doc_id AS VARCHAR)), md5(text) LIMIT {SAMPLE_DOCS})),
 wi AS (SELECT w[i + 1] AS a, coalesce(w[i + 2], 'x') AS z, i FROM (SELECT w, unnest(range(0, len(w))) AS i FROM w)),
 sample AS (SELECT CASE i % 4 WHEN 0 THEN h[1:40] WHEN 1 THEN b[1:40] WHEN 2 THEN translate(b, '+/', '-_')[1:40] ELSE upper(regexp_replace(b, '[^A-Za-z0-9]', '', 'g')) END AS token, 1 AS label FROM r
  UNION ALL SELECT (i % 40 + 1990) || lpad(CAST(i % 12 + 1 AS VARCHAR), 2, '0') || lpad(CAST(i % 28 + 1 AS VARCHAR), 2, '0') || lpad(CAST(i * 7919 % 1000000 AS VARCHAR), 6, '0'), 0 FROM q

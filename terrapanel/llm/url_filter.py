@@ -14,7 +14,7 @@ Decision: an allow interval wins over a block interval; among equals the longer
 
 Defined cases: a null or empty URL, or one without a host, has no candidates and is kept (``blocked`` false, host
 null); a null fetch time matches nothing; entries with a null field are ignored; several entries of one key at one
-instant: ``remove`` wins; identical (id, url, time) rows are returned once; empty tables give empty results or
+instant: ``remove`` wins; a URL of any length gives at most as many keys as the deepest entries have parts; identical (id, url, time) rows are returned once; empty tables give empty results or
 nothing blocked; columns other than the named ones are neither read nor returned.
 """
 
@@ -49,17 +49,25 @@ def intervals(entries: DataFrame, until=None) -> DataFrame:
 def parsed(captures: DataFrame, capture_id: str = "page_id", url: str = "url", fetched: str = "fetch_time") -> DataFrame:
     """id, url, fetch_time, host and rest (path and query without fragment) of each distinct capture."""
     c = captures.select(F.col(f"`{capture_id}`").cast("long").alias("page_id"), F.col(f"`{url}`").cast("string").alias("url"), F.col(f"`{fetched}`").cast("timestamp").alias("fetch_time")).distinct()
-    bare = F.regexp_extract("url", r"^\s*(?:[A-Za-z][A-Za-z0-9+.-]*:)?//(?:[^/?#@]*@)?([^/?#:]+)(?::\d*)?([^#\s]*)", 1)
-    rest = F.regexp_extract("url", r"^\s*(?:[A-Za-z][A-Za-z0-9+.-]*:)?//(?:[^/?#@]*@)?([^/?#:]+)(?::\d*)?([^#\s]*)", 2)
+    bare = F.regexp_extract("url", r"^\s*(?:[A-Za-z][A-Za-z0-9+.-]*:)?//(?:[^/?#@]*@)?(\[[^\]]*\]|[^/?#:]+)(?::\d*)?([^#\s]*)", 1)
+    rest = F.regexp_extract("url", r"^\s*(?:[A-Za-z][A-Za-z0-9+.-]*:)?//(?:[^/?#@]*@)?(\[[^\]]*\]|[^/?#:]+)(?::\d*)?([^#\s]*)", 2)
     return c.withColumn("host", F.nullif(F.rtrim(F.lower(bare), F.lit(".")), F.lit(""))).withColumn("rest", F.coalesce(rest, F.lit("")))
 
 
-def candidates(c: DataFrame) -> DataFrame:
-    """A row for every key under which a list may name the capture."""
+def deepest(entries: DataFrame) -> tuple[int, int]:
+    """The most labels of a listed domain and the most steps of a listed prefix."""
+    n = lambda kind, cut: F.max(F.when(F.lower("kind") == kind, F.size(F.split("pattern", cut))))
+    r = entries.agg(n("domain", r"\."), n("prefix", "/")).first()
+    return r[0] or 0, max(0, (r[1] or 0) - 1)
+
+
+def candidates(c: DataFrame, labels_listed: int, steps_listed: int) -> DataFrame:
+    """A row for every key under which the list may name the capture: none deeper than the list's deepest entries, so that the
+    keys of a very long URL do not grow with its length."""
     labels, path = F.split("host", r"\."), F.regexp_extract("rest", r"^[^?]*", 0)
-    domains = F.transform(F.sequence(F.lit(1), F.greatest(F.size(labels) - 1, F.lit(1))), lambda i: F.concat(F.lit("domain:"), F.array_join(F.slice(labels, i, F.size(labels)), ".")))
+    domains = F.transform(F.sequence(F.greatest(F.lit(1), F.size(labels) - (labels_listed - 1)), F.greatest(F.size(labels), F.lit(1))), lambda i: F.concat(F.lit("domain:"), F.array_join(F.slice(labels, i, F.size(labels)), ".")))
     steps = F.array_remove(F.split(path, "/"), "")
-    prefixes = F.transform(F.sequence(F.lit(0), F.size(steps)), lambda i: F.concat(F.lit("prefix:"), F.col("host"), F.lit("/"), F.lower(F.array_join(F.slice(steps, 1, i), "/"))))
+    prefixes = F.transform(F.sequence(F.lit(0), F.least(F.size(steps), F.lit(steps_listed))), lambda i: F.concat(F.lit("prefix:"), F.col("host"), F.lit("/"), F.lower(F.array_join(F.slice(steps, 1, i), "/"))))
     whole = F.array(F.concat(F.lit("host:"), F.col("host")), F.concat(F.lit("url:"), F.col("host"), F.lower("rest")))
     return c.where("host is not null").select("page_id", "url", "fetch_time", "host", F.explode(F.array_distinct(F.concat(whole, domains, prefixes))).alias("key"))
 
@@ -67,7 +75,7 @@ def candidates(c: DataFrame) -> DataFrame:
 def filter_urls(captures: DataFrame, entries: DataFrame, capture_id: str = "page_id", url: str = "url", fetched: str = "fetch_time") -> DataFrame:
     """page_id, url, fetch_time, host, blocked, verdict, matched_key, valid_from, valid_to of each capture."""
     base = parsed(captures, capture_id, url, fetched)
-    cand, active = candidates(base), intervals(entries)
+    cand, active = candidates(base, *deepest(entries)), intervals(entries)
     span = base.agg(F.min("fetch_time").alias("lo"), F.max("fetch_time").alias("hi"), F.count("*").alias("n")).first()
     if not span["n"]:
         span = None
