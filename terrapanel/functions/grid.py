@@ -69,10 +69,6 @@ def block_key(grid: Grid, factor: int, x: str = "x", y: str = "y") -> Column:
     return F.concat_ws("_", bx, by)
 
 
-def time_block(year: Column, first: int, length: int) -> Column:
-    return F.floor((year - first) / length).cast("int")
-
-
 def quarter_degree(c: Column) -> Column:
     return F.rint(c * 4) / 4
 

@@ -195,7 +195,7 @@ def pair_covariances(comp: DataFrame, strata: str, c1: str = "block", c2: str =
 
     Scores of one cluster meet on the cluster's key: the join has at most strata x strata rows a cluster.
     """
-    cells = merged(comp, [strata, c1, c2])
+    cells = merged(comp, [strata, c1, c2]).persist()  # strata x clusters short rows, read by each of the joins
     total = effects(cells, [strata])
     scored = cells.join(total.select(strata, "theta", F.col("den").alias("total")), strata).withColumn("v", (F.col("num") - F.col("theta") * F.col("den")) / F.col("total"))
     counts = cells.agg(F.count_distinct(c1).alias("g1"), F.count_distinct(c2).alias("g2"), F.count_distinct(c1, c2).alias("g12")).first()

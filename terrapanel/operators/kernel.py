@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 
 from ..functions.distributions import t_critical
 from ..functions.grid import Grid
+from .quantiles import quantile
 
 #: Fixed values of the support mask.
 SUPPORT = {"years": 10, "mean_years": 10.0, "pixels": 50.0, "den_q": 0.05, "se_q": 0.95, "least_weight": 1e-10}
@@ -71,9 +72,9 @@ def support_mask(map_rows: DataFrame, **limits: float) -> DataFrame:
     """Rows with den_cut, se_cut (quantiles by month and bandwidth) and ``supported``."""
     lim = SUPPORT | limits
     keys = ["month", "bandwidth_km"]
-    cuts = map_rows.groupBy(*keys).agg(F.percentile("local_den", F.lit(lim["den_q"])).alias("den_cut"), F.percentile("se", F.lit(lim["se_q"])).alias("se_cut"))
+    cuts = quantile(map_rows, keys, "local_den", lim["den_q"], "den_cut").join(quantile(map_rows, keys, "se", lim["se_q"], "se_cut"), keys, "full")
     ok = (F.col("g") >= lim["years"]) & (F.col("mean_years") >= lim["mean_years"]) & (F.col("effective_pixels") >= lim["pixels"]) & (F.col("local_den") >= F.col("den_cut")) & (F.col("se") <= F.col("se_cut"))
-    return map_rows.join(cuts, keys).withColumn("supported", F.coalesce(ok, F.lit(False)))
+    return map_rows.join(cuts, keys, "left").withColumn("supported", F.coalesce(ok, F.lit(False)))
 
 
 def map_summary(masked: DataFrame) -> DataFrame:

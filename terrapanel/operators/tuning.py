@@ -14,17 +14,27 @@ from .crossfit import GBT, coefficients, cross_products, predicted, solve
 from .folds import Split
 
 
-def candidates(n: int, seed: int = 42) -> list[dict]:
-    """A seeded design over the boosted trees' settings; rates are log-uniform.
-
-    Spark's trees have no L1 or L2 penalty on leaves, so those two of the reference's nine settings have no counterpart.
-    """
-    rng = np.random.default_rng(seed)
-    log = lambda lo, hi: float(10 ** rng.uniform(math.log10(lo), math.log10(hi)))
-    return [
-        {"maxIter": int(rng.integers(300, 1201)), "maxDepth": int(rng.integers(3, 11)), "stepSize": log(0.01, 0.15), "minInstancesPerNode": int(rng.integers(1, 31)), "minInfoGain": float(rng.uniform(0, 5)), "subsamplingRate": float(rng.uniform(0.65, 1.0)), "featureSubsetStrategy": str(float(rng.uniform(0.65, 1.0)))}
-        for _ in range(n)
-    ]
+#: The searched range of each setting and its scale.  Spark's trees have no L1 or L2 penalty on leaves.
+RANGES = {
+    "maxIter": ("whole", 300, 1200),
+    "maxDepth": ("whole", 3, 10),
+    "stepSize": ("log", 0.01, 0.15),
+    "minInstancesPerNode": ("whole", 1, 30),
+    "minInfoGain": ("even", 0.0, 5.0),
+    "subsamplingRate": ("even", 0.65, 1.0),
+    "featureSubsetStrategy": ("share", 0.65, 1.0),
+}
+
+
+def candidates(n: int, seed: int = 42, ranges: dict[str, tuple] | None = None) -> list[dict]:
+    """A seeded Latin hypercube: each setting's range is cut in n parts, and every part is drawn once, in its own shuffled order."""
+    table: dict[str, list] = {}
+    for name, (scale, low, high) in (ranges or RANGES).items():
+        own = np.random.default_rng([seed, *name.encode()])
+        u = (own.permutation(n) + own.random(n)) / n
+        value = low * (high / low) ** u if scale == "log" else low + (high - low) * u
+        table[name] = [int(v) for v in np.minimum(np.floor(low + (high + 1 - low) * u), high)] if scale == "whole" else [str(float(v)) for v in value] if scale == "share" else [float(v) for v in value]
+    return [{name: values[i] for name, values in table.items()} for i in range(n)]
 
 
 def ridge_search(df: DataFrame, target: str, controls: list[str], penalties: list[float], k: int = 5) -> DataFrame:

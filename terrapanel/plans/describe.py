@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions.grid import Albers, Grid, axis_info, block_id, block_key, pixel_id, tenth
+from ..functions.grid import Albers, Grid, axis_info, block_id, block_key, pixel_id, quarter_degree, tenth
 from ..operators import correlogram, crossfit, diagnostics, features, kernel, multiplicity, raster, trend
 from ..operators.components import components
 from ..operators.folds import Split, balanced_folds, chunk_folds, dense_folds, shuffled_folds
@@ -211,7 +211,7 @@ def zonal_profile(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def meridional_profile(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return rounded(trend.profile(grid_panel(spark, sf_dir), ["sif"], F.rint(F.col("ix") / 7 * 4) / 4, "lon"))
+    return rounded(trend.profile(grid_panel(spark, sf_dir), ["sif"], quarter_degree(F.col("ix") / 7), "lon"))
 
 
 def albers_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:

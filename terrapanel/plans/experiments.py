@@ -198,7 +198,7 @@ def kernel_maps(rows: DataFrame, design: Design, keep: Keep = as_is) -> Tables:
     comp = keep(components(residuals(rows, design, ["year"]), ["ix", "iy", "year", "month"]), "components")
     for bw in design.bandwidths_km:
         masked = keep(kernel.support_mask(kernel.effect_map(comp, grid, bw)), f"masked_{bw:g}km")
-        out |= {f"map_{bw:g}km": kernel.with_intervals(masked), f"summary_{bw:g}km": kernel.map_summary(masked)}
+        out |= {f"map_{bw:g}km": kernel.with_intervals(masked), f"summary_{bw:g}km": kernel.map_summary(masked), f"peak_{bw:g}km": kernel.rank_months(masked)}
     return out
 
 
