@@ -36,7 +36,7 @@ from .tables import saved, table, text_rows
 
 MARK = "▁"
 UNKNOWN = -25.0
-SHARED = 400_000
+SHARED = 1_500_000
 MAX_NODES, MAX_WORD, MAX_COUNTED = 600_000, 256, 200_000
 SCHEMA = "doc_id long, n_words long, n_tokens long, n_unknown long"
 
@@ -59,6 +59,11 @@ class ForwardTrie:
     def __init__(self, pieces: dict[str, float], max_nodes: int = MAX_NODES, max_word: int = MAX_WORD):
         self.pieces, self.max_nodes, self.max_word = pieces, max_nodes, max_word
         self.longest = max(map(len, pieces), default=1)
+        ends: dict[str, set[int]] = {}
+        for p in pieces:
+            if len(p) > 1:
+                ends.setdefault(p[-2:], set()).add(len(p))
+        self.lengths = {e: sorted(n, reverse=True) for e, n in ends.items()}  # of the pieces that end so, longest first
         self.clear()
 
     def clear(self) -> None:
@@ -66,45 +71,53 @@ class ForwardTrie:
         self.score, self.count, self.unknown = [0.0], [0], [0]
         self.terminal: dict[str, tuple[int, int]] = {}
 
-    def step(self, word: str, i: int, at: list[tuple[float, int, int]]) -> tuple[float, int, int]:
-        """(score, tokens, unknown) of word[:i]; ``at``: those of word[:j] for the last j, up to i - 1."""
-        ch, pieces = word[i - 1], self.pieces
-        s, n, u = at[-1]
-        best, n, u = s + UNKNOWN, n + len(ch.encode("utf-8", "surrogatepass")), u + 1
-        low = i - len(at)
-        for j in range(max(low, i - self.longest), i):
-            s = pieces.get(word[j:i])
-            if s is not None:
-                before = at[j - low]
-                s += before[0]
-                if s > best or (s == best and before[1] + 1 < n):
-                    best, n, u = s, before[1] + 1, before[2]
-        return best, n, u
-
     def insert(self, word: str) -> tuple[int, int]:
         """(tokens, unknown characters) of the word, marker included."""
         if len(self.score) > self.max_nodes:
             self.clear()
-        edges, score, count, unknown = self.edges, self.score, self.count, self.unknown
-        node, at = 0, [(0.0, 0, 0)]
+        edges, score, count, unknown, pieces, lengths = self.edges, self.score, self.count, self.unknown, self.pieces, self.lengths
+        node, path = 0, [0]
         for i, ch in enumerate(word, 1):
             key = (node, ch)
-            node = edges.get(key)
+            last, node = node, edges.get(key)
             if node is None:
-                best, n, u = self.step(word, i, at)
+                best, before, n = score[last] + UNKNOWN, -1, count[last] + len(ch.encode("utf-8", "surrogatepass"))
+                for size in lengths.get(word[i - 2 : i], ()) if i > 1 else ():
+                    if size <= i:
+                        s = pieces.get(word[i - size : i])
+                        if s is not None:
+                            p = path[i - size]
+                            s += score[p]
+                            if s > best or (s == best and count[p] + 1 < n):
+                                best, before, n = s, p, count[p] + 1
+                s = pieces.get(ch)
+                if s is not None:
+                    s += score[last]
+                    if s > best or (s == best and count[last] + 1 < n):
+                        best, before, n = s, last, count[last] + 1
                 node = edges[key] = len(score)
                 score.append(best)
                 count.append(n)
-                unknown.append(u)
-            at.append((score[node], count[node], unknown[node]))
+                unknown.append(unknown[last] + 1 if before < 0 else unknown[before])
+            path.append(node)
         return count[node], unknown[node]
 
     def walk(self, word: str) -> tuple[int, int]:
-        """The same for a long word: only the last forward scores are held."""
-        at = [(0.0, 0, 0)]
-        for i in range(1, len(word) + 1):
-            at.append(self.step(word, i, at))
+        """The same for a long word: only the last forward scores (score, tokens, unknown) are held."""
+        at, pieces, low = [(0.0, 0, 0)], self.pieces, 0
+        for i, ch in enumerate(word, 1):
+            s, n, u = at[-1]
+            best, n, u = s + UNKNOWN, n + len(ch.encode("utf-8", "surrogatepass")), u + 1
+            for size in [*(self.lengths.get(word[i - 2 : i], ()) if i > 1 else ()), 1]:
+                s = pieces.get(word[i - size : i]) if size <= i else None
+                if s is not None:
+                    before = at[i - size - low]
+                    s += before[0]
+                    if s > best or (s == best and before[1] + 1 < n):
+                        best, n, u = s, before[1] + 1, before[2]
+            at.append((best, n, u))
             if len(at) > 2 * self.longest:
+                low += len(at) - self.longest
                 del at[: -self.longest]
         return at[-1][1:]
 

@@ -258,7 +258,7 @@ def brute_tokens(word, pieces):
     return best[-1][1], best[-1][2]
 
 
-@pytest.mark.parametrize("shared", [1, 100, 400_000])
+@pytest.mark.parametrize("shared", [1, 100, 1_500_000])
 def test_token_counts_against_brute_force(spark, edge, sf001, shared):
     docs = edge.select("doc_id", "text", "tokens").unionByName(spark.read.parquet(f"{sf001}/documents.parquet").limit(20).select("doc_id", "text", F.lit("t").alias("tokens")))
     docs = docs.unionByName(spark.createDataFrame([(77, "longword" * 400 + " x", "t"), (78, "漢字" * 300, "t"), (79, "a" * 257, "t")], "doc_id long, text string, tokens string"))
