@@ -10,11 +10,12 @@ from pyspark.sql import functions as F
 
 from terrapanel.functions import distributions as dist
 from terrapanel.functions.grid import Albers, Grid, block_id, grid_of, pixel_id
-from terrapanel.operators import bootstrap, correlogram, crossfit, features, inference, kernel, multiplicity, raster, trend, tuning
+from terrapanel.operators import bootstrap, correlogram, crossfit, features, inference, kernel, multiplicity, quantiles, raster, trend, tuning
 from terrapanel.operators.components import components
 from terrapanel.operators.folds import Split, balanced_folds, chunk_folds, shuffled_folds
-from terrapanel.sources.panel import PanelSchema, complete_cases, duplicate_keys, month_number, read_panel, require_unique
-from terrapanel.sources.sinks import append_year, checkpointed, signature, write_csv, write_table
+from terrapanel.sources import layers
+from terrapanel.sources.panel import PanelSchema, complete_cases, duplicate_keys, month_number, read_components, read_layers, read_panel, require_unique
+from terrapanel.sources.sinks import append_year, checkpointed, signature, write_csv, write_report, write_table
 
 
 def test_missing_values(spark):
@@ -194,7 +195,10 @@ def test_kernel_like_dense(spark):
 
 
 def test_trend_guards(spark):
-    t = lambda y: trend.adjusted_trend(np.arange(len(y), dtype=float), np.array(y, float))
+    def t(y):
+        got = trend.adjusted_trends(np.arange(len(y), dtype=float)[None], np.array([y], float))
+        return {k: float(v[0]) for k, v in got.items()}
+
     assert math.isnan(t([1.0, 2.0])["mk_z"]) and math.isnan(t([5.0] * 6)["mk_p"])
     up = t([1, 2, 3, 4, 5, 6, 7, 8])
     assert up["sen_slope"] == 1 and up["mk_p"] < 0.01 and math.isclose(up["ols_r2"], 1.0)
@@ -204,6 +208,133 @@ def test_trend_guards(spark):
     assert trend.least_years(23) == 17 and trend.least_years(3) == 8
 
 
+def one_trend(y):
+    """z, p, factor and lag-1 rank correlation of one series, value by value."""
+    n = len(y)
+    slopes = sorted((y[j] - y[i]) / (j - i) for i in range(n) for j in range(i + 1, n))
+    m = len(slopes)
+    slope = (slopes[(m - 1) // 2] + slopes[m // 2]) / 2
+    s = sum((y[j] > y[i]) - (y[j] < y[i]) for i in range(n) for j in range(i + 1, n))
+    var = n * (n - 1) * (2 * n + 5) - sum(c * (c - 1) * (2 * c + 5) for c in (y.count(v) for v in set(y)))
+    var /= 18
+    rest = [round((v - slope * i) / max(map(abs, y)), 9) for i, v in enumerate(y)]
+    ranks = [sum(b < a for b in rest) + (rest.count(a) + 1) / 2 for a in rest]
+    total, first = 0.0, None
+    for lag in range(1, n):
+        a, b = ranks[:-lag], ranks[lag:]
+        rho = float(np.corrcoef(a, b)[0, 1]) if len(a) >= 3 and len(set(a)) > 1 and len(set(b)) > 1 else 0.0
+        first = rho if first is None else first
+        if abs(rho) > 1.959963984540054 / math.sqrt(n):
+            total += (n - lag) * (n - lag - 1) * (n - lag - 2) * rho
+    factor = 1 + 2 * total / (n * (n - 1) * (n - 2))
+    factor = factor if factor > 0 else 1.0
+    z = 0.0 if s == 0 else (s - np.sign(s)) / math.sqrt(var * factor)
+    return slope, z, math.erfc(abs(z) / math.sqrt(2)), factor, first
+
+
+def test_adjusted_trends_of_autocorrelated_series(spark):
+    rng = np.random.default_rng(12)
+    series = []
+    for k in range(40):
+        n, phi = int(rng.integers(8, 24)), rng.choice([0.0, 0.6, 0.9, -0.5])
+        v = [float(rng.normal())]
+        for _ in range(n - 1):
+            v.append(float(phi * v[-1] + rng.normal()))
+        series.append([round(x + 0.05 * i * (k % 3), 1 if k % 4 == 0 else 6) for i, x in enumerate(v)])  # some with ties
+    df = spark.createDataFrame([(k, 2000 + i, v) for k, y in enumerate(series) for i, v in enumerate(y)], "pixel long, year int, v double")
+    got = {r.pixel: r for r in trend.trends(df, ["v"]).collect()}
+    factors = set()
+    for k, y in enumerate(series):
+        slope, z, p, factor, lag1 = one_trend(y)
+        factors.add(round(factor, 3))
+        assert np.allclose([got[k].sen_slope, got[k].mk_z, got[k].mk_p, got[k].factor, got[k].lag1], [slope, z, p, factor, lag1], atol=1e-9), k
+    assert len(factors) > 5  # the adjustment acts
+
+
+def test_many_tests_at_once(spark):
+    """Yekutieli's factor takes no longer with the number of tests."""
+    df = spark.range(200_000).select(((F.col("id") * 7919 % 200_000 + 1) / 200_000.0).alias("p"))
+    assert multiplicity.fdr(df, "p", method="by").where("q < 1").count() == 0
+    m = spark.createDataFrame([(1,), (2,), (63,), (64,), (65,), (1000,), (10**6,)], "m long")
+    for r in m.select("m", multiplicity.harmonic(F.col("m")).alias("h")).collect():
+        assert math.isclose(r.h, math.fsum(1 / i for i in range(1, r.m + 1)), rel_tol=1e-13)
+
+
+def test_exact_quantiles(spark):
+    rng = np.random.default_rng(2)
+    values = {1: rng.normal(size=5000), 2: np.repeat([3.0, 5.0], [70, 30]), 3: np.array([4.0]), 4: np.exp(8 * rng.normal(size=300))}
+    df = spark.createDataFrame([(k, float(v)) for k, x in values.items() for v in x] + [(1, None), (5, None)], "k long, v double")
+    for q in (0.0, 0.05, 0.5, 0.95, 1.0):
+        got = {r.k: r.q for r in quantiles.quantile(df, ["k"], "v", q, "q").collect()}
+        assert got.keys() == values.keys() and all(math.isclose(got[k], float(np.quantile(v, q)), rel_tol=1e-12) for k, v in values.items())
+
+
+def test_resampling_like_numpy(spark):
+    """wild_year draw by draw."""
+    num, den = [1.0, 2.5, -0.5, 3.0], [2.0, 1.0, 1.5, 2.5]
+    comp = spark.createDataFrame([(2000 + i, 1, 1, a, b, 1) for i, (a, b) in enumerate(zip(num, den, strict=True))], "year int, block int, k int, num double, den double, n long")
+    got = bootstrap.wild_year(comp, ["k"], reps=500).first()
+    rng, theta, factor = bootstrap.stream(bootstrap.SEED, (1,)), sum(num) / sum(den), 4 / 3
+    draws = bootstrap.WEBB[rng.integers(0, 6, (500, 4))].tolist()
+    size = lambda v: sum(v) / math.sqrt(factor * sum(x * x for x in v))
+    beyond = sum(abs(size([w * x for w, x in zip(d, num, strict=True)])) >= abs(size(num)) for d in draws)
+    shift = [sum(w * (x - theta * y) for w, x, y in zip(d, num, den, strict=True)) / sum(den) for d in draws]
+    low, high = np.quantile(shift, [0.025, 0.975])
+    assert math.isclose(got.theta, theta) and math.isclose(got.p_wild, (1 + beyond) / 501) and np.allclose([got.ci_low, got.ci_high], [theta - high, theta - low])
+    assert bootstrap.stream(1, (2000, 1)).random() != bootstrap.stream(1, (2000, 2)).random()
+
+
+def test_unidentified_effects(spark):
+    rows = spark.createDataFrame([(float(i), 2.0 * i, float(i % 3), i % 4, i % 5) for i in range(40)], "d double, e double, r double, block int, year int")
+    assert all(r.theta is None or math.isnan(r.theta) for r in inference.joint_effects(rows, ["d", "e"], "r", "block", "year").collect())
+    with pytest.raises(ValueError, match="variation"):
+        inference.paired_contrast(rows.limit(0), ("d", "r"), ("e", "r"), "block", "year")
+
+
+def test_checked_joins_and_order(spark):
+    df = spark.createDataFrame([(1, 5, "b"), (1, 7, "a"), (2, 1, "z")], "k int, t int, name string")
+    assert [tuple(r) for r in features.latest(df, ["k"], F.col("t")).orderBy("k").collect()] == [(1, 7, "a"), (2, 1, "z")]
+    assert [r.name for r in features.in_order(df, "name", ["z", "a"]).collect()] == ["z", "a", "b"]
+    assert features.joined_once(df, df.where("k = 2").select("k", F.lit(9).alias("v")), ["k"]).count() == 3
+    for bad in (lambda: features.joined_once(df, df.select("k", "t"), ["k"]), lambda: features.looked_up(df, "name", {"a": 1, "b": 2}, "v")):
+        with pytest.raises(Exception, match="more than one row|without an entry"):
+            bad().collect()
+
+
+def test_grids_and_rings(spark, tmp_path):
+    (tmp_path / "g").mkdir()
+    head = "ncols 3\nnrows 2\nxllcorner 10\nyllcorner 20\ncellsize 2\nNODATA_value -9999\n"
+    (tmp_path / "g" / "sif_200106.asc").write_text(head + "1 2 3\n4 -9999 6\n")
+    (tmp_path / "g" / "o3_2003032.asc").write_text(head + "1 2 3\n4 5 6\n")
+    got = sorted((r.file_name[:2], r.year, r.month, r.ix, r.iy, r.x, r.y, r.value) for r in layers.read_grids(spark, str(tmp_path / "g")).collect())
+    assert len(got) == 11 and got[0] == ("o3", 2003, 2, 0, 0, 11.0, 21.0, 4.0) and ("si", 2001, 6, 1, 1, 13.0, 23.0, 2.0) in got
+    with pytest.raises(ValueError, match="values"):
+        layers.decoded((head + "1 2\n").encode())
+    shapes = spark.createDataFrame([("MULTIPOLYGON (((0 0, 4 0, 4 4, 0 0)), ((9 9, 10 9, 9 10, 9 9)))",), ("POLYGON((1 1,2 1,1 2,1 1))",), (None,)], "wkt string")
+    rings = layers.vertices(shapes).groupBy("ring_id").agg(F.count("*").alias("n"), F.max("x").alias("x")).collect()
+    assert sorted((r.n, r.x) for r in rings) == [(3, 2.0), (3, 4.0), (3, 10.0)]
+
+
+def test_components_layers_and_reports(spark, tmp_path):
+    part = spark.createDataFrame([(2001, 1, 5, 7, 1.0, 2.0, 3.0, 4.0, 9)], "year int, month int, pixel_id long, block long, x double, y double, numerator_raw double, denominator_raw double, n_obs long")
+    part.write.parquet(str(tmp_path / "c"))
+    assert read_components(spark, str(tmp_path / "c")).first().spatial_block == 7
+    with pytest.raises(ValueError, match="t2m"):
+        read_components(spark, str(tmp_path / "c"), ("year", "t2m"))
+    assert read_layers(spark, str(tmp_path / "c")).first().file_name.endswith(".parquet")
+    write_report(spark, str(tmp_path / "r"), {"Effects": part.select("year", "x"), "None": part.limit(0).select("year")})
+    text = "\n".join(r.value for r in spark.read.text(str(tmp_path / "r")).collect())
+    assert "Effects\n-------\nyear | x\n2001 | 1" in text and "None" in text
+
+
+def test_projection_of_layers(spark):
+    a, df = Albers(), spark.createDataFrame([(105.0, 30.0)], "x double, y double")
+    once = raster.reprojected(df, a)
+    assert once.first().crs == "albers" and abs(once.first().x) < 1e-6 and raster.reprojected(once, a).first() == once.first()
+    with pytest.raises(Exception, match="no projection"):
+        raster.reprojected(df.withColumn("crs", F.lit("EPSG:1")), a).collect()
+
+
 def test_mode_ties_and_masks(spark):
     df = spark.createDataFrame([(0, 0, 5.0), (1, 1, 3.0), (0, 1, None), (2, 0, -1.0)], "ix long, iy long, value double")
     assert {(r.ix, r.iy, r.value) for r in raster.mode_resample(df, 2).collect()} == {(0, 0, 3.0), (1, 0, -1.0)}
@@ -232,6 +363,9 @@ def test_wild_bootstraps_are_seeded(spark):
 
 def test_candidates_are_seeded():
     assert tuning.candidates(3, 1) == tuning.candidates(3, 1) != tuning.candidates(3, 2)
+    drawn = tuning.candidates(10)
+    assert sorted(int((c["minInfoGain"]) // 0.5) for c in drawn) == list(range(10))  # every part of a range once
+    assert all(300 <= c["maxIter"] <= 1200 and 3 <= c["maxDepth"] <= 10 and 0.01 <= c["stepSize"] <= 0.15 for c in drawn)
 
 
 def test_sinks(spark, tmp_path):
