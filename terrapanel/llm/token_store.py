@@ -390,7 +390,7 @@ def verify_store(spark: SparkSession, store: str) -> DataFrame:
     lost = checked.where("lost > 0").select(F.explode(F.sequence(F.lit(1).cast("long"), "lost")))
     sound = F.broadcast(checked.where("sound").select("segment", "sound"))  # a row a partition
     listed = recipes(spark, store).join(sound, "segment", "left").withColumn("sound", F.coalesce("sound", F.lit(False)))
-    met = with_chunks(listed.select("doc_id", "start", F.col("n").alias("n_tokens"), "n_chunks", "root", "sound", "names"), chunk_sums(spark, store))
+    met = with_chunks(listed.select("doc_id", "start", F.col("n").alias("n_tokens"), "n_chunks", "root", "sound", "names"), saved(chunk_sums(spark, store), "chunk-sums"))
     parts = F.array_sort(F.collect_list(F.struct("seq", F.coalesce("n", F.lit(0)).alias("n"), F.coalesce("crc", F.lit(-1)).alias("crc"), "key")))
     per = met.groupBy("doc_id", "start", "n_tokens", "n_chunks", "root", "sound").agg(parts.alias("parts"))
     root = F.sha2(F.unhex(F.array_join(F.col("parts.key"), "")), 256)
