@@ -205,7 +205,9 @@ def kernel_maps(rows: DataFrame, design: Design, keep: Keep = as_is) -> Tables:
 def climate_state(rows: DataFrame, design: Design, keep: Keep = as_is, value: str = "t2m") -> Tables:
     comp = keep(components(residuals(rows, design, ["year"]), ["pixel", "block", "year", "month"], **{value: F.avg(value)}), "components")
     held = climate.supported(comp, value, least_years=2 * design.least_years)
-    return {"climatology": climate.climatology_support(comp, value), "moments": climate.weighted_moments(held, value), "modifier": rows.sparkSession.createDataFrame(climate.modifier(held, value, reps=design.reps))}
+    fit, found = climate.fitted(held, value), climate.modifier(held, value, reps=design.reps)
+    shown = rows.sparkSession.createDataFrame(found).withColumn("direction", F.lit(climate.direction(found, fit)))
+    return {"climatology": climate.climatology_support(comp, value), "moments": climate.weighted_moments(held, value), "modifier": shown, "curves": climate.response_curves(held, fit, value)}
 
 
 def trends(rows: DataFrame, design: Design, keep: Keep = as_is) -> Tables:

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from terrapanel.functions import distributions as dist
 from terrapanel.functions.grid import Albers, Grid, block_id, grid_of, pixel_id
-from terrapanel.operators import bootstrap, correlogram, crossfit, features, inference, kernel, multiplicity, quantiles, raster, trend, tuning
+from terrapanel.operators import bootstrap, climate, correlogram, crossfit, features, inference, kernel, multiplicity, quantiles, raster, trend, tuning
 from terrapanel.operators.components import components
 from terrapanel.operators.folds import Split, balanced_folds, chunk_folds, shuffled_folds
 from terrapanel.sources import layers
@@ -407,3 +407,34 @@ def test_registered_resampling_takes_production_counts(spark, monkeypatch):
     for query in (effects.wild_month, effects.wild_year, effects.wild_year_by_class, effects.climate_modifier):
         query(spark, "")
     assert asked == [9999, 9999, 9999, 4999]
+
+
+def test_heterogeneity_like_numpy(spark):
+    rng = np.random.default_rng(8)
+    pdf = pd.DataFrame([(s, b, y, float(rng.normal(0.3 * s, 1)), float(rng.uniform(1, 3))) for s in range(4) for b in range(9) for y in range(2000, 2006)], columns=["s", "block", "year", "num", "den"]).assign(n=1)
+    test, pairs = inference.heterogeneity(spark.createDataFrame(pdf), "s")
+    theta = (pdf.groupby("s").num.sum() / pdf.groupby("s").den.sum()).to_numpy()
+    total = pdf.groupby("s").den.sum().to_numpy()
+    v = (pdf.num - theta[pdf.s] * pdf.den) / total[pdf.s]
+    cov = np.zeros((4, 4))
+    for keys, sign in ((["block"], 1), (["year"], 1), (["block", "year"], -1)):
+        score = v.groupby([pdf.s, *(pdf[k] for k in keys)]).sum().unstack(0).to_numpy()
+        cov += sign * score.T @ score * len(score) / (len(score) - 1)
+    values, vectors = np.linalg.eigh(cov)
+    cov = vectors @ np.diag(values.clip(0)) @ vectors.T
+    contrast = np.array([[-1, 1, 0, 0], [-1, 0, 1, 0], [-1, 0, 0, 1]], float)
+    diff = contrast @ theta
+    assert math.isclose(test["f"], diff @ np.linalg.pinv(contrast @ cov @ contrast.T) @ diff / 3, rel_tol=1e-8) and (test["df1"], test["df2"]) == (3, 5)
+    p = []
+    for r in pairs.itertuples(index=False):
+        se = math.sqrt(cov[r.first, r.first] + cov[r.second, r.second] - 2 * cov[r.first, r.second])
+        assert math.isclose(r.difference, theta[r.second] - theta[r.first], rel_tol=1e-9) and math.isclose(r.se, se, rel_tol=1e-8)
+        p.append(float(dist.t_sf2(np.array([r.difference / se]), np.array([5]))[0]))
+    assert np.allclose(pairs["p_t"], p) and np.allclose(pairs["p_holm"], multiplicity.holm_values(np.array(p)))
+
+
+def test_climate_direction():
+    fit = climate.Fit([4], np.array([1.0, -0.5]), {k: np.diag([0.1, 0.01]) for k in ("two_way", "year", "block")}, {"two_way": 9, "year": 9, "block": 9}, "two_way", np.zeros((10, 2)), np.eye(2))
+    rows = lambda p: pd.DataFrame({"p_multiplier": [np.nan, p]})
+    assert climate.direction(rows(0.01), fit) == "negative" and climate.direction(rows(0.2), fit) == "unclear"
+    assert climate.direction(rows(0.01), fit._replace(beta=np.array([1.0, 0.1]))) == "unclear" and climate.direction(rows(0.01), fit._replace(beta=np.array([1.0, 0.5]))) == "positive"
