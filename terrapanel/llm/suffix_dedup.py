@@ -45,7 +45,7 @@ from .induced import sorted_suffixes
 from .tables import bucketed, salted_join, saved, table
 
 LENGTH, GRAM = 50, 20
-SHARD_BYTES, CONTENT_BYTES, HASH_BYTES = 6 << 20, 48 << 20, 256 << 20  # input a shard of texts, of snippets, of hashes stands for
+SHARD_BYTES, CONTENT_BYTES, HASH_BYTES = 6 << 20, 16 << 20, 256 << 20  # input a shard of texts, of snippets, of hashes stands for
 HOT = 20_000
 SLICE = 1 << 17
 ANCHOR, STRING, COPY, ANSWER = range(4)  # kinds of messages to a text shard
