@@ -18,11 +18,13 @@ from .components import merged
 #: The six-point weights.
 WEBB = np.array([-np.sqrt(1.5), -1.0, -np.sqrt(0.5), np.sqrt(0.5), 1.0, np.sqrt(1.5)])
 REPS, SEED = 9999, 20260921
+TIE = 1e-9  # statistics that differ by less are equal
 
 
-def stream(seed: int, key: tuple) -> np.random.Generator:
-    """The stratum's own draws: seeded by an MD5 of seed and key."""
-    return np.random.default_rng(int(hashlib.md5(":".join(map(str, (seed, *key))).encode()).hexdigest()[:16], 16))
+def draws(seed: int, key: tuple, reps: range, clusters: list) -> np.ndarray:
+    """Six-point weights, a row a repetition and a column a cluster: by an MD5 of seed, stratum, repetition and cluster."""
+    head = ":".join(map(str, (seed, *key)))
+    return WEBB[np.array([[int(hashlib.md5(f"{head}:{r}:{c}".encode()).hexdigest()[:7], 16) % 6 for c in clusters] for r in reps], int).reshape(len(reps), len(clusters))]
 
 
 def _factor(g: int) -> float:
@@ -58,12 +60,12 @@ def wild_month(comp: DataFrame, strata: list[str], block: str = "block", month:
         num, den = np.zeros((len(su), len(mu))), np.zeros((len(su), len(mu)))
         num[si, mi], den[si, mi] = pdf["num"], pdf["den"]
         theta, se = (x[0] for x in _studentised(num, den, None))
-        rng, draws = stream(seed, key), []
+        drawn = []
         for at in range(0, reps, batch):
-            shift, error = _studentised(num, den, WEBB[rng.integers(0, 6, (min(batch, reps - at), len(mu)))])
-            draws.append(np.abs(shift / error))
-        t = np.concatenate(draws)
-        return pd.DataFrame([(*key, theta, se, float(np.quantile(t, 0.95)), float((1 + (t >= abs(theta / se)).sum()) / (reps + 1)), len(su), len(mu))], columns=[*strata, "theta", "se", "critical", "p_wild", "g1", "g2"])
+            shift, error = _studentised(num, den, draws(seed, key, range(at, min(reps, at + batch)), mu.tolist()))
+            drawn.append(np.abs(shift / error))
+        t = np.concatenate(drawn)
+        return pd.DataFrame([(*key, theta, se, float(np.quantile(t, 0.95)), float((1 + (t >= abs(theta / se) * (1 - TIE)).sum()) / (reps + 1)), len(su), len(mu))], columns=[*strata, "theta", "se", "critical", "p_wild", "g1", "g2"])
 
     return cells.groupBy(*strata).applyInPandas(run, ", ".join([*(f"{k} {kinds[k]}" for k in strata), "theta double, se double, critical double, p_wild double, g1 long, g2 long"]))
 
@@ -80,11 +82,11 @@ def wild_year(comp: DataFrame, strata: list[str] | None = None, year: str = "yea
         g, theta = len(num), num.sum() / den.sum()
         u, factor = num - theta * den, _factor(len(num))
         seen = num.sum() / np.sqrt(factor * (num @ num))
-        rng, beyond, delta = stream(seed, key), 0, []
+        beyond, delta = 0, []
         for at in range(0, reps, batch):
-            w = WEBB[rng.integers(0, 6, (min(batch, reps - at), g))]
+            w = draws(seed, key, range(at, min(reps, at + batch)), pdf[year].tolist())
             t = (w * num).sum(1) / np.sqrt(factor * ((w * num) ** 2).sum(1))
-            beyond += int((np.abs(t) >= abs(seen)).sum())
+            beyond += int((np.abs(t) >= abs(seen) * (1 - TIE)).sum())
             delta.append((w * u).sum(1) / den.sum())
         q = np.quantile(np.concatenate(delta), [0.025, 0.975])
         return pd.DataFrame([(*key, theta, (1 + beyond) / (reps + 1), theta - q[1], theta - q[0], g)], columns=[*keys, "theta", "p_wild", "ci_low", "ci_high", "g"])

@@ -257,15 +257,15 @@ def threshold_stability(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def wild_month(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return bootstrap.wild_month(yearly_components(spark, sf_dir, "year", "block", "month"), ["year"])
+    return rounded(bootstrap.wild_month(yearly_components(spark, sf_dir, "year", "block", "month"), ["year"]))
 
 
 def wild_year(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return bootstrap.wild_year(yearly_components(spark, sf_dir))
+    return rounded(bootstrap.wild_year(yearly_components(spark, sf_dir)))
 
 
 def wild_year_by_class(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return bootstrap.wild_year(class_components(spark, sf_dir), ["class"])
+    return rounded(bootstrap.wild_year(class_components(spark, sf_dir), ["class"]))
 
 
 def climate_components(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -387,6 +387,38 @@ _CMOD = f"""{_CLIM}, gr AS (SELECT block, year, month, sum(den) AS s, sum(den *
 mo AS (SELECT month, sum(s) AS s, sum(sa) AS sa, sum(saa) AS saa, sum(u) AS u, sum(ua) AS ua FROM gr GROUP BY month), de AS (SELECT sum(saa - sa * sa / s) AS dd, sum(ua - u * sa / s) / sum(saa - sa * sa / s) AS gamma FROM mo),
 be AS (SELECT month, (u - gamma * sa) / s AS b FROM mo, de UNION ALL SELECT 99, gamma FROM de),
 sc AS (SELECT block, year, gr.month, u - s * b - sa * gamma AS q1, ua - sa * b - saa * gamma AS q2 FROM gr JOIN be USING (month), de), {_modifier()}"""
+_WEBB = "[" + ", ".join(map(repr, bootstrap.WEBB.tolist())) + "]::DOUBLE[]"
+
+
+def _lot(key: str, cluster: str) -> str:
+    return f"({_WEBB})[('0x' || substr(md5('{bootstrap.SEED}:' || {key} || ':' || r || ':' || {cluster}), 1, 7))::INT % 6 + 1]"
+
+
+def _wild_year(key: str, label: str) -> str:
+    """Resampled yearly sums of each stratum ``key``; c holds the components."""
+    return f"""cy AS (SELECT {key} AS k, year, sum(num) AS num, sum(den) AS den FROM c GROUP BY {key}, year), hy AS (SELECT k, sum(num) / sum(den) AS theta, sum(den) AS den, count(*) AS g, CASE WHEN count(*) > 1 THEN count(*) / (count(*) - 1.0) ELSE 1.0 END AS f, abs(sum(num) / sqrt(CASE WHEN count(*) > 1 THEN count(*) / (count(*) - 1.0) ELSE 1.0 END * sum(num * num))) AS seen FROM cy GROUP BY k),
+wy AS (SELECT k, r, {_lot('k', 'year')} AS w, cy.num, cy.num - theta * cy.den AS u, hy.den, f, seen FROM cy JOIN hy USING (k), range({bootstrap.REPS}) t(r)),
+ry AS (SELECT k, r, sum(w * num) / sqrt(any_value(f) * sum(w * w * num * num)) AS t, any_value(seen) AS seen, sum(w * u) / any_value(den) AS delta FROM wy GROUP BY k, r),
+qy AS (SELECT k, (1 + count(*) FILTER (WHERE abs(t) >= seen * (1 - 1e-9))) / {bootstrap.REPS + 1}.0 AS p, quantile_cont(delta, 0.025) AS lo, quantile_cont(delta, 0.975) AS hi FROM ry GROUP BY k)
+SELECT {label}round(theta, 6) AS theta, round(p, 6) AS p_wild, round(theta - hi, 6) AS ci_low, round(theta - lo, 6) AS ci_high, g FROM qy JOIN hy USING (k)"""
+
+
+#: Two-way errors of every repetition from sums over months: block products of scores, their products with block sums, and cell squares.
+_WILD_MONTH = f"""{_YEARLY}, {components_sql('c', 'o', ['year', 'block', 'month'])}, h AS (SELECT year, sum(num) / sum(den) AS theta, sum(den) AS total, count(DISTINCT block) AS g1, count(DISTINCT month) AS g2, count(*) FILTER (WHERE den > 0) AS g12 FROM c GROUP BY year),
+s AS (SELECT c.*, num - theta * den AS s FROM c JOIN h USING (year)), bd AS (SELECT year, block, sum(den) AS d FROM c GROUP BY year, block),
+gm AS (SELECT a.year, a.month AS m, b.month AS n, sum(a.s * b.s) AS g FROM s a JOIN s b ON a.year = b.year AND a.block = b.block GROUP BY ALL),
+mm AS (SELECT s.year, month AS m, sum(s) AS s, sum(den) AS d, sum(s * s) AS a, sum(s * den) AS b, sum(s * bd.d) AS hh FROM s JOIN bd USING (year, block) GROUP BY s.year, month),
+kk AS (SELECT year, (SELECT sum(d * d) FROM bd WHERE bd.year = h.year) AS k, (SELECT sum(den * den) FROM c WHERE c.year = h.year) AS c2 FROM h),
+w AS (SELECT year, m, r, {_lot('year', 'm')} AS w FROM mm, range({bootstrap.REPS}) t(r)),
+one AS (SELECT year, r, sum(w * s) AS ws, sum(w * w * a) AS wa, sum(w * b) AS wb, sum(w * hh) AS wh, sum(w * w * s * s) AS wss, sum(w * s * d) AS wsd, sum(d * d) AS dd FROM w JOIN mm USING (year, m) GROUP BY year, r),
+two AS (SELECT w1.year, w1.r, sum(w1.w * w2.w * g) AS wg FROM w w1 JOIN gm ON gm.year = w1.year AND gm.m = w1.m JOIN w w2 ON w2.year = gm.year AND w2.m = gm.n AND w2.r = w1.r GROUP BY w1.year, w1.r),
+fc AS (SELECT *, g1 / (g1 - 1.0) AS f1, g2 / (g2 - 1.0) AS f2, g12 / (g12 - 1.0) AS f12 FROM h JOIN kk USING (year)),
+v AS (SELECT year, r, ws / total AS z, total, f1 * (wg - 2 * ws / total * wh + (ws / total) ** 2 * k) AS m1, f2 * (wss - 2 * ws / total * wsd + (ws / total) ** 2 * dd) AS m2, f12 * (wa - 2 * ws / total * wb + (ws / total) ** 2 * c2) AS m12 FROM one JOIN two USING (year, r) JOIN fc USING (year)),
+seen AS (SELECT fc.year, theta, g1, g2, f1 * (SELECT sum(x * x) FROM (SELECT sum(s) AS x FROM s WHERE s.year = fc.year GROUP BY block)) AS m1, f2 * (SELECT sum(x * x) FROM (SELECT sum(s) AS x FROM s WHERE s.year = fc.year GROUP BY month)) AS m2, f12 * (SELECT sum(s * s) FROM s WHERE s.year = fc.year) AS m12, total FROM fc),
+e AS (SELECT *, sqrt(CASE WHEN m1 + m2 - m12 > 0 THEN m1 + m2 - m12 ELSE greatest(m1, m2) END) / total AS se FROM seen),
+t AS (SELECT v.year, abs(z / (sqrt(CASE WHEN v.m1 + v.m2 - v.m12 > 0 THEN v.m1 + v.m2 - v.m12 ELSE greatest(v.m1, v.m2) END) / v.total)) AS t, abs(theta / se) AS s FROM v JOIN e USING (year)),
+q AS (SELECT year, quantile_cont(t, 0.95) AS critical, (1 + count(*) FILTER (WHERE t >= s * (1 - 1e-9))) / {bootstrap.REPS + 1}.0 AS p FROM t GROUP BY year)
+SELECT year, round(theta, 6) AS theta, round(se, 6) AS se, round(critical, 6) AS critical, round(p, 6) AS p_wild, g1, g2 FROM e JOIN q USING (year)"""
 ORACLE_SQL = {
     "effect_pooled": f"WITH {_YEARLY}, {_BY} SELECT {_EFFECT} FROM e",
     "effect_by_year": f"WITH {_YEARLY}, {components_sql('c', 'o', ['year', 'block', 'month'])}, {two_way_sql('e', 'c', ['year'], 'block', 'month')} SELECT year, {_EFFECT} FROM e",
@@ -450,6 +482,9 @@ ORACLE_SQL = {
  va AS (SELECT month, b * 10 AS estimate, x.v AS vx, y.v AS vy, z.v AS vb, z.v + y.v - x.v AS v FROM be JOIN x_m x USING (month) JOIN year_m y USING (month) JOIN block_m z USING (month)), ok AS (SELECT min(v) > 0 AS valid FROM va),
  ta AS (SELECT va.*, valid, CAST(greatest(1, CASE WHEN valid THEN least(gb, gy) ELSE gy END - 1) AS INT) AS t_df, estimate / (10 * sqrt(CASE WHEN valid THEN v ELSE vy END)) AS z FROM va, ok, g)
  SELECT CASE WHEN month = 99 THEN 't2m_anomaly' ELSE 'month_' || lpad(CAST(month AS VARCHAR), 2, '0') END AS parameter, round(estimate, 5) AS estimate, CASE WHEN valid THEN 'two_way' ELSE 'year' END AS covariance, round(10 * sqrt(vy), 5) AS se_year, round(10 * sqrt(vb), 5) AS se_block, t_df, round({t_p_sql('z', 't_df')}, 5) AS p_t FROM ta""",
+    "wild_year": f"WITH {_YEARLY}, {components_sql('c', 'o', ['block', 'year'])}, {_wild_year('(0 * year)', '')}",
+    "wild_year_by_class": f"WITH {_CLASSES}, {_wild_year('class', 'k AS class, ')}",
+    "wild_month": f"WITH {_WILD_MONTH}",
     "tuning_search": f"WITH {supplier_sql()}, {_TUNED} SELECT {_TUNED_COLS} FROM tuned",
     "tuning_best": f"WITH {supplier_sql()}, {_TUNED} SELECT {_TUNED_COLS} FROM tuned ORDER BY rmse_mean, rmse_std, penalty LIMIT 1",
 }

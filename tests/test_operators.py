@@ -274,14 +274,15 @@ def test_resampling_like_numpy(spark):
     num, den = [1.0, 2.5, -0.5, 3.0], [2.0, 1.0, 1.5, 2.5]
     comp = spark.createDataFrame([(2000 + i, 1, 1, a, b, 1) for i, (a, b) in enumerate(zip(num, den, strict=True))], "year int, block int, k int, num double, den double, n long")
     got = bootstrap.wild_year(comp, ["k"], reps=500).first()
-    rng, theta, factor = bootstrap.stream(bootstrap.SEED, (1,)), sum(num) / sum(den), 4 / 3
-    draws = bootstrap.WEBB[rng.integers(0, 6, (500, 4))].tolist()
+    theta, factor = sum(num) / sum(den), 4 / 3
+    draws = bootstrap.draws(bootstrap.SEED, (1,), range(500), [2000, 2001, 2002, 2003]).tolist()
     size = lambda v: sum(v) / math.sqrt(factor * sum(x * x for x in v))
     beyond = sum(abs(size([w * x for w, x in zip(d, num, strict=True)])) >= abs(size(num)) for d in draws)
     shift = [sum(w * (x - theta * y) for w, x, y in zip(d, num, den, strict=True)) / sum(den) for d in draws]
     low, high = np.quantile(shift, [0.025, 0.975])
     assert math.isclose(got.theta, theta) and math.isclose(got.p_wild, (1 + beyond) / 501) and np.allclose([got.ci_low, got.ci_high], [theta - high, theta - low])
-    assert bootstrap.stream(1, (2000, 1)).random() != bootstrap.stream(1, (2000, 2)).random()
+    one, two = (bootstrap.draws(1, (2000, k), range(600), [1, 2]) for k in (1, 2))
+    assert (one != two).any() and set(np.unique(one).round(6)) == set(bootstrap.WEBB.round(6))
 
 
 def test_unidentified_effects(spark):
