@@ -402,6 +402,7 @@ def test_registered_resampling_takes_production_counts(spark, monkeypatch):
     asked = []
     for name in ("yearly_components", "class_components", "climate_components"):
         monkeypatch.setattr(effects, name, lambda *a: None)
+    monkeypatch.setattr(effects, "rounded", lambda df: df)
     for module, name in ((bootstrap, "wild_month"), (bootstrap, "wild_year"), (climate, "modifier")):
         default = inspect.signature(getattr(module, name)).parameters["reps"].default
         monkeypatch.setattr(module, name, lambda *a, reps=default, **k: asked.append(reps) or [(1,)])
