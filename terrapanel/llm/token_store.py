@@ -15,10 +15,11 @@ Reading: every stored chunk is opened, its name is checked against its ids, and
 chunks by name; the CRC of a document follows from those of its chunks (CRC combination); document, segment and store roots, counts
 and starts are recomputed and compared with the manifest and ``root``.
 
-A space before a character that is no white space always begins a pre-token of the byte-level vocabulary, and a
-byte-level BPE never merges across pre-tokens, so texts are cut there and each distinct piece of a slice is encoded once
-by the tokenizers library (its own pre-tokeniser, merges and special tokens); a worker remembers short pieces.  Where
-the next byte could begin white space there is no cut, which only makes a piece longer.
+Texts are cut where the byte-level vocabulary surely begins a new pre-token, and a byte-level BPE never merges across these:
+before a space that a solid character follows, before and after other ASCII white space that one follows, and between an
+ASCII letter and ASCII punctuation or white space (a text that holds a special token's string is not cut).  Each distinct piece of a slice
+is encoded once by the tokenizers library (its own pre-tokeniser, merges and special tokens); a worker remembers short
+pieces.  Where a boundary is not sure there is no cut, which only makes a piece longer.
 
 Defined cases: null or empty text is the end id alone; null ids come last; rows with one doc_id are ordered
 by their Merkle root and each has its own start; an empty table gives an empty store; other columns are neither
@@ -63,6 +64,10 @@ SOLID = np.zeros(256, bool)
 SOLID[0x21:0x7F] = True
 SOLID[0xC3:0xF5] = True
 SOLID[[0xE1, 0xE2, 0xE3]] = False
+LETTER, BREAK, ENDS = np.zeros(256, bool), np.zeros(256, bool), np.zeros(256, bool)
+LETTER[0x41:0x5B] = LETTER[0x61:0x7B] = True
+BREAK[9:14] = True  # ASCII white space but the space
+ENDS[0x21:0x30] = ENDS[0x3A:0x41] = ENDS[0x5B:0x61] = ENDS[0x7B:0x7F] = ENDS[9:14] = True  # ends a run of letters
 
 
 class Encoder:
@@ -75,6 +80,7 @@ class Encoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
+        self.special = [t.content.encode() for t in self.tokenizer.get_added_tokens_decoder().values()]
         self.clear()
 
     def clear(self) -> None:
@@ -116,7 +122,20 @@ class Encoder:
         """(ids of all documents, each closed by END_ID; offsets of the documents in them)."""
         n = len(data)
         cut = np.zeros(n + 1, bool)
-        cut[: n - 1] = (data[:-1] == 0x20) & SOLID[data[1:]]
+        solid = SOLID[data[1:]]
+        edge = offsets[(offsets > 0) & (offsets < n)]
+        solid[edge - 1] = False  # the next document's
+        cut[: max(0, n - 1)] = (data[:-1] == 0x20) & solid
+        last = BREAK[data[:-1]] & solid  # the last sign of a run of white space stands alone
+        cut[1:n] |= last | (LETTER[data[:-1]] & ENDS[data[1:]])
+        cut[: max(0, n - 1)] |= last
+        raw = data.tobytes()
+        for name in self.special:
+            p = raw.find(name)
+            while p >= 0:
+                d = int(np.searchsorted(offsets, p, "right")) - 1
+                cut[offsets[d] : offsets[d + 1]] = False  # the whole document is one piece
+                p = raw.find(name, int(offsets[d + 1]))
         cut[offsets] = True
         start = np.flatnonzero(cut[:n])
         end = np.append(start[1:], n)
@@ -130,7 +149,6 @@ class Encoder:
         where, size, found = self._find(keys)
         held = self.flat
         if not found.all():
-            raw = data.tobytes()
             length = end[first] - start[first]
             miss = np.flatnonzero(~found & (length <= self.SHORT))
             long = np.flatnonzero(~found & (length > self.SHORT))

@@ -429,6 +429,24 @@ def test_token_store_round_trip(spark, edge, sf001):
         start += len(ids)
 
 
+def test_cut_texts_give_the_library_s_ids():
+    """Random strings around every kind of boundary, documents side by side in one slice."""
+    import pyarrow as pa
+    from tokenizers import Tokenizer
+
+    from terrapanel.llm.bytetext import slices, utf8
+
+    tok, enc = Tokenizer.from_file(token_store.vocabulary_path()), token_store.Encoder(token_store.vocabulary_path())
+    parts = ["a", "B", "zz", "é", "日", "1", "９", " ", "  ", "\n", "\t", "\r\n", "\u2003", "\u3000", "\xa0", ".", ",", "'s", "'ll", "'", "-", "_", "<|endoftext|>", "<|", "😀", "\x85", "ß", "½", "`", "\x1c", "x", "long" * 30]
+    rng = random.Random(3)
+    texts = ["".join(rng.choice(parts) for _ in range(rng.randint(0, 40))) for _ in range(3000)]
+    data, offsets = utf8(pa.array(texts))
+    for i, j in slices(offsets, 1 << 14):
+        ids, at = enc.encode(data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i])
+        for k in range(i, j):
+            assert ids[at[k - i] : at[k - i + 1]].tolist() == [*tok.encode(texts[k], add_special_tokens=False).ids, token_store.END_ID], texts[k]
+
+
 def test_token_store_files(spark, tmp_path):
     docs = spark.createDataFrame([(i, "the same passage again and again " * 200 + str(i % 3)) for i in range(9)], "doc_id long, text string")
     path = str(tmp_path / "store")
