@@ -70,7 +70,7 @@ def effect_map(cells: DataFrame, grid: Grid, bandwidth_km: float, truncate: floa
 
 def support_mask(map_rows: DataFrame, **limits: float) -> DataFrame:
     """Rows with den_cut, se_cut (quantiles by month and bandwidth) and ``supported``."""
-    lim = SUPPORT | limits
+    lim, map_rows = SUPPORT | limits, map_rows.persist()  # read by both quantiles and the join
     keys = ["month", "bandwidth_km"]
     cuts = quantile(map_rows, keys, "local_den", lim["den_q"], "den_cut").join(quantile(map_rows, keys, "se", lim["se_q"], "se_cut"), keys, "full")
     ok = (F.col("g") >= lim["years"]) & (F.col("mean_years") >= lim["mean_years"]) & (F.col("effective_pixels") >= lim["pixels"]) & (F.col("local_den") >= F.col("den_cut")) & (F.col("se") <= F.col("se_cut"))
