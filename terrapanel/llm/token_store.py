@@ -73,7 +73,7 @@ ENDS[0x21:0x30] = ENDS[0x3A:0x41] = ENDS[0x5B:0x61] = ENDS[0x7B:0x7F] = ENDS[9:1
 class Encoder:
     """Ids of many texts with the tokenizers library, each distinct piece once."""
 
-    MAX_KNOWN, MAX_IDS, SHORT = 600_000, 1 << 23, 64
+    MAX_KNOWN, MAX_IDS, SHORT = 1_500_000, 1 << 24, 64
 
     def __init__(self, path: str):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # a task has one core
