@@ -147,3 +147,56 @@ def spread(starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
     at = np.cumsum(lengths)[:-1]
     steps[at] = starts[1:] - (starts[:-1] + lengths[:-1]) + 1
     return np.cumsum(steps)
+
+
+def slice_hashes(data: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """A 64-bit polynomial hash of each slice [start, end)."""
+    up, down = powers(len(data) + 1)
+    total = np.zeros(len(data) + 1, np.uint64)
+    np.cumsum(BYTE_KEYS[data] * up[: len(data)], out=total[1:])
+    return mix64((total[end] - total[start]) * down[start] + (end - start).astype(np.uint64))
+
+
+LANE_BYTES = 256
+
+
+def same_bytes(data: np.ndarray, a: np.ndarray, b: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """Whether the ``size`` bytes from a and from b on are equal, eight bytes at a time; long slices one by one."""
+    padded = np.concatenate([data, np.zeros(8, np.uint8)])
+    lanes = np.ndarray((len(data) + 1,), "<u8", padded, strides=(1,))
+    same = np.ones(len(a), bool)
+    live = np.flatnonzero((a != b) & (size <= LANE_BYTES))
+    at = 0
+    while live.size:
+        left = np.minimum(size[live] - at, 8).astype(np.uint64)
+        mask = np.uint64(0xFFFFFFFFFFFFFFFF) >> (np.uint64(64) - np.uint64(8) * left)
+        same[live] &= ((lanes[a[live] + at] ^ lanes[b[live] + at]) & mask) == 0
+        at += 8
+        live = live[same[live] & (size[live] > at)]
+    for i in np.flatnonzero((a != b) & (size > LANE_BYTES)):
+        same[i] = np.array_equal(data[a[i] : a[i] + size[i]], data[b[i] : b[i] + size[i]])
+    return same
+
+
+def exact_ids(data: np.ndarray, start: np.ndarray, end: np.ndarray, key: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(id of each slice, a slice of each id): equal ids exactly for equal bytes.
+
+    ``key`` is a hash of the slices that groups them; every slice is then compared with its group's first by its bytes,
+    and the few that differ from it are told apart by their bytes alone.
+    """
+    if not len(start):
+        return np.zeros(0, np.int64), np.zeros(0, np.int64)
+    _, first, ids = np.unique(key, return_index=True, return_inverse=True)
+    size, named = end - start, first[ids]
+    bad = (size != size[named]) | ~same_bytes(data, start, start[named], np.minimum(size, size[named]))
+    if bad.any():
+        others: dict[bytes, int] = {}
+        extra: list[int] = []
+        for i in np.flatnonzero(bad):
+            word = data[start[i] : end[i]].tobytes()
+            if word not in others:
+                others[word] = len(first) + len(extra)
+                extra.append(i)
+            ids[i] = others[word]
+        first = np.concatenate([first, np.array(extra, first.dtype)])
+    return ids.astype(np.int64), first.astype(np.int64)

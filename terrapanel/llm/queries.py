@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontaminate, jaccard_join, mixing, secret_scan, suffix_dedup, token_count, token_store, topk, toxicity, url_filter
+from . import decontaminate, fill_middle, jaccard_join, mixing, quality_rules, secret_scan, source_divergence, suffix_dedup, token_count, token_store, topk, toxicity, url_filter
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_url_filters": url_filter.op1_url_filters,
@@ -19,6 +19,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_benchmark_decontamination": decontaminate.op8_benchmark_decontamination,
     "op9_source_mixing": mixing.op9_source_mixing,
     "op10_token_store": token_store.op10_token_store,
+    "op11_source_divergence": source_divergence.op11_source_divergence,
+    "op12_quality_rules": quality_rules.op12_quality_rules,
+    "op13_fill_in_middle": fill_middle.op13_fill_in_middle,
 }
 ORACLE_SQL: dict[str, str] = {
     "op1_url_filters": url_filter.OP1_SQL,
@@ -26,4 +29,7 @@ ORACLE_SQL: dict[str, str] = {
     "op5_exact_top_k": topk.OP5_SQL,
     "op8_benchmark_decontamination": decontaminate.OP8_SQL,
     "op9_source_mixing": mixing.OP9_SQL,
+    "op11_source_divergence": source_divergence.OP11_SQL,
+    "op12_quality_rules": quality_rules.OP12_SQL,
+    "op13_fill_in_middle": fill_middle.OP13_SQL,
 }
