@@ -3,7 +3,7 @@
 Least squares needs no second look at the rows: cross products are summed by stratum and fold, training sums of
 a test cell are sums of the other cells, and the small systems are solved row by row.  The rows then meet their
 coefficients by an equi-join on (stratum, test cell).  With many covariates the products of a task are summed with
-NumPy before the shuffle.  Boosted trees are fitted one by one with Spark ML.
+NumPy before the shuffle.  Boosted trees of all strata, targets and test cells grow together (``boosted``).
 """
 
 from __future__ import annotations
@@ -16,11 +16,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..sources.sinks import scratch
-from .folds import Split, condition
+from . import boosted
+from .folds import Split
 
 WIDE = 10
-#: Boosted trees unless a caller names others (the least the reference searches: 300-1200 trees, depth 3-10).
-GBT = {"maxIter": 300, "maxDepth": 3}
 
 
 def _columns(controls: list[str], targets: list[str]) -> list[str]:
@@ -125,54 +124,41 @@ def oof_residuals(df: DataFrame, exposure: str, outcome: str, controls: list[str
     return predicted(used, beta, targets, controls, split, strata).withColumns({k: F.col(c) - F.col(f"{c}_hat") for k, c in residual.items()})
 
 
-def gbt_residuals(
-    df: DataFrame, exposure: str, outcome: str, controls: list[str], split: Split | None = None, seed: int = 42, strata: list[str] | None = None, more: dict[str, str] | None = None, parallel: int = 8, **params,
-) -> DataFrame:
-    """As oof_residuals, with gradient-boosted trees: one model a stratum, target and test cell, ``parallel`` cells at a time.
+def gbt_residuals(df: DataFrame, exposure: str, outcome: str, controls: list[str], split: Split | None = None, seed: int = 42, strata: list[str] | None = None, more: dict[str, str] | None = None, **params) -> DataFrame:
+    """As oof_residuals, with gradient-boosted trees: a model a stratum, target and test cell, all grown together.
 
-    ``params`` replace those of GBT.  Every complete row must lie in a test cell of ``split``; cells without training rows are
-    left out.  Rows are written by stratum to the shared folder, and so are their predictions.
+    ``params`` replace those of ``boosted.SETTING``.  Every complete row must lie in a test cell of ``split``; cells without
+    training rows are left out.  Rows are written once to the shared folder.
     """
-    from multiprocessing.pool import ThreadPool
-
-    from pyspark import inheritable_thread_target
-    from pyspark.ml.feature import VectorAssembler
-    from pyspark.ml.regression import GBTRegressor
-
     split, strata, spark = split or Split(), strata or [], df.sparkSession
     residual = {"d": exposure, "r": outcome} | (more or {})
-    targets, at = list(residual.values()), scratch(spark, "gbt")
-    if spark.sparkContext.getCheckpointDir() is None:  # cuts the lineage of many trees
-        spark.sparkContext.setCheckpointDir(f"{at}/checkpoints")
+    targets, times = list(dict.fromkeys(residual.values())), 1 if split.kind == "spatial" else split.k_time if split.kind == "both" else split.k
     used = df.dropna(subset=list({*targets, *controls, *strata}))
-    sink = used.hint("rebalance", *strata).write.partitionBy(*strata) if strata else used.write
-    sink.parquet(f"{at}/rows")
-    rows = VectorAssembler(inputCols=controls, outputCol="features").transform(spark.read.schema(used.schema).parquet(f"{at}/rows"))
-    sizes: dict[tuple, dict[tuple, int]] = {}
-    for r in rows.groupBy(*strata, *split.cells).count().collect():  # strata x folds
-        fold = tuple(r[c] for c in split.cells)
-        if any(f is None or not 0 <= f < k for f, k in zip(fold, (split.k, split.k_time if split.kind == "both" else split.k), strict=False)):
+    at = scratch(spark, "boosted-rows")
+    used.write.parquet(at)
+    rows, n_strata = boosted.coded(spark.read.schema(used.schema).parquet(at), strata)
+    if not n_strata:
+        raise ValueError("no test cell has both training and test rows")
+    rows = rows.withColumn("_cell", F.col("fold") * times + (F.lit(0) if split.kind == "spatial" else F.col("tfold")))
+    folds = [tuple(r) for r in rows.select(*split.cells).distinct().collect()]  # k or k x k cells
+    for fold in folds:
+        if any(f is None or not 0 <= f < k for f, k in zip(fold, (split.k, times), strict=False)):
             raise ValueError(f"rows in {dict(zip(split.cells, fold, strict=True))} are in no test cell of {split}")
-        sizes.setdefault(tuple(r[c] for c in strata), {})[fold] = r["count"]
-    tests = [(s, t) for s in range(split.k) for t in range(split.k_time if split.kind == "both" else 1)]
-    trains = lambda fold, s, t: fold[0] != s and (split.kind == "spatial" or fold[1] != (t if split.kind == "both" else s))
-    held = lambda fold, s, t: fold == (s, t) if split.kind == "both" else s in fold
-    cells = [(key, n, s, t) for key, folds in sorted(sizes.items()) for n, (s, t) in enumerate(tests) if any(trains(f, s, t) for f in folds) and any(held(f, s, t) for f in folds)]
-    if not cells:
+    tests = [(s, t) for s in range(split.k) for t in range(times if split.kind == "both" else 1)]
+    trains = lambda f, s, t: f[0] != s and (split.kind == "spatial" or f[1] != (t if split.kind == "both" else s))
+    held = lambda f, s, t: f == (s, t) if split.kind == "both" else s in f
+    if not any(any(trains(f, s, t) for f in folds) and any(held(f, s, t) for f in folds) for s, t in tests):
         raise ValueError("no test cell has both training and test rows")
-
-    def fit(number: int) -> None:
-        key, n, s, t = cells[number]
-        own = rows
-        for c, v in zip(strata, key, strict=True):
-            own = own.where(F.col(c) == F.lit(v))
-        train = own.where(condition(split, s, t))
-        test = own.where((F.col("fold") == s) & (F.col("tfold") == t) if split.kind == "both" else F.col("fold") == s if split.kind == "spatial" else (F.col("fold") == s) | (F.col("tfold") == s))
-        for name in targets:
-            test = GBTRegressor(featuresCol="features", labelCol=name, predictionCol=f"{name}_hat", seed=seed + n, **(GBT | params)).fit(train).transform(test)
-        test.drop("features").write.parquet(f"{at}/hats/_cell{number}")
-
-    with ThreadPool(min(parallel, len(cells))) as pool:
-        pool.map(inheritable_thread_target(spark)(fit), range(len(cells)), 1)
-    out = spark.read.parquet(*(f"{at}/hats/_cell{n}" for n in range(len(cells))))
+    masks = [np.array([trains((f, u), s, t) for f in range(split.k) for u in range(times)]) for s, t in tests]
+    plan = [boosted.Model(i, mask, params) for mask in masks for i in range(len(targets))]
+    shown = split.test_rows(rows).withColumn("_at", F.col("test") * (times if split.kind == "both" else 1) + (F.col("test_time") if split.kind == "both" else F.lit(0)))
+    out = None
+    for codes, entries, group in boosted.grown(rows, controls, targets, plan, n_strata, seed, len(targets)):
+        first = entries[0] // len(targets)
+        own = shown.where(F.col("_code").between(codes.start, codes.stop - 1) & F.col("_at").between(first, entries[-1] // len(targets)))
+        own = own.withColumns({"_code": F.col("_code") - codes.start, "_at": (F.col("_at") - first).cast("int")})
+        place = np.arange(len(entries) // len(targets)) * len(targets)
+        one = group.predict(own, {f"{t}_hat": place + i for i, t in enumerate(targets)}, "_at").drop("_code", "_cell", "_at")
+        out = one if out is None else out.unionByName(one)
+    out = out.where(~F.isnan(f"{targets[0]}_hat"))
     return out.withColumns({k: F.col(c) - F.col(f"{c}_hat") for k, c in residual.items()})

@@ -100,10 +100,3 @@ class Split:
         train = self.train_rows(cells).groupBy(*self.tests).agg(F.sum("n").alias("n_train"))
         test = self.test_rows(cells).groupBy(*self.tests).agg(F.sum("n").alias("n_test"))
         return train.join(test, self.tests, "full").select(*self.tests, F.coalesce("n_train", F.lit(0)).alias("n_train"), F.coalesce("n_test", F.lit(0)).alias("n_test"))
-
-
-def condition(split: Split, test: int, test_time: int = 0) -> Column:
-    """The training condition of one test cell, for learners that are fitted one by one."""
-    if split.kind == "both":
-        return (F.col("fold") != test) & (F.col("tfold") != test_time)
-    return (F.col("fold") != test) & (F.col("tfold") != test) if split.kind == "either" else F.col("fold") != test

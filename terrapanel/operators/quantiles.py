@@ -1,28 +1,70 @@
-"""Exact quantiles of long columns, without a group's values ever meeting in one task."""
+"""Exact quantiles of long columns: the sought order statistics are found digit by digit, by counting alone.
+
+A double's bits, with those of negative numbers turned over, order like the double itself.  Values are counted by their
+first bits, the digit that holds each sought rank follows from running counts, and the next digits are counted among the
+values that share the found ones.  Three rounds fix all 64 bits.  No value is ever sorted or gathered: heavy tails, ties and a
+group with nearly all rows only make counts larger.  All keys and all quantiles share the rounds.
+"""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-BUCKETS = 1024
+DIGITS = (24, 20, 20)  # sign, exponent and 12 bits of the mantissa first
+_REST = (1 << 63) - 1
 
 
-def quantile(df: DataFrame, keys: list[str], value: str, q: float, out: str) -> DataFrame:
-    """keys and the quantile (linear between neighbours) of the values that are not NULL.
+def turned(bits: Column) -> Column:
+    """Bits of a double to a long that orders like it, and back."""
+    return F.when(bits < 0, bits.bitwiseXOR(F.lit(_REST))).otherwise(bits)
+
+
+def with_ordered_bits(df: DataFrame, value: str, out: str) -> DataFrame:
+    """A long that orders like the double (-0.0 equals 0.0)."""
+    bits = F.reflect(F.lit("java.lang.Double"), F.lit("doubleToLongBits"), F.col(value) + F.lit(0.0)).cast("long")
+    return df.withColumn(out, bits).withColumn(out, turned(F.col(out)))
+
+
+def with_value(df: DataFrame, bits: str, out: str) -> DataFrame:
+    """The double of its ordered bits."""
+    return df.withColumn(out, F.reflect(F.lit("java.lang.Double"), F.lit("longBitsToDouble"), turned(F.col(bits))).cast("double"))
+
 
-    Values are counted in equal ranges first; only the one or two ranges that hold the sought order statistics are ranked.
+def quantiles(df: DataFrame, keys: list[str], value: str, wanted: dict[str, float], between: bool = True) -> DataFrame:
+    """keys and a column for each of ``wanted`` (name: q): quantiles, linear between neighbours, of the values that are not NULL.
+
+    Without ``between`` it is the lower neighbour, a value that occurs.  ``df`` is read four times; a caller with a costly one keeps it before.  NaN counts as the largest value.
     """
-    v = df.where(F.col(value).isNotNull()).select(*keys, F.col(value).cast("double").alias("_v"))
-    span = v.groupBy(*keys).agg(F.min("_v").alias("_lo"), F.max("_v").alias("_hi"), F.count("*").alias("_n"))
-    place = F.least(F.lit(BUCKETS - 1), F.floor(F.coalesce(F.try_divide(F.col("_v") - F.col("_lo"), F.col("_hi") - F.col("_lo")), F.lit(0.0)) * BUCKETS))
-    v = v.join(span, keys).select(*keys, "_v", "_n", place.alias("_b"))
-    counts = v.groupBy(*keys, "_b", "_n").agg(F.count("*").alias("_c"))
-    counts = counts.withColumn("_upto", F.sum("_c").over(W.partitionBy(*keys).orderBy("_b")))
-    at = q * (F.col("_n") - 1)
-    first, last = F.floor(at), F.ceil(at)  # order statistics from 0
-    sought = counts.where((F.col("_upto") > first) & (F.col("_upto") - F.col("_c") <= last)).select(*keys, "_b", (F.col("_upto") - F.col("_c")).alias("_before"))
-    ranked = v.join(sought, [*keys, "_b"]).withColumn("_r", F.col("_before") + F.row_number().over(W.partitionBy(*keys, "_b").orderBy("_v")) - 1)
-    weight = F.when(first == last, 1.0).when(F.col("_r") == first, last - at).otherwise(at - first)
-    return ranked.where((F.col("_r") == first) | (F.col("_r") == last)).groupBy(*keys).agg(F.sum(weight * F.col("_v")).alias(out))
+    v = with_ordered_bits(df.where(F.col(value).isNotNull()).select(*keys, F.col(value).cast("double").alias("_v")), "_v", "_b").drop("_v")
+    sizes = v.groupBy(*keys).agg(F.count("*").alias("_n"))
+    at = lambda q: F.lit(float(q)) * (F.col("_n") - 1)
+    ranks = F.array_distinct(F.flatten(F.array(*(F.array(f(at(q)).cast("long")) for q in wanted.values() for f in (F.floor, F.ceil)))))
+    sought = sizes.select(*keys, F.explode(ranks).alias("_rank")).withColumns({"_found": F.lit(0).cast("long"), "_before": F.lit(0).cast("long")})
+    left = 64
+    for digits in DIGITS:
+        own = v.withColumns({"_found": F.shiftright("_b", left) if left < 64 else F.lit(0).cast("long"), "_digit": F.shiftright("_b", left - digits)})
+        if left < 64:
+            own = own.join(sought.select(*keys, "_found").distinct(), [*keys, "_found"], "left_semi")
+        counts = own.groupBy(*keys, "_found", "_digit").agg(F.count("*").alias("_c"))
+        counts = counts.withColumn("_upto", F.sum("_c").over(W.partitionBy(*keys, "_found").orderBy("_digit")))
+        place = F.col("_rank") - F.col("_before")
+        met = sought.join(counts, [*keys, "_found"]).where((place < F.col("_upto")) & (place >= F.col("_upto") - F.col("_c")))
+        sought = met.select(*keys, "_rank", F.col("_digit").alias("_found"), (F.col("_before") + F.col("_upto") - F.col("_c")).alias("_before"))
+        left -= digits
+    entries = F.map_from_entries(F.collect_list(F.struct("_rank", "_v"))).alias("_at")  # two ranks a quantile
+    found = with_value(sought, "_found", "_v").groupBy(*keys).agg(entries)
+    found = found.join(sizes, keys) if keys else found.crossJoin(sizes)  # a row each
+
+    def one(q: float) -> Column:
+        low, high = F.col("_at")[F.floor(at(q)).cast("long")], F.col("_at")[F.ceil(at(q)).cast("long")]
+        part = at(q) - F.floor(at(q))
+        return low + (high - low) * part if between else low
+
+    return found.select(*keys, *(one(q).alias(name) for name, q in wanted.items()))
+
+
+def quantile(df: DataFrame, keys: list[str], value: str, q: float, out: str) -> DataFrame:
+    """keys and one quantile."""
+    return quantiles(df, keys, value, {out: q})

@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators import bootstrap, climate, crossfit, diagnostics, features, inference, tuning
+from ..operators import boosted, bootstrap, climate, crossfit, diagnostics, features, inference, tuning
 from ..operators.components import components, score_cells
 from ..operators.folds import Split
 from ..operators.multiplicity import fdr
@@ -296,11 +297,48 @@ def climate_modifier_estimate(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def gbt_residuals(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Boosted trees by Spark ML (crossfit.GBT): metrics of both stages over the full period, a row a fold."""
+    """Boosted trees (boosted.SETTING): metrics of both stages over the full period, a row a fold."""
     rows = crossfit.gbt_residuals(supplier_rows(spark, sf_dir), "o3", "sif", ["t2m", "ssrd", "x", "y"], Split("spatial", panels.FOLDS))
     return diagnostics.staged_metrics(rows, {"exposure": "o3", "outcome": "sif"}, ["fold"])
 
 
+_ROUND_FEATURES, _ROUND_TARGETS = ["t2m", "ssrd", "x", "y"], ["o3", "sif"]
+
+
+def boosted_round(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The first stump of every test fold and target: feature, bound, and the predictions on both sides."""
+    rows = rounded(supplier_rows(spark, sf_dir)).withColumns({"_code": F.lit(0), "_cell": F.col("fold")})
+    folds = range(panels.FOLDS)
+    plan = [boosted.Model(i, np.array([f != s for f in folds]), {"trees": 1, "depth": 1}) for s in folds for i in range(2)]
+    found = []
+    for _, entries, group in boosted.grown(rows, _ROUND_FEATURES, _ROUND_TARGETS, plan):
+        hats, tree = group._hats(), group.trees[0]
+        for k, e in enumerate(entries):
+            low, unit = hats.units[plan[e].target]
+            f = int(tree.feature[k, 0])
+            sides = [low + (int(hats.base[k]) + int(v)) * unit for v in tree.leaf[k]]
+            found.append((e // 2, _ROUND_TARGETS[e % 2], _ROUND_FEATURES[f] if f >= 0 else None, float(hats.cuts[f][tree.cut[k, 0]]) if f >= 0 else None, sides[0], sides[1] if f >= 0 else None))
+    return rounded(spark.createDataFrame(found, "test int, target string, feature string, below double, left_hat double, right_hat double"))
+
+
+_ROUNDED = ", ".join(f"round({c}, 6) AS {c}" for c in (*_ROUND_FEATURES, *_ROUND_TARGETS))
+_SCORE = "power({g}::DOUBLE, 2) / ({n} + 1.0)"
+_BOOSTED = f"""
+rr AS MATERIALIZED (SELECT fold, {_ROUNDED} FROM f),
+sz AS (SELECT target, count(*) AS n, min(v) AS low, power(2.0, ceil(log2(max(v) - min(v)))) / power(2.0, least(36, 61 - ceil(log2(count(*) + 1)))) AS unit FROM (UNPIVOT rr ON {', '.join(_ROUND_TARGETS)} INTO NAME target VALUE v) GROUP BY target),
+yy AS MATERIALIZED (SELECT fold, target, {', '.join(_ROUND_FEATURES)}, CAST(floor((v - low) / unit + 0.5) AS BIGINT) AS v FROM (UNPIVOT rr ON {', '.join(_ROUND_TARGETS)} INTO NAME target VALUE v) JOIN sz USING (target)),
+ss AS (SELECT list_position({_ROUND_FEATURES}, feature) AS at, feature, list_sort(list(x)) AS s FROM (UNPIVOT rr ON {', '.join(_ROUND_FEATURES)} INTO NAME feature VALUE x) GROUP BY feature),
+ee AS (SELECT DISTINCT at, feature, s[CAST(floor(i / 64.0 * (len(s) - 1)) AS BIGINT) + 1] AS edge FROM ss, (SELECT unnest(range(1, 64)) AS i)),
+tt AS MATERIALIZED (SELECT test, target, yy.* EXCLUDE (target), CAST(floor(sum(v) OVER (PARTITION BY test, target) / count(*) OVER (PARTITION BY test, target)) AS BIGINT) - v AS g FROM yy, (SELECT unnest(range({panels.FOLDS})) AS test) WHERE fold <> test),
+tot AS (SELECT test, target, sum(g) AS g, count(*) AS n, any_value(g + v) AS base FROM tt GROUP BY test, target),
+cc AS (SELECT test, target, at, ee.feature, edge, sum(g) AS gl, count(*) AS nl FROM (UNPIVOT tt ON {', '.join(_ROUND_FEATURES)} INTO NAME feature VALUE val) u JOIN ee ON u.feature = ee.feature AND val < edge GROUP BY ALL),
+gg AS (SELECT c.*, t.g, t.n, base, {_SCORE.format(g='gl', n='nl')} + {_SCORE.format(g='(t.g - gl)', n='(t.n - nl)')} - {_SCORE.format(g='t.g', n='t.n')} AS gain FROM cc c JOIN tot t USING (test, target) WHERE nl < t.n),
+best AS (SELECT * FROM gg WHERE gain > 0 QUALIFY row_number() OVER (PARTITION BY test, target ORDER BY gain DESC, at, edge) = 1)
+SELECT CAST(test AS INT) AS test, target, feature, round(edge, 6) AS below, round(low + (base + floor(0.1 * (-gl::DOUBLE) / (nl + 1.0) + 0.5)) * unit, 6) AS left_hat, round(low + (base + floor(0.1 * (-(b.g - gl)::DOUBLE) / (b.n - nl + 1.0) + 0.5)) * unit, 6) AS right_hat
+FROM best b JOIN sz USING (target)
+"""
+
+
 def tuning_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(tuning.ridge_search(supplier_rows(spark, sf_dir), "sif", ["t2m"], [0.0, 0.5]))
 
@@ -313,7 +351,7 @@ QUERIES = {f.__name__: f for f in (
     effect_pooled, effect_by_year, effect_by_year_t, effect_pooled_signs, effect_month_signs, effect_month_cells, effect_by_month, effect_by_class, effect_block_scale, effect_control_sets, effect_wide_controls, effect_full_period_2d,
     effect_strict_fe, effect_interannual, oof_residuals_year, oof_metrics_by_year, components_block_year, within_pixel_year_panel, within_audit, paired_contrast, future_exposure_join, placebo_joint_effects,
     collinearity_diagnostics, residual_support_by_year, timefold_calibration, timefold_summary, combined_moments_by_fold, effect_linear_trend, linear_trend_estimate, score_matrix_pivot, pairwise_class_contrasts,
-    heterogeneity_omnibus, heterogeneity_pairs, threshold_repool, threshold_stability, wild_month, wild_year, wild_year_by_class, climatology_support, climate_gram, climate_weighted_moments, climate_modifier, climate_modifier_estimate, gbt_residuals, tuning_search, tuning_best,
+    heterogeneity_omnibus, heterogeneity_pairs, threshold_repool, threshold_stability, wild_month, wild_year, wild_year_by_class, climatology_support, climate_gram, climate_weighted_moments, climate_modifier, climate_modifier_estimate, gbt_residuals, boosted_round, tuning_search, tuning_best,
 )}
 
 # ---------------------------------------------------------------- SQL
@@ -462,7 +500,7 @@ ORACLE_SQL = {
  round(max(abs(outcome_residual_mean)), 5) AS max_outcome_bias, round(max(outcome_bias_over_sd), 5) AS max_outcome_bias_over_sd, round(min(exposure_r2), 5) AS min_exposure_r2, round(min(outcome_r2), 5) AS min_outcome_r2, round(min(local_effect), 5) AS effect_min, round(max(local_effect), 5) AS effect_max FROM cal""",
     "combined_moments_by_fold": f"WITH {_YEARLY} SELECT tfold, count(*) AS n, round(avg(d), 6) AS mean, round(stddev_samp(d), 6) AS sd FROM o GROUP BY tfold",
     "linear_trend_estimate": f"SELECT test, round(estimate, 5) AS estimate, round(se, 5) AS se, t_df FROM ({_SLOPE})",
-    "effect_linear_trend": f"WITH {critical_sql()}, a AS ({_SLOPE}), b AS (SELECT *, estimate / se AS z FROM a JOIN crit ON df = t_df) SELECT test, round(estimate, 5) AS estimate, round(se, 5) AS se, round({t_p_sql('z', 't_df')}, 5) AS p_t, round(estimate - c * se, 5) AS ci_low, round(estimate + c * se, 5) AS ci_high, t_df FROM b",
+    "effect_linear_trend": f"WITH RECURSIVE {critical_sql()}, a AS ({_SLOPE}), b AS (SELECT *, estimate / se AS z FROM a JOIN crit ON df = t_df) SELECT test, round(estimate, 5) AS estimate, round(se, 5) AS se, round({t_p_sql('z', 't_df')}, 5) AS p_t, round(estimate - c * se, 5) AS ci_low, round(estimate + c * se, 5) AS ci_high, t_df FROM b",
     "score_matrix_pivot": f"""WITH {_CLASSES}, h AS (SELECT class, sum(num) / sum(den) AS theta FROM c GROUP BY class), s AS (SELECT block, year, class, sum(num - theta * den) AS s FROM c JOIN h USING (class) GROUP BY ALL)
  SELECT block, year, {', '.join(f'round(coalesce(sum(s) FILTER (WHERE class = {k}), 0), 4) AS "{k}"' for k in (10, 50, 60, 70, 90, 120, 130))} FROM s GROUP BY block, year""",
     "pairwise_class_contrasts": f"""WITH {_CLASSES}, h AS (SELECT class, sum(num) / sum(den) AS theta, sum(den) AS total FROM c GROUP BY class), sv AS (SELECT class, block, year, (num - theta * den) / total AS v FROM c JOIN h USING (class)),
@@ -474,8 +512,8 @@ ORACLE_SQL = {
     "climatology_support": f"WITH {_YEARLY}, y AS (SELECT pixel, month, count(*) AS years FROM (SELECT DISTINCT pixel, month, year FROM o) GROUP BY pixel, month) SELECT month, count(*) AS n_pixels, count(*) FILTER (WHERE years >= 5) AS n_supported, round(avg(years), 6) AS mean_years FROM y GROUP BY month",
     "climate_gram": f"WITH {_CLIM} SELECT year, month, round(sum(den), 3) AS s, round(sum(den * a), 3) AS sa, round(sum(den * a * a), 3) AS saa, round(sum(num), 3) AS u, round(sum(num * a), 3) AS ua FROM cs GROUP BY year, month",
     "climate_weighted_moments": f"WITH {_CLIM}, m AS (SELECT count(*) AS n, avg(a) AS mean, stddev_samp(a) AS sd, sum(den * a) / sum(den) AS wm, sum(den * a * a) / sum(den) AS wa FROM cs) SELECT n, round(mean, 6) AS mean, round(sd, 6) AS sd, round(wm, 6) AS weighted_mean, round(sqrt(wa - wm * wm), 6) AS weighted_sd FROM m",
-    "effect_by_year_t": f"WITH {critical_sql()}, {_YEARLY}, {components_sql('c', 'o', ['year', 'block', 'month'])}, {two_way_sql('e', 'c', ['year'], 'block', 'month')}, {_TESTS}, rk AS (SELECT *, {ranked_sql('p_t')} FROM tp) SELECT year, {_TESTED}, round({q_sql('p_t')}, 6) AS q FROM rk",
-    "effect_pooled_signs": f"WITH {critical_sql()}, {_YEARLY}, {_BY}, {_TESTS}, {_signs('one').replace('FROM c', 'FROM (SELECT *, 1 AS one FROM c)')} SELECT {_TESTED}, {_SIGNS} FROM tp, sg",
+    "effect_by_year_t": f"WITH RECURSIVE {critical_sql()}, {_YEARLY}, {components_sql('c', 'o', ['year', 'block', 'month'])}, {two_way_sql('e', 'c', ['year'], 'block', 'month')}, {_TESTS}, rk AS (SELECT *, {ranked_sql('p_t')} FROM tp) SELECT year, {_TESTED}, round({q_sql('p_t')}, 6) AS q FROM rk",
+    "effect_pooled_signs": f"WITH RECURSIVE {critical_sql()}, {_YEARLY}, {_BY}, {_TESTS}, {_signs('one').replace('FROM c', 'FROM (SELECT *, 1 AS one FROM c)')} SELECT {_TESTED}, {_SIGNS} FROM tp, sg",
     "effect_month_signs": f"WITH {supplier_sql()}, {oof_sql('o', 'f', ['year', 'month'])}, {components_sql('c', 'o', ['month', 'year', 'block'])}, {_signs('month')} SELECT month, {_SIGNS} FROM sg",
     "climate_modifier_estimate": f"""WITH {_CMOD}, g AS (SELECT count(DISTINCT block) AS gb, count(DISTINCT year) AS gy FROM gr), x_u AS (SELECT block, year, month, sum(q1) AS q1, sum(q2) AS q2 FROM sc GROUP BY ALL), x_g AS (SELECT block, year, sum(q2 - sa / s * q1) / any_value(dd) AS i FROM x_u JOIN mo USING (month), de GROUP BY block, year),
  x_m AS (SELECT mo.month, sum((coalesce(q1, 0) / s - sa / s * i) ** 2) * count(*) / (count(*) - 1.0) AS v FROM mo CROSS JOIN x_g LEFT JOIN x_u USING (block, year, month) GROUP BY mo.month UNION ALL SELECT 99, sum(i * i) * count(*) / (count(*) - 1.0) FROM x_g),
@@ -486,5 +524,6 @@ ORACLE_SQL = {
     "wild_year_by_class": f"WITH {_CLASSES}, {_wild_year('class', 'k AS class, ')}",
     "wild_month": f"WITH {_WILD_MONTH}",
     "tuning_search": f"WITH {supplier_sql()}, {_TUNED} SELECT {_TUNED_COLS} FROM tuned",
+    "boosted_round": f"WITH {supplier_sql()}, {_BOOSTED}",
     "tuning_best": f"WITH {supplier_sql()}, {_TUNED} SELECT {_TUNED_COLS} FROM tuned ORDER BY rmse_mean, rmse_std, penalty LIMIT 1",
 }

@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from ..functions.distributions import t_quantile
-
 
 def _beta_series(a: str, b: str, x: str) -> str:
     """Regularised incomplete beta function by its series in x, for x not beyond (a + 1) / (a + b + 2)."""
@@ -35,8 +33,12 @@ def sign_p_sql(k: str, n: str) -> str:
 
 
 def critical_sql(upto: int = 80) -> str:
-    """CTE crit(df, c): upper 2.5 % points of Student's t (tests compare them with published values)."""
-    return "crit(df, c) AS (VALUES " + ", ".join(f"({d}, {float(t_quantile(0.975, d)):.12f})" for d in range(1, upto + 1)) + ")"
+    """CTEs of a WITH RECURSIVE up to crit(df, c): upper 2.5 % points of Student's t by bisection of the series."""
+    step = f"SELECT *, {t_p_sql('mid', 'df')} AS p FROM (SELECT *, (low + high) / 2 AS mid FROM bisected WHERE i < 56)"
+    return (
+        f"bisected(df, low, high, i) AS (SELECT df, 0.0::DOUBLE, 16.0::DOUBLE, 0 FROM range(1, {upto + 1}) AS s(df) UNION ALL "
+        f"SELECT df, CASE WHEN p > 0.05 THEN mid ELSE low END, CASE WHEN p > 0.05 THEN high ELSE mid END, i + 1 FROM ({step})), crit AS (SELECT df, (low + high) / 2 AS c FROM bisected WHERE i = 56)"
+    )
 
 
 def ranked_sql(p: str, group: str = "") -> str:

@@ -67,14 +67,14 @@ def test_boosted_strata_are_models_of_their_own(spark):
     """Relations that change sign between years: with 2000 a year alone, rows of another year must not matter."""
     rows = [(float(i % 7) * (1 if y == 2000 else -1) + (i % 3), float(i % 7), float(i % 7), y, i % 2, 0) for y in (2000, 2001, 2002, 2003) for i in range(84)]
     df = spark.createDataFrame(rows, "sif double, o3 double, t2m double, year int, fold int, tfold int")
-    design = experiments.Design(controls=("t2m",), folds=2, learner="gbt", learner_params=(("maxIter", 2), ("maxDepth", 1)))
+    design = experiments.Design(controls=("t2m",), folds=2, learner="gbt", learner_params=(("trees", 2), ("depth", 1)))
     fitted = lambda x: sorted((r.sif, r.t2m, r.fold, round(r.d, 9), round(r.r, 9)) for r in experiments.residuals(x, design, ["year"]).where("year = 2000").collect())
     got = fitted(df)
     assert len(got) == 84 and got == fitted(df.where("year = 2000"))
 
 
 def test_placebo_takes_the_learner(panel, monkeypatch):
-    design = replace(DESIGN, folds=2, learner="gbt", learner_params=(("maxIter", 1), ("maxDepth", 1)))
+    design = replace(DESIGN, folds=2, learner="gbt", learner_params=(("trees", 1), ("depth", 1)))
     rows, seen = experiments.prepare(panel.where("year < 1998"), design), []
     fit = experiments.crossfit.gbt_residuals
     monkeypatch.setattr(experiments.crossfit, "gbt_residuals", lambda *a, **k: seen.append(1) or fit(*a, **k))
@@ -99,8 +99,8 @@ def test_nested_search_keeps_the_outer_fold_out(spark):
     assert inner(got) == inner(spoilt)
     at = lambda t: t["outer"].where("outer = 0 and stage = 'outcome'").first().rmse
     assert at(spoilt) > 2 * at(got)
-    trees = search(df.where("fold < 3 and tfold < 3"), lambda seed: [{**c, "maxIter": 1, "maxDepth": 2} for c in tuning.candidates(1, seed)])
-    assert trees["final"].count() == 2 and "featureSubsetStrategy" in trees["final"].first().setting
+    trees = search(df.where("fold < 3 and tfold < 3"), lambda seed: [{**c, "trees": 1, "depth": 2} for c in tuning.candidates(1, seed)])
+    assert trees["final"].count() == 2 and "column_share" in trees["final"].first().setting
 
 
 def test_specification_deltas_need_equal_rows(spark):

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from terrapanel.functions import distributions as dist
 from terrapanel.functions.grid import Albers, Grid, block_id, grid_of, pixel_id
-from terrapanel.operators import bootstrap, climate, correlogram, crossfit, features, inference, kernel, multiplicity, quantiles, raster, trend, tuning
+from terrapanel.operators import boosted, bootstrap, climate, correlogram, crossfit, features, inference, kernel, multiplicity, quantiles, raster, trend, tuning
 from terrapanel.operators.components import components
 from terrapanel.operators.folds import Split, balanced_folds, chunk_folds, shuffled_folds
 from terrapanel.sources import layers
@@ -385,14 +385,14 @@ def test_sinks(spark, tmp_path):
 def test_boosted_residuals_cover_all_rows(spark, sf01, monkeypatch):
     from terrapanel.plans import effects, panels
 
-    monkeypatch.setattr(crossfit, "GBT", {"maxIter": 1, "maxDepth": 2}, raising=False)
+    monkeypatch.setattr(boosted, "SETTING", boosted.SETTING | {"trees": 1, "depth": 2})
     rows = panels.supplier_rows(spark, sf01).cache()
     want = {r["fold"]: r["count"] for r in rows.dropna(subset=["o3", "sif", "t2m", "ssrd"]).groupBy("fold").count().collect()}
     got = effects.gbt_residuals(spark, sf01).collect()
     assert {(r.fold, r.stage): r.n for r in got} == {(f, s): n for f, n in want.items() for s in ("exposure", "outcome")}
     assert len(want) == panels.FOLDS
     with pytest.raises(ValueError, match="no test cell"):
-        crossfit.gbt_residuals(rows, "o3", "sif", ["t2m"], Split("spatial", 2), maxIter=1, maxDepth=1)
+        crossfit.gbt_residuals(rows, "o3", "sif", ["t2m"], Split("spatial", 2), trees=1, depth=1)
 
 
 def test_registered_resampling_takes_production_counts(spark, monkeypatch):
