@@ -12,6 +12,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from ..sources.sinks import scratch
+
 DIGITS = (24, 20, 20)  # sign, exponent and 12 bits of the mantissa first
 _REST = (1 << 63) - 1
 
@@ -32,16 +34,24 @@ def with_value(df: DataFrame, bits: str, out: str) -> DataFrame:
     return df.withColumn(out, F.reflect(F.lit("java.lang.Double"), F.lit("longBitsToDouble"), turned(F.col(bits))).cast("double"))
 
 
+def _kept(df: DataFrame) -> DataFrame:
+    path = scratch(df.sparkSession, "ranks")
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def quantiles(df: DataFrame, keys: list[str], value: str, wanted: dict[str, float], between: bool = True) -> DataFrame:
     """keys and a column for each of ``wanted`` (name: q): quantiles, linear between neighbours, of the values that are not NULL.
 
-    Without ``between`` it is the lower neighbour, a value that occurs.  ``df`` is read four times; a caller with a costly one keeps it before.  NaN counts as the largest value.
+    Without ``between`` it is the lower neighbour, a value that occurs.  ``df`` is read four times at once (a caller with a
+    costly one keeps it before); between the reads only the sought ranks are kept.  NaN counts as the largest value, rows
+    with a NULL key are left out.
     """
     v = with_ordered_bits(df.where(F.col(value).isNotNull()).select(*keys, F.col(value).cast("double").alias("_v")), "_v", "_b").drop("_v")
-    sizes = v.groupBy(*keys).agg(F.count("*").alias("_n"))
     at = lambda q: F.lit(float(q)) * (F.col("_n") - 1)
     ranks = F.array_distinct(F.flatten(F.array(*(F.array(f(at(q)).cast("long")) for q in wanted.values() for f in (F.floor, F.ceil)))))
-    sought = sizes.select(*keys, F.explode(ranks).alias("_rank")).withColumns({"_found": F.lit(0).cast("long"), "_before": F.lit(0).cast("long")})
+    sizes = v.groupBy(*keys).agg(F.count("*").alias("_n")).where("_n > 0")
+    sought = _kept(sizes.select(*keys, "_n", F.explode(ranks).alias("_rank"), F.lit(0).cast("long").alias("_found"), F.lit(0).cast("long").alias("_before")))
     left = 64
     for digits in DIGITS:
         own = v.withColumns({"_found": F.shiftright("_b", left) if left < 64 else F.lit(0).cast("long"), "_digit": F.shiftright("_b", left - digits)})
@@ -51,11 +61,11 @@ def quantiles(df: DataFrame, keys: list[str], value: str, wanted: dict[str, floa
         counts = counts.withColumn("_upto", F.sum("_c").over(W.partitionBy(*keys, "_found").orderBy("_digit")))
         place = F.col("_rank") - F.col("_before")
         met = sought.join(counts, [*keys, "_found"]).where((place < F.col("_upto")) & (place >= F.col("_upto") - F.col("_c")))
-        sought = met.select(*keys, "_rank", F.col("_digit").alias("_found"), (F.col("_before") + F.col("_upto") - F.col("_c")).alias("_before"))
+        sought = met.select(*keys, "_n", "_rank", F.col("_digit").alias("_found"), (F.col("_before") + F.col("_upto") - F.col("_c")).alias("_before"))
+        sought = _kept(sought)  # two rows a key and quantile, read twice by the next round
         left -= digits
-    entries = F.map_from_entries(F.collect_list(F.struct("_rank", "_v"))).alias("_at")  # two ranks a quantile
-    found = with_value(sought, "_found", "_v").groupBy(*keys).agg(entries)
-    found = found.join(sizes, keys) if keys else found.crossJoin(sizes)  # a row each
+    entries = F.map_from_entries(F.collect_list(F.struct("_rank", "_v"))).alias("_at")
+    found = with_value(sought, "_found", "_v").groupBy(*keys).agg(F.first("_n").alias("_n"), entries)
 
     def one(q: float) -> Column:
         low, high = F.col("_at")[F.floor(at(q)).cast("long")], F.col("_at")[F.ceil(at(q)).cast("long")]

@@ -327,13 +327,13 @@ _BOOSTED = f"""
 rr AS MATERIALIZED (SELECT fold, {_ROUNDED} FROM f),
 sz AS (SELECT target, count(*) AS n, min(v) AS low, power(2.0, ceil(log2(max(v) - min(v)))) / power(2.0, least(36, 61 - ceil(log2(count(*) + 1)))) AS unit FROM (UNPIVOT rr ON {', '.join(_ROUND_TARGETS)} INTO NAME target VALUE v) GROUP BY target),
 yy AS MATERIALIZED (SELECT fold, target, {', '.join(_ROUND_FEATURES)}, CAST(floor((v - low) / unit + 0.5) AS BIGINT) AS v FROM (UNPIVOT rr ON {', '.join(_ROUND_TARGETS)} INTO NAME target VALUE v) JOIN sz USING (target)),
-ss AS (SELECT list_position({_ROUND_FEATURES}, feature) AS at, feature, list_sort(list(x)) AS s FROM (UNPIVOT rr ON {', '.join(_ROUND_FEATURES)} INTO NAME feature VALUE x) GROUP BY feature),
-ee AS (SELECT DISTINCT at, feature, s[CAST(floor(i / 64.0 * (len(s) - 1)) AS BIGINT) + 1] AS edge FROM ss, (SELECT unnest(range(1, 64)) AS i)),
+ss AS (SELECT list_position({_ROUND_FEATURES}, feature) AS pos, feature, list_sort(list(x)) AS s FROM (UNPIVOT rr ON {', '.join(_ROUND_FEATURES)} INTO NAME feature VALUE x) GROUP BY feature),
+ee AS (SELECT DISTINCT pos, feature, s[CAST(floor(i / 64.0 * (len(s) - 1)) AS BIGINT) + 1] AS edge FROM ss, (SELECT unnest(range(1, 64)) AS i)),
 tt AS MATERIALIZED (SELECT test, target, yy.* EXCLUDE (target), CAST(floor(sum(v) OVER (PARTITION BY test, target) / count(*) OVER (PARTITION BY test, target)) AS BIGINT) - v AS g FROM yy, (SELECT unnest(range({panels.FOLDS})) AS test) WHERE fold <> test),
 tot AS (SELECT test, target, sum(g) AS g, count(*) AS n, any_value(g + v) AS base FROM tt GROUP BY test, target),
-cc AS (SELECT test, target, at, ee.feature, edge, sum(g) AS gl, count(*) AS nl FROM (UNPIVOT tt ON {', '.join(_ROUND_FEATURES)} INTO NAME feature VALUE val) u JOIN ee ON u.feature = ee.feature AND val < edge GROUP BY ALL),
+cc AS (SELECT test, target, pos, ee.feature, edge, sum(g) AS gl, count(*) AS nl FROM (UNPIVOT tt ON {', '.join(_ROUND_FEATURES)} INTO NAME feature VALUE val) u JOIN ee ON u.feature = ee.feature AND val < edge GROUP BY ALL),
 gg AS (SELECT c.*, t.g, t.n, base, {_SCORE.format(g='gl', n='nl')} + {_SCORE.format(g='(t.g - gl)', n='(t.n - nl)')} - {_SCORE.format(g='t.g', n='t.n')} AS gain FROM cc c JOIN tot t USING (test, target) WHERE nl < t.n),
-best AS (SELECT * FROM gg WHERE gain > 0 QUALIFY row_number() OVER (PARTITION BY test, target ORDER BY gain DESC, at, edge) = 1)
+best AS (SELECT * FROM gg WHERE gain > 0 QUALIFY row_number() OVER (PARTITION BY test, target ORDER BY gain DESC, pos, edge) = 1)
 SELECT CAST(test AS INT) AS test, target, feature, round(edge, 6) AS below, round(low + (base + floor(0.1 * (-gl::DOUBLE) / (nl + 1.0) + 0.5)) * unit, 6) AS left_hat, round(low + (base + floor(0.1 * (-(b.g - gl)::DOUBLE) / (b.n - nl + 1.0) + 0.5)) * unit, 6) AS right_hat
 FROM best b JOIN sz USING (target)
 """
