@@ -35,7 +35,6 @@ import numpy as np
 import pyarrow as pa
 from pyspark import Broadcast
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from .bytetext import Words, slices, spread, utf8
@@ -203,9 +202,13 @@ def logistic(x: np.ndarray, y: np.ndarray) -> tuple[float, float]:
 
 
 def examples(docs: DataFrame, labels: DataFrame, usable, limit: int, postings: int, doc_id: str, text: str) -> DataFrame:
-    """doc_id, toxic, terms, counts of at most ``limit`` labelled documents, equal texts once, ``postings`` terms in all; in the shared folder."""
+    """doc_id, toxic, terms, counts of at most ``limit`` labelled documents, equal texts once, ``postings`` terms in all; in the shared folder.
+
+    In the order of their ids' hashes every text that still fits is taken.
+    """
     named = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("toxic").cast("double").alias("toxic")).where("doc_id is not null and toxic is not null")
     named = named.where(usable(F.col("doc_id"))).groupBy("doc_id").agg(F.avg("toxic").alias("toxic"))
+    named = named.join(text_rows(docs, doc_id, text).where("text is not null").select("doc_id"), "doc_id", "left_semi")  # labels of absent documents take no place
     chosen = F.broadcast(named.orderBy(F.xxhash64("doc_id"), "doc_id").limit(limit))  # at most ``limit`` pairs of numbers
     met = text_rows(docs, doc_id, text).where("text is not null").join(chosen, "doc_id")
 
@@ -224,8 +227,12 @@ def examples(docs: DataFrame, labels: DataFrame, usable, limit: int, postings: i
     found = met.select(name, "toxic", "text").mapInArrow(run, "name struct<doc_id:long,h:string>, toxic double, terms array<long>, counts array<int>")
     once = found.groupBy("name.h").agg(F.min("name.doc_id").alias("doc_id"), F.avg("toxic").alias("toxic"), F.first("terms").alias("terms"), F.first("counts").alias("counts"))
     once = saved(once.where(F.size("terms") > 0).select("doc_id", "h", (F.col("toxic") >= 0.5).cast("int").alias("toxic"), "terms", "counts"), "examples")
-    upto = F.sum(F.size("terms").cast("long")).over(W.orderBy(F.xxhash64("doc_id"), "doc_id", "h"))  # of at most ``limit`` rows of numbers
-    within = F.broadcast(once.select("doc_id", "h", upto.alias("upto")).where(F.col("upto") <= postings).select("doc_id", "h"))
+    left, fits = postings, []
+    for r in once.orderBy(F.xxhash64("doc_id"), "doc_id", "h").select("doc_id", "h", F.size("terms").alias("n")).collect():  # at most ``limit`` rows of numbers
+        if r["n"] <= left:  # a text over the rest of the bound is passed over, later ones may fit
+            left -= r["n"]
+            fits.append((r["doc_id"], r["h"]))
+    within = F.broadcast(docs.sparkSession.createDataFrame(fits, "doc_id long, h string"))
     return once.join(within, ["doc_id", "h"], "left_semi").orderBy("doc_id", "h")
 
 

@@ -531,3 +531,19 @@ def test_pipeline_cases(spark, edge, sf001):
             assert name == "token_store" or out.columns == docs.columns
             n = out.count()
             assert (n == 0) == (docs.count() == 0)
+
+
+def test_an_overlong_example_is_passed_over(spark):
+    texts = [(i, f"word{i} common other{i % 7}") for i in range(40)] + [(1000, " ".join(f"x{k}" for k in range(500)))]
+    docs = spark.createDataFrame(texts, "doc_id long, text string")
+    labels = spark.createDataFrame([(i, i % 2) for i, _ in texts] + [(5000 + i, 1) for i in range(200)], "doc_id long, toxic int")
+    got = toxicity.examples(docs, labels, lambda c: F.lit(True), 41, 300, "doc_id", "text").collect()
+    assert {r.doc_id for r in got} == set(range(40))  # neither the long text nor labels without a document take their place
+
+
+def test_repeated_rows_meet_once(spark):
+    rng = random.Random(2)
+    words = [f"w{rng.randint(0, 10**6)}" for _ in range(60)]
+    rows = [(1, " ".join(words))] * 3000 + [(2, " ".join([*words[:-1], "other"]))]
+    got = jaccard_join.near_links(spark.createDataFrame(rows, "doc_id long, text string").repartition(6)).collect()
+    assert sorted((r.doc_id, r.class_id, r.n_links) for r in got) == [(1, 1, 1), (2, 1, 1)]
