@@ -213,6 +213,7 @@ def _links(docs: DataFrame, n: int, threshold: float, recall: float, doc_id: str
     reps = saved(reps.withColumn("node", F.struct(F.col("copy_id").alias("id"), "k1", "k2")), "copy-classes")
     members = _groups(reps)
     texts = keyed(text_rows(docs, doc_id, text).where("doc_id is not null"), n, "text").select(F.struct(F.col("doc_id").alias("id"), F.col("__k1").alias("k1"), F.col("__k2").alias("k2")).alias("node"), "text")
+    texts = texts.groupBy("node").agg(F.first("text").alias("text"))  # repeated rows become one where they are read
     # each pair of tiles of a group is a task's group
     met = texts.join(members, "node").withColumn("at", F.explode("at"))
     met = met.select("node.*", "text", "bands", "kept", F.col("at.gid").alias("gid"), F.col("at.tile").alias("tile"), F.explode(F.sequence(F.lit(0), F.col("at.tiles") - 1)).alias("other"))
@@ -221,7 +222,7 @@ def _links(docs: DataFrame, n: int, threshold: float, recall: float, doc_id: str
     def group(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
         np.seterr(over="ignore")
         gid, p, q = key
-        rows = rows.drop_duplicates(["id", "k1", "k2"]).sort_values(["id", "k1", "k2"], ignore_index=True)  # so a root is the least node
+        rows = rows.sort_values(["id", "k1", "k2"], ignore_index=True)  # so a root is the least node
         first, size = (rows["tile"] == p).to_numpy(), len(rows)
         sets, bands = [text_set(t, n) for t in rows["text"]], np.stack(rows["bands"].to_numpy())
         kept = np.stack(rows["kept"].to_numpy())
