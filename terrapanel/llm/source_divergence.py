@@ -35,7 +35,7 @@ from .bytetext import edges, exact_ids, slices, spread, utf8
 from .tables import bounded_batches, saved, table
 
 MIN_DOCS, SCALE, PRIOR, TOP = 30, 1_000_000_000, 5, 50
-SLICE, HELD_ROWS, BLOCK_ROWS = 4 << 20, 200_000, 400_000
+SLICE, HELD_ROWS, BLOCK_ROWS = 4 << 20, 200_000, 50_000
 COUNTS = "lang string, source string, term string, n long, docs long"
 PARTS = "lang string, source string, part string, item string, value long"
 
