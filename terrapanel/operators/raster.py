@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions.grid import Albers, Grid, cell_index, inside
@@ -37,50 +38,49 @@ def mode_resample(df: DataFrame, factor: int, value: str = "value", keys: list[s
     return counts.groupBy(*keys, "ix", "iy").agg(F.max_by(value, F.struct("count", (-F.col(value)).alias("v"))).alias(value))
 
 
-def _crosses(x: Column, y: Column) -> Column:
-    """Ring edges that a ray from (x, y) to the right meets."""
-    return ((F.col("y1") > y) != (F.col("y2") > y)) & (x < (F.col("x2") - F.col("x1")) * (y - F.col("y1")) / F.when(F.col("y2") != F.col("y1"), F.col("y2") - F.col("y1")) + F.col("x1"))
-
-
 def edges_of(ring: DataFrame) -> DataFrame:
     """Edges (x1, y1, x2, y2) from vertices (ring_id, seq, x, y)."""
-    from pyspark.sql import Window as W
-
     w = W.partitionBy("ring_id").orderBy("seq")
     first = W.partitionBy("ring_id").orderBy("seq").rowsBetween(W.unboundedPreceding, W.unboundedFollowing)
     return ring.select("ring_id", F.col("x").alias("x1"), F.col("y").alias("y1"), F.coalesce(F.lead("x").over(w), F.first("x").over(first)).alias("x2"), F.coalesce(F.lead("y").over(w), F.first("y").over(first)).alias("y2"))
 
 
-def clipped(cells: DataFrame, ring: DataFrame, dx: float, dy: float, max_edges: int = 100_000) -> DataFrame:
-    """Cells whose rectangle the polygon touches: the centre is inside, or an edge meets the rectangle.
+def scanlines(ring: DataFrame, grid: Grid) -> DataFrame:
+    """Runs (iy, first, last) of the grid's cells that the polygon touches: runs inside by centre lines, runs along edges.
 
-    Cells meet edges by the row and column they span: an edge is listed under every row of cells it passes, as
-    are the rays of the cells, so both tests are equi-joins on iy.  Boundaries are small; their count is checked.
+    ``grid`` has the centre of its first cell; even-odd rule over all rings, so holes are rings like others.  Every edge is
+    listed under the rows it passes, and a row's crossings are paired in their order: the work grows with the rows that edges
+    span, no cell is looked at and nothing is broadcast.  Runs of a row may overlap.
     """
     edges = edges_of(ring)
-    if edges.count() > max_edges:
-        raise ValueError(f"a boundary of more than {max_edges} edges")
-    place = cells.select("ix", "iy", "x", "y").distinct()
-    span = cells.agg(F.min("iy").alias("iy0"), F.min(F.col("y") - F.col("iy") * dy).alias("y0"), F.max("iy").alias("iy1")).first()
-    if span["iy0"] is None:
-        return cells
-    row = lambda v: F.floor((v - span["y0"]) / dy + 0.5)
-    low, high = F.greatest(row(F.least("y1", "y2")) - 1, F.lit(span["iy0"])), F.least(row(F.greatest("y1", "y2")) + 1, F.lit(span["iy1"]))
-    listed = F.broadcast(edges.where(low <= high).withColumn("iy", F.explode(F.sequence(low, high))))
-    met = place.join(listed, "iy")
-    left, right, bottom, top = F.col("x") - dx / 2, F.col("x") + dx / 2, F.col("y") - dy / 2, F.col("y") + dy / 2
-    touched = met.groupBy("ix", "iy").agg((F.count_if(_crosses(F.col("x"), F.col("y"))) % 2 == 1).alias("centre"), F.bool_or(_meets(left, right, bottom, top)).alias("edge"))
-    kept = touched.where("centre or edge").select("ix", "iy")
-    return cells.join(kept, ["ix", "iy"], "left_semi")
-
-
-def _meets(left: Column, right: Column, bottom: Column, top: Column) -> Column:
-    """Whether a segment and a rectangle share a point: boxes overlap and corners are not all on one side."""
+    row = lambda y, shift: (y - grid.y0) / grid.dy + shift
+    cell = lambda x, shift: (x - grid.x0) / grid.dx + shift
     x1, y1, x2, y2 = map(F.col, ("x1", "y1", "x2", "y2"))
-    box = (F.least(x1, x2) <= right) & (F.greatest(x1, x2) >= left) & (F.least(y1, y2) <= top) & (F.greatest(y1, y2) >= bottom)
-    side = lambda x, y: (x2 - x1) * (y - y1) - (y2 - y1) * (x - x1)
-    corners = F.array(side(left, bottom), side(left, top), side(right, bottom), side(right, top))
-    return box & (F.array_min(corners) <= 0) & (F.array_max(corners) >= 0)
+    low_y, high_y, low_x, high_x = F.least(y1, y2), F.greatest(y1, y2), F.least(x1, x2), F.greatest(x1, x2)
+    listed = edges.withColumns({"_low": F.greatest(F.lit(0), F.ceil(row(low_y, -0.5))), "_high": F.least(F.lit(grid.ny - 1), F.floor(row(high_y, 0.5)))}).where("_low <= _high").withColumn("iy", F.explode(F.sequence("_low", "_high")))
+    centre = F.lit(grid.y0) + F.col("iy") * grid.dy
+    # what of an edge lies in its row
+    at = lambda y: x1 + (y - y1) * (x2 - x1) / F.when(y1 != y2, y2 - y1)
+    ends = [F.coalesce(at(F.greatest(low_y, centre - grid.dy / 2)), low_x), F.coalesce(at(F.least(high_y, centre + grid.dy / 2)), high_x)]
+    along = listed.select("iy", F.ceil(cell(F.greatest(low_x, F.least(*ends)), -0.5)).alias("first"), F.floor(cell(F.least(high_x, F.greatest(*ends)), 0.5)).alias("last"))
+    # crossings of the row's centre line, in pairs
+    crossed = listed.where((y1 > centre) != (y2 > centre)).select("iy", ((x2 - x1) * (centre - y1) / (y2 - y1) + x1).alias("c"))
+    w = W.partitionBy("iy").orderBy("c")
+    pairs = crossed.withColumns({"r": F.row_number().over(w), "d": F.lead("c").over(w)}).where("r % 2 = 1")
+    within = pairs.select("iy", F.ceil(cell(F.col("c"), 0.0)).alias("first"), (F.ceil(cell(F.col("d"), 0.0)) - 1).alias("last"))
+    runs = along.unionByName(within)
+    return runs.select("iy", F.greatest(F.lit(0), "first").alias("first"), F.least(F.lit(grid.nx - 1), "last").alias("last")).where("first <= last")
+
+
+def clipped(cells: DataFrame, ring: DataFrame, dx: float, dy: float) -> DataFrame:
+    """Cells whose rectangle the polygon touches: the centre is inside, or an edge meets the rectangle."""
+    s = cells.agg(*(f(c).alias(f"{f.__name__}_{c}") for f in (F.min, F.max) for c in ("ix", "iy")), F.min(F.col("x") - F.col("ix") * dx).alias("x0"), F.min(F.col("y") - F.col("iy") * dy).alias("y0")).first()
+    if s["min_ix"] is None:
+        return cells
+    ix, iy = s["min_ix"], s["min_iy"]
+    runs = scanlines(ring, Grid(dx, dy, s["x0"] + ix * dx, s["y0"] + iy * dy, s["max_ix"] - ix + 1, s["max_iy"] - iy + 1))
+    touched = runs.select((F.col("iy") + iy).alias("iy"), F.explode(F.sequence(F.col("first") + ix, F.col("last") + ix)).alias("ix")).distinct()
+    return cells.join(touched, ["ix", "iy"], "left_semi")
 
 
 def match_layers(base: DataFrame, layers: dict[str, tuple[DataFrame, list[str]]], complete: bool = True) -> DataFrame:

@@ -9,7 +9,11 @@ from ..functions.grid import Albers, Grid, axis_info, block_id, block_key, pixel
 from ..operators import correlogram, crossfit, diagnostics, features, kernel, multiplicity, raster, trend
 from ..operators.components import components
 from ..operators.folds import Split, balanced_folds, chunk_folds, dense_folds, shuffled_folds
+from ..sources import netcdf, tiff
+from ..sources.files import put
+from ..sources.layers import read_shapes, shapefile
 from ..sources.panel import complete_cases, duplicate_keys, month_number
+from ..sources.sinks import scratch
 from . import panels
 from .panels import STEP, components_sql, grid_panel, grid_rows, grid_sql, oof_sql, rounded, supplier_panel, supplier_rows, supplier_sql
 from .tails import normal_p_sql, q_sql, ranked_sql
@@ -273,7 +277,45 @@ def polygon_clip(spark: SparkSession, sf_dir: str) -> DataFrame:
     return raster.clipped(cells, ring, STEP, STEP).select("ix", "iy")
 
 
+def shapefile_clip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same boundary written as a shapefile and read again."""
+    folder = scratch(spark, "shapes")
+    put(f"{folder}/ring.shp", shapefile([[[(x, y) for _, x, y in [*RING, RING[0]]]]]))
+    cells = grid_panel(spark, sf_dir).select("ix", "iy", "x", "y").distinct()
+    return raster.clipped(cells, read_shapes(spark, folder), STEP, STEP).select("ix", "iy")
+
+
+def _layers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Two variables of the grid panel as layers, cells counted from 0."""
+    p = grid_panel(spark, sf_dir)
+    value = F.explode(F.create_map(F.lit("sif"), F.col("sif"), F.lit("o3"), F.col("o3"))).alias("variable", "value")
+    return p.select("year", "month", F.make_timestamp(F.col("year"), F.col("month"), F.lit(1), F.lit(0), F.lit(0), F.lit(0.0)).alias("time"), "ix", (F.col("iy") - 1).alias("iy"), value)
+
+
+_LAYER_GRID = Grid(STEP, STEP, 0.0, STEP, 25, 50)
+
+
+def netcdf_layers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Layers written as NetCDF, a file a year, and read as slices from the third year on."""
+    folder = scratch(spark, "netcdf")
+    netcdf.write_netcdf(_layers(spark, sf_dir).withColumn("file", F.concat(F.lit("layers_"), "year")), folder, _LAYER_GRID)
+    rows = netcdf.read_netcdf(spark, folder, since="1994-01-01")
+    return rounded(rows.select("file_name", F.expr(netcdf.layer_name()).alias("layer"), "ix", "iy", "x", "y", "value"))
+
+
+def tiff_layers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A class layer and a layer of floating numbers written as tiled rasters in sheets of 16 cells, and read again."""
+    folder = scratch(spark, "tiff")
+    p = grid_panel(spark, sf_dir).withColumn("iy", F.col("iy") - 1)
+    tiff.write_tiff(p.groupBy("ix", "iy").agg(F.max("n_rows").alias("value")).withColumn("file", F.lit("code")), folder, _LAYER_GRID, kind="uint16", nodata=65535, epsg=4479, sheet=16)
+    tiff.write_tiff(p.groupBy("ix", "iy").agg((F.sum("n_rows") / 8).alias("value")).withColumn("file", F.lit("level")), folder, _LAYER_GRID, sheet=16)
+    spark.dataSource.register(tiff.TiffSource)
+    rows = spark.read.format("geotiff").option("tiles", 1).load(folder)
+    return rows.select(F.element_at(F.split("file_name", "_"), 1).alias("layer"), "crs", F.rint(F.col("x") / STEP).cast("long").alias("ix"), F.rint(F.col("y") / STEP).cast("long").alias("iy"), "x", "y", "value")
+
+
 QUERIES = {f.__name__: f for f in (
+    shapefile_clip, netcdf_layers, tiff_layers,
     panel_build, panel_key_check, null_normalise_complete_case, month_parse, grid_info, block_ids_by_factor, class_group_map, class_one_hot, subclass_one_hot, year_month_sample_summary, month_names, class_sample_summary, cell_eligibility,
     folds_time_ntile, folds_lexi_mod, folds_balanced, folds_shuffled, split_2d_coverage, split_or_sizes, adjust_bh, adjust_by, adjust_bh_by_group, adjust_holm, kernel_smooth, kernel_effect_map, kernel_support_mask,
     distance_correlogram, distance_summary, distance_sampled, sen_slope_by_pixel, mann_kendall_by_pixel, modified_mk_by_pixel, trend_fdr, trend_fdr_summary, spatial_stats, zonal_profile, meridional_profile, albers_round_trip,
@@ -376,6 +418,9 @@ ORACLE_SQL = {
     "nearest_match": f"WITH t AS (SELECT DISTINCT l_suppkey AS pixel, CAST(round_even(((l_suppkey % 5) * 5000.0 * 1.7 + 2500) / 5000, 0) AS BIGINT) AS ix, CAST(round_even((floor(l_suppkey / 5) * 5000.0 * 0.9 + 2500) / 5000, 0) AS BIGINT) AS iy FROM lineitem), {grid_sql()}, s AS (SELECT ix, iy, CAST(sum(n_rows) AS BIGINT) AS value FROM p GROUP BY ix, iy) SELECT pixel, t.ix, t.iy, value FROM t LEFT JOIN s USING (ix, iy) WHERE t.ix BETWEEN 0 AND 24 AND t.iy BETWEEN 0 AND 50",
     "layer_match_join": f"WITH {grid_sql()}, y AS (SELECT ix, iy, year, max(n_rows) AS code FROM p GROUP BY ix, iy, year), h AS (SELECT ix, iy, min(t2m) AS height FROM p WHERE iy % 3 <> 0 GROUP BY ix, iy) SELECT ix, iy, year, month, round(sif, 6) AS base, round(o3, 6) AS o3, code, round(height, 6) AS height FROM p JOIN y USING (ix, iy, year) JOIN h USING (ix, iy) WHERE month <= 9",
     "layer_merge": f"WITH {grid_sql()} SELECT ix, iy, CAST(sum(n_rows) AS DOUBLE) + CASE WHEN ix < 10 THEN 0 ELSE 1000 END AS value FROM p GROUP BY ix, iy",
+    "netcdf_layers": f"WITH {grid_sql()}, v AS (UNPIVOT (SELECT ix, iy, x, y, year, month, sif, o3 FROM p) ON sif, o3 INTO NAME variable VALUE value) SELECT 'layers_' || year || '.nc' AS file_name, variable || year || '-' || lpad(month::VARCHAR, 2, '0') AS layer, CAST(ix AS BIGINT) AS ix, CAST(iy - 1 AS BIGINT) AS iy, x, y, round(value, 6) AS value FROM v WHERE year >= 1994",
+    "tiff_layers": f"WITH {grid_sql()} SELECT 'code' AS layer, 'EPSG:4479' AS crs, CAST(ix AS BIGINT) AS ix, CAST(iy AS BIGINT) AS iy, x, y, max(n_rows)::DOUBLE AS value FROM p GROUP BY ALL UNION ALL SELECT 'level', 'EPSG:4326', CAST(ix AS BIGINT), CAST(iy AS BIGINT), x, y, sum(n_rows) / 8.0 FROM p GROUP BY ALL",
     "polygon_clip": f"""WITH {grid_sql()}, cells AS (SELECT DISTINCT ix, iy, x, y FROM p), e(x1, y1, x2, y2) AS (VALUES {_EDGES}),
  t AS (SELECT ix, iy, count(*) FILTER (WHERE (y1 > y) <> (y2 > y) AND x < (x2 - x1) * (y - y1) / nullif(y2 - y1, 0) + x1) % 2 = 1 AS centre, bool_or(least(x1, x2) <= x + 2500 AND greatest(x1, x2) >= x - 2500 AND least(y1, y2) <= y + 2500 AND greatest(y1, y2) >= y - 2500 AND least({', '.join(_CORNERS)}) <= 0 AND greatest({', '.join(_CORNERS)}) >= 0) AS edge FROM cells, e GROUP BY ix, iy) SELECT ix, iy FROM t WHERE centre OR edge""",
 }
+ORACLE_SQL["shapefile_clip"] = ORACLE_SQL["polygon_clip"]
