@@ -409,11 +409,14 @@ def coded(rows: DataFrame, strata: list[str]) -> tuple[DataFrame, int]:
     return rows.join(F.broadcast(named), strata), len(found)
 
 
-def groups(n_strata: int, plan: list[Model], n_features: int, together: int = 1) -> Iterator[tuple[range, list[int]]]:
-    """Codes of strata and entries of the plan (``together`` neighbours stay so) that may grow at once within the bounds."""
+def groups(n_strata: int, plan: list[Model], n_features: int, together: int = 1, apart: bool = False) -> Iterator[tuple[range, list[int]]]:
+    """Codes of strata and entries of the plan that may grow at once within the bounds.
+
+    ``together`` neighbours of the plan stay together; with ``apart`` no others join them.
+    """
     depth, trees = int(max(m["depth"] for m in plan)), int(max(m["trees"] for m in plan))
     most = max(1, min(MAX_NODES // (trees << (depth + 1)), MAX_CELLS // (n_features * BINS << (depth - 1))))
-    width = max(together, min(len(plan), MAX_PLAN, most) // together * together)
+    width = together if apart else max(together, min(len(plan), MAX_PLAN, most) // together * together)
     for p in range(0, len(plan), width):
         entries = list(range(p, min(len(plan), p + width)))
         step = max(1, most // len(entries))
@@ -421,11 +424,23 @@ def groups(n_strata: int, plan: list[Model], n_features: int, together: int = 1)
             yield range(s, min(n_strata, s + step)), entries
 
 
+class Grower:
+    """Grows groups of a plan; cuts and units are found once, when the first group needs them."""
+
+    def __init__(self, rows: DataFrame, features: list[str], targets: list[str], plan: list[Model], seed: int = 42):
+        self.rows, self.features, self.targets, self.plan, self.seed, self.scales = rows, features, targets, plan, seed, None
+
+    def grow(self, codes: range, entries: list[int]) -> Group:
+        """The group, which counts its codes from 0; ``rows`` as Group takes them."""
+        self.scales = self.scales or (edges_of(self.rows, self.features), units_of(self.rows, self.targets))
+        own = self.rows.where(F.col("_code").between(codes.start, codes.stop - 1)).withColumn("_code", F.col("_code") - codes.start)
+        group = Group(own, self.features, self.targets, [self.plan[e] for e in entries], len(codes), *self.scales, self.seed)
+        group.grow()
+        return group
+
+
 def grown(rows: DataFrame, features: list[str], targets: list[str], plan: list[Model], n_strata: int = 1, seed: int = 42, together: int = 1) -> Iterator[tuple[range, list[int], Group]]:
-    """Grown groups with their codes (the group counts them from 0) and entries; ``rows`` as Group takes them."""
-    cuts, units = edges_of(rows, features), units_of(rows, targets)
+    """All grown groups with their codes and entries."""
+    grower = Grower(rows, features, targets, plan, seed)
     for codes, entries in groups(n_strata, plan, len(features), together):
-        own = rows.where(F.col("_code").between(codes.start, codes.stop - 1)).withColumn("_code", F.col("_code") - codes.start)
-        group = Group(own, features, targets, [plan[e] for e in entries], len(codes), cuts, units, seed)
-        group.grow()
-        yield codes, entries, group
+        yield codes, entries, grower.grow(codes, entries)

@@ -8,7 +8,7 @@ NumPy before the shuffle.  Boosted trees of all strata, targets and test cells g
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
@@ -20,6 +20,7 @@ from . import boosted
 from .folds import Split
 
 WIDE = 10
+KeepPart = Callable[[Callable[[], DataFrame], str], DataFrame]
 
 
 def _columns(controls: list[str], targets: list[str]) -> list[str]:
@@ -124,10 +125,11 @@ def oof_residuals(df: DataFrame, exposure: str, outcome: str, controls: list[str
     return predicted(used, beta, targets, controls, split, strata).withColumns({k: F.col(c) - F.col(f"{c}_hat") for k, c in residual.items()})
 
 
-def gbt_residuals(df: DataFrame, exposure: str, outcome: str, controls: list[str], split: Split | None = None, seed: int = 42, strata: list[str] | None = None, more: dict[str, str] | None = None, **params) -> DataFrame:
+def gbt_residuals(df: DataFrame, exposure: str, outcome: str, controls: list[str], split: Split | None = None, seed: int = 42, strata: list[str] | None = None, more: dict[str, str] | None = None, keep: KeepPart | None = None, **params) -> DataFrame:
     """As oof_residuals, with gradient-boosted trees: a model a stratum, target and test cell, all grown together.
 
-    ``params`` replace those of ``boosted.SETTING``.  Every complete row must lie in a test cell of ``split``; cells without
+    ``keep`` is given a function that makes the rows of a part, and the part's name: a fold's models of some strata then are a
+    part of their own, and one that is kept is not fitted again.  ``params`` replace those of ``boosted.SETTING``.  Every complete row must lie in a test cell of ``split``; cells without
     training rows are left out.  Rows are written once to the shared folder.
     """
     split, strata, spark = split or Split(), strata or [], df.sparkSession
@@ -152,13 +154,18 @@ def gbt_residuals(df: DataFrame, exposure: str, outcome: str, controls: list[str
     masks = [np.array([trains((f, u), s, t) for f in range(split.k) for u in range(times)]) for s, t in tests]
     plan = [boosted.Model(i, mask, params) for mask in masks for i in range(len(targets))]
     shown = split.test_rows(rows).withColumn("_at", F.col("test") * (times if split.kind == "both" else 1) + (F.col("test_time") if split.kind == "both" else F.lit(0)))
-    out = None
-    for codes, entries, group in boosted.grown(rows, controls, targets, plan, n_strata, seed, len(targets)):
-        first = entries[0] // len(targets)
+    grower, out = boosted.Grower(rows, controls, targets, plan, seed), None
+
+    def part(codes: range, entries: list[int]) -> DataFrame:
+        group, first = grower.grow(codes, entries), entries[0] // len(targets)
         own = shown.where(F.col("_code").between(codes.start, codes.stop - 1) & F.col("_at").between(first, entries[-1] // len(targets)))
         own = own.withColumns({"_code": F.col("_code") - codes.start, "_at": (F.col("_at") - first).cast("int")})
         place = np.arange(len(entries) // len(targets)) * len(targets)
-        one = group.predict(own, {f"{t}_hat": place + i for i, t in enumerate(targets)}, "_at").drop("_code", "_cell", "_at")
+        return group.predict(own, {f"{t}_hat": place + i for i, t in enumerate(targets)}, "_at").drop("_code", "_cell", "_at")
+
+    for codes, entries in boosted.groups(n_strata, plan, len(controls), len(targets), keep is not None):
+        make = lambda codes=codes, entries=entries: part(codes, entries)
+        one = make() if keep is None else keep(make, f"strata_{codes.start}_{codes.stop}_fold_{entries[0] // len(targets)}")
         out = one if out is None else out.unionByName(one)
     out = out.where(~F.isnan(f"{targets[0]}_hat"))
     return out.withColumns({k: F.col(c) - F.col(f"{c}_hat") for k, c in residual.items()})

@@ -19,10 +19,10 @@ from ..operators import bootstrap, climate, correlogram, crossfit, diagnostics,
 from ..operators.components import components
 from ..operators.folds import Split, assigned, balanced_folds, chunk_folds, dense_folds, shuffled_folds
 from ..operators.multiplicity import fdr
-from ..sources.sinks import checkpointed, read_metadata, write_metadata
+from ..sources.sinks import checkpointed, read_checkpoint, read_metadata, write_metadata
 
 Tables = dict[str, DataFrame]
-Keep = Callable[[DataFrame, str], DataFrame]
+Keep = Callable[[DataFrame | Callable[[], DataFrame], str], DataFrame]
 PENALTIES = [0.0, 0.01, 0.1, 1.0]
 POLICIES = {"balanced": balanced_folds, "shuffled": shuffled_folds, "sorted": lambda df, key, k, seed: dense_folds(df, key, k)}
 
@@ -67,13 +67,16 @@ def prepare(panel: DataFrame, design: Design, grid: Grid | None = None) -> DataF
     return assigned(rows, F.broadcast(chunk_folds(rows, "year", design.folds)), "year")
 
 
-def residuals(rows: DataFrame, design: Design, strata: list[str] | None = None, split: Split | None = None, controls: tuple[str, ...] | None = None, suffix: str = "", more: dict[str, str] | None = None) -> DataFrame:
-    """Out-of-fold residuals of the design's learner, a model a stratum; ``suffix`` picks transformed columns."""
+def residuals(rows: DataFrame, design: Design, strata: list[str] | None = None, split: Split | None = None, controls: tuple[str, ...] | None = None, suffix: str = "", more: dict[str, str] | None = None, keep: Keep | None = None, variant: str = "") -> DataFrame:
+    """Out-of-fold residuals of the design's learner, a model a stratum; ``suffix`` picks transformed columns.
+
+    Boosted trees are kept by parts under the name of the ``variant``: a broken run goes on with the first fold that lacks.
+    """
     names = [f"{c}{suffix}" for c in (controls or design.controls)]
     exposure, outcome = f"{design.exposure}{suffix}", f"{design.outcome}{suffix}"
     split = split or Split("spatial", design.folds, design.folds)
     if design.learner == "gbt":
-        return crossfit.gbt_residuals(rows, exposure, outcome, names, split, design.seed, strata, more, **dict(design.learner_params))
+        return crossfit.gbt_residuals(rows, exposure, outcome, names, split, design.seed, strata, more, None if keep in (None, as_is) else lambda make, part: keep(make, f"fits/{variant}/{part}"), **dict(design.learner_params))
     return crossfit.oof_residuals(rows, exposure, outcome, names, split, strata, more)
 
 
@@ -89,7 +92,7 @@ def full_period(rows: DataFrame, design: Design, keep: Keep = as_is) -> Tables:
 
 def primary(rows: DataFrame, design: Design, keep: Keep = as_is) -> Tables:
     """A model a year; annual effects (block x month), pooled effect (block x year), support and fit."""
-    out = keep(residuals(rows, design, ["year"]), "residuals")
+    out = keep(residuals(rows, design, ["year"], keep=keep, variant="primary"), "residuals")
     comp = keep(components(out, ["block", "year", "month"]), "components")
     stages = {"exposure": design.exposure, "outcome": design.outcome}
     return {
@@ -154,7 +157,7 @@ def refits(rows: DataFrame, design: Design, keep: Keep = as_is) -> Tables:
     parts = None
     for name, policy, kind in (("spatial_shuffled", "shuffled", "spatial"), ("both_shuffled", "shuffled", "both"), ("spatial_balanced", "balanced", "spatial")):
         own = assigned(rows.drop("fold"), F.broadcast(POLICIES[policy](rows, "block", design.folds, design.seed)), "block")
-        one = pooled(residuals(own, design, split=Split(kind, design.folds, design.folds)), small=False).withColumn("refit", F.lit(name))
+        one = pooled(residuals(own, design, split=Split(kind, design.folds, design.folds), keep=keep, variant=name), small=False).withColumn("refit", F.lit(name))
         parts = one if parts is None else parts.unionByName(one)
     return {"pooled": parts}
 
@@ -235,7 +238,7 @@ def specifications(rows: DataFrame, design: Design, keep: Keep = as_is) -> Table
         ("spatial_shuffled", shuffled, None, None, False), ("both_shuffled", shuffled, None, both, False), ("spatial_balanced", balanced, None, None, False),
         ("full_period", rows, None, both, False), ("primary", rows, ["year"], None, True),
     ):
-        out = residuals(own, design, strata, split)
+        out = residuals(own, design, strata, split, keep=keep, variant=name)
         parts.append(diagnostics.specification(out, pooled(out, small), name))
     columns = [design.outcome, design.exposure, *design.controls]
     within = features.within_pixel_month(rows, columns, least=design.least_years)
@@ -257,12 +260,13 @@ EXPERIMENTS: dict[str, Callable[[DataFrame, Design, Keep], Tables]] = {
 
 
 def fingerprint(panel: DataFrame) -> str:
-    """What names the panel's content: its files with size and time, or (without files) a sum over hashes of its rows."""
-    spark, files = panel.sparkSession, panel.inputFiles()
-    if files:
-        listed = spark.read.format("binaryFile").load(files).select(F.col("path").alias("p"), F.col("length").alias("l"), F.col("modificationTime").cast("string").alias("t"))
-        return listed.agg(F.sha2(F.array_join(F.array_sort(F.collect_list(F.concat_ws("|", "p", "l", "t"))), ","), 256)).first()[0]  # a row a file
-    return str(panel.agg(F.count("*"), F.sum(F.xxhash64(*panel.columns) % 1_000_003), F.bit_xor(F.xxhash64(*panel.columns))).first())
+    """What names the panel's rows, in whatever order and files they come: their number and sums over two hashes of each.
+
+    One pass over the panel; a filtered or derived panel has a name of its own, a rewritten one keeps it.
+    """
+    one, two = F.xxhash64(*sorted(panel.columns)), F.xxhash64(F.lit(1), *sorted(panel.columns))
+    found = panel.agg(F.count("*"), F.sum(one.cast("decimal(20,0)")), F.sum(two.cast("decimal(20,0)"))).first()
+    return "/".join([*sorted(f"{c}:{t}" for c, t in panel.dtypes), *map(str, found)])
 
 
 def run(panel: DataFrame, design: Design, out: str, names: list[str] | None = None) -> dict[str, Tables]:
@@ -272,11 +276,12 @@ def run(panel: DataFrame, design: Design, out: str, names: list[str] | None = No
     for name in names or list(EXPERIMENTS):
         config, made = {"experiment": name} | base, f"{out}/{name}/_whole"
         held = read_metadata(spark, made, config)
-        if held is not None:
-            done[name] = {t: spark.read.parquet(f"{out}/{name}/{t}/rows") for t in held["tables"]}
+        tables = {} if held is None else {t: read_checkpoint(spark, f"{out}/{name}/{t}", config | {"table": t}) for t in held["tables"]}
+        if tables and all(t is not None for t in tables.values()):
+            done[name] = tables
             continue
         rows = rows if rows is not None else prepare(panel, design)
-        keep = lambda df, part: checkpointed(df, f"{out}/{name}/_work/{part}", config | {"part": part})  # noqa: E731, B023
+        keep = lambda df, part: checkpointed(df, f"{out}/{name}/_work/{part}", config | {"part": part}, spark)  # noqa: E731, B023
         done[name] = {t: checkpointed(df, f"{out}/{name}/{t}", config | {"table": t}) for t, df in EXPERIMENTS[name](rows, design, keep).items()}
         write_metadata(spark, made, config, tables=list(done[name]))
     return done

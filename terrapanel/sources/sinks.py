@@ -5,6 +5,7 @@ from __future__ import annotations
 import hashlib
 import json
 import uuid
+from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -30,28 +31,51 @@ def signature(config: dict) -> str:
     return hashlib.sha256(json.dumps(config, sort_keys=True, default=str).encode()).hexdigest()
 
 
+def _store(spark: SparkSession, path: str):
+    """Hadoop's path, its file system, and the gateway."""
+    jvm = spark._jvm
+    at = jvm.org.apache.hadoop.fs.Path(path)
+    return at, at.getFileSystem(spark._jsc.hadoopConfiguration()), jvm
+
+
+def publish(spark: SparkSession, path: str, text: str) -> None:
+    """Put a small text file in place of what was there: readers find the old text or the new one, never a part."""
+    at, store, jvm = _store(spark, path)
+    part, _, _ = _store(spark, f"{path}.{uuid.uuid4().hex}")
+    out = store.create(part)
+    out.write(bytearray(text.encode()))
+    out.close()
+    overwrite = jvm.org.apache.hadoop.fs.Options.Rename.OVERWRITE
+    options = spark.sparkContext._gateway.new_array(jvm.org.apache.hadoop.fs.Options.Rename, 1)
+    options[0] = overwrite
+    jvm.org.apache.hadoop.fs.FileContext.getFileContext(store.getUri(), spark._jsc.hadoopConfiguration()).rename(part, at, options)
+
+
 def write_metadata(spark: SparkSession, path: str, config: dict, **more) -> str:
-    """The settings, their signature and further entries as one JSON text file; returns the signature."""
+    """The settings, their signature and further entries as ``path``/manifest.json; returns the signature."""
     name = signature(config)
-    spark.createDataFrame([(json.dumps(config | more | {"signature": name}, sort_keys=True, default=str),)], "value string").coalesce(1).write.mode("overwrite").text(path)
+    publish(spark, f"{path}/manifest.json", json.dumps(config | more | {"signature": name}, sort_keys=True, default=str))
     return name
 
 
+def manifest(spark: SparkSession, path: str) -> dict:
+    """What write_metadata wrote there last, or nothing."""
+    at, store, _ = _store(spark, f"{path}/manifest.json")
+    if not store.exists(at):
+        return {}
+    return json.loads("\n".join(r[0] for r in spark.read.text(f"{path}/manifest.json").collect()))  # a line or a few
+
+
 def read_metadata(spark: SparkSession, path: str, config: dict) -> dict | None:
     """What write_metadata wrote there under the same settings, or None."""
-    from pyspark.errors import AnalysisException
-
-    try:
-        made = spark.read.text(path).first()
-    except AnalysisException:
-        return None
-    held = json.loads(made[0]) if made is not None else {}
+    held = manifest(spark, path)
     return held if held.get("signature") == signature(config) else None
 
 
 def read_checkpoint(spark: SparkSession, path: str, config: dict) -> DataFrame | None:
     """The table of an earlier run with the same settings, or None."""
-    return None if read_metadata(spark, f"{path}/_settings", config) is None else spark.read.parquet(f"{path}/rows")
+    held = read_metadata(spark, path, config)
+    return None if held is None else spark.read.parquet(f"{path}/{held['rows']}")
 
 
 def write_report(spark: SparkSession, path: str, tables: dict[str, DataFrame], rows: int = 50) -> None:
@@ -64,14 +88,24 @@ def write_report(spark: SparkSession, path: str, tables: dict[str, DataFrame], r
     spark.createDataFrame([("\n".join(lines),)], "value string").coalesce(1).write.mode("overwrite").text(path)
 
 
-def checkpointed(df: DataFrame, path: str, config: dict) -> DataFrame:
-    """Rows read from ``path`` if it was written under the same settings; else written there first."""
-    found = read_checkpoint(df.sparkSession, path, config)
+def checkpointed(df: DataFrame | Callable[[], DataFrame], path: str, config: dict, spark: SparkSession | None = None) -> DataFrame:
+    """Rows of the generation in ``path`` that was made under the same settings; else they are made, as a new generation.
+
+    ``df`` may be a function that makes the rows, which is not called where they are there.  A generation is a folder of its
+    own that the manifest names once it is whole: a run that dies leaves the last one as it was, and readers of that one are
+    not disturbed.  The generation before the last goes when a new one is published.
+    """
+    spark = spark or df.sparkSession
+    found = read_checkpoint(spark, path, config)
     if found is not None:
         return found
-    write_table(df, f"{path}/rows")
-    write_metadata(df.sparkSession, f"{path}/_settings", config)  # last: marks the rows as whole
-    return df.sparkSession.read.parquet(f"{path}/rows")
+    before, own = manifest(spark, path), f"rows-{uuid.uuid4().hex}"
+    write_table(df if isinstance(df, DataFrame) else df(), f"{path}/{own}")
+    write_metadata(spark, path, config, rows=own, before=before.get("rows"))
+    if before.get("before"):
+        at, store, _ = _store(spark, f"{path}/{before['before']}")
+        store.delete(at, True)
+    return spark.read.parquet(f"{path}/{own}")
 
 
 def scratch(spark: SparkSession, name: str) -> str:

@@ -32,7 +32,7 @@ def test_run_is_resumed(spark, panel, tmp_path, monkeypatch):
     again = experiments.run(panel, DESIGN, str(tmp_path), ["primary"])["primary"]
     assert set(again) == set(first) and again["pooled"].first() == first["pooled"].first()
     monkeypatch.undo()
-    fewer = experiments.run(panel.where("x > 0"), DESIGN, str(tmp_path / "other"), ["primary"])["primary"]["pooled"].first()
+    fewer = experiments.run(panel.where("x > 0"), DESIGN, str(tmp_path), ["primary"])["primary"]["pooled"].first()
     assert fewer.n < first["pooled"].first().n
     changed = str(tmp_path / "changed")
     panel.where("x > 0").write.parquet(changed)
@@ -40,6 +40,42 @@ def test_run_is_resumed(spark, panel, tmp_path, monkeypatch):
     assert experiments.run(spark.read.parquet(changed), DESIGN, str(tmp_path), ["primary"])["primary"]["pooled"].first().n == fewer.n
 
 
+def test_broken_refits_go_on(spark, panel, tmp_path, monkeypatch):
+    """A run that dies in its third fold keeps the first two; what it makes in the end is what an unbroken run makes."""
+    from terrapanel.operators import boosted
+
+    design = replace(DESIGN, folds=3, learner="gbt", learner_params=(("trees", 2), ("depth", 2)))
+    own, grow, seen = panel.where("year < 1996"), boosted.Grower.grow, []
+
+    def dying(self, codes, entries):
+        seen.append(entries)
+        if len(seen) == 3:
+            raise RuntimeError("lost")
+        return grow(self, codes, entries)
+
+    monkeypatch.setattr(boosted.Grower, "grow", dying)
+    with pytest.raises(RuntimeError, match="lost"):
+        experiments.run(own, design, str(tmp_path / "a"), ["primary"])
+    got = experiments.run(own, design, str(tmp_path / "a"), ["primary"])["primary"]["pooled"].first()
+    assert seen == [[0, 1], [2, 3], [4, 5], [4, 5]]
+    want = experiments.run(own, design, str(tmp_path / "b"), ["primary"])["primary"]["pooled"].first()
+    assert abs(got.theta - want.theta) < 1e-12 and got.n == want.n
+
+
+def test_generations_are_switched_whole(spark, tmp_path):
+    from terrapanel.sources.sinks import checkpointed, manifest
+
+    path, df = str(tmp_path / "t"), spark.range(3)
+    first = checkpointed(df, path, {"a": 1})
+    with pytest.raises(ZeroDivisionError):
+        checkpointed(lambda: 1 // 0, path, {"a": 2}, spark)
+    assert checkpointed(lambda: pytest.fail("made again"), path, {"a": 1}, spark).count() == 3
+    second = checkpointed(spark.range(5), path, {"a": 2})
+    assert (first.count(), second.count()) == (3, 5)  # readers of the first are not disturbed
+    checkpointed(spark.range(7), path, {"a": 3})
+    assert len([p for p in (tmp_path / "t").iterdir() if p.name.startswith("rows-")]) == 2 and manifest(spark, path)["a"] == 3
+
+
 def test_fingerprint_without_files(spark):
     a, b = spark.range(5), spark.range(6)
     assert experiments.fingerprint(a) == experiments.fingerprint(spark.range(5)) != experiments.fingerprint(b)
