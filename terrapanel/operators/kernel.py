@@ -1,14 +1,16 @@
 """Gaussian kernel effect maps on a sparse grid.
 
-Smoothing is separable: values are spread along x and summed by cell, then along y.  Each spread is an explode of
-2 radius + 1 offsets followed by an aggregate with map-side sums, so the work grows with the cells, not with pairs of
-cells, and no band join appears.  Cells outside the grid are dropped, which is zero padding.
+Smoothing is separable and goes by tiles of the grid: a cell is sent to the tiles whose edges lie within its reach (about two
+and a half on average, whatever the bandwidth), and a tile with its halo is a dense matrix that two banded matrices smooth along both axes.  The
+shuffle thus holds cells, not cells times offsets.  Cells outside the grid do not exist, which is zero padding.
 """
 
 from __future__ import annotations
 
 import math
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -17,6 +19,7 @@ from ..functions.distributions import t_critical
 from ..functions.grid import Grid
 from .quantiles import quantile
 
+TILE = 128
 #: Fixed values of the support mask.
 SUPPORT = {"years": 10, "mean_years": 10.0, "pixels": 50.0, "den_q": 0.05, "se_q": 0.95, "least_weight": 1e-10}
 
@@ -30,18 +33,52 @@ def weights(bandwidth_km: float, spacing: float, truncate: float = 2.0) -> list[
     return [(u, v / total) for u, v in raw.items()]
 
 
-def spread(df: DataFrame, axis: str, table: list[tuple[int, float]], values: list[str], keys: list[str], size: int, power: int = 1) -> DataFrame:
-    """Values summed with weights along one axis."""
-    other = "iy" if axis == "ix" else "ix"
-    offsets = F.explode(F.array(*(F.struct(F.lit(u).alias("u"), F.lit(w**power).alias("w")) for u, w in table))).alias("k")
-    moved = df.select(*keys, other, axis, *values, offsets).withColumn(axis, F.col(axis) + F.col("k.u")).where(F.col(axis).between(0, size - 1))
-    return moved.groupBy(*keys, "ix", "iy").agg(*(F.sum(F.col(v) * F.col("k.w")).alias(v) for v in values))
+def band(table: list[tuple[int, float]], size: int, power: int = 1) -> np.ndarray:
+    """The matrix (size x size + 2 radius) that smooths a line with its halo."""
+    radius = table[-1][0]
+    out = np.zeros((size, size + 2 * radius))
+    for u, w in table:
+        out[np.arange(size), np.arange(size) + radius + u] = w**power
+    return out
 
 
-def smooth(df: DataFrame, values: list[str], keys: list[str], grid: Grid, bandwidth_km: float, truncate: float = 2.0, power: int = 1) -> DataFrame:
-    """keys, ix, iy and the smoothed values (``power`` 2: with squared weights) of every cell within reach."""
-    by_x = spread(df, "ix", weights(bandwidth_km, grid.dx, truncate), values, keys, grid.nx, power)
-    return spread(by_x, "iy", weights(bandwidth_km, grid.dy, truncate), values, keys, grid.ny, power)
+def smooth(df: DataFrame, values: list[str], keys: list[str], grid: Grid, bandwidth_km: float, truncate: float = 2.0, power: int = 1, squared: list[str] | None = None) -> DataFrame:
+    """keys, ix, iy and the smoothed values (``power`` 2: with squared weights) of every cell within reach.
+
+    The values named in ``squared`` are smoothed with squared weights as well, as <name>2.  NULL and NaN count as 0.  A task holds one tile at
+    a time: about (TILE + 2 radius) squared numbers a value.
+    """
+    x, y = weights(bandwidth_km, grid.dx, truncate), weights(bandwidth_km, grid.dy, truncate)
+    rx, ry, squared = x[-1][0], y[-1][0], squared or []
+    tx, ty = max(TILE, 4 * rx), max(TILE, 4 * ry)
+    reach = lambda c, r, t, n: F.sequence(F.greatest(F.lit(0), F.floor((F.col(c) - r) / t)), F.least(F.lit((n - 1) // t), F.floor((F.col(c) + r) / t)))
+    inside = df.where(F.col("ix").between(0, grid.nx - 1) & F.col("iy").between(0, grid.ny - 1))
+    cells = inside.select(*keys, "ix", "iy", *(F.col(v).cast("double").alias(v) for v in values), F.explode(reach("ix", rx, tx, grid.nx)).alias("_tx")).withColumn("_ty", F.explode(reach("iy", ry, ty, grid.ny)))
+    kinds, own = dict(cells.dtypes), [*keys, "_tx", "_ty"]
+    out_schema = ", ".join([*(f"{k} {kinds[k]}" for k in keys), f"ix {kinds['ix']}", f"iy {kinds['iy']}", *(f"{v} double" for v in values), *(f"{v}2 double" for v in squared)])
+
+    def tile(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
+        a, b = int(key[-2]) * tx, int(key[-1]) * ty
+        wide, high = min(tx, grid.nx - a), min(ty, grid.ny - b)
+        along, across = band(x, wide, power), band(y, high, power)
+        i, j = rows["ix"].to_numpy() - a + rx, rows["iy"].to_numpy() - b + ry
+        here = (i >= 0) & (i < wide + 2 * rx) & (j >= 0) & (j < high + 2 * ry)  # a last tile is narrower
+
+        def dense(column: np.ndarray) -> np.ndarray:
+            m = np.zeros((wide + 2 * rx, high + 2 * ry))
+            np.add.at(m, (i[here], j[here]), np.nan_to_num(column[here]))
+            return m
+
+        met = (along > 0).astype(float) @ dense(np.ones(len(rows))) @ (across > 0).astype(float).T
+        ix, iy = np.nonzero(met > 0.5)
+        out = {"ix": ix + a, "iy": iy + b}
+        for v in values:
+            out[v] = (along @ dense(rows[v].to_numpy(float)) @ across.T)[ix, iy]
+        for v in squared:
+            out[f"{v}2"] = (band(x, wide, 2) @ dense(rows[v].to_numpy(float)) @ band(y, high, 2).T)[ix, iy]
+        return pd.DataFrame({k: np.repeat(rows[k].iloc[:1].to_numpy(), len(ix)) for k in keys} | out)
+
+    return cells.groupBy(*own).applyInPandas(tile, out_schema)
 
 
 def effect_map(cells: DataFrame, grid: Grid, bandwidth_km: float, truncate: float = 2.0) -> DataFrame:
@@ -52,15 +89,14 @@ def effect_map(cells: DataFrame, grid: Grid, bandwidth_km: float, truncate: floa
     """
     by_cell = cells.groupBy("month", "ix", "iy").agg(F.sum("num").alias("num"), F.sum("den").alias("den"), F.sum("n").alias("rows"), F.count_distinct("year").cast("double").alias("years"))
     by_cell = by_cell.withColumn("one", F.lit(1.0)).withColumn("rows_d", F.col("rows").cast("double"))
-    local = smooth(by_cell.select("month", "ix", "iy", "num", "den", "one", F.col("years").alias("w_years"), F.col("rows_d").alias("w_rows")), ["num", "den", "one", "w_years", "w_rows"], ["month"], grid, bandwidth_km, truncate)
+    local = smooth(by_cell.select("month", "ix", "iy", "num", "den", "one", F.col("years").alias("w_years"), F.col("rows_d").alias("w_rows")), ["num", "den", "one", "w_years", "w_rows"], ["month"], grid, bandwidth_km, truncate, squared=["one"])
     local = local.where("den > 0").withColumn("theta", F.col("num") / F.col("den"))
-    squares = smooth(by_cell.select("month", "ix", "iy", "one"), ["one"], ["month"], grid, bandwidth_km, truncate, power=2).withColumnRenamed("one", "one2")
     yearly = cells.groupBy("year", "month", "ix", "iy").agg(F.sum("num").alias("num"), F.sum("den").alias("den")).withColumn("one", F.lit(1.0))
     yearly = smooth(yearly, ["num", "den", "one"], ["year", "month"], grid, bandwidth_km, truncate)
     score = yearly.join(local.select("month", "ix", "iy", "theta"), ["month", "ix", "iy"]).withColumn("s", F.col("num") - F.col("theta") * F.col("den"))
     meat = score.groupBy("month", "ix", "iy").agg(F.sum(F.col("s") * F.col("s")).alias("meat"), F.count_if(F.col("one") > SUPPORT["least_weight"]).alias("g"))
     place = ["month", "ix", "iy"]
-    out = by_cell.select(*place, F.col("rows").alias("target_rows"), F.col("years").cast("long").alias("target_years")).join(local, place).join(squares, place).join(meat, place)
+    out = by_cell.select(*place, F.col("rows").alias("target_rows"), F.col("years").cast("long").alias("target_years")).join(local, place).join(meat, place)
     var = F.when(F.col("g") > 1, F.col("g") / (F.col("g") - 1)) * F.col("meat") / (F.col("den") * F.col("den"))
     return out.select(
         *place, F.lit(float(bandwidth_km)).alias("bandwidth_km"), "target_rows", "target_years", "theta", F.sqrt(var).alias("se"), F.col("den").alias("local_den"), "g",
