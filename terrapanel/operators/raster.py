@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from ..functions.crs import converted, parsed
 from ..functions.grid import Albers, Grid, cell_index, inside
+from ..sources.sinks import scratch
 
 
 def masked(df: DataFrame, value: str = "value") -> DataFrame:
@@ -111,6 +115,34 @@ def located(layer: DataFrame, crs: str | None = None) -> DataFrame:
     return layer if "crs" in layer.columns else layer.withColumn("crs", F.lit(crs or WGS84))
 
 
+def warped(stack: DataFrame, source: Grid, source_crs: str | None, template: DataFrame, template_crs: str | None) -> DataFrame:
+    """The template's cells (ix, iy, x, y) with all columns of the stack at the source cell that each centre falls in.
+
+    Every target is mapped back to the source, so no target stays empty that has a source cell under it; the one shuffle is
+    an equi-join on that cell, for all layers of the stack (ix, iy and columns, a row a cell or a cell and time) at once.
+    """
+    ix, iy = cell_index(source, "_x", "_y")
+    places = converted(template, parsed(template_crs), parsed(source_crs), out=("_x", "_y")).withColumns({"_ix": ix, "_iy": iy}).where(inside(source, F.col("_ix"), F.col("_iy")))
+    layers = [c for c in stack.columns if c not in ("ix", "iy", "x", "y")]
+    met = places.join(stack.select(F.col("ix").alias("_ix"), F.col("iy").alias("_iy"), *layers), ["_ix", "_iy"])
+    return met.drop("_x", "_y", "_ix", "_iy")
+
+
+def bucketed_layers(layers: dict[str, tuple[DataFrame, list[str]]], buckets: int) -> dict[str, tuple[DataFrame, list[str]]]:
+    """Layers (with their keys, which hold ix and iy) kept as tables of equal buckets of cells: matching them needs no shuffle.
+
+    The tables lie in the session's shared folder.  Spark must be content with buckets of fewer columns than a join has keys, so
+    ``spark.sql.requireAllClusterKeysForCoPartition`` is switched off.
+    """
+    out = {}
+    for name, (layer, keys) in layers.items():
+        spark, named = layer.sparkSession, f"layer_{uuid.uuid4().hex}"
+        spark.conf.set("spark.sql.requireAllClusterKeysForCoPartition", "false")
+        layer.repartition(buckets, "ix", "iy").write.bucketBy(buckets, "ix", "iy").sortBy("ix", "iy").option("path", scratch(spark, name)).saveAsTable(named)
+        out[name] = (spark.table(named), keys)
+    return out
+
+
 def reprojected(layer: DataFrame, albers: Albers, name: str = "albers") -> DataFrame:
     """x and y of rows in longitude and latitude turned into the projection's metres; rows that are in it stay."""
     rows = located(layer)

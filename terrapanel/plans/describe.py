@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions.crs import parsed
 from ..functions.grid import Albers, Grid, axis_info, block_id, block_key, pixel_id, quarter_degree, tenth
 from ..operators import correlogram, crossfit, diagnostics, features, kernel, multiplicity, raster, trend
 from ..operators.components import components
@@ -12,7 +13,7 @@ from ..operators.folds import Split, balanced_folds, chunk_folds, dense_folds, s
 from ..sources import netcdf, tiff
 from ..sources.files import put
 from ..sources.layers import read_shapes, shapefile
-from ..sources.panel import complete_cases, duplicate_keys, month_number
+from ..sources.panel import complete_cases, duplicate_keys, extents, month_number
 from ..sources.sinks import scratch
 from . import panels
 from .panels import STEP, components_sql, grid_panel, grid_rows, grid_sql, oof_sql, rounded, supplier_panel, supplier_rows, supplier_sql
@@ -314,8 +315,37 @@ def tiff_layers(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select(F.element_at(F.split("file_name", "_"), 1).alias("layer"), "crs", F.rint(F.col("x") / STEP).cast("long").alias("ix"), F.rint(F.col("y") / STEP).cast("long").alias("iy"), "x", "y", "value")
 
 
+#: The warped stack: source cells in a conic, the template in a transverse Mercator zone.
+WARP_FROM, WARP_TO = "+proj=aea +lat_1=25 +lat_2=47 +lon_0=105 +ellps=WGS84", "EPSG:32648"
+_WARP_GRID, _WARP_X, _WARP_Y, _WARP_STEP = Grid(STEP, STEP, 0.0, 3_300_000.0, 25, 51), 495_000.0, 3_440_000.0, 6_000.0
+
+
+def warp_stack(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Yearly layers warped onto a template of 24 x 48 cells in another coordinate system."""
+    stack = grid_panel(spark, sf_dir).groupBy("ix", "iy", "year").agg(F.max("sif").alias("sif"), F.sum("n_rows").alias("n_rows"))
+    template = spark.range(24 * 48).select((F.col("id") % 24).alias("ix"), F.floor(F.col("id") / 24).alias("iy")).withColumns({"x": _WARP_X + F.col("ix") * _WARP_STEP, "y": _WARP_Y + F.col("iy") * _WARP_STEP})
+    return rounded(raster.warped(stack, _WARP_GRID, WARP_FROM, template, WARP_TO))
+
+
+def bucketed_match(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """layer_match_join over layers that are kept in buckets of cells."""
+    p = grid_panel(spark, sf_dir)
+    monthly = p.where("month <= 9").select("ix", "iy", "year", "month", F.col("o3").alias("value"))
+    yearly = p.groupBy("ix", "iy", "year").agg(F.max("n_rows").alias("value"))
+    static = p.where("iy % 3 <> 0").groupBy("ix", "iy").agg(F.min("t2m").alias("value"))
+    base = p.select("ix", "iy", "year", "month", F.col("sif").alias("base"))
+    kept = raster.bucketed_layers({"base": (base, []), "o3": (monthly, ["ix", "iy", "year", "month"]), "code": (yearly, ["ix", "iy", "year"]), "height": (static, ["ix", "iy"])}, 8)
+    return rounded(raster.match_layers(kept.pop("base")[0], kept).select("ix", "iy", "year", "month", "base", "o3", "code", "height"))
+
+
+def panel_extent(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rows, least and largest keys of the orders, from the files' footers."""
+    found = extents(spark, f"{sf_dir}/orders.parquet", ["o_orderkey", "o_custkey"])
+    return spark.createDataFrame([(c, *found[c], found["*"][0]) for c in ("o_orderkey", "o_custkey")], "name string, least long, most long, n long")
+
+
 QUERIES = {f.__name__: f for f in (
-    shapefile_clip, netcdf_layers, tiff_layers,
+    shapefile_clip, netcdf_layers, tiff_layers, warp_stack, bucketed_match, panel_extent,
     panel_build, panel_key_check, null_normalise_complete_case, month_parse, grid_info, block_ids_by_factor, class_group_map, class_one_hot, subclass_one_hot, year_month_sample_summary, month_names, class_sample_summary, cell_eligibility,
     folds_time_ntile, folds_lexi_mod, folds_balanced, folds_shuffled, split_2d_coverage, split_or_sizes, adjust_bh, adjust_by, adjust_bh_by_group, adjust_holm, kernel_smooth, kernel_effect_map, kernel_support_mask,
     distance_correlogram, distance_summary, distance_sampled, sen_slope_by_pixel, mann_kendall_by_pixel, modified_mk_by_pixel, trend_fdr, trend_fdr_summary, spatial_stats, zonal_profile, meridional_profile, albers_round_trip,
@@ -423,4 +453,19 @@ ORACLE_SQL = {
     "polygon_clip": f"""WITH {grid_sql()}, cells AS (SELECT DISTINCT ix, iy, x, y FROM p), e(x1, y1, x2, y2) AS (VALUES {_EDGES}),
  t AS (SELECT ix, iy, count(*) FILTER (WHERE (y1 > y) <> (y2 > y) AND x < (x2 - x1) * (y - y1) / nullif(y2 - y1, 0) + x1) % 2 = 1 AS centre, bool_or(least(x1, x2) <= x + 2500 AND greatest(x1, x2) >= x - 2500 AND least(y1, y2) <= y + 2500 AND greatest(y1, y2) >= y - 2500 AND least({', '.join(_CORNERS)}) <= 0 AND greatest({', '.join(_CORNERS)}) >= 0) AS edge FROM cells, e GROUP BY ix, iy) SELECT ix, iy FROM t WHERE centre OR edge""",
 }
+_TM, (_E2, _E, _CN, _CC, _RHO0) = parsed(WARP_TO), parsed(WARP_FROM).constants
+_SERIES = lambda c, f, g: " + ".join(f"{v!r} * {f}({2 * j} * xi) * {g}({2 * j} * eta)" for j, v in enumerate(c, 1))
+_WARPED = f"""
+t AS (SELECT i AS ix, j AS iy, {_WARP_X} + i * {_WARP_STEP} AS x, {_WARP_Y} + j * {_WARP_STEP} AS y FROM range(24) a(i), range(48) b(j)),
+w1 AS (SELECT *, y / {_TM.radius!r} AS xi, (x - 500000.0) / {_TM.radius!r} AS eta FROM t),
+w2 AS (SELECT *, xi - ({_SERIES(_TM.series[1], 'sin', 'cosh')}) AS u, eta - ({_SERIES(_TM.series[1], 'cos', 'sinh')}) AS v FROM w1),
+w3 AS (SELECT *, asin(sin(u) / cosh(v)) AS chi, atan2(sinh(v), cos(u)) AS lam FROM w2),
+w4 AS (SELECT *, sin(chi + {' + '.join(f'{v!r} * sin({2 * j} * chi)' for j, v in enumerate(_TM.series[2], 1))}) AS s FROM w3),
+w5 AS (SELECT *, {1 - _E2!r} * (s / (1 - {_E2!r} * s * s) - ln((1 - {_E!r} * s) / (1 + {_E!r} * s)) / (2 * {_E!r})) AS q FROM w4),
+w6 AS (SELECT *, 6378137.0 * sqrt({_CC!r} - {_CN!r} * q) / {_CN!r} AS rho, {_CN!r} * lam AS theta FROM w5),
+w7 AS (SELECT ix, iy, x, y, round_even(rho * sin(theta) / {STEP}, 0) AS sx, round_even(({_RHO0!r} - rho * cos(theta) - {_WARP_GRID.y0}) / {STEP}, 0) AS sy FROM w6)
+"""
+ORACLE_SQL["warp_stack"] = f"WITH {grid_sql()}, {_WARPED}, st AS (SELECT ix AS sx, iy AS sy, year, max(sif) AS sif, CAST(sum(n_rows) AS BIGINT) AS n_rows FROM p GROUP BY ix, iy, year) SELECT CAST(ix AS BIGINT) AS ix, CAST(iy AS BIGINT) AS iy, x, y, year, round(sif, 6) AS sif, n_rows FROM w7 JOIN st USING (sx, sy)"
+ORACLE_SQL["bucketed_match"] = ORACLE_SQL["layer_match_join"]
+ORACLE_SQL["panel_extent"] = " UNION ALL ".join(f"SELECT '{c}' AS name, min({c}) AS least, max({c}) AS most, count(*) AS n FROM orders" for c in ("o_orderkey", "o_custkey"))
 ORACLE_SQL["shapefile_clip"] = ORACLE_SQL["polygon_clip"]

@@ -110,3 +110,20 @@ def stamp_from_name(name: Column) -> dict[str, Column]:
     stamp = F.regexp_extract(name, r"(\d{7})", 1)
     day = F.date_add(F.make_date(F.substring(stamp, 1, 4).try_cast("int"), F.lit(1), F.lit(1)), F.substring(stamp, 5, 3).try_cast("int") - 1)
     return {"year": F.year(day), "month": F.month(day)}
+
+
+def extents(spark: SparkSession, path: str, columns: list[str]) -> dict[str, tuple]:
+    """(least, largest) of columns and the number of rows (``*``) from the footers of Parquet files: no page is read.
+
+    The aggregate is pushed into Spark's newer Parquet reader, which is chosen for this one job.
+    """
+    wanted = {"spark.sql.sources.useV1SourceList": "", "spark.sql.parquet.aggregatePushdown": "true"}
+    before = {k: spark.conf.get(k) for k in wanted}
+    try:
+        for k, v in wanted.items():
+            spark.conf.set(k, v)
+        r = spark.read.parquet(path).agg(F.count("*").alias("n"), *(f(c).alias(f"{f.__name__}_{c}") for c in columns for f in (F.min, F.max))).first()
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
+    return {c: (r[f"min_{c}"], r[f"max_{c}"]) for c in columns} | {"*": (r["n"],)}
