@@ -32,6 +32,7 @@ from .quantiles import quantiles
 #: The least number of trees and depth that the reference searches; the others are usual ones.
 SETTING = {"trees": 300, "depth": 3, "rate": 0.1, "least_rows": 1.0, "least_gain": 0.0, "row_share": 1.0, "column_share": 1.0, "l1": 0.0, "l2": 1.0}
 BINS, RENEW = 64, 10
+SHARE = 250_000  # rows times models of a task of a small table
 MAX_NODES, MAX_CELLS, MAX_PLAN, MAX_STRATA = 4_000_000, 1 << 22, 128, 100_000
 MOST_BITS = 36
 SPLITS = "model int, node int, g long, n long, feature int, bin int, gl long, nl long"
@@ -157,7 +158,9 @@ class Group:
                 hats = base.reshape(-1, n_plan)[code]
                 yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), b.column(2), _packed(_binned(b.columns[3 : 3 + n_f], cuts)), _packed(y.astype(np.int64)), _packed(hats)], names=["stratum", "cell", "key", "bins", "y", "hats"])
 
-        return self._kept(own.mapInArrow(run, "stratum int, cell int, key long, bins binary, y binary, hats binary"))
+        # a task's share: small tables are not worth many tasks a pass
+        parts = max(1, -(-sum(r["n"] for r in sums) * n_plan // SHARE))
+        return self._kept(own.coalesce(parts).mapInArrow(run, "stratum int, cell int, key long, bins binary, y binary, hats binary"))
 
     def _kept(self, df: DataFrame) -> DataFrame:
         path = scratch(df.sparkSession, "boosted")

@@ -6,6 +6,7 @@ x years short rows come to the driver for the small solve.
 
 from __future__ import annotations
 
+import math
 from typing import NamedTuple
 
 import numpy as np
@@ -16,6 +17,7 @@ from pyspark.sql import functions as F
 from ..functions.distributions import t_quantile, t_sf2
 from .bootstrap import multiplier_year
 from .features import anomaly
+from .quantiles import quantiles
 
 MONTHS = (4, 5, 6, 7, 8, 9)
 
@@ -102,7 +104,7 @@ def modifier(rows: DataFrame, value: str = "t2m", block: str = "block", months:
 
 def response_curves(rows: DataFrame, fit: Fit, value: str = "t2m", points: int = 121, span: tuple[float, float] = (0.05, 0.95)) -> DataFrame:
     """curve (``mean`` of the months, or a month), point, anomaly, effect per 10 and its t interval, between two quantiles of the anomaly."""
-    low, high = rows.agg(F.percentile(f"{value}_anomaly", F.array(*map(F.lit, span))).alias("q")).first()["q"]
+    low, high = quantiles(rows, [], f"{value}_anomaly", {"low": span[0], "high": span[1]}).select("low", "high").first()
     k, crit = len(fit.months), float(t_quantile(0.975, np.array([fit.df[fit.chosen]]))[0])
     weights = {"mean": np.full(k, 1.0 / k)} | {f"{m:02d}": np.eye(k)[i] for i, m in enumerate(fit.months)}
     out = []
@@ -121,3 +123,14 @@ def direction(parameters: pd.DataFrame, fit: Fit, alpha: float = 0.05) -> str:
     if row["p_multiplier"] >= alpha or abs(gamma) <= reach:
         return "unclear"
     return "negative" if gamma < 0 else "positive"
+
+
+def decision(parameters: pd.DataFrame, fit: Fit) -> dict[str, object]:
+    """The record of the modifier's reading: its direction, estimate, interval, and the p values of the three tests behind it."""
+    row = parameters.iloc[-1]
+    year_se = math.sqrt(max(0.0, float(fit.cov["year"][-1, -1]))) * 10
+    by_year = float(t_sf2(np.array([row["estimate"] / year_se]), np.array([fit.df["year"]]))[0]) if year_se > 0 else math.nan
+    return {
+        "direction": direction(parameters, fit), "parameter": row["parameter"], "estimate": float(row["estimate"]), "ci_low": float(row["ci_low"]), "ci_high": float(row["ci_high"]), "covariance": fit.chosen,
+        "p_t": float(row["p_t"]), "p_year": by_year, "p_multiplier": float(row["p_multiplier"]), "note": "modification of an adjusted association by the state of the climate; other windows or variables are not searched after it",
+    }

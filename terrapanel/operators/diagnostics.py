@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .quantiles import quantiles
+
 QUANTILES = (0.01, 0.05, 0.5, 0.95, 0.99)
 
 
@@ -28,22 +30,21 @@ def staged_metrics(rows: DataFrame, stages: dict[str, str], keys: list[str]) ->
     return fit_metrics(rows.select(*keys, each).select(*keys, "x.*"), "y", "p", [*keys, "stage"])
 
 
-def quantiles(c: str, q: tuple[float, ...], exact: bool, accuracy: int = 10_000) -> Column:
-    """Exact quantiles (linear between rows), or a sketch whose size does not grow with the rows."""
-    q = F.array(*map(F.lit, q))
-    return F.percentile(c, q) if exact else F.percentile_approx(c, q, accuracy)
-
+def residual_support(rows: DataFrame, keys: list[str], d: str = "d") -> DataFrame:
+    """Spread of the exposure residual and the share of its information in its largest 5 and 1 per cent; exact quantiles.
 
-def residual_support(rows: DataFrame, keys: list[str], d: str = "d", exact: bool = True) -> DataFrame:
-    """Spread of the exposure residual and the share of its information in its largest 5 and 1 per cent."""
-    cuts = rows.groupBy(*keys).agg(quantiles("_a", (0.95, 0.99), exact).alias("cut")) if "_a" in rows.columns else rows.withColumn("_a", F.abs(d)).groupBy(*keys).agg(quantiles("_a", (0.95, 0.99), exact).alias("cut"))
+    ``rows`` are read several times: keep them before.
+    """
+    shown = quantiles(rows, keys, d, {f"q{int(q * 100):02d}": q for q in QUANTILES})
+    cuts = quantiles(rows.withColumn("_a", F.abs(d)), keys, "_a", {"_cut5": 0.95, "_cut1": 0.99})
     met = rows.join(cuts, keys) if keys else rows.crossJoin(F.broadcast(cuts))  # one row of cuts
     a, d2 = F.abs(d), F.col(d) * F.col(d)
     out = met.groupBy(*keys).agg(
-        F.count("*").alias("n"), F.avg(d).alias("residual_mean"), F.stddev_samp(d).alias("residual_sd"), quantiles(d, QUANTILES, exact).alias("q"), F.sum(d2).alias("den"),
-        F.sum(F.when(a >= F.col("cut")[0], d2)).alias("top5"), F.sum(F.when(a >= F.col("cut")[1], d2)).alias("top1"),
+        F.count("*").alias("n"), F.avg(d).alias("residual_mean"), F.stddev_samp(d).alias("residual_sd"), F.sum(d2).alias("den"),
+        F.sum(F.when(a >= F.col("_cut5"), d2)).alias("top5"), F.sum(F.when(a >= F.col("_cut1"), d2)).alias("top1"),
     )
-    return out.select(*keys, "n", "residual_mean", "residual_sd", *(F.col("q")[i].alias(f"q{int(q * 100):02d}") for i, q in enumerate(QUANTILES)), "den", (F.col("den") / F.col("n")).alias("den_per_row"), (F.col("top5") / F.col("den")).alias("top5_share"), (F.col("top1") / F.col("den")).alias("top1_share"))
+    out = out.join(shown, keys) if keys else out.crossJoin(shown)  # a row each
+    return out.select(*keys, "n", "residual_mean", "residual_sd", *(c for c in shown.columns if c not in keys), "den", (F.col("den") / F.col("n")).alias("den_per_row"), (F.col("top5") / F.col("den")).alias("top5_share"), (F.col("top1") / F.col("den")).alias("top1_share"))
 
 
 def calibration(rows: DataFrame, exposure: str, outcome: str, fold: str = "tfold") -> DataFrame:
@@ -124,8 +125,22 @@ def summary(df: DataFrame, keys: list[str], values: list[str], distinct: list[st
     """Row counts, ranges, means, deviations, medians and distinct counts by keys."""
     aggs = [F.count("*").alias("n")]
     for v in values:
-        aggs += [F.avg(v).alias(f"{v}_mean"), F.stddev_samp(v).alias(f"{v}_sd"), F.min(v).alias(f"{v}_min"), F.max(v).alias(f"{v}_max"), F.percentile(v, F.lit(0.5)).alias(f"{v}_median")]
-    return df.groupBy(*keys).agg(*aggs, *(F.count_distinct(c).alias(f"{c}_distinct") for c in distinct or []))
+        aggs += [F.avg(v).alias(f"{v}_mean"), F.stddev_samp(v).alias(f"{v}_sd"), F.min(v).alias(f"{v}_min"), F.max(v).alias(f"{v}_max")]
+    out = df.groupBy(*keys).agg(*aggs, *(F.count_distinct(c).alias(f"{c}_distinct") for c in distinct or []))
+    for v in values:
+        out = out.join(quantiles(df, keys, v, {f"{v}_median": 0.5}), keys, "left")
+    return out
+
+
+def heat_table(cells: DataFrame, row: str, rows: list | None, value: str, column: str = "year") -> DataFrame:
+    """A row for each of ``rows`` (by default those that occur), a column y<year> for each year, and ``reach``, the largest
+    absolute value of the whole table, for a scale around 0; cells that are not there are NULL.  ``cells`` has a row a cell."""
+    kind = dict(cells.dtypes)[row]
+    years = [r[0] for r in cells.select(column).where(F.col(column).isNotNull()).distinct().orderBy(column).collect()]
+    wide = cells.groupBy(row).agg(F.lit(0).alias("_"), *(F.max(F.when(F.col(column) == y, F.col(value))).alias(f"y{y}") for y in years)).drop("_")
+    if rows is not None:
+        wide = cells.sparkSession.createDataFrame([(r,) for r in rows], f"{row} {kind}").join(wide, row, "left")
+    return wide.crossJoin(F.broadcast(cells.agg(F.max(F.abs(value)).alias("reach"))))  # a row
 
 
 def specification(rows: DataFrame, effect: DataFrame, design: str) -> DataFrame:

@@ -297,10 +297,10 @@ _LAYER_GRID = Grid(STEP, STEP, 0.0, STEP, 25, 50)
 
 
 def netcdf_layers(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Layers written as NetCDF, a file a year, and read as slices from the third year on."""
+    """Layers written as NetCDF, a file a year, and read as slices from 1997 on."""
     folder = scratch(spark, "netcdf")
     netcdf.write_netcdf(_layers(spark, sf_dir).withColumn("file", F.concat(F.lit("layers_"), "year")), folder, _LAYER_GRID)
-    rows = netcdf.read_netcdf(spark, folder, since="1994-01-01")
+    rows = netcdf.read_netcdf(spark, folder, since="1997-01-01")
     return rounded(rows.select("file_name", F.expr(netcdf.layer_name()).alias("layer"), "ix", "iy", "x", "y", "value"))
 
 
@@ -448,7 +448,7 @@ ORACLE_SQL = {
     "nearest_match": f"WITH t AS (SELECT DISTINCT l_suppkey AS pixel, CAST(round_even(((l_suppkey % 5) * 5000.0 * 1.7 + 2500) / 5000, 0) AS BIGINT) AS ix, CAST(round_even((floor(l_suppkey / 5) * 5000.0 * 0.9 + 2500) / 5000, 0) AS BIGINT) AS iy FROM lineitem), {grid_sql()}, s AS (SELECT ix, iy, CAST(sum(n_rows) AS BIGINT) AS value FROM p GROUP BY ix, iy) SELECT pixel, t.ix, t.iy, value FROM t LEFT JOIN s USING (ix, iy) WHERE t.ix BETWEEN 0 AND 24 AND t.iy BETWEEN 0 AND 50",
     "layer_match_join": f"WITH {grid_sql()}, y AS (SELECT ix, iy, year, max(n_rows) AS code FROM p GROUP BY ix, iy, year), h AS (SELECT ix, iy, min(t2m) AS height FROM p WHERE iy % 3 <> 0 GROUP BY ix, iy) SELECT ix, iy, year, month, round(sif, 6) AS base, round(o3, 6) AS o3, code, round(height, 6) AS height FROM p JOIN y USING (ix, iy, year) JOIN h USING (ix, iy) WHERE month <= 9",
     "layer_merge": f"WITH {grid_sql()} SELECT ix, iy, CAST(sum(n_rows) AS DOUBLE) + CASE WHEN ix < 10 THEN 0 ELSE 1000 END AS value FROM p GROUP BY ix, iy",
-    "netcdf_layers": f"WITH {grid_sql()}, v AS (UNPIVOT (SELECT ix, iy, x, y, year, month, sif, o3 FROM p) ON sif, o3 INTO NAME variable VALUE value) SELECT 'layers_' || year || '.nc' AS file_name, variable || year || '-' || lpad(month::VARCHAR, 2, '0') AS layer, CAST(ix AS BIGINT) AS ix, CAST(iy - 1 AS BIGINT) AS iy, x, y, round(value, 6) AS value FROM v WHERE year >= 1994",
+    "netcdf_layers": f"WITH {grid_sql()}, v AS (UNPIVOT (SELECT ix, iy, x, y, year, month, sif, o3 FROM p) ON sif, o3 INTO NAME variable VALUE value) SELECT 'layers_' || year || '.nc' AS file_name, variable || year || '-' || lpad(month::VARCHAR, 2, '0') AS layer, CAST(ix AS BIGINT) AS ix, CAST(iy - 1 AS BIGINT) AS iy, x, y, round(value, 6) AS value FROM v WHERE year >= 1997",
     "tiff_layers": f"WITH {grid_sql()} SELECT 'code' AS layer, 'EPSG:4479' AS crs, CAST(ix AS BIGINT) AS ix, CAST(iy AS BIGINT) AS iy, x, y, max(n_rows)::DOUBLE AS value FROM p GROUP BY ALL UNION ALL SELECT 'level', 'EPSG:4326', CAST(ix AS BIGINT), CAST(iy AS BIGINT), x, y, sum(n_rows) / 8.0 FROM p GROUP BY ALL",
     "polygon_clip": f"""WITH {grid_sql()}, cells AS (SELECT DISTINCT ix, iy, x, y FROM p), e(x1, y1, x2, y2) AS (VALUES {_EDGES}),
  t AS (SELECT ix, iy, count(*) FILTER (WHERE (y1 > y) <> (y2 > y) AND x < (x2 - x1) * (y - y1) / nullif(y2 - y1, 0) + x1) % 2 = 1 AS centre, bool_or(least(x1, x2) <= x + 2500 AND greatest(x1, x2) >= x - 2500 AND least(y1, y2) <= y + 2500 AND greatest(y1, y2) >= y - 2500 AND least({', '.join(_CORNERS)}) <= 0 AND greatest({', '.join(_CORNERS)}) >= 0) AS edge FROM cells, e GROUP BY ix, iy) SELECT ix, iy FROM t WHERE centre OR edge""",

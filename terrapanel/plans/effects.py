@@ -100,6 +100,17 @@ def effect_by_class(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shown(inference.two_way(class_components(spark, sf_dir), ["class"], "block", "year"), "class")
 
 
+def month_heatmap(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Calendar months by years: the cells' effects as a wide table of twelve rows."""
+    return diagnostics.heat_table(effect_month_cells(spark, sf_dir), "month", list(range(1, 13)), "theta")
+
+
+def class_heatmap(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Land-cover classes by years."""
+    cells = class_components(spark, sf_dir).groupBy("class", "year").agg((F.sum("num") / F.sum("den")).alias("theta"))
+    return diagnostics.heat_table(rounded(cells, 5), "class", None, "theta")
+
+
 def effect_block_scale(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = None
     for factor in (1, 2, 4):
@@ -351,7 +362,7 @@ QUERIES = {f.__name__: f for f in (
     effect_pooled, effect_by_year, effect_by_year_t, effect_pooled_signs, effect_month_signs, effect_month_cells, effect_by_month, effect_by_class, effect_block_scale, effect_control_sets, effect_wide_controls, effect_full_period_2d,
     effect_strict_fe, effect_interannual, oof_residuals_year, oof_metrics_by_year, components_block_year, within_pixel_year_panel, within_audit, paired_contrast, future_exposure_join, placebo_joint_effects,
     collinearity_diagnostics, residual_support_by_year, timefold_calibration, timefold_summary, combined_moments_by_fold, effect_linear_trend, linear_trend_estimate, score_matrix_pivot, pairwise_class_contrasts,
-    heterogeneity_omnibus, heterogeneity_pairs, threshold_repool, threshold_stability, wild_month, wild_year, wild_year_by_class, climatology_support, climate_gram, climate_weighted_moments, climate_modifier, climate_modifier_estimate, gbt_residuals, boosted_round, tuning_search, tuning_best,
+    heterogeneity_omnibus, heterogeneity_pairs, threshold_repool, threshold_stability, wild_month, wild_year, wild_year_by_class, climatology_support, climate_gram, climate_weighted_moments, climate_modifier, climate_modifier_estimate, gbt_residuals, boosted_round, month_heatmap, class_heatmap, tuning_search, tuning_best,
 )}
 
 # ---------------------------------------------------------------- SQL
@@ -457,6 +468,7 @@ e AS (SELECT *, sqrt(CASE WHEN m1 + m2 - m12 > 0 THEN m1 + m2 - m12 ELSE greates
 t AS (SELECT v.year, abs(z / (sqrt(CASE WHEN v.m1 + v.m2 - v.m12 > 0 THEN v.m1 + v.m2 - v.m12 ELSE greatest(v.m1, v.m2) END) / v.total)) AS t, abs(theta / se) AS s FROM v JOIN e USING (year)),
 q AS (SELECT year, quantile_cont(t, 0.95) AS critical, (1 + count(*) FILTER (WHERE t >= s * (1 - 1e-9))) / {bootstrap.REPS + 1}.0 AS p FROM t GROUP BY year)
 SELECT year, round(theta, 6) AS theta, round(se, 6) AS se, round(critical, 6) AS critical, round(p, 6) AS p_wild, g1, g2 FROM e JOIN q USING (year)"""
+_HEAT = ", ".join(f"max(CASE WHEN year = {y} THEN theta END) AS y{y}" for y in range(1995, 2002))
 ORACLE_SQL = {
     "effect_pooled": f"WITH {_YEARLY}, {_BY} SELECT {_EFFECT} FROM e",
     "effect_by_year": f"WITH {_YEARLY}, {components_sql('c', 'o', ['year', 'block', 'month'])}, {two_way_sql('e', 'c', ['year'], 'block', 'month')} SELECT year, {_EFFECT} FROM e",
@@ -524,6 +536,8 @@ ORACLE_SQL = {
     "wild_year_by_class": f"WITH {_CLASSES}, {_wild_year('class', 'k AS class, ')}",
     "wild_month": f"WITH {_WILD_MONTH}",
     "tuning_search": f"WITH {supplier_sql()}, {_TUNED} SELECT {_TUNED_COLS} FROM tuned",
+    "class_heatmap": f"WITH {_CLASSES}, e AS (SELECT class, year, round(sum(num) / sum(den), 5) AS theta FROM c GROUP BY class, year) SELECT class, {_HEAT}, (SELECT max(abs(theta)) FROM e) AS reach FROM e GROUP BY class",
     "boosted_round": f"WITH {supplier_sql()}, {_BOOSTED}",
     "tuning_best": f"WITH {supplier_sql()}, {_TUNED} SELECT {_TUNED_COLS} FROM tuned ORDER BY rmse_mean, rmse_std, penalty LIMIT 1",
 }
+ORACLE_SQL["month_heatmap"] = f"WITH e AS ({ORACLE_SQL['effect_month_cells']}) SELECT CAST(m.month AS INT) AS month, {_HEAT}, (SELECT max(abs(theta)) FROM e) AS reach FROM range(1, 13) AS m(month) LEFT JOIN e ON e.month = m.month GROUP BY m.month"

@@ -97,7 +97,7 @@ def primary(rows: DataFrame, design: Design, keep: Keep = as_is) -> Tables:
     stages = {"exposure": design.exposure, "outcome": design.outcome}
     return {
         "annual": fdr(inference.with_t(inference.two_way(comp, ["year"], "block", "month")), "p_t"), "pooled": inference.with_t(inference.two_way(comp, [], "block", "year")),
-        "support": diagnostics.residual_support(out, ["year"], exact=False), "fit": diagnostics.staged_metrics(out, stages, ["year"]), "components": comp,
+        "support": diagnostics.residual_support(out, ["year"]), "fit": diagnostics.staged_metrics(out, stages, ["year"]), "components": comp,
     }
 
 
@@ -178,7 +178,7 @@ def by_month(rows: DataFrame, design: Design, keep: Keep = as_is) -> Tables:
     own, cells = gated(rows, design, ["year", "month"])
     comp = keep(components(residuals(own, design, ["year", "month"]), ["month", "year", "block"]), "components")
     return {
-        "eligibility": cells, "cells": inference.with_t(inference.one_way(comp, ["year", "month"], "block"), second=None), "pooled": inference.with_t(inference.two_way(comp, ["month"], "block", "year")),
+        "eligibility": cells, "cells": (each := inference.with_t(inference.one_way(comp, ["year", "month"], "block"), second=None)), "heat": diagnostics.heat_table(each, "month", list(range(1, 13)), "effect"), "pooled": inference.with_t(inference.two_way(comp, ["month"], "block", "year")),
         "signs": inference.annual_signs(comp, ["month"]), "wild": bootstrap.wild_year(comp, ["month"], reps=design.reps), **_heterogeneity(comp, "month"),
     }
 
@@ -190,7 +190,7 @@ def by_class(rows: DataFrame, design: Design, keep: Keep = as_is) -> Tables:
     comp = keep(components(out, ["class", "year", "block", "month"]), "components")
     fit = diagnostics.staged_metrics(out, {"exposure": design.exposure, "outcome": design.outcome}, ["class", "year"])
     return {
-        "eligibility": cells, "annual": inference.with_t(inference.two_way(comp, ["class", "year"], "block", "month")), "pooled": inference.with_t(inference.two_way(comp, ["class"], "block", "year")),
+        "eligibility": cells, "annual": (each := inference.with_t(inference.two_way(comp, ["class", "year"], "block", "month"))), "heat": diagnostics.heat_table(each, "class", None, "effect"), "pooled": inference.with_t(inference.two_way(comp, ["class"], "block", "year")),
         "signs": inference.annual_signs(comp, ["class"]), "thresholds": inference.with_t(inference.repooled(comp, "class", list(design.thresholds), ["class", "year"])),
         "threshold_support": diagnostics.threshold_support(fit, ["class"], "n", "r2", list(design.thresholds)), "sanity": diagnostics.sanity(fit, ["stage"], "r2"), **_heterogeneity(comp, "class"),
     }
@@ -209,8 +209,9 @@ def climate_state(rows: DataFrame, design: Design, keep: Keep = as_is, value: st
     comp = keep(components(residuals(rows, design, ["year"]), ["pixel", "block", "year", "month"], **{value: F.avg(value)}), "components")
     held = climate.supported(comp, value, least_years=2 * design.least_years)
     fit, found = climate.fitted(held, value), climate.modifier(held, value, reps=design.reps)
-    shown = rows.sparkSession.createDataFrame(found).withColumn("direction", F.lit(climate.direction(found, fit)))
-    return {"climatology": climate.climatology_support(comp, value), "moments": climate.weighted_moments(held, value), "modifier": shown, "curves": climate.response_curves(held, fit, value)}
+    record = climate.decision(found, fit)
+    shown = rows.sparkSession.createDataFrame(found).withColumn("direction", F.lit(record["direction"]))
+    return {"decision": rows.sparkSession.createDataFrame([record]), "climatology": climate.climatology_support(comp, value), "moments": climate.weighted_moments(held, value), "modifier": shown, "curves": climate.response_curves(held, fit, value)}
 
 
 def trends(rows: DataFrame, design: Design, keep: Keep = as_is) -> Tables:
