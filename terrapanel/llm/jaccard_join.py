@@ -130,18 +130,23 @@ def sketches(docs: DataFrame, n: int, doc_id: str, text: str, n_bands: int, n_ro
     return text_rows(docs, doc_id, text).mapInArrow(run, SKETCH)
 
 
-def keyed(docs: DataFrame, n: int, text: str) -> DataFrame:
-    """The rows with the key of their text's set (__k1, __k2)."""
-    where = docs.columns.index(text)
+def keyed(docs: DataFrame, n: int, text: str, once: str | None = None) -> DataFrame:
+    """The rows with the key of their text's set (__k1, __k2); with ``once`` (a column of ids) a task gives an id's set once."""
+    where, ids = docs.columns.index(text), docs.columns.index(once) if once else -1
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         np.seterr(over="ignore")
+        seen: set[tuple] = set()  # no longer than a task's rows
         for batch in batches:
             data, offsets = utf8(batch.column(where))
             keys = []
             for i, j in slices(offsets):
                 keys.extend(set_key(np.unique(h)) for h in ngram_lists(Words(data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i]), n))
-            yield batch.append_column("__k1", pa.array([k for k, _ in keys], pa.int64())).append_column("__k2", pa.array([k for _, k in keys], pa.int64()))
+            out = batch.append_column("__k1", pa.array([k for k, _ in keys], pa.int64())).append_column("__k2", pa.array([k for _, k in keys], pa.int64()))
+            if once:
+                fresh = [not (name in seen or seen.add(name)) for name in zip(batch.column(ids).to_pylist(), keys, strict=True)]
+                out = out if all(fresh) else out.filter(pa.array(fresh))
+            yield out
 
     bounded_batches(docs.sparkSession)
     return docs.mapInArrow(run, StructType([*docs.schema.fields, StructField("__k1", LongType()), StructField("__k2", LongType())]))
@@ -212,10 +217,10 @@ def _links(docs: DataFrame, n: int, threshold: float, recall: float, doc_id: str
     reps = named.groupBy("k1", "k2").agg(F.min("doc_id").alias("copy_id"), F.count_distinct("doc_id").alias("n_copies"), F.count("*").alias("n_rows"), F.first("n").alias("n"), F.first("bands").alias("bands"))
     reps = saved(reps.withColumn("node", F.struct(F.col("copy_id").alias("id"), "k1", "k2")), "copy-classes")
     members = _groups(reps)
-    texts = keyed(text_rows(docs, doc_id, text).where("doc_id is not null"), n, "text").select(F.struct(F.col("doc_id").alias("id"), F.col("__k1").alias("k1"), F.col("__k2").alias("k2")).alias("node"), "text")
-    texts = texts.groupBy("node").agg(F.first("text").alias("text"))  # repeated rows become one where they are read
+    texts = keyed(text_rows(docs, doc_id, text).where("doc_id is not null"), n, "text", "doc_id").select(F.struct(F.col("doc_id").alias("id"), F.col("__k1").alias("k1"), F.col("__k2").alias("k2")).alias("node"), "text")
+    # repeated rows are one a task when they are read, and one in all when they meet their groups
+    met = texts.join(members, "node").dropDuplicates(["node"]).withColumn("at", F.explode("at"))
     # each pair of tiles of a group is a task's group
-    met = texts.join(members, "node").withColumn("at", F.explode("at"))
     met = met.select("node.*", "text", "bands", "kept", F.col("at.gid").alias("gid"), F.col("at.tile").alias("tile"), F.explode(F.sequence(F.lit(0), F.col("at.tiles") - 1)).alias("other"))
     met = met.withColumn("p", F.least("tile", "other")).withColumn("q", F.greatest("tile", "other")).drop("other")
 
