@@ -32,7 +32,7 @@ from .quantiles import quantiles
 #: The least number of trees and depth that the reference searches; the others are usual ones.
 SETTING = {"trees": 300, "depth": 3, "rate": 0.1, "least_rows": 1.0, "least_gain": 0.0, "row_share": 1.0, "column_share": 1.0, "l1": 0.0, "l2": 1.0}
 BINS, RENEW = 64, 10
-SHARE = 250_000  # rows times models of a task of a small table
+SHARE, CELLS = 250_000, 200_000  # a task's rows times models (of a small table), and its cells of the histogram
 MAX_NODES, MAX_CELLS, MAX_PLAN, MAX_STRATA = 4_000_000, 1 << 22, 128, 100_000
 MOST_BITS = 36
 SPLITS = "model int, node int, g long, n long, feature int, bin int, gl long, nl long"
@@ -239,7 +239,8 @@ class Group:
             for level in range(self.depth):
                 if not open_.any():
                     break
-                found = chosen(self.histogram(state, pending, tree, number, level, open_), self.params, allowed, n_f).collect()  # a row a node
+                parts = max(1, -(-(self.n_models * n_f * BINS << level) // CELLS))
+                found = chosen(self.histogram(state, pending, tree, number, level, open_), self.params, allowed, n_f, parts).collect()  # a row a node
                 after = np.zeros((self.n_models, 2 << level), bool)
                 for r in found:
                     m, node = r["model"], r["node"]
@@ -379,13 +380,13 @@ def best_splits(model: np.ndarray, node: np.ndarray, feature: np.ndarray, bins:
     return [model[first], node[first], whole_g[first], whole_n[first], value(feature), value(bins), value(gl), value(nl)]
 
 
-def chosen(histogram: DataFrame, params: list[tuple[float, float, float, float]], allowed: list[list[int]], n_features: int) -> DataFrame:
+def chosen(histogram: DataFrame, params: list[tuple[float, float, float, float]], allowed: list[list[int]], n_features: int, parts: int) -> DataFrame:
     """model, node, g, n and the best split (feature, bin: up to it rows go left; gl, nl), feature -1 where none gains enough.
 
     ``params`` (l1, l2, least gain, least rows, in units) and ``allowed`` features go by entry of the plan, model modulo
-    their number.  Among equal gains the least feature and bin win.  One shuffle, by model and node.
+    their number.  Among equal gains the least feature and bin win.  One shuffle, by model and node, into ``parts``.
     """
-    sums = histogram.repartition("model", "node").groupBy("model", "node", "feature", "bin").agg(F.sum("g").alias("g"), F.sum("n").alias("n"))
+    sums = histogram.repartition(parts, "model", "node").groupBy("model", "node", "feature", "bin").agg(F.sum("g").alias("g"), F.sum("n").alias("n"))
     table, mask = np.array(params, float), np.zeros((len(params), n_features), bool)
     for p, a in enumerate(allowed):
         mask[p, a] = True
