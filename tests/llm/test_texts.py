@@ -227,6 +227,24 @@ def test_top_k_against_brute_force(spark):
     assert topk.top_k(v.where("vec_id in (0, 4)"), v.where("vec_id in (0, 4)")).count() == 2
 
 
+def test_top_k_of_large_components(spark):
+    rng = np.random.default_rng(2)
+    rows = [(i, [float(x) for x in rng.choice([-3e4, 1.5e5, 2e5, 2e5 + 1 / 1024], 6)] + [float(rng.integers(-2, 3)) * (i % 3), 0.0]) for i in range(300)]
+    for i in range(300, 400):  # no long holds their components; most have scores far below all others
+        rows.append((i, [0.0] * 6 + [-1e14 * (i % 7), 1e30]))
+    for q in (0, 100, 200):
+        rows[q][1][6] = 0.5
+    rows[300] = (300, [1.0, 2.0, -1.0, 0.5, 0.0, 0.0, 0.25, 0.0])
+    v = topk.quantised(spark.createDataFrame(rows, "vec_id long, embedding array<double>"))
+    got = sorted((r.query_id, r.rank, r.vec_id, r.score) for r in topk.top_k(v.where("vec_id % 100 = 0"), v).collect())
+    use = {i: [math.floor(1024 * x) for x in e] for i, e in rows}
+    want = []
+    for q in (0, 100, 200, 300):
+        best = sorted((-sum(a * b for a, b in zip(use[q], w, strict=True)), i) for i, w in use.items() if i != q)[:10]
+        want += [(q, k, i, -s) for k, (s, i) in enumerate(best, 1)]
+    assert got == sorted(want)
+
+
 # ---------------------------------------------------------------- token counts
 
 
