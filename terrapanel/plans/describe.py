@@ -16,7 +16,7 @@ from ..sources.layers import read_shapes, shapefile
 from ..sources.panel import complete_cases, duplicate_keys, extents, month_number
 from ..sources.sinks import scratch
 from . import panels
-from .panels import STEP, components_sql, grid_panel, grid_rows, grid_sql, oof_sql, rounded, supplier_panel, supplier_rows, supplier_sql
+from .panels import STEP, components_sql, grid_panel, grid_rows, grid_sql, kept_grid, oof_sql, rounded, supplier_panel, supplier_rows, supplier_sql
 from .tails import normal_p_sql, q_sql, ranked_sql
 
 GRID = Grid(STEP, STEP, 0.0, 0.0)
@@ -254,7 +254,7 @@ def nearest_match(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def layer_match_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The monthly base layer with monthly, yearly and static layers; complete cells only."""
-    p = grid_panel(spark, sf_dir)
+    p = kept_grid(spark, sf_dir, "sif", "o3", "t2m", "n_rows")
     base = p.select("ix", "iy", "year", "month", F.col("sif").alias("base"))
     monthly = p.where("month <= 9").select("ix", "iy", "year", "month", F.col("o3").alias("value"))
     yearly = p.groupBy("ix", "iy", "year").agg(F.max("n_rows").alias("value"))
@@ -329,7 +329,7 @@ def warp_stack(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def bucketed_match(spark: SparkSession, sf_dir: str) -> DataFrame:
     """layer_match_join over layers that are kept in buckets of cells."""
-    p = grid_panel(spark, sf_dir)
+    p = kept_grid(spark, sf_dir, "sif", "o3", "t2m", "n_rows")
     monthly = p.where("month <= 9").select("ix", "iy", "year", "month", F.col("o3").alias("value"))
     yearly = p.groupBy("ix", "iy", "year").agg(F.max("n_rows").alias("value"))
     static = p.where("iy % 3 <> 0").groupBy("ix", "iy").agg(F.min("t2m").alias("value"))

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions.grid import Grid, block_id, grid_of
 from ..operators.folds import chunk_folds, dense_folds
+from ..sources.sinks import kept
 
 STEP = 5000.0
 #: Land-cover codes dealt to pixels.
@@ -35,16 +36,21 @@ def supplier_panel(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def grid_panel(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Customer nation x part size x year x month cells."""
+    """Customer nation x part size x year x month cells; line items, the longest table, are shuffled by order alone where parts are few."""
     li = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_partkey", "l_shipdate", "l_extendedprice", "l_quantity", "l_tax", "l_discount")
     o = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("l_orderkey"), "o_custkey")
     c = table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("o_custkey"), "c_nationkey")
     p = table(spark, sf_dir, "part").select(F.col("p_partkey").alias("l_partkey"), "p_size")
-    rows = li.join(o, "l_orderkey").join(c, "o_custkey").join(p, "l_partkey")
+    rows = li.join(o.join(c, "o_custkey"), "l_orderkey").join(p, "l_partkey")
     cells = rows.groupBy(F.col("c_nationkey").alias("ix"), F.col("p_size").alias("iy"), F.year("l_shipdate").alias("year"), F.month("l_shipdate").alias("month")).agg(*measures())
     return cells.withColumns({"x": F.col("ix") * STEP, "y": F.col("iy") * STEP, "pixel": (F.col("ix") * 1000 + F.col("iy")).cast("long")})
 
 
+def kept_grid(spark: SparkSession, sf_dir: str, *measures: str) -> DataFrame:
+    """The grid panel with the named measures, made once for queries that read it several times (cells of a bounded grid and months)."""
+    return kept(grid_panel(spark, sf_dir).select("ix", "iy", "year", "month", "x", "y", "pixel", *measures), "grid-panel")
+
+
 def with_blocks(panel: DataFrame, factor: int = FACTOR, grid: Grid | None = None) -> DataFrame:
     return panel.withColumn("block", block_id(grid or grid_of(panel), factor))
 
@@ -54,12 +60,16 @@ def with_folds(panel: DataFrame, k: int = FOLDS) -> DataFrame:
     return panel.join(F.broadcast(dense_folds(panel, "block", k)), "block").join(F.broadcast(chunk_folds(panel, "year", k)), "year")
 
 
-def supplier_rows(spark: SparkSession, sf_dir: str, factor: int = FACTOR) -> DataFrame:
-    return with_folds(with_blocks(supplier_panel(spark, sf_dir), factor, Grid(STEP, STEP, 0.0, 0.0)))
+def supplier_rows(spark: SparkSession, sf_dir: str, factor: int = FACTOR, measures: list[str] | None = None) -> DataFrame:
+    """Supplier cells with blocks and folds; with ``measures`` the panel has those only and is made once."""
+    panel = supplier_panel(spark, sf_dir)
+    if measures is not None:
+        panel = kept(panel.select("pixel", "year", "month", "x", "y", "lccs", *measures), "supplier-panel")
+    return with_folds(with_blocks(panel, factor, Grid(STEP, STEP, 0.0, 0.0)))
 
 
 def grid_rows(spark: SparkSession, sf_dir: str, factor: int = 5) -> DataFrame:
-    return with_folds(with_blocks(grid_panel(spark, sf_dir), factor, Grid(STEP, STEP, 0.0, STEP)))
+    return with_folds(with_blocks(kept_grid(spark, sf_dir, "sif", "o3", "t2m", "n_rows"), factor, Grid(STEP, STEP, 0.0, STEP)))
 
 
 def rounded(df: DataFrame, digits: int = 6, **special: int) -> DataFrame:

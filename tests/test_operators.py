@@ -440,3 +440,16 @@ def test_climate_direction():
     rows = lambda p: pd.DataFrame({"p_multiplier": [np.nan, p]})
     assert climate.direction(rows(0.01), fit) == "negative" and climate.direction(rows(0.2), fit) == "unclear"
     assert climate.direction(rows(0.01), fit._replace(beta=np.array([1.0, 0.1]))) == "unclear" and climate.direction(rows(0.01), fit._replace(beta=np.array([1.0, 0.5]))) == "positive"
+
+
+@pytest.mark.parametrize("name", ["bucketed_match", "kernel_effect_map", "kernel_support_mask", "layer_match_join", "residual_support_by_year"])
+def test_line_items_are_aggregated_once(spark, sf001, monkeypatch, name):
+    """The panel behind queries that read it several times is made once: the result's plan reads no table of line items."""
+    from terrapanel.plans import catalogue, panels
+
+    made = []
+    for panel in ("grid_panel", "supplier_panel"):
+        own = getattr(panels, panel)
+        monkeypatch.setattr(panels, panel, lambda *a, own=own: made.append(1) or own(*a))
+    files = catalogue.QUERIES[name](spark, sf001).inputFiles()
+    assert len(made) == 1 and not any("lineitem" in f for f in files)
