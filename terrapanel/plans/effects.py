@@ -10,6 +10,7 @@ from ..operators import boosted, bootstrap, climate, crossfit, diagnostics, feat
 from ..operators.components import components, score_cells
 from ..operators.folds import Split
 from ..operators.multiplicity import fdr
+from ..sources.sinks import kept
 from . import panels
 from .panels import components_sql, oof_sql, rounded, supplier_rows, supplier_sql, two_way_sql
 from .tails import critical_sql, normal_p_sql, q_sql, ranked_sql, sign_p_sql, t_p_sql
@@ -25,7 +26,7 @@ def shown(df: DataFrame, *keys: str) -> DataFrame:
 
 def yearly_residuals(spark: SparkSession, sf_dir: str, factor: int = panels.FACTOR) -> DataFrame:
     """The primary design: a model a year, blocks held out."""
-    return crossfit.oof_residuals(supplier_rows(spark, sf_dir, factor), "o3", "sif", ["t2m"], strata=["year"])
+    return crossfit.oof_residuals(supplier_rows(spark, sf_dir, factor, ["o3", "sif", "t2m"]), "o3", "sif", ["t2m"], strata=["year"])
 
 
 def yearly_components(spark: SparkSession, sf_dir: str, *keys: str) -> DataFrame:
@@ -214,7 +215,7 @@ def collinearity_diagnostics(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def residual_support_by_year(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return rounded(diagnostics.residual_support(yearly_residuals(spark, sf_dir), ["year"]), 5)
+    return rounded(diagnostics.residual_support(kept(yearly_residuals(spark, sf_dir).select("year", "d"), "residuals"), ["year"]), 5)
 
 
 def timefold_calibration(spark: SparkSession, sf_dir: str) -> DataFrame:

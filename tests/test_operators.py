@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from terrapanel.functions import distributions as dist
 from terrapanel.functions.grid import Albers, Grid, block_id, grid_of, pixel_id
-from terrapanel.operators import boosted, bootstrap, climate, correlogram, crossfit, features, inference, kernel, multiplicity, quantiles, raster, trend, tuning
+from terrapanel.operators import boosted, bootstrap, climate, correlogram, crossfit, diagnostics, features, inference, kernel, multiplicity, quantiles, raster, trend, tuning
 from terrapanel.operators.components import components
 from terrapanel.operators.folds import Split, balanced_folds, chunk_folds, shuffled_folds
 from terrapanel.sources import layers
@@ -453,3 +453,18 @@ def test_line_items_are_aggregated_once(spark, sf001, monkeypatch, name):
         monkeypatch.setattr(panels, panel, lambda *a, own=own: made.append(1) or own(*a))
     files = catalogue.QUERIES[name](spark, sf001).inputFiles()
     assert len(made) == 1 and not any("lineitem" in f for f in files)
+
+
+def test_residual_support_does_not_depend_on_order(spark):
+    rng = np.random.default_rng(12)
+    base = np.concatenate([rng.normal(0, 3e4, 2000), [1.5e5, -1.6e5]])
+    d = (base[:, None] * (1 + np.arange(-20, 20)[None] * 1e-16)).ravel()  # copies that differ by rounding
+    rows = spark.createDataFrame(pd.DataFrame({"year": 2000, "d": d[rng.permutation(len(d))]}))
+    got = [diagnostics.residual_support(rows.repartition(p), ["year"]).first() for p in (1, 7)]
+    den = math.fsum(d * d)
+    order = np.sort(np.abs(base))[::-1]
+    for r in got:
+        assert abs(r.den - den) <= 2 * np.spacing(den) and r.n == len(d)
+        for share, q in ((r.top5_share, 0.95), (r.top1_share, 0.99)):
+            cut = np.quantile(np.abs(d), q) * (1 - 1e-12)
+            assert share == pytest.approx((order[order >= cut] ** 2).sum() * 40 / den, rel=1e-9)
