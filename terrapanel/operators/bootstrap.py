@@ -1,7 +1,7 @@
 """Wild cluster resampling on score cells.
 
-Resampling needs a stratum's scores by cluster only (blocks x months, or years), never its rows.  Strata are resampled
-in parallel by grouped maps; a group holds one stratum's cells.
+Resampling needs a stratum's scores by cluster only (products of months summed over blocks, or years), never its rows.  Strata are resampled
+in parallel by grouped maps; a group holds months x months or years rows, whatever the number of blocks.
 """
 
 from __future__ import annotations
@@ -31,43 +31,62 @@ def _factor(g: int) -> float:
     return g / (g - 1) if g > 1 else 1.0
 
 
-def _studentised(num: np.ndarray, den: np.ndarray, weights: np.ndarray | None) -> tuple[np.ndarray, np.ndarray]:
-    """Estimate shift and two-way standard error for each row of column weights (None: as observed)."""
-    total, occupied = den.sum(), den > 0
-    theta = num.sum() / total
-    score = num - theta * den
-    if weights is None:
-        cells, shift = score[None], np.array([theta])
-    else:
-        cells = score[None] * weights[:, None, :]
-        shift = cells.sum((1, 2)) / total
-        cells = cells - shift[:, None, None] * den[None]
-    m1 = (cells.sum(2) ** 2).sum(1) * _factor(num.shape[0])
-    m2 = (cells.sum(1) ** 2).sum(1) * _factor(num.shape[1])
-    m12 = (cells[:, occupied] ** 2).sum(1) * _factor(int(occupied.sum()))
+def month_products(cells: DataFrame, strata: list[str], block: str, month: str) -> DataFrame:
+    """strata, theta, total, g1 and, by pairs m <= n of months, sums over blocks of the products of scores and denominators.
+
+    ``ss``, ``sd``, ``ds``, ``dd`` (score or denominator of m, then of n); of a month with itself also ``s``, ``d``, and over its occupied
+    cells ``own`` (squared scores) and ``cells`` (their number).  Months x months rows a stratum, however many blocks there are.
+    """
+    blocks = cells.groupBy(*strata, block).agg(F.collect_list(F.struct(F.col(month).alias("m"), "num", "den")).alias("_c"), F.sum("num").alias("_num"), F.sum("den").alias("_den"))
+    whole = blocks.groupBy(*strata).agg((F.sum("_num") / F.sum("_den")).alias("theta"), F.sum("_den").alias("total"), F.count("*").alias("g1"))
+    each = blocks.select(*strata, "_c").join(whole, strata)
+    pairs = each.select(*strata, "theta", "total", "g1", "_c", F.explode("_c").alias("_a")).withColumn("_b", F.explode("_c")).where("_a.m <= _b.m")
+    score = lambda c: F.col(f"{c}.num") - F.col("theta") * F.col(f"{c}.den")
+    pairs = pairs.select(*strata, "theta", "total", "g1", F.col("_a.m").alias("m"), F.col("_b.m").alias("n"), score("_a").alias("_s"), score("_b").alias("_t"), F.col("_a.den").alias("_d"), F.col("_b.den").alias("_e"))
+    s, t, d, e = map(F.col, ("_s", "_t", "_d", "_e"))
+    sums = {"ss": s * t, "sd": s * e, "ds": d * t, "dd": d * e, "s": s, "d": d, "own": F.when(d > 0, s * s).otherwise(0.0)}
+    return pairs.groupBy(*strata, "theta", "total", "g1", "m", "n").agg(*(F.sum(v).alias(k) for k, v in sums.items()), F.count_if(d > 0).alias("cells"))
+
+
+def _studentised(pdf: pd.DataFrame, months: np.ndarray, weights: np.ndarray, observed: bool = False) -> tuple[np.ndarray, np.ndarray]:
+    """Estimate shift and two-way standard error for each row of month weights, from a stratum's ``month_products``.
+
+    A repetition's cells are score x weight - shift x denominator (``observed``: without shift), so their sums of squares by block are
+    quadratic forms in the weights.
+    """
+    total, g1 = float(pdf["total"].iloc[0]), int(pdf["g1"].iloc[0])
+    i, j = np.searchsorted(months, pdf["m"]), np.searchsorted(months, pdf["n"])
+    gram, cross, dens = (np.zeros((len(months), len(months))) for _ in range(3))
+    gram[i, j] = gram[j, i] = pdf["ss"]
+    cross[i, j], cross[j, i] = pdf["sd"], pdf["ds"]
+    dens[i, j] = dens[j, i] = pdf["dd"]
+    one = pdf[pdf["m"] == pdf["n"]].sort_values("m")
+    s, d, own = (one[c].to_numpy(float) for c in ("s", "d", "own"))
+    shift = np.zeros(len(weights)) if observed else weights @ s / total
+    m1 = ((weights @ gram) * weights).sum(1) - 2 * shift * (weights @ cross.sum(1)) + shift**2 * dens.sum()
+    m2 = ((weights * s - shift[:, None] * d) ** 2).sum(1)
+    m12 = weights**2 @ own - 2 * shift * (weights @ np.diag(cross)) + shift**2 * np.trace(dens)
+    m1, m2, m12 = np.maximum(0.0, m1) * _factor(g1), m2 * _factor(len(months)), m12 * _factor(int(one["cells"].sum()))
     v = m1 + m2 - m12
     return shift, np.sqrt(np.where(v > 0, v, np.maximum(m1, m2))) / total
 
 
 def wild_month(comp: DataFrame, strata: list[str], block: str = "block", month: str = "month", reps: int = REPS, seed: int = SEED, batch: int = 128) -> DataFrame:
     """Bootstrap-t over month clusters with two-way studentisation: strata, theta, se, critical, p, g1, g2."""
-    cells = merged(comp, [*strata, block, month])
-    kinds = dict(cells.dtypes)
+    sums = month_products(merged(comp, [*strata, block, month]), strata, block, month)
+    kinds = dict(sums.dtypes)
 
     def run(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
-        si, su = pd.factorize(pdf[block], sort=True)
-        mi, mu = pd.factorize(pdf[month], sort=True)
-        num, den = np.zeros((len(su), len(mu))), np.zeros((len(su), len(mu)))
-        num[si, mi], den[si, mi] = pdf["num"], pdf["den"]
-        theta, se = (x[0] for x in _studentised(num, den, None))
+        mu = np.unique(pdf["m"])
+        theta, se = float(pdf["theta"].iloc[0]), _studentised(pdf, mu, np.ones((1, len(mu))), observed=True)[1][0]
         drawn = []
         for at in range(0, reps, batch):
-            shift, error = _studentised(num, den, draws(seed, key, range(at, min(reps, at + batch)), mu.tolist()))
+            shift, error = _studentised(pdf, mu, draws(seed, key, range(at, min(reps, at + batch)), mu.tolist()))
             drawn.append(np.abs(shift / error))
         t = np.concatenate(drawn)
-        return pd.DataFrame([(*key, theta, se, float(np.quantile(t, 0.95)), float((1 + (t >= abs(theta / se) * (1 - TIE)).sum()) / (reps + 1)), len(su), len(mu))], columns=[*strata, "theta", "se", "critical", "p_wild", "g1", "g2"])
+        return pd.DataFrame([(*key, theta, se, float(np.quantile(t, 0.95)), float((1 + (t >= abs(theta / se) * (1 - TIE)).sum()) / (reps + 1)), int(pdf["g1"].iloc[0]), len(mu))], columns=[*strata, "theta", "se", "critical", "p_wild", "g1", "g2"])
 
-    return cells.groupBy(*strata).applyInPandas(run, ", ".join([*(f"{k} {kinds[k]}" for k in strata), "theta double, se double, critical double, p_wild double, g1 long, g2 long"]))
+    return sums.groupBy(*strata).applyInPandas(run, ", ".join([*(f"{k} {kinds[k]}" for k in strata), "theta double, se double, critical double, p_wild double, g1 long, g2 long"]))
 
 
 def wild_year(comp: DataFrame, strata: list[str] | None = None, year: str = "year", reps: int = REPS, seed: int = SEED, batch: int = 2000) -> DataFrame:

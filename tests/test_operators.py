@@ -468,3 +468,27 @@ def test_residual_support_does_not_depend_on_order(spark):
         for share, q in ((r.top5_share, 0.95), (r.top1_share, 0.99)):
             cut = np.quantile(np.abs(d), q) * (1 - 1e-12)
             assert share == pytest.approx((order[order >= cut] ** 2).sum() * 40 / den, rel=1e-9)
+
+
+def test_month_resampling_holds_no_blocks(spark):
+    rng = np.random.default_rng(13)
+    pdf = pd.DataFrame([(2000, b, m, float(rng.normal()), float(rng.uniform(1, 2))) for b in range(300) for m in range(1, 13) if rng.random() < 0.8], columns=["year", "block", "month", "num", "den"]).assign(n=1)
+    comp = spark.createDataFrame(pdf)
+    sums = bootstrap.month_products(bootstrap.merged(comp, ["year", "block", "month"]), ["year"], "block", "month")
+    assert sums.count() == 12 * 13 // 2  # whatever the number of blocks
+    got = bootstrap.wild_month(comp, ["year"], reps=99).first()
+    num, den = (pdf.pivot_table(index="block", columns="month", values=c, fill_value=0.0).to_numpy() for c in ("num", "den"))
+    total, theta, g = den.sum(), num.sum() / den.sum(), (len(num), 12, int((den > 0).sum()))
+
+    def error(cells):
+        m1, m2, m12 = ((x**2).sum() * k / (k - 1) for x, k in zip((cells.sum(1), cells.sum(0), cells[den > 0]), g, strict=True))
+        return math.sqrt(m1 + m2 - m12 if m1 + m2 - m12 > 0 else max(m1, m2)) / total
+
+    t = []
+    for w in bootstrap.draws(bootstrap.SEED, (2000,), range(99), list(range(1, 13))):
+        cells = (num - theta * den) * w
+        shift = cells.sum() / total
+        t.append(abs(shift / error(cells - shift * den)))
+    se = error(num - theta * den)
+    assert (got.g1, got.g2) == g[:2] and got.theta == pytest.approx(theta) and got.se == pytest.approx(se)
+    assert got.critical == pytest.approx(np.quantile(t, 0.95)) and got.p_wild == pytest.approx((1 + sum(x >= abs(theta / se) for x in t)) / 100)
