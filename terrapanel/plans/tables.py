@@ -10,6 +10,7 @@ from ..operators import climate, crossfit, diagnostics, features, inference, ras
 from ..operators.components import components
 from ..operators.folds import Split
 from ..sources.layers import vertices
+from ..sources.sinks import kept
 from . import panels
 from .describe import ORACLE_SQL as _DESCRIBED
 from .describe import RING
@@ -63,7 +64,7 @@ def variation_ratios(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def climate_response_curves(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = climate_components(spark, sf_dir)
+    rows = kept(climate_components(spark, sf_dir).select("block", "year", "month", "num", "den", "t2m_anomaly"), "climate-components")
     return rounded(climate.response_curves(rows, climate.fitted(rows)).select("curve", "point", "anomaly", "effect"), 5)
 
 

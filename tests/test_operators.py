@@ -492,3 +492,12 @@ def test_month_resampling_holds_no_blocks(spark):
     se = error(num - theta * den)
     assert (got.g1, got.g2) == g[:2] and got.theta == pytest.approx(theta) and got.se == pytest.approx(se)
     assert got.critical == pytest.approx(np.quantile(t, 0.95)) and got.p_wild == pytest.approx((1 + sum(x >= abs(theta / se) for x in t)) / 100)
+
+
+def test_response_curves_read_kept_components(spark, sf001, monkeypatch):
+    from terrapanel.plans import tables
+
+    own, seen = climate.response_curves, []
+    monkeypatch.setattr(climate, "response_curves", lambda rows, fit: seen.append(rows.inputFiles()) or own(rows, fit))
+    assert tables.climate_response_curves(spark, sf001).count() > 0
+    assert seen[0] and not any("panel" in f or "lineitem" in f for f in seen[0])
