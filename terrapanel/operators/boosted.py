@@ -7,8 +7,9 @@ it meets, so folds and targets need no copies of the rows.
 
 Targets, predictions and gradients are whole numbers of a small unit, so sums do not depend on the order of rows, tasks or
 retries, and the same trees grow everywhere.  The objective is the squared error with penalties on leaves (``l1``, ``l2``), a
-least gain and least rows of a split, and shares of rows and columns for each tree.  Predictions so far are a table in the
-shared folder, renewed every ``RENEW`` trees; a lost executor repeats its part of one pass.
+least gain and least rows of a split, and shares of rows and columns for each tree.  Rows, with their predictions so far, are blocks
+of matrices that stay with the tasks (in memory, else on disk), so that a pass reads no table; they are written to the shared folder every ``RENEW``
+trees, and a lost executor repeats its part of the trees since.
 
 What is broadcast is bounded: models are grown in groups so that trees, counts and a row's predictions stay below
 ``MAX_NODES``, ``MAX_CELLS`` and ``MAX_PLAN``.
@@ -18,11 +19,13 @@ from __future__ import annotations
 
 import hashlib
 import math
+import pickle
 from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+from pyspark import RDD, StorageLevel
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -31,12 +34,12 @@ from .quantiles import quantiles
 
 #: The least number of trees and depth that the reference searches; the others are usual ones.
 SETTING = {"trees": 300, "depth": 3, "rate": 0.1, "least_rows": 1.0, "least_gain": 0.0, "row_share": 1.0, "column_share": 1.0, "l1": 0.0, "l2": 1.0}
-BINS, RENEW = 64, 10
-SHARE, CELLS = 250_000, 200_000  # a task's rows times models (of a small table), and its cells of the histogram
+BINS, RENEW = 64, 50
+SHARE, CELLS = 100_000, 200_000  # a task's rows times models (of a small table), and its cells of the histogram
+DIRECT = 1 << 21  # cells of all tasks' histograms that meet without a shuffle (32 MB)
 MAX_NODES, MAX_CELLS, MAX_PLAN, MAX_STRATA = 4_000_000, 1 << 22, 128, 100_000
 MOST_BITS = 36
-SPLITS = "model int, node int, g long, n long, feature int, bin int, gl long, nl long"
-HISTOGRAM = "model int, node int, feature int, bin int, g long, n long"
+Block = tuple[np.ndarray, ...]  # stratum, cell, key, bins, targets and predictions of some rows
 
 
 @dataclass(frozen=True)
@@ -111,14 +114,6 @@ def _binned(columns: list[pa.Array], cuts: list[np.ndarray]) -> np.ndarray:
     return np.stack([np.searchsorted(c, x.to_numpy(zero_copy_only=False), "right").astype(np.uint8) for c, x in zip(cuts, columns, strict=True)], axis=1)
 
 
-def _whole(column: pa.Array, kind: type, n: int) -> np.ndarray:
-    return np.frombuffer(b"".join(column.to_pylist()), kind).reshape(n, -1)
-
-
-def _packed(values: np.ndarray) -> pa.Array:
-    return pa.array([r.tobytes() for r in np.ascontiguousarray(values)], pa.binary())
-
-
 class Group:
     """Models of some strata (code 0, 1, ...) and some entries of the plan, grown together.
 
@@ -135,8 +130,8 @@ class Group:
         self.trees: list[Trees] = []
         self.params = [(float(m["l1"]) / units[m.target][1], float(m["l2"]), float(m["least_gain"]) / units[m.target][1] ** 2, float(m["least_rows"])) for m in plan]
 
-    def start(self) -> DataFrame:
-        """stratum, cell, key, bins, y and hats of every row; hats begin at the mean of a model's training rows."""
+    def start(self) -> RDD:
+        """Blocks of all rows; predictions begin at the mean of a model's training rows."""
         cuts, units, n_f, n_t = self.cuts, self.units, len(self.features), len(self.targets)
         whole = [F.floor((F.col(t).cast("double") - F.lit(low)) / F.lit(unit) + 0.5).cast("long").alias(f"_y{i}") for i, (t, (low, unit)) in enumerate(zip(self.targets, units, strict=True))]
         own = self.rows.select("_code", F.col("_cell").cast("int"), F.xxhash64(*self.rows.columns).alias("_key"), *(F.col(c).cast("double").alias(f"_x{i}") for i, c in enumerate(self.features)), *whole)
@@ -156,26 +151,14 @@ class Group:
                 code = b.column(0).to_numpy()
                 y = np.stack([b.column(3 + n_f + i).to_numpy(zero_copy_only=False) for i in range(n_t)], axis=1)
                 hats = base.reshape(-1, n_plan)[code]
-                yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), b.column(2), _packed(_binned(b.columns[3 : 3 + n_f], cuts)), _packed(y.astype(np.int64)), _packed(hats)], names=["stratum", "cell", "key", "bins", "y", "hats"])
+                held = (code.astype(np.int64), b.column(1).to_numpy(), b.column(2).to_numpy(), _binned(b.columns[3 : 3 + n_f], cuts), y.astype(np.int64), hats)
+                yield pa.RecordBatch.from_arrays([pa.array([pickle.dumps(held)], pa.binary())], names=["block"])
 
         # a task's share: small tables are not worth many tasks a pass
         parts = max(1, -(-sum(r["n"] for r in sums) * n_plan // SHARE))
-        return self._kept(own.coalesce(parts).mapInArrow(run, "stratum int, cell int, key long, bins binary, y binary, hats binary"))
-
-    def _kept(self, df: DataFrame) -> DataFrame:
-        path = scratch(df.sparkSession, "boosted")
-        df.write.parquet(path)
-        return df.sparkSession.read.schema(df.schema).parquet(path)
-
-    def _advanced(self, b: pa.RecordBatch, pending: list[Trees]) -> tuple[np.ndarray, ...]:
-        n, n_plan = b.num_rows, len(self.of)
-        code, bins = b.column(0).to_numpy().astype(np.int64), _whole(b.column(3), np.uint8, n)
-        hats = _whole(b.column(5), np.int64, n).copy()
-        for t in pending:
-            for p in range(n_plan):
-                model = code * n_plan + p
-                hats[:, p] += t.leaf[model, t.walk(bins, model, t.depth)]
-        return code, b.column(1).to_numpy(), b.column(2).to_numpy(), bins, _whole(b.column(4), np.int64, n), hats
+        path = scratch(self.rows.sparkSession, "boosted")
+        own.coalesce(parts).mapInArrow(run, "block binary").write.parquet(path)
+        return self.rows.sparkSession.read.schema("block binary").parquet(path).rdd.map(lambda r: pickle.loads(r[0]))
 
     def _light(self) -> Group:
         """What tasks need: no rows, no finished trees."""
@@ -187,17 +170,30 @@ class Group:
         own.n_bins = max([1, *(len(c) + 1 for c in self.cuts)])
         return own
 
-    def histogram(self, state: DataFrame, pending: list[Trees], tree: Trees, number: int, level: int, open_: np.ndarray) -> DataFrame:
-        """Sums of gradients and counts by model, node of the level, feature and bin, a set of rows a task."""
+    def advanced(self, block: Block, tree: Trees) -> Block:
+        """The block with the tree's steps added to its predictions."""
+        code, bins, hats, n_plan = block[0], block[3], block[5].copy(), len(self.of)
+        for p in range(n_plan):
+            model = code * n_plan + p
+            hats[:, p] += tree.leaf[model, tree.walk(bins, model, tree.depth)]
+        return (*block[:5], hats)
+
+    def splits(self, state: RDD, tree: Trees, number: int, level: int, open_: np.ndarray, allowed: list[list[int]]) -> list[tuple]:
+        """model, node, g, n and the best split (feature, bin: up to it rows go left; gl, nl) of every open node, feature -1 where none gains enough.
+
+        Every task sums gradients and counts by model, node of the level, feature and bin.  Histograms of few tasks are added as
+        they come; others meet by ranges of models in a shuffle, and only the chosen splits come to the driver.
+        """
         task, n_plan = self._light(), len(self.plan)
         size = (self.n_models, 1 << level, task.n_features, task.n_bins)
+        params, mask, width = np.array(self.params, float), np.zeros((n_plan, task.n_features), bool), math.prod(size[1:])
+        for p, a in enumerate(allowed):
+            mask[p, a] = True
+        step = max(1, CELLS // width)  # models of a range
 
-        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def sums(blocks: Iterator[Block]) -> tuple[np.ndarray, np.ndarray]:
             g_sum, n_sum = np.zeros(math.prod(size), np.int64), np.zeros(math.prod(size), np.int64)
-            for b in batches:
-                if not b.num_rows:
-                    continue
-                code, cell, key, bins, y, hats = task._advanced(b, pending)
+            for code, cell, key, bins, y, hats in blocks:
                 for p in range(n_plan):
                     row = task.trains[p, cell]
                     if task.shares[p] < 1:
@@ -213,19 +209,35 @@ class Group:
                     at = ((model * size[1] + node) * size[2])[:, None] + np.arange(size[2])
                     at = (at * size[3] + bins[row]).ravel()
                     g = np.repeat(g, size[2])
+                    low, spread = int(at.min()), int(at.max()) + 1  # the models of the block's strata
+                    at -= low
                     # in two halves, so that the sums of doubles are exact
-                    for part, step in ((g >> 20, 1 << 20), (g & ((1 << 20) - 1), 1)):
-                        g_sum += np.bincount(at, part, len(g_sum)).astype(np.int64) * step
-                    n_sum += np.bincount(at, minlength=len(n_sum))
-            at = np.flatnonzero(n_sum)
-            model, node, feature, bin_ = np.unravel_index(at, size)
-            yield pa.RecordBatch.from_arrays([*(pa.array(x.astype(np.int32)) for x in (model, node, feature, bin_)), pa.array(g_sum[at]), pa.array(n_sum[at])], names=["model", "node", "feature", "bin", "g", "n"])
+                    for part, unit in ((g >> 20, 1 << 20), (g & ((1 << 20) - 1), 1)):
+                        g_sum[low:spread] += np.bincount(at, part, spread - low).astype(np.int64) * unit
+                    n_sum[low:spread] += np.bincount(at, minlength=spread - low)
+            return g_sum, n_sum
+
+        def best(first: int, g: np.ndarray, n: np.ndarray) -> list[tuple]:
+            at = np.flatnonzero(n)
+            model, node, feature, bins = np.unravel_index(at + first * width, size)
+            return list(zip(*(x.tolist() for x in best_splits(model, node, feature, bins, g[at], n[at], params, mask)), strict=True)) if len(at) else []
+
+        if state.getNumPartitions() * math.prod(size) <= DIRECT:
+            g, n = (sum(x) for x in zip(*state.mapPartitions(lambda blocks: [sums(blocks)]).collect(), strict=True))
+            return best(0, g, n)
 
-        return state.mapInArrow(run, HISTOGRAM)
+        def ranges(blocks: Iterator[Block]) -> Iterator[tuple[int, tuple[np.ndarray, np.ndarray]]]:
+            g, n = sums(blocks)
+            for m in range(0, size[0], step):
+                if n[m * width : (m + step) * width].any():
+                    yield m, (g[m * width : (m + step) * width], n[m * width : (m + step) * width])
+
+        met = state.mapPartitions(ranges).reduceByKey(lambda a, b: (a[0] + b[0], a[1] + b[1]), max(1, -(-size[0] // step)))
+        return met.flatMap(lambda x: best(x[0], *x[1])).collect()  # a row a node
 
     def grow(self) -> None:
-        """All trees; the table of predictions is renewed every RENEW trees."""
-        state, pending = self.start(), []
+        """All trees; blocks with their predictions are kept until the next tree's are made, and written every RENEW trees."""
+        state, before, task = self.start().persist(StorageLevel.MEMORY_AND_DISK), [], self._light()
         n_plan, n_f = len(self.plan), len(self.features)
         depth = np.tile([int(m["depth"]) for m in self.plan], self.strata)
         upto = np.tile([int(m["trees"]) for m in self.plan], self.strata)
@@ -239,30 +251,29 @@ class Group:
             for level in range(self.depth):
                 if not open_.any():
                     break
-                parts = max(1, -(-(self.n_models * n_f * BINS << level) // CELLS))
-                found = chosen(self.histogram(state, pending, tree, number, level, open_), self.params, allowed, n_f, parts).collect()  # a row a node
+                found = self.splits(state, tree, number, level, open_, allowed)
+                while before:  # the state is made now
+                    before.pop().unpersist()
                 after = np.zeros((self.n_models, 2 << level), bool)
-                for r in found:
-                    m, node = r["model"], r["node"]
-                    sides = ((2 * node, r["gl"], r["nl"]), (2 * node + 1, r["g"] - r["gl"], r["n"] - r["nl"])) if r["feature"] >= 0 else ((2 * node, r["g"], r["n"]),)
-                    if r["feature"] >= 0:
-                        tree.feature[m, (1 << level) - 1 + node], tree.cut[m, (1 << level) - 1 + node] = r["feature"], r["bin"]
+                for m, node, g_all, n_all, feature, bin_, gl, nl in found:
+                    sides = ((2 * node, gl, nl), (2 * node + 1, g_all - gl, n_all - nl)) if feature >= 0 else ((2 * node, g_all, n_all),)
+                    if feature >= 0:
+                        tree.feature[m, (1 << level) - 1 + node], tree.cut[m, (1 << level) - 1 + node] = feature, bin_
                         after[m, [2 * node, 2 * node + 1]] = level + 1 < depth[m]
                     for side, g, n in sides:  # the leftmost leaf below, unless a later level splits it
                         tree.leaf[m, side << (self.depth - level - 1)] = leaf(g, n, l1[m], l2[m], rate[m])
                 open_ = after
             self.trees.append(tree)
-            pending.append(tree)
-            if len(pending) == RENEW and number + 1 < self.n_trees:
-                task, done = self._light(), pending
-
-                def renew(batches: Iterator[pa.RecordBatch], task: Group = task, done: list[Trees] = done) -> Iterator[pa.RecordBatch]:
-                    for b in batches:
-                        if b.num_rows:
-                            hats = task._advanced(b, done)[-1]
-                            yield pa.RecordBatch.from_arrays([*b.columns[:5], _packed(hats)], names=b.schema.names)
-
-                state, pending = self._kept(state.mapInArrow(renew, state.schema)), []
+            if number + 1 < self.n_trees:
+                before.append(state)
+                state = state.map(lambda block, task=task, tree=tree: task.advanced(block, tree))
+                if (number + 1) % RENEW == 0:
+                    path = scratch(self.rows.sparkSession, "boosted")
+                    state.saveAsPickleFile(path, 1)
+                    state = self.rows.sparkSession.sparkContext.pickleFile(path)
+                state = state.persist(StorageLevel.MEMORY_AND_DISK)
+        for held in (*before, state):
+            held.unpersist()
 
     def table(self) -> DataFrame:
         """stratum, entry, tree, kind, node, feature, below (rows under it go left), value: the trees as rows.
@@ -354,7 +365,7 @@ def leaf(g: int, n: int, l1: float, l2: float, rate: float) -> int:
 
 
 def best_splits(model: np.ndarray, node: np.ndarray, feature: np.ndarray, bins: np.ndarray, g: np.ndarray, n: np.ndarray, params: np.ndarray, allowed: np.ndarray) -> list[np.ndarray]:
-    """Columns of SPLITS from whole histograms; ``params`` and ``allowed`` (bool by feature) have a row an entry of the plan."""
+    """model, node, g, n, feature, bin, gl and nl of the best splits from whole histograms; ``params`` and ``allowed`` (bool by feature) have a row an entry of the plan."""
     order = np.lexsort((bins, feature, node, model))
     model, node, feature, bins, g, n = (x[order] for x in (model, node, feature, bins, g, n))
     fresh = lambda *keys: np.flatnonzero(np.concatenate([[True], np.any([k[1:] != k[:-1] for k in keys], axis=0)]))
@@ -380,27 +391,6 @@ def best_splits(model: np.ndarray, node: np.ndarray, feature: np.ndarray, bins:
     return [model[first], node[first], whole_g[first], whole_n[first], value(feature), value(bins), value(gl), value(nl)]
 
 
-def chosen(histogram: DataFrame, params: list[tuple[float, float, float, float]], allowed: list[list[int]], n_features: int, parts: int) -> DataFrame:
-    """model, node, g, n and the best split (feature, bin: up to it rows go left; gl, nl), feature -1 where none gains enough.
-
-    ``params`` (l1, l2, least gain, least rows, in units) and ``allowed`` features go by entry of the plan, model modulo
-    their number.  Among equal gains the least feature and bin win.  One shuffle, by model and node, into ``parts``.
-    """
-    sums = histogram.repartition(parts, "model", "node").groupBy("model", "node", "feature", "bin").agg(F.sum("g").alias("g"), F.sum("n").alias("n"))
-    table, mask = np.array(params, float), np.zeros((len(params), n_features), bool)
-    for p, a in enumerate(allowed):
-        mask[p, a] = True
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held = [b for b in batches if b.num_rows]
-        if held:
-            columns = [c.to_numpy() for c in pa.Table.from_batches(held).columns]
-            out = best_splits(*columns, table, mask)
-            yield pa.RecordBatch.from_arrays([pa.array(x.astype(k)) for x, k in zip(out, ("i4", "i4", "i8", "i8", "i4", "i4", "i8", "i8"), strict=True)], names=SPLITS.replace(" int", "").replace(" long", "").split(", "))
-
-    return sums.mapInArrow(run, SPLITS)
-
-
 def coded(rows: DataFrame, strata: list[str]) -> tuple[DataFrame, int]:
     """Rows with ``_code``, the number of their stratum, and how many strata there are (at most MAX_STRATA)."""
     if not strata:

@@ -124,3 +124,19 @@ def test_exact_quantiles_of_heavy_tails(spark):
     lower = quantiles.quantiles(rows, [], "v", {"m": 0.3}, between=False).first().m
     assert lower == np.quantile(values, 0.3, method="lower")
     assert quantiles.quantiles(rows.where("g > 5"), ["g"], "v", wanted).count() == 0
+
+
+def test_levels_agree_with_and_without_shuffle(spark, monkeypatch):
+    rng = np.random.default_rng(21)
+    d = pd.DataFrame({"a": rng.normal(size=900), "b": rng.integers(0, 9, 900).astype(float), "s": rng.choice(["u", "v"], 900), "fold": rng.integers(0, 2, 900)})
+    d["y"] = np.sin(3 * d.a) + d.b * np.where(d.s == "u", 1, -1)
+    rows, k = boosted.coded(spark.createDataFrame(d).withColumn("_cell", F.col("fold")), ["s"])
+    plan = [boosted.Model(0, np.array([f != t for f in range(2)]), {"trees": 7, "depth": 3}) for t in range(2)]
+    monkeypatch.setattr(boosted, "RENEW", 3)
+    tables = []
+    for direct, cells in ((boosted.DIRECT, boosted.CELLS), (0, 1)):
+        monkeypatch.setattr(boosted, "DIRECT", direct)
+        monkeypatch.setattr(boosted, "CELLS", cells)  # a model a range
+        (_, _, group), = boosted.grown(rows, ["a", "b"], ["y"], plan, k)
+        tables.append(sorted(map(str, group.table().collect())))
+    assert tables[0] == tables[1] and len(tables[0]) > 7 * 4 * 8
