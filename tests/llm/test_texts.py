@@ -565,3 +565,23 @@ def test_repeated_rows_meet_once(spark):
     rows = [(1, " ".join(words))] * 3000 + [(2, " ".join([*words[:-1], "other"]))]
     got = jaccard_join.near_links(spark.createDataFrame(rows, "doc_id long, text string").repartition(6)).collect()
     assert sorted((r.doc_id, r.class_id, r.n_links) for r in got) == [(1, 1, 1), (2, 1, 1)]
+
+
+def test_reading_a_store_gives_encoders_back(spark, monkeypatch):
+    docs = spark.createDataFrame([(i, f"some words of text {i}") for i in range(40)], "doc_id long, text string")
+    path = token_store.scratch(spark, "store-to-read")
+    token_store.write_store(docs, path)
+
+    class Read:
+        """Stands for the chunks' table; keeps the function that tasks run."""
+
+        def mapInArrow(self, run, schema):
+            self.run = run
+            return self
+
+    read = Read()
+    frame = type(spark.range(1))
+    monkeypatch.setattr(frame, "mapInArrow", lambda self, run, schema: read.mapInArrow(run, schema))
+    token_store.chunk_sums(spark, path)
+    token_store._encoders["kept"] = object()
+    assert not list(read.run(iter([]))) and not token_store._encoders
