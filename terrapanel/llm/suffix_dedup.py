@@ -41,17 +41,16 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .bytetext import BYTE_KEYS, edges, mix64, powers, slices, spread, utf8
-from .induced import sorted_suffixes
 from .tables import bucketed, salted_join, saved, table
 
 LENGTH, GRAM = 50, 20
 SHARD_BYTES, CONTENT_BYTES, HASH_BYTES = 6 << 20, 16 << 20, 256 << 20  # input a shard of texts, of snippets, of hashes stands for
 HOT = 20_000
-SLICE = 1 << 17
+SLICE, PIECE = 1 << 17, 1 << 16  # bytes hashed, snippets sorted at once
 ANCHOR, STRING, COPY, ANSWER = range(4)  # kinds of messages to a text shard
 PACKED = "shard int, payload binary, ids array<long>, names array<binary>"
 HASHES = "bucket long, shard int, h binary, n binary"
-SNIPPETS = "bucket int, shard int, run int, skip int, name long, anchor long, least long, most long, text binary"
+SNIPPETS = "bucket int, shard int, run int, skip int, lead byte, name long, anchor long, least long, most long, text binary"
 ANSWERS = "shard int, run int, start int, stop int, least long"
 RESULT = "doc_id long, n_bytes long, removed_from array<long>, removed_to array<long>, kept binary"
 _OPTIONS = pa.ipc.IpcWriteOptions(compression="zstd")
@@ -71,7 +70,7 @@ def unpacked(payload) -> pa.Table:
 
 
 def rows_of(found: list[dict], schema: str) -> pa.Table:
-    kinds = {"int": pa.int32(), "long": pa.int64(), "binary": pa.binary(), "array<long>": pa.list_(pa.int64()), "array<binary>": pa.list_(pa.binary())}
+    kinds = {"byte": pa.int8(), "int": pa.int32(), "long": pa.int64(), "binary": pa.binary(), "array<long>": pa.list_(pa.int64()), "array<binary>": pa.list_(pa.binary())}
     names = [c.split() for c in schema.split(", ")]
     return pa.table({n: pa.array([r[n] for r in found], kinds[k]) for n, k in names})
 
@@ -98,7 +97,7 @@ class Shard:
 
     def _find_anchors(self) -> None:
         """Runs of string starts with one anchor: first and last start, anchor hash, snippet hash."""
-        first, last, anchor, name = [], [], [], []
+        first, last, lead, anchor, name = [], [], [], [], []
         width = LENGTH - GRAM + 1
         for i, j in slices(self.offsets, SLICE):
             base = int(self.offsets[i])
@@ -129,10 +128,12 @@ class Shard:
             end = b + LENGTH
             first.append(a + base)
             last.append(b + base)
+            lead.append((place[a] - a).astype(np.int8))
             anchor.append(mix64(h[place[a]] ^ np.uint64(0x9E3779B97F4A7C15)))
             name.append(mix64((sums[end] - sums[a]) * down[a] + (end - a).astype(np.uint64) * np.uint64(0xC2B2AE3D27D4EB4F)))
         join = lambda x, kind: np.concatenate(x) if x else np.zeros(0, kind)
         self.first, self.last, self.anchor, self.name = join(first, np.int64), join(last, np.int64), join(anchor, np.uint64), join(name, np.uint64)
+        self.lead = join(lead, np.int8)  # bytes before the anchor
         self.doc = np.searchsorted(self.offsets, self.first, "right") - 1
 
     def strings(self, start: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -259,26 +260,32 @@ def isin(values: np.ndarray, known: np.ndarray) -> np.ndarray:
     return known[at] == values
 
 
+def padded(data: np.ndarray, width: int) -> np.ndarray:
+    """The ``width`` bytes from every place on; a view, zeros behind the end."""
+    return np.lib.stride_tricks.sliding_window_view(np.concatenate([data, np.zeros(width, np.uint8)]), width)
+
+
 def send_snippets(buckets: int):
     def run(frames: pa.Table, messages: pa.Table) -> pa.Table:
         if not frames.num_rows:
             return rows_of([], SNIPPETS)
         shard, number = Shard(frames, messages), frames.column("shard")[0].as_py()
         known, many = received(messages, ANCHOR)
-        use, hot = isin(short(shard.anchor), known), isin(short(shard.anchor), many)
-        # anchors of two documents of this shard
-        order = np.lexsort((shard.doc, shard.anchor))
+        order = np.argsort(shard.anchor)
         a, d = shard.anchor[order], shard.number[shard.doc[order]]
+        use, hot = np.zeros(len(a), bool), np.zeros(len(a), bool)
         if len(a):
             begin = np.flatnonzero(np.concatenate([[True], a[1:] != a[:-1]]))
-            pair = np.minimum.reduceat(d, begin) < np.maximum.reduceat(d, begin)
-            use[order] |= np.repeat(pair, np.diff(np.append(begin, len(a))))
+            pair = np.minimum.reduceat(d, begin) < np.maximum.reduceat(d, begin)  # anchors of two documents of this shard
+            runs = np.diff(np.append(begin, len(a)))
+            use[order] = np.repeat(pair | isin(short(a[begin]), known), runs)
+            hot[order] = np.repeat(isin(short(a[begin]), many), runs)
         head, firsts = shard.distinct()
         least, most = np.full(len(head), np.iinfo(np.int64).max), np.full(len(head), np.iinfo(np.int64).min)
         np.minimum.at(least, head, shard.number[shard.doc])
         np.maximum.at(most, head, shard.number[shard.doc])
         run = firsts[use[firsts] & ~hot[firsts]]
-        whole = _snippets(shard, number, run, np.zeros(len(run), np.int64), shard.last[run] - shard.first[run] + LENGTH, shard.anchor[run], shard.name[run], least, most, buckets)
+        whole = _snippets(shard, number, run, np.zeros(len(run), np.int64), shard.lead[run], shard.last[run] - shard.first[run] + LENGTH, shard.anchor[run], shard.name[run], least, most, buckets)
         run, skip, anchor, name = shard.singled(firsts, many)
         own = isin(short(anchor), received(messages, STRING)[0])
         order = np.argsort(anchor, kind="stable")  # strings of two documents of this shard
@@ -287,19 +294,57 @@ def send_snippets(buckets: int):
             pair = np.minimum.reduceat(least[run[order]], begin) < np.maximum.reduceat(most[run[order]], begin)
             own[order] |= np.repeat(pair, np.diff(np.append(begin, len(order))))
         run, skip, anchor, name = run[own], skip[own], anchor[own], name[own]
-        single = _snippets(shard, number, run, skip, np.full(len(run), LENGTH), anchor, name, least, most, buckets)
+        single = _snippets(shard, number, run, skip, np.zeros(len(run), np.int8), np.full(len(run), LENGTH), anchor, name, least, most, buckets)
         return pa.concat_tables([whole, single])
 
     return run
 
 
-def _snippets(shard: Shard, number: int, run: np.ndarray, skip: np.ndarray, size: np.ndarray, anchor: np.ndarray, name: np.ndarray, least: np.ndarray, most: np.ndarray, buckets: int) -> pa.Table:
-    data = shard.data[spread(shard.first[run] + skip, size)]
+def _snippets(shard: Shard, number: int, run: np.ndarray, skip: np.ndarray, lead: np.ndarray, size: np.ndarray, anchor: np.ndarray, name: np.ndarray, least: np.ndarray, most: np.ndarray, buckets: int) -> pa.Table:
+    wide = 2 * LENGTH - GRAM  # no snippet is longer
+    data = padded(shard.data, wide)[shard.first[run] + skip][np.arange(wide) < size[:, None]]
     text = pa.BinaryArray.from_buffers(pa.binary(), len(run), [None, pa.py_buffer(np.concatenate([[0], np.cumsum(size)]).astype(np.int32)), pa.py_buffer(data)])
-    columns = [bucket_of(anchor, buckets).astype(np.int32), np.full(len(run), number, np.int32), run.astype(np.int32), skip.astype(np.int32), name.view(np.int64), anchor.view(np.int64), least[run], most[run]]
+    columns = [bucket_of(anchor, buckets).astype(np.int32), np.full(len(run), number, np.int32), run.astype(np.int32), skip.astype(np.int32), lead, name.view(np.int64), anchor.view(np.int64), least[run], most[run]]
     return pa.table([*map(pa.array, columns), text], names=[c.split()[0] for c in SNIPPETS.split(", ")])
 
 
+def contexts(windows: np.ndarray, place: np.ndarray, size: np.ndarray, group: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Suffixes of ``size`` bytes at some places, sorted within groups: the rank of each, and by rank the length shared with the one before (-1 for a group's first)."""
+    width = windows.shape[1]
+    held = np.zeros((len(place), -(-width // 8) * 8), np.uint8)
+    held[:, :width] = windows[place]
+    held[:, :width][np.arange(width) >= size[:, None]] = 0
+    order = np.lexsort((*held.view(">u8").astype(np.uint64).T[::-1], group))
+    held, shared, rank = held[order], np.full(len(order), -1), np.empty(len(order), np.int64)
+    rank[order] = np.arange(len(order))
+    differs = held[1:] != held[:-1]
+    shared[1:] = np.where(differs.any(axis=1), differs.argmax(axis=1), width)
+    shared[1:][group[order][1:] != group[order][:-1]] = -1
+    return rank, shared
+
+
+def least_ids(right: tuple[np.ndarray, np.ndarray], left: tuple[np.ndarray, np.ndarray], lead: np.ndarray, size: np.ndarray, lowest: np.ndarray) -> np.ndarray:
+    """The least id of all equal strings for every string start, snippet by snippet.
+
+    A string that starts ``k`` bytes before its anchor equals those that share ``k`` bytes before and ``LENGTH - k`` from
+    it on: those in one run of both orders.
+    """
+    starts = size - LENGTH + 1
+    begin, number = np.cumsum(starts) - starts, np.arange(len(size))
+    out = np.empty(int(starts.sum()), np.int64)
+    run = lambda order, depth, own: np.maximum.accumulate(np.where(order[1] < depth, number, 0))[order[0][own]]
+    for k in range(int(lead.max()) + 1):
+        own = np.flatnonzero((lead >= k) & (lead - k < starts))
+        if not len(own):
+            continue
+        key = run(right, LENGTH - k, own) * len(size) + run(left, k, own)
+        order = np.argsort(key)
+        first = np.flatnonzero(np.concatenate([[True], key[order][1:] != key[order][:-1]]))
+        least = np.minimum.reduceat(lowest[own][order], first)
+        out[(begin + lead - k)[own][order]] = np.repeat(least, np.diff(np.append(first, len(own))))
+    return out
+
+
 def compare(whole: pa.Table) -> pa.Table:
     """Least ids for the string starts of a content shard's snippets: (shard, run, start, stop, least)."""
     whole = whole.combine_chunks()
@@ -320,51 +365,32 @@ def compare(whole: pa.Table) -> pa.Table:
     same = np.zeros(len(first), bool)
     same[1:] = sorted_anchor[1:] == sorted_anchor[:-1]
     same[:-1] |= same[1:]
-    many = np.sort(by_anchor[same])
-    # the others' texts, a separator after each, and the end
-    start = np.concatenate([[0], np.cumsum(size[many] + 1)])
-    text = np.ones(start[-1] + 1, np.int16)
-    text[spread(start[:-1], size[many])] = data[spread(at[first[many]], size[many])].astype(np.int16) + 2
-    text[-1] = 0
-    valid = np.zeros(len(text), bool)
-    valid[spread(start[:-1], size[many] - LENGTH + 1)] = True
-    found = np.zeros(len(text), np.int64)  # the least id of each start
-    rest_place, rest_least, low_of = np.zeros(0, np.int64), None, lowest[many]
-
-    for block in sorted_suffixes(text, LENGTH):
-        own = valid[block["place"]]
-        place, together = block["place"][own], block["shared"][own] >= LENGTH
-        if not len(place):
-            continue
-        low = low_of[np.searchsorted(start, place, "right") - 1]
-        lead = np.flatnonzero(~together)
-        if together[0] and rest_least is not None:  # the group goes on from the block before
-            stop = int(lead[0]) if len(lead) else len(place)
-            rest_place, rest_least = np.concatenate([rest_place, place[:stop]]), min(rest_least, int(low[:stop].min()))
-            place, low, lead = place[stop:], low[stop:], lead - stop
-        if len(place):
-            if rest_least is not None:
-                found[rest_place] = rest_least
-            group = np.minimum.reduceat(low, lead)
-            found[place] = np.repeat(group, np.diff(np.append(lead, len(place))))
-            rest_place, rest_least = place[lead[-1] :], int(group[-1])
-    if rest_least is not None:
-        found[rest_place] = rest_least
+    many, group = by_anchor[same], sorted_anchor[same]
+    lead = whole.column("lead").to_numpy()[first[many]].astype(np.int64)
+    start = np.concatenate([[0], np.cumsum(size[many] - LENGTH + 1)])
+    found = np.zeros(start[-1], np.int64)  # the least id of each string start
+    onward, back = padded(data, LENGTH), padded(data[::-1], LENGTH - GRAM)
+    bound = np.append(np.flatnonzero(np.diff(group, prepend=~group[:1])), len(group))  # of anchors
+    for i, j in slices(bound, PIECE):
+        i, j = int(bound[i]), int(bound[j])
+        place = at[first[many[i:j]]] + lead[i:j]
+        right = contexts(onward, place, size[many[i:j]] - lead[i:j], group[i:j])
+        left = contexts(back, len(data) - place, lead[i:j], group[i:j])
+        found[start[i] : start[j]] = least_ids(right, left, lead[i:j], size[many[i:j]], lowest[many[i:j]])
     # stretches of equal least ids within a snippet
-    where = np.flatnonzero(valid)
-    of = np.searchsorted(start, where, "right") - 1
-    cut = np.ones(len(where), bool)
-    cut[1:] = (of[1:] != of[:-1]) | (found[where][1:] != found[where][:-1])
+    of = np.repeat(np.arange(len(many)), np.diff(start))
+    cut = np.ones(len(of), bool)
+    cut[1:] = (of[1:] != of[:-1]) | (found[1:] != found[:-1])
     stretch = np.flatnonzero(cut)
-    end = np.append(stretch[1:], len(where))
-    s_from = where[stretch] - start[of[stretch]]
+    end = np.append(stretch[1:], len(of))
+    s_from = stretch - start[of[stretch]]
     alone = np.ones(len(first), bool)
     alone[many] = False
     alone = np.flatnonzero(alone)
     s_of = np.concatenate([many[of[stretch]], alone])
     by_snippet = np.argsort(s_of, kind="stable")
     s_of = s_of[by_snippet]
-    s_least = np.concatenate([found[where[stretch]], lowest[alone]])[by_snippet]
+    s_least = np.concatenate([found[stretch], lowest[alone]])[by_snippet]
     s_to = np.concatenate([s_from + (end - stretch), size[alone] - LENGTH + 1])[by_snippet]
     s_from = np.concatenate([s_from, np.zeros(len(alone), np.int64)])[by_snippet]
     per = np.searchsorted(s_of, np.arange(len(first) + 1))
@@ -383,36 +409,31 @@ def cut(frames: pa.Table, answers: pa.Table) -> pa.Table:
     shard = Shard(frames, answers)
     answers = answers.filter(pc.equal(answers.column("kind"), ANSWER))
     n = len(shard.data)
-    cover = np.zeros(n + 1, np.int64)
+    cover = np.zeros(n + 1, np.int32)
     if answers.num_rows:
         run, start, stop, least = (answers.column(c).to_numpy() for c in ("run", "start", "stop", "least"))
         order = np.argsort(run, kind="stable")
         run, start, stop, least = run[order], start[order], stop[order], least[order]
         head, _ = shard.distinct()
-        a, b = np.searchsorted(run, head), np.searchsorted(run, head, "right")
-        k, who = spread(a, b - a), np.repeat(np.arange(len(head)), b - a)
+        upto = np.concatenate([[0], np.cumsum(np.bincount(run, minlength=len(head)))])
+        held = np.flatnonzero(upto[head + 1] > upto[head])
+        a, b = upto[head[held]], upto[head[held] + 1]
+        k, who = spread(a, b - a), np.repeat(held, b - a)
         own = least[k] < shard.number[shard.doc[who]]
         k, who = k[own], who[own]
         np.add.at(cover, shard.first[who] + start[k], 1)
         np.add.at(cover, shard.first[who] + stop[k] - 1 + LENGTH, -1)
-    gone = np.cumsum(cover[:-1]) > 0
+    gone = np.cumsum(cover[:-1], dtype=np.int32) > 0
     begin, end = edges(gone, shard.offsets)
-    of = np.searchsorted(begin, shard.offsets)
-    kept_at = np.concatenate([[0], np.cumsum(~gone)])[shard.offsets]
+    of = np.searchsorted(begin, shard.offsets)  # ranges before each document
+    kept_at = shard.offsets - np.concatenate([[0], np.cumsum(end - begin)])[of]
     kept = shard.data[~gone]
     local = shard.offsets[np.searchsorted(shard.offsets, begin, "right") - 1] if len(begin) else begin
-    edge = pa.array(of, pa.int32())
-    removed_from, removed_to = (pa.ListArray.from_arrays(edge, pa.array(x - local, pa.int64())) for x in (begin, end))
-    out = pa.table({"doc_id": pa.array(shard.ids, pa.int64()), "n_bytes": pa.array(shard.size, pa.int64()), "removed_from": removed_from, "removed_to": removed_to, "kept": pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(shard.ids), [None, pa.py_buffer(kept_at.astype(np.int64)), pa.py_buffer(kept)]).cast(pa.binary())})
-    if not shard.copied.any():
-        return out
-    copied = pa.array(shard.copied)
-    whole = [[0] if c else None for c in shard.copied.tolist()], [[s] if c else None for c, s in zip(shard.copied.tolist(), shard.size.tolist(), strict=True)]
-    for name, values in zip(("removed_from", "removed_to"), whole, strict=True):
-        column = [v if c else x for v, x, c in zip(values, out.column(name).to_pylist(), shard.copied.tolist(), strict=True)]
-        out = out.set_column(out.column_names.index(name), name, pa.array(column, pa.list_(pa.int64())))
-    del copied
-    return out
+    copied = np.flatnonzero(shard.copied)  # they hold no bytes here, and go whole
+    begin, end = np.insert(begin - local, of[copied], 0), np.insert(end - local, of[copied], shard.size[copied])
+    edge = pa.array(of + np.concatenate([[0], np.cumsum(shard.copied)]), pa.int32())
+    removed_from, removed_to = (pa.ListArray.from_arrays(edge, pa.array(x, pa.int64())) for x in (begin, end))
+    return pa.table({"doc_id": pa.array(shard.ids, pa.int64()), "n_bytes": pa.array(shard.size, pa.int64()), "removed_from": removed_from, "removed_to": removed_to, "kept": pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(shard.ids), [None, pa.py_buffer(kept_at.astype(np.int64)), pa.py_buffer(kept)]).cast(pa.binary())})
 
 
 def remove_repeats(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", shard_bytes: int = SHARD_BYTES, content_bytes: int = CONTENT_BYTES, hot: int = HOT) -> DataFrame:

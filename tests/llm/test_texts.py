@@ -6,10 +6,12 @@ import os
 import random
 import re
 import shutil
+import time
 import zlib
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 
 import pytest
 from pyspark.sql import functions as F
@@ -99,6 +101,34 @@ def test_one_anchor_in_half_of_all_documents(spark):
         assert got == want and any(r[2] for r in got)
 
 
+def test_content_shard_is_sorted_at_anchors_only():
+    """Least ids of all strings like a dictionary's, without a step a byte of the snippets."""
+    rng = random.Random(12)
+    half = lambda n: bytes(rng.choice(b"ab") for _ in range(n))
+    rows, first = [], {}
+    for g in range(400):
+        gram, fronts, backs = rng.randbytes(20), [half(30) for _ in range(6)], [half(30) for _ in range(6)]
+        for _ in range(100):
+            lead = rng.randint(0, 30)
+            text = (rng.choice(fronts)[30 - lead :] + gram + rng.choice(backs))[: 49 + rng.randint(1, lead + 1)]
+            low = rng.randint(0, 10**6)
+            rows.append((g, lead, text, low, low + rng.randint(0, 10**5)))
+            for k in range(len(text) - 49):
+                key = (g, text[k : k + 50])
+                first[key] = min(first.get(key, low), low)
+    g, lead, text, low, high = zip(*rows, strict=True)
+    name = [hash((a, b)) for a, b in zip(g, text, strict=True)]
+    n, kinds = len(rows), {"long": pa.int64(), "int": pa.int32(), "byte": pa.int8(), "binary": pa.binary()}
+    given = {"bucket": [0] * n, "shard": [7] * n, "run": range(n), "skip": [0] * n, "lead": lead, "name": name, "anchor": [a * 10**12 for a in g], "least": low, "most": high, "text": text}
+    whole = pa.table({c: pa.array(list(given[c]), kinds[k]) for c, k in (x.split() for x in suffix_dedup.SNIPPETS.split(", "))})
+    began = time.process_time()
+    got = suffix_dedup.compare(whole).to_pylist()
+    assert time.process_time() - began < 2
+    seen = {(r["run"], k): r["least"] for r in got for k in range(r["start"], r["stop"])}
+    want = {(i, k): first[g[i], text[i][k : k + 50]] for i in range(n) for k in range(len(text[i]) - 49)}
+    assert seen == {at: least for at, least in want.items() if least < high[at[0]]}
+
+
 def test_shard_larger_than_memory():
     """Recursion with all of its state on disk, on a text of many times ``memory`` rows."""
     rng = np.random.default_rng(3)
