@@ -3,11 +3,12 @@
 Features are cut once into bins at exact quantiles.  A level of a tree takes one pass over the rows: every task counts rows
 and sums gradients by (model, node, feature, bin) with NumPy, the sums are added by a shuffle of those small rows, and each node's
 split is chosen where its sums meet; only the chosen splits come to the driver.  A row trains every model whose condition
-it meets, so folds and targets need no copies of the rows.
+it meets, so folds and targets need no copies of the rows.  Features are counted in pairs, whose sums give those of either; of two sisters
+only the smaller is counted where the sums of their parent are at hand.
 
 Targets, predictions and gradients are whole numbers of a small unit, so sums do not depend on the order of rows, tasks or
-retries, and the same trees grow everywhere.  The objective is the squared error with penalties on leaves (``l1``, ``l2``), a
-least gain and least rows of a split, and shares of rows and columns for each tree.  Rows, with their predictions so far, are blocks
+retries, and the same trees grow everywhere (doubles add them only where all sums are exact).  The objective is the squared error with penalties on leaves (``l1``, ``l2``), a
+least gain and least rows of a split, and shares of rows and columns for each tree.  Rows, with their gradients so far, are blocks
 of matrices that stay with the tasks (in memory, else on disk), so that a pass reads no table; they are written to the shared folder every ``RENEW``
 trees, and a lost executor repeats its part of the trees since.
 
@@ -20,7 +21,7 @@ from __future__ import annotations
 import hashlib
 import math
 import pickle
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -34,12 +35,16 @@ from .quantiles import quantiles
 
 #: The least number of trees and depth that the reference searches; the others are usual ones.
 SETTING = {"trees": 300, "depth": 3, "rate": 0.1, "least_rows": 1.0, "least_gain": 0.0, "row_share": 1.0, "column_share": 1.0, "l1": 0.0, "l2": 1.0}
-BINS, RENEW = 64, 50
+BINS, RENEW, HOLD = 64, 50, 2  # HOLD: trees of little depth that passes walk again before gradients are kept
 SHARE, CELLS = 100_000, 200_000  # a task's rows times models (of a small table), and its cells of the histogram
 DIRECT = 1 << 21  # cells of all tasks' histograms that meet without a shuffle (32 MB)
 MAX_NODES, MAX_CELLS, MAX_PLAN, MAX_STRATA = 4_000_000, 1 << 22, 128, 100_000
 MOST_BITS = 36
-Block = tuple[np.ndarray, ...]  # stratum, cell, key, bins, targets and predictions of some rows
+Sums = tuple[np.ndarray, np.ndarray]  # of gradients and rows by model, node, feature and bin
+BLOCK, ALONE, APART = 1 << 22, 1 << 12, 16  # gradients of a block; rows from which a stratum has blocks of its own; nodes looked at one by one
+HELD = 1 << 28  # bytes of a task's blocks
+EXACT = 1 << 53
+Block = tuple[np.ndarray, ...]  # stratum (one if all rows have the same), cell and key of some rows, bins by feature, gradients by model
 
 
 @dataclass(frozen=True)
@@ -109,6 +114,70 @@ class Trees:
             node = 2 * node + (bins[row, np.maximum(self.feature[model, at], 0)] > self.cut[model, at])
         return node
 
+    def walk_one(self, bins: np.ndarray, model: int, depth: int) -> np.ndarray:
+        """The same of rows of one model; ``bins`` has a line a feature."""
+        node, row = np.zeros(bins.shape[1], np.uint8 if depth <= 8 else np.int64), None
+        for level in range(depth):
+            first = (1 << level) - 1
+            feature, cut = self.feature[model, first : 2 * first + 1], self.cut[model, first : 2 * first + 1]
+            cuts = np.flatnonzero(feature >= 0)
+            if len(cuts) <= APART:
+                right = np.zeros(len(node), bool)
+                for k in cuts.tolist():
+                    over = bins[feature[k]] > cut[k]
+                    right |= over & (node == k) if level else over
+            else:
+                row = np.arange(len(node)) if row is None else row
+                right = bins[np.maximum(feature, 0)[node], row] > cut[node]
+            node += node
+            node += right
+        return node
+
+
+def exact_parts(g: np.ndarray) -> list[tuple[np.ndarray, int]]:
+    """Doubles and the unit of each, whose sums over any of the rows are exact: the gradients, or their upper and lower bits."""
+    if not len(g) or max(int(g.max()), -int(g.min())) * len(g) < EXACT:
+        return [(g.astype(float), 1)]
+    return [((g >> 20).astype(float), 1 << 20), ((g & ((1 << 20) - 1)).astype(float), 1)]
+
+
+def shut(block: Block) -> Block:
+    """The block as it is kept: gradients in five bytes, where they fit."""
+    g = block[4]
+    if g.size and not -(1 << 39) <= int(g.min()) <= int(g.max()) < 1 << 39:
+        return block
+    return *block[:4], g.astype(np.uint32), (g >> 32).astype(np.int8)
+
+
+def opened(block: Block) -> Block:
+    """The block with gradients of its own."""
+    return *block[:4], block[4].copy() if len(block) == 5 else (block[5].astype(np.int64) << 32) | block[4]
+
+
+def runs(cell: np.ndarray) -> np.ndarray:
+    """Where runs of equal cells begin, and the end."""
+    return np.append(np.flatnonzero(np.diff(cell, prepend=-1)), len(cell))
+
+
+def stretches(chosen: np.ndarray, bound: np.ndarray) -> list[slice]:
+    """The rows of the chosen ones of neighbouring runs, which end at ``bound[1:]``, as few stretches."""
+    edge = bound[np.flatnonzero(np.diff(chosen, prepend=False, append=False))]
+    return [slice(a, b) for a, b in zip(edge[::2].tolist(), edge[1::2].tolist(), strict=True)]
+
+
+def joint(bins: np.ndarray, width: int) -> list[tuple[list[int], np.ndarray, int]]:
+    """Pairs of features with the number of each row's pair of bins and how many there are."""
+    return [([f, f + 1], bins[f].astype(np.int64) * width + bins[f + 1], width * width) if f + 1 < len(bins) else ([f], bins[f].astype(np.int64), width) for f in range(0, len(bins), 2)]
+
+
+def counted(features: list[int], at: np.ndarray, size: int, parts: list[tuple[np.ndarray, int]], g: np.ndarray, n: np.ndarray | None) -> None:
+    """Adds sums of gradients, and counts, of a pair's features to those of a node (by feature and bin)."""
+    for into, found in ((g, [(np.bincount(at, w, size), unit) for w, unit in parts]), (n, [] if n is None else [(np.bincount(at, minlength=size), 1)])):
+        for x, unit in found:
+            x = x.astype(np.int64).reshape([g.shape[1]] * len(features)) * unit
+            for k, f in enumerate(features):
+                into[f] += x.sum(axis=1 - k) if len(features) > 1 else x
+
 
 def _binned(columns: list[pa.Array], cuts: list[np.ndarray]) -> np.ndarray:
     return np.stack([np.searchsorted(c, x.to_numpy(zero_copy_only=False), "right").astype(np.uint8) for c, x in zip(cuts, columns, strict=True)], axis=1)
@@ -128,6 +197,7 @@ class Group:
         self.of = np.array([m.target for m in plan])
         self.trains = np.stack([m.trains for m in plan])
         self.trees: list[Trees] = []
+        self.first: np.ndarray | None = None
         self.params = [(float(m["l1"]) / units[m.target][1], float(m["l2"]), float(m["least_gain"]) / units[m.target][1] ** 2, float(m["least_rows"])) for m in plan]
 
     def start(self) -> RDD:
@@ -146,19 +216,39 @@ class Group:
         base = np.array([t // n if n else 0 for t, n in zip(total, count, strict=True)], np.int64)
         self.base, n_plan = base, len(self.plan)
 
+        of, keyed, full = self.of, any(m["row_share"] < 1 for m in self.plan), max(1, min(1 << 16, BLOCK // n_plan))
+
+        def blocks(batches: list[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            b = pa.Table.from_batches(batches).combine_chunks()
+            code, cell = b.column(0).to_numpy(), b.column(1).to_numpy()
+            bins = np.ascontiguousarray(_binned(b.columns[3 : 3 + n_f], cuts).T)
+            y = np.stack([b.column(3 + n_f + i).to_numpy().astype(np.int64) for i in range(n_t)])
+            found, at, size = np.unique(code, return_inverse=True, return_counts=True)
+            at = np.where(size >= ALONE, np.arange(len(found)), -1)[at]  # small strata share a block
+            for own in np.unique(at):
+                row = np.flatnonzero(at == own)
+                row = row[np.argsort(cell[row], kind="stable")]
+                g = base.reshape(-1, n_plan)[code[row]].T - y[of][:, row]
+                held = (code[row[:1] if own >= 0 else row].astype(np.int64), cell[row], b.column(2).to_numpy()[row] if keyed else None, bins[:, row], np.ascontiguousarray(g))
+                yield pa.RecordBatch.from_arrays([pa.array([pickle.dumps(shut(held))], pa.binary())], names=["block"])
+
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            held, n = [], 0
             for b in batches:
-                code = b.column(0).to_numpy()
-                y = np.stack([b.column(3 + n_f + i).to_numpy(zero_copy_only=False) for i in range(n_t)], axis=1)
-                hats = base.reshape(-1, n_plan)[code]
-                held = (code.astype(np.int64), b.column(1).to_numpy(), b.column(2).to_numpy(), _binned(b.columns[3 : 3 + n_f], cuts), y.astype(np.int64), hats)
-                yield pa.RecordBatch.from_arrays([pa.array([pickle.dumps(held)], pa.binary())], names=["block"])
-
-        # a task's share: small tables are not worth many tasks a pass
-        parts = max(1, -(-sum(r["n"] for r in sums) * n_plan // SHARE))
-        path = scratch(self.rows.sparkSession, "boosted")
-        own.coalesce(parts).mapInArrow(run, "block binary").write.parquet(path)
-        return self.rows.sparkSession.read.schema("block binary").parquet(path).rdd.map(lambda r: pickle.loads(r[0]))
+                held.append(b)
+                n += b.num_rows
+                if n >= full:
+                    yield from blocks(held)
+                    held, n = [], 0
+            if n:
+                yield from blocks(held)
+
+        # a task's share: small tables are not worth many tasks a pass, large ones are dealt evenly
+        total_rows, spark = sum(r["n"] for r in sums), self.rows.sparkSession
+        parts = max(1, min(-(-total_rows * n_plan // SHARE), spark.sparkContext.defaultParallelism), -(-total_rows * n_plan * 8 // HELD))
+        path = scratch(spark, "boosted")
+        own.repartition(parts, "_key").mapInArrow(run, "block binary").write.parquet(path)
+        return spark.read.schema("block binary").parquet(path).rdd.map(lambda r: pickle.loads(r[0]))
 
     def _light(self) -> Group:
         """What tasks need: no rows, no finished trees."""
@@ -171,18 +261,25 @@ class Group:
         return own
 
     def advanced(self, block: Block, tree: Trees) -> Block:
-        """The block with the tree's steps added to its predictions."""
-        code, bins, hats, n_plan = block[0], block[3], block[5].copy(), len(self.of)
+        """The block with the tree's steps added to its gradients, in place."""
+        code, cell, key, bins, g = block
+        bound, n_plan = runs(cell), len(self.of)
         for p in range(n_plan):
-            model = code * n_plan + p
-            hats[:, p] += tree.leaf[model, tree.walk(bins, model, tree.depth)]
-        return (*block[:5], hats)
-
-    def splits(self, state: RDD, tree: Trees, number: int, level: int, open_: np.ndarray, allowed: list[list[int]]) -> list[tuple]:
-        """model, node, g, n and the best split (feature, bin: up to it rows go left; gl, nl) of every open node, feature -1 where none gains enough.
+            if len(code) == 1:
+                model = int(code[0]) * n_plan + p
+                for own in stretches(self.trains[p, cell[bound[:-1]]], bound):
+                    g[p, own] += tree.leaf[model].take(tree.walk_one(bins[:, own], model, tree.depth))
+            else:
+                model = code * n_plan + p
+                g[p] += tree.leaf[model, tree.walk(bins.T, model, tree.depth)]
+        return block
+
+    def splits(self, state: RDD, tree: Trees, number: int, level: int, open_: np.ndarray, allowed: list[list[int]], above: Sums | None = None, rows: np.ndarray | None = None) -> tuple[list[tuple], Sums | None]:
+        """model, node, g, n and the best split (feature, bin: up to it rows go left; gl, nl) of every open node, feature -1 where none gains enough; and the sums, where they came.
 
         Every task sums gradients and counts by model, node of the level, feature and bin.  Histograms of few tasks are added as
-        they come; others meet by ranges of models in a shuffle, and only the chosen splits come to the driver.
+        they come; others meet by ranges of models in a shuffle, and only the chosen splits come to the driver.  With the sums of the
+        level ``above`` and the ``rows`` of each node only the smaller of two sisters is counted.
         """
         task, n_plan = self._light(), len(self.plan)
         size = (self.n_models, 1 << level, task.n_features, task.n_bins)
@@ -190,31 +287,53 @@ class Group:
         for p, a in enumerate(allowed):
             mask[p, a] = True
         step = max(1, CELLS // width)  # models of a range
+        direct = state.getNumPartitions() * math.prod(size) <= DIRECT
+        known = direct and not level and self.first is not None  # every row is in a tree: the counts above its first split are always the same
+        wanted, other = open_, None
+        if direct and above is not None:
+            smaller = np.stack([rows[:, ::2] <= rows[:, 1::2], rows[:, ::2] > rows[:, 1::2]], axis=2).reshape(open_.shape)
+            wanted, other = open_ & smaller, np.nonzero(open_ & ~smaller)
 
         def sums(blocks: Iterator[Block]) -> tuple[np.ndarray, np.ndarray]:
             g_sum, n_sum = np.zeros(math.prod(size), np.int64), np.zeros(math.prod(size), np.int64)
-            for code, cell, key, bins, y, hats in blocks:
+            for code, cell, key, bins, g in blocks:
+                alone, pairs = len(code) == 1, None
+                bound = runs(cell)
                 for p in range(n_plan):
-                    row = task.trains[p, cell]
+                    nodes = np.flatnonzero(wanted[int(code[0]) * n_plan + p]) if alone else None
+                    if alone and not len(nodes):
+                        continue
+                    row = np.repeat(task.trains[p, cell[bound[:-1]]], np.diff(bound))
                     if task.shares[p] < 1:
                         row = row & (mixed(key, seed_of(task.seed, "rows", p, number)) < task.shares[p])
+                    if alone and len(nodes) <= APART:
+                        model, pairs = int(code[0]) * n_plan + p, pairs or joint(bins, size[3])
+                        node = tree.walk_one(bins, model, level) if level else None
+                        for k in nodes.tolist():
+                            whole = not level and task.shares[p] == 1
+                            for own in stretches(task.trains[p, cell[bound[:-1]]], bound) if whole else [np.flatnonzero(row & (node == k) if level else row)]:
+                                part = exact_parts(g[p][own])
+                                few = len(part[0][0]) <= size[3] * size[3]
+                                for f, x, n in [([f], bins[f], size[3]) for f in range(size[2])] if few else pairs:
+                                    counted(f, x[own], n, part, g_sum.reshape(size)[model, k], None if known else n_sum.reshape(size)[model, k])
+                        continue
                     row = np.flatnonzero(row)
-                    model = code[row] * n_plan + p
-                    node = tree.walk(bins[row], model, level)
-                    live = open_[model, node]
-                    row, model, node = row[live], model[live], node[live]
+                    model = (code if len(code) == 1 else code[row]) * n_plan + p
+                    model = np.broadcast_to(model, len(row))
+                    mine = bins[:, row].T
+                    node = tree.walk(mine, model, level)
+                    live = wanted[model, node]
+                    row, mine, model, node = row[live], mine[live], model[live], node[live]
                     if not len(row):
                         continue
-                    g = hats[row, p] - y[row, task.of[p]]
                     at = ((model * size[1] + node) * size[2])[:, None] + np.arange(size[2])
-                    at = (at * size[3] + bins[row]).ravel()
-                    g = np.repeat(g, size[2])
+                    at = (at * size[3] + mine).ravel()
                     low, spread = int(at.min()), int(at.max()) + 1  # the models of the block's strata
                     at -= low
-                    # in two halves, so that the sums of doubles are exact
-                    for part, unit in ((g >> 20, 1 << 20), (g & ((1 << 20) - 1), 1)):
-                        g_sum[low:spread] += np.bincount(at, part, spread - low).astype(np.int64) * unit
-                    n_sum[low:spread] += np.bincount(at, minlength=spread - low)
+                    for part, unit in exact_parts(g[p, row]):
+                        g_sum[low:spread] += np.bincount(at, np.repeat(part, size[2]), spread - low).astype(np.int64) * unit
+                    if not known:
+                        n_sum[low:spread] += np.bincount(at, minlength=spread - low)
             return g_sum, n_sum
 
         def best(first: int, g: np.ndarray, n: np.ndarray) -> list[tuple]:
@@ -222,9 +341,17 @@ class Group:
             model, node, feature, bins = np.unravel_index(at + first * width, size)
             return list(zip(*(x.tolist() for x in best_splits(model, node, feature, bins, g[at], n[at], params, mask)), strict=True)) if len(at) else []
 
-        if state.getNumPartitions() * math.prod(size) <= DIRECT:
+        if direct:
             g, n = (sum(x) for x in zip(*state.mapPartitions(lambda blocks: [sums(blocks)]).collect(), strict=True))
-            return best(0, g, n)
+            if not level and min(task.shares) == 1:
+                self.first = n if self.first is None else self.first
+                n = np.where(open_[..., None, None], self.first.reshape(size), 0).ravel()
+            held = g.reshape(size), n.reshape(size)
+            if other is not None:
+                model, node = other
+                for x, x_above in zip(held, above, strict=True):
+                    x[model, node] = x_above[model, node >> 1] - x[model, node ^ 1]
+            return best(0, g, n), held
 
         def ranges(blocks: Iterator[Block]) -> Iterator[tuple[int, tuple[np.ndarray, np.ndarray]]]:
             g, n = sums(blocks)
@@ -233,11 +360,12 @@ class Group:
                     yield m, (g[m * width : (m + step) * width], n[m * width : (m + step) * width])
 
         met = state.mapPartitions(ranges).reduceByKey(lambda a, b: (a[0] + b[0], a[1] + b[1]), max(1, -(-size[0] // step)))
-        return met.flatMap(lambda x: best(x[0], *x[1])).collect()  # a row a node
+        return met.flatMap(lambda x: best(x[0], *x[1])).collect(), None  # a row a node
 
     def grow(self) -> None:
-        """All trees; blocks with their predictions are kept until the next tree's are made, and written every RENEW trees."""
+        """All trees; blocks with their gradients are kept every few trees until the next are made, and written every RENEW trees."""
         state, before, task = self.start().persist(StorageLevel.MEMORY_AND_DISK), [], self._light()
+        kept, state, hold = state, state.map(opened), HOLD if self.depth <= 3 else 1
         n_plan, n_f = len(self.plan), len(self.features)
         depth = np.tile([int(m["depth"]) for m in self.plan], self.strata)
         upto = np.tile([int(m["trees"]) for m in self.plan], self.strata)
@@ -247,32 +375,35 @@ class Group:
         for number in range(self.n_trees):
             tree = Trees(self.n_models, self.depth)
             allowed = [columns_of(p, number, n_f, m["column_share"], self.seed) for p, m in enumerate(self.plan)]
-            open_ = ((self.count > 0) & (upto > number))[:, None]
+            open_, sums, rows = ((self.count > 0) & (upto > number))[:, None], None, None
             for level in range(self.depth):
                 if not open_.any():
                     break
-                found = self.splits(state, tree, number, level, open_, allowed)
+                found, sums = self.splits(state, tree, number, level, open_, allowed, sums, rows)
                 while before:  # the state is made now
                     before.pop().unpersist()
-                after = np.zeros((self.n_models, 2 << level), bool)
+                after, rows = np.zeros((self.n_models, 2 << level), bool), np.zeros((self.n_models, 2 << level), np.int64)
                 for m, node, g_all, n_all, feature, bin_, gl, nl in found:
                     sides = ((2 * node, gl, nl), (2 * node + 1, g_all - gl, n_all - nl)) if feature >= 0 else ((2 * node, g_all, n_all),)
                     if feature >= 0:
                         tree.feature[m, (1 << level) - 1 + node], tree.cut[m, (1 << level) - 1 + node] = feature, bin_
                         after[m, [2 * node, 2 * node + 1]] = level + 1 < depth[m]
                     for side, g, n in sides:  # the leftmost leaf below, unless a later level splits it
+                        rows[m, side] = n
                         tree.leaf[m, side << (self.depth - level - 1)] = leaf(g, n, l1[m], l2[m], rate[m])
                 open_ = after
             self.trees.append(tree)
             if number + 1 < self.n_trees:
-                before.append(state)
                 state = state.map(lambda block, task=task, tree=tree: task.advanced(block, tree))
                 if (number + 1) % RENEW == 0:
                     path = scratch(self.rows.sparkSession, "boosted")
-                    state.saveAsPickleFile(path, 1)
-                    state = self.rows.sparkSession.sparkContext.pickleFile(path)
-                state = state.persist(StorageLevel.MEMORY_AND_DISK)
-        for held in (*before, state):
+                    state.map(shut).saveAsPickleFile(path, 1)
+                    state = self.rows.sparkSession.sparkContext.pickleFile(path).map(opened)
+                if (number + 1) % RENEW == 0 or (number + 1) % hold == 0:
+                    before.append(kept)
+                    kept = state.map(shut).persist(StorageLevel.MEMORY_AND_DISK)
+                    state = kept.map(opened)
+        for held in (*before, kept):
             held.unpersist()
 
     def table(self) -> DataFrame:

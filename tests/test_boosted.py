@@ -140,3 +140,60 @@ def test_levels_agree_with_and_without_shuffle(spark, monkeypatch):
         (_, _, group), = boosted.grown(rows, ["a", "b"], ["y"], plan, k)
         tables.append(sorted(map(str, group.table().collect())))
     assert tables[0] == tables[1] and len(tables[0]) > 7 * 4 * 8
+
+
+@pytest.mark.parametrize("cost", ["pairs", "halves"])
+def test_sisters_pairs_and_replayed_trees_give_the_same_trees(spark, monkeypatch, cost):
+    """Blocks of one stratum, counted by pairs of features and smaller sisters, against rows counted one by one without a parent's sums."""
+    rng = np.random.default_rng(31)
+    d = pd.DataFrame({"a": rng.normal(size=6000), "b": rng.integers(0, 9, 6000).astype(float), "c": rng.normal(size=6000), "s": rng.choice(["u", "v"], 6000, p=[0.9, 0.1]), "fold": rng.integers(0, 3, 6000)})
+    d["y"] = np.sin(3 * d.a) + d.b * np.where(d.s == "u", 1, -1) + d.c**2
+    rows, k = boosted.coded(spark.createDataFrame(d).withColumn("_cell", F.col("fold")), ["s"])
+    plan = [boosted.Model(0, np.array([f != t for f in range(3)]), s) for t in range(3) for s in ({"trees": 6, "depth": 3}, {"trees": 3, "depth": 2, "row_share": 0.8})]
+    monkeypatch.setattr(boosted, "BINS", 16)
+    if cost == "halves":
+        monkeypatch.setattr(boosted, "EXACT", 0)
+    tables, seen, count = [], [], boosted.counted
+    monkeypatch.setattr(boosted, "counted", lambda features, *a: seen.append(len(features)) or count(features, *a))
+    for alone, hold, direct in ((500, 4, boosted.DIRECT), (1 << 30, 1, 0)):
+        monkeypatch.setattr(boosted, "ALONE", alone)
+        monkeypatch.setattr(boosted, "HOLD", hold)
+        monkeypatch.setattr(boosted, "DIRECT", direct)
+        (_, _, group), = boosted.grown(rows, ["a", "b", "c"], ["y"], plan, k)
+        tables.append(sorted(map(str, group.table().collect())))
+    assert tables[0] == tables[1] and len(tables[0]) > 6 * 4 * 6
+
+
+def test_sums_of_a_level_with_those_above(monkeypatch):
+    """Only smaller sisters are counted, and the sums of all nodes are whole."""
+    rng = np.random.default_rng(2)
+    n, models = 60_000, 4
+    group = object.__new__(boosted.Group)
+    group.plan, group.features, group.strata = [boosted.Model(0, np.array([True]), {})] * models, list("abcd"), 1
+    group.n_models, group.depth, group.seed, group.first = models, 3, 1, None
+    group.of, group.trains, group.cuts = np.zeros(models, int), np.ones((models, 1), bool), [np.arange(63.0)] * 4
+    group.params = [(0.0, 1.0, 0.0, 1.0)] * models
+    tree = boosted.Trees(models, 3)
+    tree.feature[:], tree.cut[:] = rng.integers(0, 4, tree.feature.shape), rng.integers(20, 40, tree.cut.shape)
+    bins, g = rng.integers(0, 64, (4, n)).astype(np.uint8), rng.integers(-(1 << 35), 1 << 35, (models, n))
+    block = (np.zeros(1, np.int64), np.zeros(n, np.int32), None, bins, g)
+
+    class State:
+        getNumPartitions = lambda self: 1
+        mapPartitions = lambda self, f: type("Met", (), {"collect": lambda _: list(f(iter([block])))})()
+
+    sums, rows, seen, count = None, None, [], boosted.counted
+    monkeypatch.setattr(boosted, "counted", lambda features, at, *a: seen.append(len(at) * len(features)) or count(features, at, *a))
+    for level in range(3):
+        seen.clear()
+        found, sums = group.splits(State(), tree, 0, level, np.ones((models, 1 << level), bool), [[0, 1, 2, 3]] * models, sums, rows)
+        assert sum(seen) <= models * n * 4 // (2 if level else 1)
+        rows = np.zeros((models, 2 << level), np.int64)
+        for m in range(models):
+            node = tree.walk(bins.T, np.full(n, m), level + 1)
+            rows[m] = np.bincount(node, minlength=2 << level)
+            for f in range(4):
+                at = (node >> 1) * 64 + bins[f]
+                want = np.zeros((1 << level) * 64, np.int64)
+                np.add.at(want, at, g[m])
+                assert np.array_equal(sums[0][m, :, f].ravel(), want) and np.array_equal(sums[1][m, :, f].ravel(), np.bincount(at, minlength=len(want)))
