@@ -1,4 +1,4 @@
-"""Removal of byte strings that an earlier document holds, by suffix arrays of content shards.
+"""Removal of byte strings that an earlier document holds, by sparse suffix arrays of content shards.
 
 A byte goes if a string of ``LENGTH`` bytes covers it that also starts in a document with a smaller id.
 
@@ -14,9 +14,10 @@ A byte goes if a string of ``LENGTH`` bytes covers it that also starts in a docu
    often it stands in it.  An anchor with over ``HOT`` snippets (a menu line in ever other surroundings) is split:
    its strings are named by themselves, those with company are found by a second exchange of hashes, and only these
    go, dealt over all content shards.
-5. A content shard sorts the suffixes of its snippets by external induced sorting (see ``induced``).  Suffixes that share
-   ``LENGTH`` bytes are neighbours; the least id among them is what a place must be compared with.  Equal snippets
-   are one before that, and one that is alone with its anchor needs no sorting: its strings are nowhere else.
+5. A content shard keeps a sparse suffix array: the suffixes that begin at anchors, sorted with their shared lengths, and the same of
+   the texts before anchors read backwards.  A string equals those that lie in one run of both orders; the least id among
+   them is what a place must be compared with.  Equal snippets are one before that, and one that is alone with its anchor
+   needs no sorting: its strings are nowhere else.
 6. Text shards get the least ids for their snippets and cut the covered bytes.
 
 No step puts all places of a string in one row set: hashes and snippets are made distinct in their text shard before
